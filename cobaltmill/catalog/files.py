@@ -1 +1,217 @@
-"""Pending."""
+"""Sources and sinks. File logs are derived from the event table; written files are read back."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cobaltmill.catalog.registry import register
+from cobaltmill.operators import aggregates as A
+from cobaltmill.operators import charts, headers
+from cobaltmill.session import fresh_path, table
+from cobaltmill.sources import files, raw, sinks
+
+_KINDS = {"purchase": "CSV", "view": "xlsx", "click": "xls", "error": "pdf", "signup": "md"}
+_FILES_SQL = f"""
+WITH f AS (SELECT user_id AS tenant, ts AS modified, 'data/' || user_id || '/' ||
+             CASE WHEN value < 5 THEN '.' ELSE '' END || 'f' || event_id || '.' ||
+             CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS path
+           FROM events)
+"""
+
+
+def _file_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads of each user: one file per event, hidden when its value is small."""
+    ext = F.lit(None).cast("string")
+    for kind, name in _KINDS.items():
+        ext = F.when(F.col("event_type") == kind, name).otherwise(ext)
+    hidden = F.when(F.col("value") < 5, ".").otherwise("")
+    path = F.concat(
+        F.lit("data/"), F.col("user_id").cast("string"), F.lit("/"), hidden, F.lit("f"),
+        F.col("event_id").cast("string"), F.lit("."), ext,
+    )
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("tenant"), path.alias("path"), F.col("ts").alias("modified"))
+
+
+@register("latest_file", _FILES_SQL + """
+SELECT tenant, path, modified FROM f WHERE regexp_matches(lower(path), '\\.(csv|xlsx|xls)$')
+QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY modified DESC, path DESC) = 1
+""")
+def latest_file(spark, sf):
+    return files.latest_file(_file_log(spark, sf))
+
+
+@register("file_inventory", _FILES_SQL + """
+SELECT tenant,
+       bool_or(NOT contains(path, '/.') AND regexp_matches(lower(path), '\\.(csv|xlsx|xls|pdf|docx|txt)$')) AS has_data,
+       count_if(path LIKE '%.pdf') AS n_pdf, count_if(regexp_matches(lower(path), '\\.(csv|xlsx|xls)$')) AS n_data,
+       CAST(0 AS BIGINT) AS n_document, count_if(path LIKE '%.md') AS n_other
+FROM f GROUP BY tenant
+""")
+def file_inventory(spark, sf):
+    return files.file_inventory(_file_log(spark, sf))
+
+
+@register("mime_audit", """
+WITH f AS (
+  SELECT 'p/' || page_id || '.txt' AS path, html AS t FROM pages
+  UNION ALL SELECT 'd/' || doc_id || '.csv', text FROM documents
+  UNION ALL SELECT 'e/' || event_id || '.PDF', CASE WHEN value > 10 THEN '%PDF-1.4 ' || props ELSE props END FROM events),
+m AS (SELECT path, CASE WHEN starts_with(t, '%PDF') THEN 'application/pdf'
+        WHEN starts_with(ltrim(lower(t)), '<!doctype html') OR starts_with(ltrim(lower(t)), '<html') THEN 'text/html'
+        WHEN starts_with(ltrim(t), '{') THEN 'application/json' ELSE 'text/plain' END AS mime, strlen(t) AS size FROM f)
+SELECT path, mime, CASE WHEN path LIKE '%.PDF' THEN mime = 'application/pdf' ELSE mime = 'text/plain' END AS mime_ok,
+       size <= 33554432 AS size_ok FROM m
+""")
+def mime_audit(spark, sf):
+    def rows(name, folder, key, ext, content):
+        path = F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(ext))
+        return table(spark, sf, name).select(path.alias("path"), content.cast("binary").alias("content"))
+
+    signed = F.when(F.col("value") > 10, F.concat(F.lit("%PDF-1.4 "), "props")).otherwise(F.col("props"))
+    uploads = (
+        rows("pages", "p/", "page_id", ".txt", F.col("html"))
+        .unionByName(rows("documents", "d/", "doc_id", ".csv", F.col("text")))
+        .unionByName(rows("events", "e/", "event_id", ".PDF", signed))
+    )
+    return files.upload_check(uploads).drop("content")
+
+
+@register("delimiter_sniff", """
+WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line FROM documents),
+c AS (SELECT file, pos, sep, length(line) - length(replace(line, sep, '')) AS n
+      FROM l CROSS JOIN (VALUES (0, ','), (1, ';'), (2, '|'), (3, chr(9))) AS s(pos, sep) WHERE line <> ''),
+s AS (SELECT file, pos, sep, count(*) * sum(n * n) - sum(n) * sum(n) AS spread, sum(n) >= count(*) AS usable
+      FROM c GROUP BY ALL)
+SELECT file, coalesce(arg_min(sep, (spread, pos)) FILTER (WHERE usable), ',') AS sep FROM s GROUP BY file
+""")
+def delimiter_sniff(spark, sf):
+    lines = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("file"), F.explode(F.split("text", "\n")).alias("line"))
+    return raw.choose_separator(lines)
+
+
+@register("raw_scan", """
+SELECT CAST(c_custkey AS VARCHAR) AS c0,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN c_name || '; S.A.' ELSE c_name END AS c1,
+       CAST(c_nationkey AS VARCHAR) AS c2, c_mktsegment || ' ñ' AS c3, 'utf-8' AS encoding
+FROM customer
+""")
+def raw_scan(spark, sf):
+    name = F.when(F.col("c_mktsegment") == "BUILDING", F.concat("c_name", F.lit("; S.A."))).otherwise(F.col("c_name"))
+    path = fresh_path(spark, "export")
+    table(spark, sf, "customer").select(
+        "c_custkey", name.alias("name"), "c_nationkey", F.concat("c_mktsegment", F.lit(" ñ")).alias("segment")
+    ).write.option("sep", ";").csv(path)
+    scanned = raw.raw_scan(spark, path)
+    return scanned.select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4)], "encoding")
+
+
+@register("schema_sample", """
+WITH s AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 2),
+r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n,
+        unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']) AS "column",
+        unnest(['bigint', 'bigint', 'string', 'string']) AS type,
+        unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS v FROM s)
+SELECT "column", type, max(CASE WHEN n = 1 THEN v END) AS sample_1, max(CASE WHEN n = 2 THEN v END) AS sample_2
+FROM r GROUP BY ALL
+""")
+def schema_sample(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return raw.schema_sample(rows, [F.col("o_orderkey")])
+
+
+@register("bounded_read", """
+SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50000) GROUP BY o_orderstatus
+""")
+def bounded_read(spark, sf):
+    rows = raw.bounded_read(table(spark, sf, "orders"), order=[F.col("o_orderkey")])
+    return rows.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+@register("text_scan", """
+SELECT doc_id, md5(text || chr(65533)) AS digest, length(text) + 1 AS n_chars FROM documents
+""")
+def text_scan(spark, sf):
+    damaged = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))
+    text = files.decode_text(damaged)
+    return table(spark, sf, "documents").select(
+        "doc_id", F.md5(text.cast("binary")).alias("digest"), F.length(text).cast("long").alias("n_chars"))
+
+
+@register("webhook_log_scan", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+""")
+def webhook_log_scan(spark, sf):
+    return table(spark, sf, "events").select(
+        "event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@register("write_records", """
+SELECT unnest(['csv', 'json', 'parquet']) AS format, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders
+""")
+def write_records(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    folder = fresh_path(spark, "records")
+    parts = []
+    for fmt in ("csv", "json", "parquet"):
+        back = sinks.write_records(rows, f"{folder}/{fmt}", fmt)
+        parts.append(back.agg(
+            F.lit(fmt).alias("format"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"),
+            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("sidecar_write", r"""
+SELECT source, doc_id, CASE WHEN contains(lower(text), 'dian') THEN 'DIAN' ELSE '' END AS fuente,
+       regexp_extract(text, '\b(\d{8,10}(?:-\w)?)\b', 1) AS nit_declarante
+FROM documents
+""")
+def sidecar_write(spark, sf):
+    metadata = table(spark, sf, "documents").select(
+        "source", "doc_id", headers.document_metadata(F.col("text")).alias("document_metadata"))
+    back = sinks.write_sidecar(metadata, fresh_path(spark, "sidecar"), "source")
+    return back.select(
+        "source", "doc_id", "document_metadata.fuente", "document_metadata.nit_declarante")
+
+
+@register("chart_spec_write", """
+SELECT title, count(*) AS n_points, CAST(sum(n) AS DOUBLE) AS total FROM (
+  SELECT 'Distribución por estado' AS title, count(*) AS n FROM orders GROUP BY o_orderstatus
+  UNION ALL SELECT 'Distribución por prioridad', count(*) FROM orders GROUP BY o_orderpriority) GROUP BY title
+""")
+def chart_spec_write(spark, sf):
+    orders = table(spark, sf, "orders")
+    specs = [
+        charts.option_json(charts.bar(A.group_by(orders, key), key, "value"), "bar", f"Distribución por {name}")
+        for key, name in (("o_orderstatus", "estado"), ("o_orderpriority", "prioridad"))
+    ]
+    broken = orders.agg(F.concat(F.lit("{"), F.max("o_orderstatus")).alias("spec"))
+    written = sinks.write_chart_specs(reduce(DataFrame.unionByName, [*specs, broken]), fresh_path(spark, "charts"))
+    data = F.try_variant_get("spec", "$.series[0].data", "array<double>")
+    return written.select(
+        F.try_variant_get("spec", "$.title.text", "string").alias("title"),
+        F.size(data).cast("long").alias("n_points"),
+        F.aggregate(data, F.lit(0.0), lambda a, v: a + v).alias("total"),
+    )
+
+
+_PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@register("report_bundle", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", least(greatest(max(length(CAST({c} AS VARCHAR))), {len(c)}) + 2, 60) AS width FROM part"
+    for c in _PART
+))
+def report_bundle(spark, sf):
+    _, widths = sinks.write_report(table(spark, sf, "part"), fresh_path(spark, "report"))
+    return widths
+
+

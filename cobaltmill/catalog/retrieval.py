@@ -1 +1,64 @@
-"""Pending."""
+"""Vector index and search over the embeddings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cobaltmill.catalog.registry import register
+from cobaltmill.operators import retrieval as R
+from cobaltmill.session import fresh_path, table
+from cobaltmill.sources.sinks import append_index
+
+_COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+def _first_per_label(index):
+    """One request per label: its vector with the smallest id."""
+    return index.groupBy("label").agg(
+        F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("vector"))
+
+
+@register("cosine_topk", f"""
+SELECT e.vec_id, round({_COS}, 6) AS score
+FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) q
+ORDER BY {_COS} DESC, e.vec_id LIMIT 5
+""")
+def cosine_topk(spark, sf):
+    index = table(spark, sf, "embeddings")
+    query = index.agg(F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("vector"))
+    return R.cosine_topk(index, query).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@register("cosine_topk_batch", f"""
+SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 6) AS score,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
+FROM embeddings e, (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q
+QUALIFY rank <= 5
+""")
+def cosine_topk_batch(spark, sf):
+    index = table(spark, sf, "embeddings")
+    found = R.cosine_topk(index, _first_per_label(index))
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("tenant_scope", f"""
+SELECT e.label, e.vec_id, round({_COS}, 6) AS score
+FROM embeddings e JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q
+  ON e.label = q.label
+QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY {_COS} DESC, e.vec_id) <= 5
+""")
+def tenant_scope(spark, sf):
+    index = table(spark, sf, "embeddings")
+    found = R.tenant_topk(index, _first_per_label(index), "label")
+    return found.select("label", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("index_append", """
+SELECT label, 2 * count(*) AS n, CAST(2 * sum(len(embedding)) AS BIGINT) AS n_values FROM embeddings GROUP BY label
+""")
+def index_append(spark, sf):
+    vectors, path = table(spark, sf, "embeddings"), fresh_path(spark, "index")
+    append_index(vectors, path, "label")
+    index = append_index(vectors, path, "label")
+    return index.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("n_values"))
