@@ -120,7 +120,8 @@ def get_or_create(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     clean = requests.withColumn("email", normal_email(F.col("email")))
     by_chat_key = F.concat(F.lit("chat:"), F.col("chat_id").cast("string"))
     call_key = F.coalesce(by_chat_key, F.concat(F.lit("mail:"), F.col("email")))
-    calls = clean.withColumn("call_key", call_key).groupBy("call_key").agg(
+    keyed = clean.withColumn("call_key", call_key).filter(F.col("call_key").isNotNull())
+    calls = keyed.groupBy("call_key").agg(
         F.first("chat_id").alias("chat_id"),
         F.min("request_id").alias("request_id"),
         F.min_by("email", F.when(F.col("email").isNotNull(), F.col("request_id"))).alias("email"),
