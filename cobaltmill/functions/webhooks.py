@@ -1,6 +1,7 @@
 """Payment webhook bodies: fields, ids, amounts and signatures as column expressions.
 
-A body is parsed once into a variant; every field is the first match among ordered paths.
+A body is parsed once against one schema that covers every path; each field is then the first
+match among its ordered paths. Catalyst drops the parts of the schema that a query does not use.
 """
 
 from __future__ import annotations
@@ -59,28 +60,67 @@ PSP_APPROVED = ("APPROVED", "COMPLETED")
 # ------------------------------------------------------------------------------------------------
 
 
+def _schema() -> str:
+    """Schema of all paths: text leaves, and variant leaves for amounts (which may be null)."""
+    texts = (
+        TYPE_PATHS + STATUS_PATHS + REFERENCE_PATHS + DESCRIPTION_PATHS + EMAIL_PATHS
+        + CHAT_ID_PATHS + CHAT_TEXT_PATHS + CHAT_REFERENCE_PATHS
+    )
+    tree: dict = {}
+    for path in texts + AMOUNT_PATHS:
+        *parents, leaf = path.split(".")
+        node = tree
+        for name in parents:
+            node = node.setdefault(name, {})
+        node[leaf] = "variant" if path in AMOUNT_PATHS else "string"
+
+    def ddl(node: dict) -> str:
+        return ", ".join(
+            f"`{k}`: struct<{ddl(v)}>" if isinstance(v, dict) else f"`{k}`: {v}"
+            for k, v in node.items()
+        )
+
+    return f"struct<{ddl(tree)}>"
+
+
+BODY_SCHEMA = _schema()
+
+
+def parse_body(raw: Column) -> Column:
+    return F.from_json(raw, BODY_SCHEMA)
+
+
+def _field(body: Column, path: str) -> Column:
+    for name in path.split("."):
+        body = body.getField(name)
+    return body
+
+
 def _strip(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\x0b\x0c\x85\xa0"))
 
 
-def _text(body: Column, path: str) -> Column:
-    return F.try_variant_get(body, f"$.{path}", "string")
+def _first(values: list[Column], use, keep) -> Column:
+    """First of ``use(value)`` that passes ``keep``; the expression is compiled only once."""
+    return F.get(F.filter(F.transform(F.array_compact(F.array(*values)), use), keep), F.lit(0))
 
 
 def first_text(body: Column, paths: tuple[str, ...]) -> Column:
     """First non-blank value among the paths, trimmed; empty when there is none."""
-    return F.coalesce(*[F.nullif(_strip(_text(body, p)), F.lit("")) for p in paths], F.lit(""))
+    found = _first([_field(body, p) for p in paths], _strip, lambda v: v != "")
+    return F.coalesce(found, F.lit(""))
 
 
-def first_amount(body: Column, paths: tuple[str, ...] = AMOUNT_PATHS) -> Column:
+def variant_amount(value: Column) -> Column:
+    """Whole part of a JSON number; null and text that is no number count as 0."""
+    number = F.try_variant_get(value, "$", "double")
+    whole = F.when(F.abs(number) < 9e18, number.cast("bigint"))
+    return F.coalesce(whole, F.lit(0).cast("bigint"))
+
+
+def first_amount(body: Column) -> Column:
     """Whole number at the first path that exists, whatever its value; 0 when none does."""
-    out = F.when(F.lit(False), F.lit(0).cast("bigint"))
-    for p in paths:
-        found = F.try_variant_get(body, f"$.{p}", "variant")
-        number = F.try_variant_get(body, f"$.{p}", "double")
-        whole = F.when(F.abs(number) < 9e18, number.cast("bigint"))
-        out = out.when(found.isNotNull(), F.coalesce(whole, F.lit(0).cast("bigint")))
-    return out.otherwise(F.lit(0).cast("bigint"))
+    return variant_amount(F.coalesce(*[_field(body, p) for p in AMOUNT_PATHS]))
 
 
 def payer_email(body: Column) -> Column:
@@ -108,12 +148,18 @@ def _chat_in_text(c: Column) -> Column:
 
 def chat_id(body: Column) -> Column:
     """Chat id from metadata, else from a description or URL, else from a reference."""
-    tries = [_positive(_text(body, p)) for p in CHAT_ID_PATHS]
-    tries += [_chat_in_text(_text(body, p)) for p in CHAT_TEXT_PATHS]
-    for p in CHAT_REFERENCE_PATHS:
-        text = _strip(_text(body, p))
-        tries += [_positive(F.regexp_extract(text, ORDER_ID, 1)), _positive(text), _chat_in_text(text)]
-    return F.coalesce(*tries)
+    def known(v: Column) -> Column:
+        return v.isNotNull()
+
+    def from_reference(text: Column) -> Column:
+        order = _positive(F.regexp_extract(_strip(text), ORDER_ID, 1))
+        return F.coalesce(order, _positive(text), _chat_in_text(text))
+
+    return F.coalesce(
+        _first([_field(body, p) for p in CHAT_ID_PATHS], _positive, known),
+        _first([_field(body, p) for p in CHAT_TEXT_PATHS], _chat_in_text, known),
+        _first([_field(body, p) for p in CHAT_REFERENCE_PATHS], from_reference, known),
+    )
 
 
 def whole_pesos(amount: Column) -> Column:
@@ -157,18 +203,27 @@ def signature_ok(body: Column, header: Column, secret: str) -> Column:
     )
 
 
+PSP_SCHEMA = (
+    "struct<event: string, timestamp: bigint, signature: struct<properties: array<string>, checksum: string>, "
+    "data: struct<transaction: struct<reference: string, status: string, amount_in_cents: variant, "
+    "customer_email: string>>>"
+)
+
+
+def parse_psp_body(raw: Column) -> Column:
+    return F.from_json(raw, PSP_SCHEMA)
+
+
 def property_checksum(raw: Column, body: Column, secret: str) -> Column:
     """SHA-256 over the values of the listed properties, the timestamp and the secret."""
-    listed = F.from_json(
-        F.get_json_object(raw, "$.signature.properties"), "array<string>"
-    )
+    listed = _field(body, "signature.properties")
 
     def value(path: Column) -> Column:
         full = F.when(path.startswith("data."), path).otherwise(F.concat(F.lit("data."), path))
         found = F.call_function("get_json_object", raw, F.concat(F.lit("$."), full))
         return F.coalesce(found, F.lit(""))
 
-    stamp = F.coalesce(F.try_variant_get(body, "$.timestamp", "bigint"), F.lit(0).cast("bigint"))
+    stamp = F.coalesce(_field(body, "timestamp"), F.lit(0).cast("bigint"))
     text = F.concat(
         F.array_join(F.transform(listed, value), ""), stamp.cast("string"), F.lit(secret.strip())
     )
@@ -181,6 +236,6 @@ def checksum_ok(raw: Column, body: Column, header: Column, secret: str) -> Colum
         return F.lit(True)
     given = F.coalesce(
         F.nullif(_strip(header), F.lit("")),
-        F.nullif(_strip(_text(body, "signature.checksum")), F.lit("")),
+        F.nullif(_strip(_field(body, "signature.checksum")), F.lit("")),
     )
     return F.coalesce(F.lower(given) == property_checksum(raw, body, secret), F.lit(False))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobaltmill.functions import vocab
 from cobaltmill.functions import webhooks as H
 
 
+def _parsed(log: DataFrame, body: Column) -> DataFrame:
+    """Adds the parsed body as ``__v``.
+
+    The one-element generator is a barrier: a filter on a billing field would otherwise be pushed
+    down to the raw text and parse it once more for every path it mentions.
+    """
+    return log.select("*", F.explode(F.array(body)).alias("__v"))
+
+
 def normalise_events(log: DataFrame, body: str = "body") -> DataFrame:
     """Billing fields of each raw webhook body; every body is parsed once."""
     v = F.col("__v")
-    parsed = log.withColumn("__v", F.try_parse_json(body))
-    fields = parsed.withColumns({
+    fields = _parsed(log, H.parse_body(F.col(body))).withColumns({
         "type": H.first_text(v, H.TYPE_PATHS),
         "status": H.first_text(v, H.STATUS_PATHS),
         "reference": H.first_text(v, H.REFERENCE_PATHS),
@@ -27,18 +35,15 @@ def normalise_events(log: DataFrame, body: str = "body") -> DataFrame:
 
 def psp_events(log: DataFrame, body: str = "body") -> DataFrame:
     """Transaction updates of the second gateway that carry a reference and a status."""
-    def text(path: str):
-        return F.coalesce(F.try_variant_get("__v", f"$.{path}", "string"), F.lit(""))
-
-    base = "data.transaction."
-    parsed = log.withColumn("__v", F.try_parse_json(body)).withColumns({
-        "reference": text(base + "reference"),
-        "status": text(base + "status"),
-        "amount_raw": H.first_amount(F.col("__v"), (base + "amount_in_cents",)),
-        "customer_email": text(base + "customer_email"),
+    change = F.col("__v.data.transaction")
+    parsed = _parsed(log, H.parse_psp_body(F.col(body))).filter(F.col("__v.event") == H.PSP_EVENT)
+    fields = parsed.withColumns({
+        "reference": change["reference"],
+        "status": change["status"],
+        "amount_raw": H.variant_amount(change["amount_in_cents"]),
+        "customer_email": F.coalesce(change["customer_email"], F.lit("")),
     })
-    kept = (text("event") == H.PSP_EVENT) & (F.col("reference") != "") & (F.col("status") != "")
-    return parsed.filter(kept).drop("__v")
+    return fields.filter((F.col("reference") != "") & (F.col("status") != "")).drop("__v")
 
 
 def payment_fold(events: DataFrame, strict_reference: bool = False) -> DataFrame:
