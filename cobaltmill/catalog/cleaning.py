@@ -184,13 +184,30 @@ def header_metadata(spark, sf):
     return headers.preamble_text(raw, headers.header_rows(raw))
 
 
-@register("metadata_extract", r"""
+STAMPED_SQL = """
+WITH d AS (SELECT doc_id, source, CASE lang WHEN 'es' THEN 'Dian ' || text || ' NIT ' || lpad(CAST(doc_id AS VARCHAR), 9, '9') || '-K.'
+             WHEN 'fr' THEN text || ' ' || lpad(CAST(doc_id AS VARCHAR), 8, '8') || '-77' ELSE text END AS text FROM documents)
+"""
+
+
+def stamped_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of two languages carry a declarant number, as an export's preamble would."""
+    key = F.col("doc_id").cast("string")
+    text = (
+        F.when(F.col("lang") == "es", F.concat(F.lit("Dian "), "text", F.lit(" NIT "), F.lpad(key, 9, "9"), F.lit("-K.")))
+        .when(F.col("lang") == "fr", F.concat("text", F.lit(" "), F.lpad(key, 8, "8"), F.lit("-77")))
+        .otherwise(F.col("text"))
+    )
+    return table(spark, sf, "documents").select("doc_id", "source", text.alias("text"))
+
+
+@register("metadata_extract", STAMPED_SQL + r"""
 SELECT doc_id, CASE WHEN contains(lower(text), 'dian') THEN 'DIAN' ELSE '' END AS fuente,
        regexp_extract(text, '\b(\d{8,10}(?:-\w)?)\b', 1) AS nit_declarante
-FROM documents
+FROM d
 """)
 def metadata_extract(spark, sf):
-    found = table(spark, sf, "documents").select(
+    found = stamped_documents(spark, sf).select(
         "doc_id", headers.document_metadata(F.col("text")).alias("m"))
     return found.select("doc_id", "m.fuente", "m.nit_declarante")
 

@@ -316,12 +316,14 @@ def token_outcome(spark, sf):
     return tokens.token_outcome(*_token_tables(spark, sf), chats)
 
 
-@register("token_expire_gc", _TOKEN_SQL + f"""
-SELECT token, resource_type, expires_at FROM x WHERE issued_at <= TIMESTAMP '{ASOF}' AND expires_at >= TIMESTAMP '{ASOF}'
+@register("token_expire_gc", _TOKEN_SQL + """
+SELECT token, resource_type, expires_at FROM x WHERE expires_at >= issued_at + INTERVAL 1 MINUTE * (chat_id % 40)
 """)
 def token_expire_gc(spark, sf):
+    # Every chat is cleaned up at its own time after the issue.
     _, issued = _token_tables(spark, sf)
-    return tokens.live_tokens(issued, _asof()).select("token", "resource_type", "expires_at")
+    asof = F.col("issued_at") + F.make_dt_interval(mins=(F.col("chat_id") % 40).cast("int"))
+    return tokens.live_tokens(issued, asof).select("token", "resource_type", "expires_at")
 
 
 @register("latest_snapshot", """

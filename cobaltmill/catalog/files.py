@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobaltmill.catalog.cleaning import STAMPED_SQL, stamped_documents
 from cobaltmill.catalog.registry import register
 from cobaltmill.operators import aggregates as A
 from cobaltmill.operators import charts, headers
@@ -169,13 +170,13 @@ def write_records(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("sidecar_write", r"""
+@register("sidecar_write", STAMPED_SQL + r"""
 SELECT source, doc_id, CASE WHEN contains(lower(text), 'dian') THEN 'DIAN' ELSE '' END AS fuente,
        regexp_extract(text, '\b(\d{8,10}(?:-\w)?)\b', 1) AS nit_declarante
-FROM documents
+FROM d
 """)
 def sidecar_write(spark, sf):
-    metadata = table(spark, sf, "documents").select(
+    metadata = stamped_documents(spark, sf).select(
         "source", "doc_id", headers.document_metadata(F.col("text")).alias("document_metadata"))
     back = sinks.write_sidecar(metadata, fresh_path(spark, "sidecar"), "source")
     return back.select(

@@ -31,19 +31,25 @@ def payment_fold_stream(spark, sf):
     return jobs.payment_fold_stream(events, fresh_path(spark, "payments"))
 
 
-@register("token_first_use_stream")
+@register("token_first_use_stream", E._TOKEN_SQL + "SELECT DISTINCT token FROM f")
 def token_first_use_stream(spark, sf):
     from cobaltmill.session import table
 
     uses = E.uses(table_stream(spark, sf, "events"))
     uses = uses.withColumn("used_at", F.col("used_at").cast("timestamp"))
     issued = E.issues(table(spark, sf, "events"))
-    return jobs.first_use_stream(uses, issued, fresh_path(spark, "first-use"))
+    firsts = jobs.first_use_stream(uses, issued, fresh_path(spark, "first-use"))
+    return firsts.select("token")  # which use of a micro-batch comes first is not fixed
 
 
-@register("token_expiry_stream")
+@register("token_expiry_stream", E._TOKEN_SQL.rstrip() + """,
+w AS (SELECT date_trunc('milliseconds', least((SELECT max(issued_at) FROM i), (SELECT max(used_at) FROM u))) - INTERVAL 1 MINUTE AS mark)
+SELECT token, use_id FROM r WHERE is_live
+UNION ALL SELECT token, NULL FROM x WHERE token NOT IN (SELECT token FROM r WHERE is_live)
+  AND issued_at <= (SELECT mark FROM w) - INTERVAL 30 MINUTES
+""")
 def token_expiry_stream(spark, sf):
     events = table_stream(spark, sf, "events")
     issued = E.issues(events).withColumn("issued_at", F.col("issued_at").cast("timestamp"))
     used = E.uses(table_stream(spark, sf, "events")).withColumn("used_at", F.col("used_at").cast("timestamp"))
-    return jobs.token_expiry_stream(issued, used, fresh_path(spark, "expiry"))
+    return jobs.token_expiry_stream(issued, used, fresh_path(spark, "expiry")).select("token", "use_id")

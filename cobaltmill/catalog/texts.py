@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cobaltmill.catalog.cleaning import sql_any
+from cobaltmill.catalog.cleaning import sql_any, sql_list
 from cobaltmill.catalog.registry import register
 from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
@@ -204,41 +204,57 @@ def json_from_text(spark, sf):
         "event_id", F.try_variant_get(T.json_from_text(text), "$.k", "bigint").alias("k"))
 
 
-@register("intent_route", f"""
+_ASKS = ("¿Cuánto debo COMPRAR?", "Gráfica de barras", "resumen general", "Dashboard y pronóstico")
+_ASK_SQL = "WITH c AS (SELECT conv_id, turn, text || ' ' || " + sql_list(_ASKS) + "[1 + (conv_id + turn) % 4] AS text FROM conversations)"
+
+
+def _asks(spark, sf):
+    """Conversation turns that end in one of four kinds of request."""
+    asked = F.get(F.array(*[F.lit(a) for a in _ASKS]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", asked).alias("text"))
+
+
+@register("intent_route", _ASK_SQL + f"""
 SELECT conv_id, turn, CASE WHEN {sql_any('lower(text)', vocab.PREDICTION_WORDS)}
-       THEN 'prediction' ELSE 'analysis' END AS intent FROM conversations
+       THEN 'prediction' ELSE 'analysis' END AS intent FROM c
 """)
 def intent_route(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
+    return _asks(spark, sf).select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
-@register("chart_intent", f"""
-SELECT conv_id, turn, turn > 4 OR {sql_any('lower(text)', vocab.CHART_WORDS)} AS wants_chart FROM conversations
+@register("chart_intent", _ASK_SQL + f"""
+SELECT conv_id, turn, turn > 4 OR {sql_any('lower(text)', vocab.CHART_WORDS)} AS wants_chart FROM c
 """)
 def chart_intent(spark, sf):
     wanted = T.wants_chart(F.col("text"), F.col("turn") > 4)
-    return table(spark, sf, "conversations").select("conv_id", "turn", wanted.alias("wants_chart"))
+    return _asks(spark, sf).select("conv_id", "turn", wanted.alias("wants_chart"))
 
 
-@register("work_budget", f"""
+@register("work_budget", _ASK_SQL + f"""
 SELECT conv_id, turn, CAST(least(90 + CASE WHEN strlen(text) > 500 THEN 30 ELSE 0 END
        + CASE WHEN turn = 0 THEN 90 ELSE 0 END + CASE WHEN turn > 4 THEN 120 ELSE 0 END
        + CASE WHEN turn > 4 OR {sql_any('lower(text)', vocab.CHART_WORDS)} THEN 90 ELSE 0 END, 330) AS BIGINT) AS seconds
-FROM conversations
+FROM c
 """)
 def work_budget(spark, sf):
     has_data = F.col("turn") > 4
     chart = T.wants_chart(F.col("text"), has_data)
     seconds = T.work_budget(F.col("text"), F.col("turn") == 0, has_data, chart)
-    return table(spark, sf, "conversations").select("conv_id", "turn", seconds.cast("long").alias("seconds"))
+    return _asks(spark, sf).select("conv_id", "turn", seconds.cast("long").alias("seconds"))
+
+
+_FAILURES = ("HTTP 404 Not Found", "Deadline Exceeded", "429 quota", "API key INVALID", "sin clase", "no rate, 403")
 
 
 @register("error_class", f"""
+WITH d AS (SELECT doc_id, text || ' ' || {sql_list(_FAILURES)}[1 + doc_id % 6] AS text FROM documents)
 SELECT doc_id, CASE {" ".join(f"WHEN {sql_any('lower(text)', words)} THEN '{name}'"
-       for name, words in vocab.ERROR_CLASSES)} ELSE 'other' END AS error_class FROM documents
+       for name, words in vocab.ERROR_CLASSES)} ELSE 'other' END AS error_class FROM d
 """)
 def error_class(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.error_class(F.col("text")).alias("error_class"))
+    failure = F.get(F.array(*[F.lit(m) for m in _FAILURES]), (F.col("doc_id") % 6).cast("int"))
+    logged = F.concat_ws(" ", "text", failure)
+    return table(spark, sf, "documents").select("doc_id", T.error_class(logged).alias("error_class"))
 
 
 @register("report_style_block", """

@@ -18,10 +18,8 @@ def ttl_minutes(resource: Column) -> Column:
 
 def with_expiry(issues: DataFrame) -> DataFrame:
     """Adds ``expires_at`` to issues (token, issued_at, resource_type, ...)."""
-    minutes = ttl_minutes(F.col("resource_type"))
-    zero = F.lit(0)
-    expiry = F.col("issued_at") + F.make_dt_interval(zero, zero, minutes, F.lit(0).cast("decimal(18,6)"))
-    return issues.withColumn("expires_at", expiry)
+    life = F.make_dt_interval(mins=ttl_minutes(F.col("resource_type")))
+    return issues.withColumn("expires_at", F.col("issued_at") + life)
 
 
 def resolve_uses(uses: DataFrame, issues: DataFrame) -> DataFrame:
