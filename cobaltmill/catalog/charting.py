@@ -170,7 +170,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
 def auto_chart_aggregated(spark, sf):
     customers, nations = table(spark, sf, "customer"), table(spark, sf, "nation")
     by_nation = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    tables = {"resultado": customers, "ranking": A.group_by(by_nation, "n_name", name="customers")}
+    tables = {"resultado": table(spark, sf, "orders"), "ranking": A.group_by(by_nation, "n_name", name="customers")}
     return charts.auto_chart_aggregated(tables).drop("sort_key")
 
 

@@ -14,7 +14,7 @@ from cobaltmill.operators import fuzzy, headers
 from cobaltmill.operators.ordering import locf
 from cobaltmill.operators.profile import delimiter_density, id_profile
 from cobaltmill.plans.clean import clean_table
-from cobaltmill.session import materialise, table
+from cobaltmill.session import table
 
 
 def sql_list(words) -> str:
@@ -139,38 +139,18 @@ def header_score_legacy(spark, sf):
 
 
 @register("dedupe_headers", """
-WITH h AS (
-  SELECT l_suppkey AS file, row_number() OVER (PARTITION BY l_suppkey
-           ORDER BY l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_quantity, l_discount,
-                    l_tax, l_shipdate) - 1 AS idx,
-         CASE l_returnflag WHEN 'R' THEN ' ' ELSE l_returnflag || '  ' || l_linestatus END AS name
-  FROM lineitem),
-b AS (SELECT file, idx, CASE WHEN trim(name) = '' THEN 'col_' || (idx + 1)
-                             ELSE replace(name, '  ', ' ') END AS base FROM h),
+WITH b AS (SELECT user_id AS file, event_id AS idx,
+                  CASE event_type WHEN 'error' THEN 'col_' || (event_id + 1) WHEN 'view' THEN 'col_' || (event_id + 1)
+                       ELSE event_type || ' x' END AS base FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY idx) AS n FROM b)
 SELECT file, idx, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS "column" FROM r
 """)
 def dedupe_headers(spark, sf):
-    from cobaltmill.operators.ordering import occurrence_number
-
-    # Number each supplier's lines without sorting a supplier as a whole: a global order id first.
-    lines = table(spark, sf, "lineitem")
-    order = [
-        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount",
-        "l_tax", "l_shipdate",
-    ]
-    ordered = materialise(
-        lines.orderBy(*order).select(
-            "l_suppkey", "l_returnflag", "l_linestatus", F.monotonically_increasing_id().alias("row_id")
-        ), "headers",
-    )
-    name = F.when(F.col("l_returnflag") == "R", " ").otherwise(
-        F.concat("l_returnflag", F.lit("  "), "l_linestatus"))
-    cells = ordered.select(F.col("l_suppkey").alias("file"), "row_id", name.alias("name"))
-    indexed = occurrence_number(cells, "row_id", ["file"], "n").select(
-        "file", (F.col("n") - 1).cast("long").alias("idx"), "name"
-    )
-    return headers.dedupe_headers(indexed)
+    kind = F.col("event_type")
+    name = F.when(kind == "error", " ").when(kind == "view", "NaN").otherwise(F.concat(kind, F.lit("   x ")))
+    cells = table(spark, sf, "events").select(
+        F.col("user_id").alias("file"), F.col("event_id").alias("idx"), name.alias("name"))
+    return headers.dedupe_headers(cells)
 
 
 @register("header_metadata", _RAW_SQL + """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,11 +72,22 @@ def id_normalize(c: Column) -> Column:
     return F.when(run != "", run).otherwise(text)
 
 
+def _layout_pattern(layout: str) -> str:
+    """Regex of the texts a layout can parse."""
+    literal = layout.replace("'", "").replace(".", r"\.")
+    return "^" + re.sub("yyyy|[dMHms]", lambda m: r"\d{4}" if m[0] == "yyyy" else r"\d{1,2}", literal) + "$"
+
+
 def parse_date(c: Column) -> Column:
-    """Day-first date text to a zone-less timestamp; bad text to null."""
+    """Day-first date text to a zone-less timestamp; bad text to null.
+
+    The shape of the text picks the layout, so at most one parse is tried per value.
+    """
     text = F.trim(c)
-    tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_LAYOUTS]
-    return F.coalesce(*tries)
+    out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for layout in DATE_LAYOUTS:
+        out = out.when(text.rlike(_layout_pattern(layout)), F.try_to_timestamp(text, F.lit(layout)))
+    return out.cast("timestamp_ntz")
 
 
 def value_coerce(c: Column) -> Column:

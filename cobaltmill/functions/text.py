@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from cobaltmill.functions import vocab
 
 # Unicode white space, spelled out so that every engine reads the class the same way.
-SPACE = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+_ODD_SPACE = (
+    r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE = r"\x{20}" + _ODD_SPACE
 HEADER_TOKEN_SPLIT = r"[\s|,;_\-./\\()\[\]]+"
 
 
@@ -38,8 +39,11 @@ def lstrip(c: Column) -> Column:
 
 
 def norm_text(c: Column) -> Column:
-    """Trim, and collapse each run of white space to one space."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    """Trim, and collapse each run of white space to one space.
+
+    Single plain spaces are already right, so the pattern leaves them alone.
+    """
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]{{2,}}|[{_ODD_SPACE}]", " "))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -17,7 +17,7 @@ from cobaltmill.operators.profile import name_hint, shape_profile
 
 def normalise_cells(df: DataFrame, cols: list[str]) -> DataFrame:
     """Normalise white space, turn blanks into nulls and drop rows without any value."""
-    clean = df.withColumns({c: T.blank_to_null(T.norm_text(F.col(f"`{c}`"))) for c in cols})
+    clean = df.withColumns({c: F.nullif(T.norm_text(F.col(f"`{c}`")), F.lit("")) for c in cols})
     return clean.filter(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in cols]))
 
 

@@ -48,9 +48,9 @@ def route_catalog(name: str) -> str | None:
 def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levenshtein") -> CleanTable:
     """Clean one raw file given as (file, row_id, cells).
 
-    Only the leading 24 rows and one profile row per pass reach the driver. ``raw`` is read by two
-    profile passes and by the pass that writes the typed table, from which gaps are filled; so
-    hand in a stored table (see ``session.materialise``) for costly sources.
+    Only the leading 24 rows and one profile row per pass reach the driver. The body is read from
+    ``raw`` once: normalised cells are stored, both profile passes and the typing read the stored
+    columns, and gaps are filled from the stored typed table.
     """
     found = headers.header_rows(raw)
     header_row = found.first()["header_row"]
@@ -60,7 +60,7 @@ def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levensht
     body = raw.filter(F.col("row_id") > header_row).select(
         "row_id", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
-    body = C.shape(C.normalise_cells(body, names), names)
+    body = C.shape(materialise(C.normalise_cells(body, names), "cells"), names)
     cols = [c for c in body.columns if c != "row_id"]
 
     typed, additive, forward = _typed(body, cols, matching)
@@ -94,13 +94,17 @@ def _typed(body: DataFrame, cols: list[str], matching: str):
     def hinted(name: str, hints: tuple[str, ...]) -> bool:
         return name_hint(name, hints, matching)
 
+    nothing = F.lit(0.0)
     rates = []
-    for c in cols:
+    for c in cols:  # only the rates that can matter for the column's name
         value = F.col(f"`{c}`")
+        dated, critical = hinted(c, vocab.DATE_HINTS), hinted(c, vocab.CRITICAL_HINTS)
         rates += [
-            F.avg(F.when(value.isNotNull(), N.id_like(value).cast("double"))),
-            C.parse_rate(C.typed_value(value, c, False, matching)),
-            F.avg(F.when(N.parse_date(value).isNotNull(), 1.0).otherwise(0.0)),
+            F.avg(F.when(value.isNotNull(), N.id_like(value).cast("double")))
+            if not hinted(c, vocab.ID_HINTS) else F.max(nothing),
+            C.parse_rate(C.typed_value(value, c, False, matching)) if critical else F.max(nothing),
+            F.avg(F.when(N.parse_date(value).isNotNull(), 1.0).otherwise(0.0))
+            if dated else F.max(nothing),
         ]
     found = body.agg(*[r.alias(f"r{i}") for i, r in enumerate(rates)]).first()
 
