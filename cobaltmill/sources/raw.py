@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cobaltmill.functions import vocab
 
 SEPARATORS = (",", ";", "|", "\t")
-FALLBACK_ENCODING = "windows-1252"
+FALLBACK_ENCODING = "iso-8859-1"
 
 
 def line_scan(spark: SparkSession, path: str) -> DataFrame:
