@@ -92,7 +92,7 @@ SELECT file, coalesce(arg_min(sep, (spread, pos)) FILTER (WHERE usable), ',') AS
 def delimiter_sniff(spark, sf):
     lines = table(spark, sf, "documents").select(
         F.col("doc_id").alias("file"), F.explode(F.split("text", "\n")).alias("line"))
-    return raw.choose_separator(lines)
+    return raw.file_facts(lines).select("file", "sep")
 
 
 @register("raw_scan", """

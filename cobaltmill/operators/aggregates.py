@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cobaltmill.functions import numbers as N
@@ -71,12 +72,8 @@ def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFr
 def oldest_first(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The newest ``n`` rows per key, numbered oldest first."""
     newest = latest_n(df, keys, order, n)
-    kept = newest.groupBy(*keys).agg(F.max("rank").alias("__kept"))
-    return (
-        newest.join(kept, keys)
-        .withColumn("position", F.col("__kept") - F.col("rank") + 1)
-        .drop("rank", "__kept")
-    )
+    kept = F.max("rank").over(W.partitionBy(*keys))  # over at most n rows of a key
+    return newest.withColumn("position", kept - F.col("rank") + 1).drop("rank")
 
 
 def chart_policy(artifacts: DataFrame, keys: list[str], path: str, position: Column,

@@ -9,6 +9,7 @@ from cobaltmill.functions import numbers as N
 from cobaltmill.functions import vocab
 from cobaltmill.operators.aggregates import group_by
 from cobaltmill.operators.profile import column_roles, is_numeric
+from cobaltmill.session import materialise
 
 # A chart option is one JSON document for a browser; beyond this use the relation itself.
 OPTION_POINTS = 10_000
@@ -30,8 +31,10 @@ def _month_number(label: Column, months: tuple[str, ...]) -> Column:
 def month_sort(chart: DataFrame) -> DataFrame:
     """Adds ``sort_key``: calendar position when every non-blank label is a month, else null.
 
-    Blank labels sort last (99). Points with a null key keep the order of their labels.
+    Blank labels sort last (99). Points with a null key keep the order of their labels. The points
+    are stored first, so that the check of all labels does not aggregate the source again.
     """
+    chart = materialise(chart, "chart")
     es, en = (_month_number(F.col("label"), m) for m in (vocab.MONTHS_ES, vocab.MONTHS_EN))
     blank = F.trim("label") == ""
     verdict = chart.agg(
@@ -77,6 +80,7 @@ def axis_labels(df: DataFrame, column: str) -> list[str]:
 
 def heatmap(matrix: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Matrix cells as column index, row index, value, with the colour range (at least -1 to 1)."""
+    matrix = materialise(matrix.select(row, col, value), "matrix")
     rows, cols = axis_labels(matrix, row), axis_labels(matrix, col)
 
     def index(c: str, labels: list[str]) -> Column:
@@ -114,8 +118,11 @@ def corr_matrix(df: DataFrame, max_columns: int = 12) -> DataFrame:
 def stacked(df: DataFrame, category: str, segment: str, value: str,
             segments: list[str] | None = None) -> DataFrame:
     """One value per category and segment; combinations without rows are 0."""
-    segments = segments or axis_labels(df, segment)
-    wide = df.groupBy(category).pivot(segment, segments).agg(F.sum(value))
+    sums = df.groupBy(category, segment).agg(F.sum(value).alias("__sum"))
+    if segments is None:
+        sums = materialise(sums, "segments")
+        segments = axis_labels(sums, segment)
+    wide = sums.groupBy(category).pivot(segment, segments).agg(F.sum("__sum"))
     cells = F.explode(F.array(*[
         F.struct(
             F.lit(s).alias("segment"), N.value_coerce(F.col(f"`{s}`")).alias("value")

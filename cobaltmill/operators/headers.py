@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
-from cobaltmill.operators.ordering import occurrence_number
+from cobaltmill.operators.ordering import first_n, occurrence_number
 
 
 def _blankish(c: Column) -> Column:
@@ -43,6 +43,19 @@ def substring_score(cells: Column) -> Column:
     return F.aggregate(cells, F.lit(0), lambda total, cell: total + hits(cell))
 
 
+def leading_rows(raw: DataFrame, depth: int) -> DataFrame:
+    """The first ``depth`` rows of each file with their ``line_no`` from 0.
+
+    A scan marks the first split of a file (``split_start`` 0); without that column ``row_id``
+    itself counts from 0.
+    """
+    if "split_start" not in raw.columns:
+        return raw.filter(F.col("row_id") < depth).withColumn("line_no", F.col("row_id"))
+    first = raw.filter(F.col("split_start") == 0)
+    top = first_n(first, ["file"], [F.col("row_id")], depth)
+    return top.withColumn("line_no", (F.col("rank") - 1).cast("long")).drop("rank")
+
+
 def header_rows(raw: DataFrame, mode: str = "token") -> DataFrame:
     """One row per file: the header row and its score.
 
@@ -51,14 +64,14 @@ def header_rows(raw: DataFrame, mode: str = "token") -> DataFrame:
     """
     score = token_score if mode == "token" else substring_score
     depth = vocab.HEADER_SCAN_ROWS if mode == "token" else vocab.TRANSACTION_SCAN_ROWS
-    scored = raw.filter(F.col("row_id") < depth).select(
-        "file", "row_id", score(F.col("cells")).alias("score")
+    scored = leading_rows(raw, depth).select(
+        "file", "line_no", score(F.col("cells")).alias("score")
     )
-    best = F.max_by("row_id", F.struct("score", (-F.col("row_id")).alias("earlier")))
+    best = F.max_by("line_no", F.struct("score", (-F.col("line_no")).alias("earlier")))
     per_file = scored.groupBy("file").agg(
         best.alias("best_row"),
         F.max("score").alias("best_score"),
-        F.max(F.when(F.col("row_id") == 0, F.col("score"))).alias("first_score"),
+        F.max(F.when(F.col("line_no") == 0, F.col("score"))).alias("first_score"),
     )
     taken = (F.col("best_row") > 0) & (F.col("best_score") >= 2) & (
         F.col("best_score") > F.col("first_score")
@@ -87,9 +100,9 @@ def preamble_text(raw: DataFrame, headers: DataFrame) -> DataFrame:
     cleaned = F.transform("cells", lambda cell: T.norm_text(F.coalesce(cell, F.lit(""))))
     line = F.array_join(F.filter(cleaned, lambda cell: cell != ""), " | ")
     above = (
-        raw.filter(F.col("row_id") < vocab.HEADER_SCAN_ROWS)
+        leading_rows(raw, vocab.HEADER_SCAN_ROWS)
         .join(headers.select("file", "header_row"), "file")
-        .filter(F.col("row_id") < F.col("header_row"))
+        .filter(F.col("line_no") < F.col("header_row"))
         .select("file", "row_id", line.alias("line"))
         .filter(F.col("line") != "")
     )

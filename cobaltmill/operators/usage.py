@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.functions import clock, vocab
 from cobaltmill.operators.ordering import first_n
+from cobaltmill.session import materialise
 
 
 def premium_since(payments: DataFrame, revokes: DataFrame | None = None) -> DataFrame:
@@ -132,7 +133,8 @@ def get_or_create(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     by_email = users.filter(F.col("email").isNotNull()).select(
         "email", F.col("user_id").alias("email_user"), F.col("chat_id").alias("email_chat")
     )
-    found = calls.join(by_chat, "chat_id", "left").join(by_email, "email", "left")
+    # Stored, because the rules below look at the matches from three sides.
+    found = materialise(calls.join(by_chat, "chat_id", "left").join(by_email, "email", "left"), "matches")
 
     # An e-mail nobody owns goes to the earliest request that can take it; a request that knows
     # its user and that user's e-mail already cannot.

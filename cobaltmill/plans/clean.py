@@ -52,12 +52,18 @@ def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levensht
     ``raw`` once: normalised cells are stored, both profile passes and the typing read the stored
     columns, and gaps are filled from the stored typed table.
     """
-    found = headers.header_rows(raw)
+    lead = materialise(
+        headers.leading_rows(raw, vocab.HEADER_SCAN_ROWS).select(
+            "file", F.col("line_no").alias("row_id"), F.col("row_id").alias("source_id"), "cells"
+        ), "leading-rows",
+    )
+    found = headers.header_rows(lead)
     header_row = found.first()["header_row"]
-    names = _column_names(raw, header_row)
-    preamble = headers.preamble_text(raw, found).first()
+    names = _column_names(lead, header_row)
+    preamble = headers.preamble_text(lead, found).first()
+    header_id = lead.filter(F.col("row_id") == header_row).first()["source_id"]
 
-    body = raw.filter(F.col("row_id") > header_row).select(
+    body = raw.filter(F.col("row_id") > header_id).select(
         "row_id", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
     body = C.shape(materialise(C.normalise_cells(body, names), "cells"), names)

@@ -5,74 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobaltmill.functions import vocab
+from cobaltmill.session import materialise
 
 SEPARATORS = (",", ";", "|", "\t")
 FALLBACK_ENCODING = "iso-8859-1"
+BROADCAST_FILES = 100_000  # one short row each
 
 
 def line_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as (file, row_id, line).
+    """Lines as (file, split_start, row_id, line) in one pass without a shuffle.
 
-    ``row_id`` is the byte offset of the split plus the line's position in it. A line takes at
-    least one byte, so ids are unique and ascending within a file and dense from 0 at its start.
-    Undecodable bytes are kept as they are; see :func:`decode_lines`.
+    ``row_id`` is the byte offset of the split plus the line's position in its partition. A line
+    takes at least one byte, so ids are unique and ascending within a file, and consecutive within
+    a split. Undecodable bytes are kept as they are.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__seq"),
-        F.col("value").alias("line"),
+    start = F.col("_metadata.file_block_start")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), start.alias("split_start"),
+        (start + position).alias("row_id"), F.col("value").alias("line"),
     )
-    first = lines.groupBy("file", "__start").agg(F.min("__seq").alias("__first"))
-    row_id = F.col("__start") + F.col("__seq") - F.col("__first")
-    return lines.join(first, ["file", "__start"]).select("file", row_id.alias("row_id"), "line")
-
-
-def file_encodings(lines: DataFrame) -> DataFrame:
-    """utf-8 when every line of the file is valid, else the single-byte fallback."""
-    valid = F.bool_and(F.is_valid_utf8("line"))
-    chosen = F.when(valid, "utf-8").otherwise(FALLBACK_ENCODING)
-    return lines.groupBy("file").agg(chosen.alias("encoding"))
-
-
-def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
-    """Lines with their file's encoding applied."""
-    decoded = F.decode(F.col("line").cast("binary"), FALLBACK_ENCODING)
-    text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(decoded)
-    return lines.join(encodings, "file").select("file", "row_id", text.alias("line"), "encoding")
 
 
 def _mark_count(line: Column, mark: str) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
 
 
-def separator_stats(lines: DataFrame) -> DataFrame:
-    """Per file and separator: lines, total marks and the (scaled) variance of marks per line."""
-    aggs = [F.count(F.lit(1)).alias("n_lines")]
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Per file: encoding, separator and the largest number of separators on a line.
+
+    utf-8 when every line is valid, else the single-byte fallback. The separator is the one with
+    the steadiest count per line among those that occur at least once a line on average; a comma
+    when none does. One aggregate that combines map-side.
+    """
+    aggs = [F.count_if(F.length("line") > 0).alias("n"), F.bool_and(F.is_valid_utf8("line")).alias("valid")]
     for i, mark in enumerate(SEPARATORS):
         count = _mark_count(F.col("line"), mark).cast("long")
-        aggs += [F.sum(count).alias(f"s{i}"), F.sum(count * count).alias(f"q{i}")]
-    sums = lines.filter(F.length("line") > 0).groupBy("file").agg(*aggs)
-    rows = F.explode(F.array(*[
+        aggs += [
+            F.sum(count).alias(f"s{i}"), F.sum(count * count).alias(f"q{i}"), F.max(count).alias(f"m{i}"),
+        ]
+    choices = F.array(*[
         F.struct(
-            F.lit(i).alias("pos"),
-            F.lit(mark).alias("sep"),
-            F.col(f"s{i}").alias("marks"),
-            (F.col("n_lines") * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")).alias("spread"),
+            (F.col("n") * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")).alias("spread"),
+            F.lit(i).alias("pos"), F.lit(mark).alias("sep"), F.col(f"m{i}").alias("marks"),
+            (F.col(f"s{i}") >= F.col("n")).alias("usable"),
         )
         for i, mark in enumerate(SEPARATORS)
-    ]))
-    return sums.select("file", "n_lines", rows.alias("r")).select("file", "n_lines", "r.*")
+    ])
+    best = F.array_min(F.filter(choices, lambda c: c["usable"]))
+    encoding = F.when(F.col("valid"), "utf-8").otherwise(FALLBACK_ENCODING)
+    sums = lines.groupBy("file").agg(*aggs)
+    return sums.select("file", encoding.alias("encoding"), F.coalesce(best, choices[0]).alias("b")).select(
+        "file", "encoding", "b.sep", "b.marks"
+    )
 
 
-def choose_separator(lines: DataFrame) -> DataFrame:
-    """Per file the steadiest separator that occurs at least once a line on average; else comma."""
-    usable = F.col("marks") >= F.col("n_lines")
-    order = F.struct("spread", "pos")
-    return separator_stats(lines).groupBy("file").agg(
-        F.coalesce(F.min_by("sep", F.when(usable, order)), F.lit(",")).alias("sep")
-    )
+def with_facts(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join lines with their file's facts without shuffling them, while the file list is short.
+
+    Past the checked size the planner chooses, and splits large files in a sort-merge join.
+    """
+    small = facts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return lines.join(F.broadcast(facts) if small else facts, "file")
 
 
 def split_cells(line: Column, sep: Column, width: int) -> Column:
@@ -90,24 +84,24 @@ def split_cells(line: Column, sep: Column, width: int) -> Column:
 
 
 def raw_scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Headerless all-string read as (file, row_id, cells, encoding).
+    """Headerless all-string read as (file, split_start, row_id, cells, encoding).
 
-    One pass picks each file's encoding and separator; the width of the cell array is the largest
-    number of separators on any line plus one. A record must not span lines, so files stay
+    A first pass finds each file's encoding and separator, the second one splits the lines. The
+    cell array is as wide as the widest line. A record must not span lines, so files stay
     splittable.
     """
     lines = line_scan(spark, path)
-    decoded = decode_lines(lines, file_encodings(lines))
-    if sep is None:
-        head = decoded.filter(F.col("row_id") < vocab.HEADER_SCAN_ROWS)
-        marked = decoded.join(choose_separator(head), "file", "left")
-    else:
-        marked = decoded.withColumn("sep", F.lit(sep))
-    marked = marked.withColumn("sep", F.coalesce("sep", F.lit(SEPARATORS[0])))
-    marks = F.length("line") - F.length(F.replace("line", "sep", F.lit("")))
-    width = marked.agg(F.max(marks)).first()[0]
-    cells = split_cells(F.col("line"), F.col("sep"), int(width or 0) + 1)
-    return marked.select("file", "row_id", cells.alias("cells"), "encoding")
+    facts = file_facts(lines)
+    if sep is not None:
+        marks = lines.groupBy("file").agg(F.max(_mark_count(F.col("line"), sep)).alias("marks"))
+        facts = facts.drop("sep", "marks").join(marks, "file").withColumn("sep", F.lit(sep))
+    facts = materialise(facts.select("file", "encoding", "sep", F.col("marks").cast("long").alias("marks")), "file-facts")
+    width = facts.agg(F.max("marks")).first()[0]
+    marked = with_facts(lines, facts)
+    decoded = F.decode(F.col("line").cast("binary"), FALLBACK_ENCODING)
+    text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(decoded)
+    cells = split_cells(text, F.col("sep"), int(width or 0) + 1)
+    return marked.select("file", "split_start", "row_id", cells.alias("cells"), "encoding")
 
 
 def bounded_read(df: DataFrame, n: int = 50_000, order: list[Column] | None = None) -> DataFrame:
