@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from cobaltmill.functions import vocab
 
 # Unicode white space, spelled out so that every engine reads the class the same way.
-_ODD_SPACE = (
-    r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-SPACE = r"\x{20}" + _ODD_SPACE
+_NARROW_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+_WIDE_SPACE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\x{20}\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}" + _WIDE_SPACE
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 HEADER_TOKEN_SPLIT = r"[\s|,;_\-./\\()\[\]]+"
 
 
@@ -27,23 +26,24 @@ def let(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+$", "")
-
-
-def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+", "")
+    return F.rtrim(c, F.lit(_SPACES))
 
 
 def norm_text(c: Column) -> Column:
     """Trim, and collapse each run of white space to one space.
 
-    Single plain spaces are already right, so the pattern leaves them alone.
+    Single plain spaces are already right, so the patterns leave them alone. Texts without
+    characters from the wide blocks take a class that the regex engine tests with one bit set.
     """
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]{{2,}}|[{_ODD_SPACE}]", " "))
+    def collapsed(odd: str) -> Column:
+        return F.regexp_replace(c, f"[ {odd}]{{2,}}|[{odd}]", " ")
+
+    wide = c.rlike(r"[^\x{0}-\x{167f}]")
+    return F.trim(F.when(wide, collapsed(_NARROW_SPACE + _WIDE_SPACE)).otherwise(collapsed(_NARROW_SPACE)))
 
 
 def blank_to_null(c: Column) -> Column:

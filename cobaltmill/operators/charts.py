@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,22 +101,53 @@ def heatmap(matrix: DataFrame, row: str, col: str, value: str) -> DataFrame:
     )
 
 
+def _pair_sums(cols: list[str], origin: np.ndarray):
+    """Per partition the sums of every column pair over the rows where both are known."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(cols), len(cols)))
+        for batch in batches:
+            x = np.column_stack([
+                batch[c].to_numpy(zero_copy_only=False).astype(float) for c in cols
+            ]) - origin
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        names = ("n", "s", "q", "p")
+        yield pa.RecordBatch.from_pydict({k: [total[i].ravel()] for i, k in enumerate(names)})
+
+    return run
+
+
 def corr_matrix(df: DataFrame, max_columns: int = 12) -> DataFrame:
-    """Pairwise-complete Pearson correlations of the first numeric columns, in one aggregate."""
+    """Pairwise-complete Pearson correlations of the first numeric columns.
+
+    Each partition reduces its rows to four small matrices in numpy; Spark adds those up. Values
+    are taken relative to a sample mean, which keeps the sums accurate for large offsets.
+    """
     cols = [f.name for f in df.schema.fields if is_numeric(f)][:max_columns]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    values = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    wide = df.agg(*[
-        F.corr(values[cols[i]], values[cols[j]]).alias(f"r_{i}_{j}") for i, j in pairs
-    ])
-    cells = F.explode(F.array(*[
-        F.struct(
-            F.lit(cols[j]).alias("row"), F.lit(cols[i]).alias("col"),
-            F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r"),
-        )
-        for i in range(len(cols)) for j in range(len(cols))
-    ]))
-    return wide.select(cells.alias("c")).select("c.*")
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    sample = values.limit(1000).agg(*[F.avg(f"`{c}`") for c in cols]).first()
+    origin = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in sample])
+    cells = ", ".join(f"{k} array<double>" for k in "nsqp")
+    parts = values.mapInArrow(_pair_sums(cols, origin), cells)
+    zipped = F.posexplode(F.arrays_zip(*list("nsqp")))
+    sums = parts.select(zipped.alias("pos", "c")).groupBy("pos").agg(
+        *[F.sum(f"c.{k}").alias(k) for k in "nsqp"]
+    )
+    k = len(cols)
+    names = F.array(*[F.lit(c) for c in cols])
+    i, j = F.floor(F.col("pos") / k).cast("int"), (F.col("pos") % k).cast("int")
+    # The mirrored cell holds the sums of the other column over the same rows.
+    mirror = sums.select(
+        ((F.col("pos") % k) * k + F.floor(F.col("pos") / k)).cast("int").alias("pos"),
+        F.col("s").alias("t"), F.col("q").alias("u"),
+    )
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("q") - F.col("s") ** 2) * (n * F.col("u") - F.col("t") ** 2))
+    r = (n * F.col("p") - F.col("s") * F.col("t")) / F.nullif(spread, F.lit(0.0))
+    return sums.join(mirror, "pos").select(
+        F.get(names, i).alias("row"), F.get(names, j).alias("col"), r.alias("r")
+    )
 
 
 def stacked(df: DataFrame, category: str, segment: str, value: str,
