@@ -334,7 +334,16 @@ def latest_snapshot(spark, sf):
     return usage.latest_snapshot(table(spark, sf, "events").filter(F.col("event_type") == "view"), "props")
 
 
-@register("burst_flag")
+@register("burst_flag", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS sec,
+                            row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT event_id, user_id, ts, sec, n, 1.0::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1
+      UNION ALL
+      SELECT event_id, user_id, ts, sec, n, level - CASE WHEN level >= 1 THEN 1 ELSE 0 END, level >= 1 FROM (
+        SELECT e.*, least(2.0::DOUBLE, s.tokens + (e.sec - s.sec) * (1.0::DOUBLE / 3600)) AS level
+        FROM s JOIN e ON e.user_id = s.user_id AND CAST(e.ts AS DATE) = CAST(s.ts AS DATE) AND e.n = s.n + 1))
+SELECT event_id AS request_id, user_id AS client, ts, allowed FROM s
+""")
 def burst_flag(spark, sf):
     requests = table(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts")
@@ -392,13 +401,13 @@ def upload_audit(spark, sf):
     return usage.upload_audit(uploads)
 
 
-@register("sql_functions", """
+@register("udf_surface", """
 SELECT o_orderkey, o_orderpriority AS priority, o_totalprice AS price,
        CASE WHEN w >= 1000000 AND w % 100 = 0 THEN w // 100 ELSE w END AS pesos,
        CAST(o_orderdate - INTERVAL 5 HOURS AS DATE) AS day
 FROM (SELECT *, CAST(floor(o_totalprice) * 10 AS BIGINT) AS w FROM orders)
 """)
-def sql_functions(spark, sf):
+def udf_surface(spark, sf):
     from cobaltmill.plans.surface import register_sql_functions
 
     register_sql_functions(spark)

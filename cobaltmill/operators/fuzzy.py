@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
+from cobaltmill.session import materialise
 
 
 def catalog_key(c: Column) -> Column:
@@ -67,9 +68,8 @@ def harmonize(df: DataFrame, column: str, catalog: str, scorer: str = "levenshte
               threshold: int = vocab.FUZZY_SCORE) -> DataFrame:
     """Replace values that score at least ``threshold`` by their catalog term.
 
-    Each distinct value is scored once. Only matched values join back, without a broadcast hint:
-    the adaptive planner broadcasts them when their measured size allows, and else splits hot
-    values in a sort-merge join.
+    Each distinct value is scored once. Only matched values are stored and join back, without a
+    broadcast hint: their known size decides, and hot values are split in a sort-merge join.
     """
     match = SCORERS[scorer](F.col(column), vocab.CATALOGS[catalog])
     good = F.filter(F.array(match), lambda m: m["score"] >= threshold)
@@ -77,5 +77,6 @@ def harmonize(df: DataFrame, column: str, catalog: str, scorer: str = "levenshte
     # A generator keeps the scoring above the distinct; a plain filter would be pushed below it
     # and score every row.
     matched = values.select(column, F.explode_outer(good).alias("m")).filter(F.col("m").isNotNull())
-    joined = df.join(matched.select(column, "m.term"), column, "left")
+    matched = materialise(matched.select(column, "m.term"), "matched-terms")
+    joined = df.join(matched, column, "left")
     return joined.withColumn(column, F.coalesce("term", column)).select(*df.columns)

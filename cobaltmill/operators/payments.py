@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.functions import vocab
 from cobaltmill.functions import webhooks as H
+from cobaltmill.session import materialise
 
 
 def _parsed(log: DataFrame, body: Column) -> DataFrame:
@@ -58,7 +59,7 @@ def payment_fold(events: DataFrame, strict_reference: bool = False) -> DataFrame
         failed = events.groupBy("reference").agg(
             F.max(F.when(~F.col("is_success"), F.struct("ts", "event_id"))).alias("__failed")
         )
-        events = events.join(failed, "reference")
+        events = events.join(materialise(failed, "last-failures"), "reference")
         open_ = F.col("__failed").isNull() | (F.struct("ts", "event_id") > F.col("__failed"))
         pays = F.col("is_success") & open_
     else:
@@ -106,5 +107,5 @@ def payment_outcome(events: DataFrame, price: int = vocab.PREMIUM_PRICE) -> Data
         .when(position == F.col("__first"), "activated")
         .otherwise("duplicate")
     )
-    joined = routed.join(firsts, "payment_reference", "left")
+    joined = routed.join(materialise(firsts, "first-payments"), "payment_reference", "left")
     return joined.withColumn("outcome", outcome).drop("__first", "gate")

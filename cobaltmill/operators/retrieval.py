@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 from cobaltmill.operators.ordering import first_n
+from cobaltmill.session import materialise
 
 # Queries travel to the tasks inside the function; larger sets are searched block by block.
 QUERY_BLOCK = 1024
@@ -112,7 +113,8 @@ def tenant_topk(index: DataFrame, requests: DataFrame, tenant: str, k: int = voc
     per tenant before the shuffle.
     """
     same_size = F.size("embedding") == F.size("vector")
-    scored = index.join(requests.select(tenant, "vector"), tenant).filter(same_size).select(
+    wanted = materialise(requests.select(tenant, "vector"), "requests")
+    scored = index.join(wanted, tenant).filter(same_size).select(
         tenant, "vec_id", cosine(F.col("embedding"), F.col("vector")).alias("score")
     )
     return first_n(scored, [tenant], [F.col("score").desc(), F.col("vec_id")], k)

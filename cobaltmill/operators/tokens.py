@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobaltmill.functions import vocab
+from cobaltmill.session import materialise
 
 
 def ttl_minutes(resource: Column) -> Column:
@@ -39,7 +40,7 @@ def first_uses(uses: DataFrame, issues: DataFrame) -> DataFrame:
     is_first = F.struct("used_at", "use_id") == F.col("__first")
     one_shot = F.lower("resource_type") == "dashboard"
     return (
-        live.join(firsts, "token")
+        live.join(materialise(firsts, "first-uses"), "token")
         .withColumn("is_first", is_first)
         .withColumn("accepted", F.col("is_first") | ~one_shot)
         .drop("__first")
@@ -58,6 +59,8 @@ def token_outcome(uses: DataFrame, issues: DataFrame, chats: DataFrame) -> DataF
     firsts = visits.filter(servable).groupBy("token").agg(
         F.min(F.struct("used_at", "use_id")).alias("__first")
     )
+    firsts = materialise(firsts, "first-visits")
+    chats = materialise(chats, "chats")
     joined = visits.join(firsts, "token", "left").join(chats, "chat_id", "left")
     first = F.struct("used_at", "use_id") == F.col("__first")
     status = (

@@ -16,11 +16,13 @@ from cobaltmill.session import materialise
 
 
 def premium_since(payments: DataFrame, revokes: DataFrame | None = None) -> DataFrame:
-    """First payment of each user; with revokes, the first one after the last revoke."""
+    """First payment of each user; with revokes, the first one after the last revoke. Stored."""
     if revokes is None:
-        return payments.groupBy("user_id").agg(F.min("ts").alias("premium_since"))
+        first = payments.groupBy("user_id").agg(F.min("ts").alias("premium_since"))
+        return materialise(first, "premium-since")
     last = revokes.groupBy("user_id").agg(F.max("ts").alias("__revoked"))
     valid = F.col("__revoked").isNull() | (F.col("ts") > F.col("__revoked"))
+    last = materialise(last, "revokes")
     return premium_since(payments.join(last, "user_id", "left").filter(valid))
 
 
@@ -52,6 +54,7 @@ def daily_quota(messages: DataFrame, since: DataFrame, limit: int = vocab.DAILY_
             F.col("rank") <= F.lit(limit) - spent
         )
     cutoff = ranked.groupBy("user_id", "local_day").agg(F.max(position).alias("last_admitted"))
+    cutoff = materialise(cutoff, "cutoffs")
     outcome = (
         F.when(F.col("is_premium"), "premium")
         .when(position <= F.col("last_admitted"), "admitted")
@@ -154,7 +157,7 @@ def get_or_create(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     )
 
     taker_key = F.coalesce(F.col("taker_user").cast("string"), "taker_call")
-    joined = found.join(takers, "email", "left")
+    joined = found.join(materialise(takers, "takers"), "email", "left")
     first = F.col("taker") == F.col("request_id")
     follows = F.col("taker").isNotNull() & ~first
     resolution = (
@@ -173,6 +176,7 @@ def get_or_create(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
         (first & F.col("chat_user").isNotNull()).alias("attaches"), "chat_user",
     )
 
+    resolved = materialise(resolved, "resolved")
     attached = resolved.filter("attaches").select(
         F.col("chat_user").alias("user_id"), F.col("email").alias("__attached")
     )

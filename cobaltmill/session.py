@@ -55,7 +55,10 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
-    Used where recomputation must not renumber rows and where lineage should end.
+    Used where recomputation must not renumber rows, where lineage should end, and for the small
+    side of a join with hot keys: a stored side has a known size, so it is broadcast when small,
+    and when it is not, the adaptive planner can split hot keys (it cannot when an aggregate sits
+    between the shuffle and the join).
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)

@@ -40,6 +40,7 @@ def daily_quota_stream(messages: DataFrame, since: DataFrame, folder: str,
         return spark.read.schema(used_schema).parquet(f"{folder}/used/{batch_id}")
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read twice below
         before = snapshot(batch_id - 1)
         horizon = F.date_sub(before.agg(F.max("local_day")).scalar(), LATE_DAYS)
         result = usage.daily_quota(batch, since, limit, zone, before)
@@ -59,6 +60,7 @@ def daily_quota_stream(messages: DataFrame, since: DataFrame, folder: str,
         )
         total.filter(F.col("local_day") >= F.date_sub(newest, LATE_DAYS)).write.mode(
             "overwrite").parquet(f"{folder}/used/{batch_id}")
+        batch.unpersist()
 
     _run(messages.writeStream.foreachBatch(step), folder)
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/outcomes")
