@@ -208,11 +208,13 @@ _PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
 
 @register("report_bundle", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", least(greatest(max(length(CAST({c} AS VARCHAR))), {len(c)}) + 2, 60) AS width FROM part"
+    f"SELECT '{c}' AS \"column\", least(greatest(max(length(CAST({c} AS VARCHAR))), {len(c)}) + 2, 60) AS width, count({c}) AS filled FROM part"
     for c in _PART
 ))
 def report_bundle(spark, sf):
-    _, widths = sinks.write_report(table(spark, sf, "part"), fresh_path(spark, "report"))
+    parts = table(spark, sf, "part")
+    summary = parts.agg(F.format_string("%d parts", F.count(F.lit(1))).alias("value"))
+    _, widths = sinks.write_report(parts, fresh_path(spark, "report"), summary)
     return widths
 
 

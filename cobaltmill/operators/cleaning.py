@@ -21,12 +21,15 @@ def normalise_cells(df: DataFrame, cols: list[str]) -> DataFrame:
     return clean.filter(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in cols]))
 
 
-def split_names(name: str, mark: str, parts: int) -> list[str]:
-    """Names for the parts of a split column: the header's own parts when they agree in number."""
+def split_names(name: str, mark: str, parts: int, taken: set[str]) -> list[str]:
+    """Names for the parts of a split column: the header's own parts when they agree in number
+    and are free, which ``taken`` then records."""
     pieces = [p.strip() for p in name.split(mark)]
-    if len(pieces) == parts and all(pieces) and len(set(pieces)) == parts:
-        return pieces
-    return [f"{name}_p{i}" for i in range(parts)]
+    fits = len(pieces) == parts and all(pieces) and len(set(pieces)) == parts
+    if not fits or taken & set(pieces):
+        pieces = [f"{name}_p{i}" for i in range(parts)]
+    taken |= set(pieces)
+    return pieces
 
 
 def shape(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -44,11 +47,12 @@ def shape(df: DataFrame, cols: list[str]) -> DataFrame:
                 plan[row["column"]] = (mark, row[f"{name}_parts"])
                 break
     out: list[Column] = []
+    taken = {c for c in df.columns if c not in plan}
     for c in df.columns:
         if c in plan:
             mark, parts = plan[c]
             pieces = F.split(F.col(f"`{c}`"), "\\" + mark)
-            for i, name in enumerate(split_names(c, mark, parts)):
+            for i, name in enumerate(split_names(c, mark, parts, taken)):
                 out.append(F.trim(F.get(pieces, F.lit(i))).alias(name))
         elif c not in blank:
             out.append(F.col(f"`{c}`"))

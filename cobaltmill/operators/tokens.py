@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobaltmill.functions import vocab
+from cobaltmill.functions import clock, vocab
 from cobaltmill.session import materialise
 
 
@@ -85,7 +85,7 @@ def burst_flag(requests: DataFrame, rate: float = 8.0, burst: int = 24,
     unit of work: a busy client spreads over its windows, and each task streams its sorted rows
     with the state of one bucket only.
     """
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)
+    seconds = clock.epoch_seconds(F.col("ts")).cast("double")
     keyed = requests.select(
         "request_id", "client", "ts", seconds.alias("__at"),
         F.floor(seconds / reset_seconds).alias("__window"),

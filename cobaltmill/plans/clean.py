@@ -58,7 +58,10 @@ def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levensht
         ), "leading-rows",
     )
     found = headers.header_rows(lead)
-    header_row = found.first()["header_row"]
+    top = found.first()
+    if top is None:
+        return CleanTable(raw.select("row_id").limit(0), 0, [], "")
+    header_row = top["header_row"]
     names = _column_names(lead, header_row)
     preamble = headers.preamble_text(lead, found).first()
     header_id = lead.filter(F.col("row_id") == header_row).first()["source_id"]
@@ -68,6 +71,9 @@ def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levensht
     )
     body = C.shape(materialise(C.normalise_cells(body, names), "cells"), names)
     cols = [c for c in body.columns if c != "row_id"]
+    text = preamble["metadata_text"] if preamble else ""
+    if not cols:
+        return CleanTable(body, header_row, [], text)
 
     typed, additive, forward = _typed(body, cols, matching)
     for c in cols:
@@ -82,8 +88,7 @@ def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levensht
     texts = [f.name for f in filled.schema.fields if f.dataType.simpleString() == "string"]
     done = filled.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in texts})
     return CleanTable(
-        done.select("row_id", *[F.col(f"`{c}`") for c in cols]), header_row, cols,
-        preamble["metadata_text"] if preamble else "",
+        done.select("row_id", *[F.col(f"`{c}`") for c in cols]), header_row, cols, text
     )
 
 

@@ -117,14 +117,18 @@ def json_log_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def display_widths(df: DataFrame, ceiling: int = 60) -> DataFrame:
-    """Per column the display width: longest text or name plus two, up to ``ceiling``."""
-    longest = df.agg(*[
-        F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"w{i}")
-        for i, c in enumerate(df.columns)
-    ])
+    """Per column the filled cells and the display width: longest text or name plus two, up to
+    ``ceiling``."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        aggs += [
+            F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"w{i}"),
+            F.count(F.col(f"`{c}`")).alias(f"n{i}"),
+        ]
+    longest = df.agg(*aggs)
     rows = F.explode(F.array(*[
         F.struct(
-            F.lit(c).alias("column"),
+            F.lit(c).alias("column"), F.col(f"n{i}").alias("filled"),
             F.least(
                 F.greatest(F.coalesce(f"w{i}", F.lit(0)), F.lit(len(c))) + 2, F.lit(ceiling)
             ).cast("long").alias("width"),

@@ -45,8 +45,13 @@ def append_index(vectors: DataFrame, path: str, tenant: str) -> DataFrame:
     return vectors.sparkSession.read.schema(vectors.schema).parquet(path)
 
 
-def write_report(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """The data sheet and the display width of each of its columns, both as written tables."""
+def write_report(df: DataFrame, path: str, summary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The data sheet and a row per column (filled cells, display width), both as written tables.
+
+    ``summary`` (one text column) is written next to them.
+    """
     data = write_records(df, f"{path}/data", "parquet")
+    if summary is not None:
+        summary.write.mode("errorifexists").text(f"{path}/summary")
     widths = write_records(display_widths(data), f"{path}/widths", "parquet")
     return data, widths

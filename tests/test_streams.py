@@ -52,6 +52,21 @@ def test_payments_over_many_batches(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_webhook_log_stream(spark):
+    from cobaltmill.streaming.sources import json_log_stream
+
+    folder = fresh_path(spark, "log")
+    bodies = ['{"type":"transaction.approved","reference":"77","amount":40000}', "not json", '{"status":"declined"}']
+    spark.createDataFrame([(b,) for b in bodies], "value string").write.text(folder)
+    out = fresh_path(spark, "events")
+    events = payments.normalise_events(json_log_stream(spark, folder))
+    jobs._run(events.writeStream.format("parquet").option("path", f"{out}/rows"), out)
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert {(r["reference"], r["chat_id"], r["amount_raw"], r["is_success"]) for r in rows} == {
+        ("77", 77, 40000, True), ("", None, 0, False)}
+    assert len(rows) == 3
+
+
 def test_tokens_over_many_batches(spark):
     issued = [(t, BASE + dt.timedelta(minutes=5 * t), "dashboard" if t % 2 else "chart") for t in range(60)]
     used = [(1000 + i, t, BASE + dt.timedelta(minutes=5 * t + m)) for i, (t, m) in
