@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobaltmill.functions import numbers as N
+from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 from cobaltmill.operators.aggregates import group_by
 from cobaltmill.operators.profile import column_roles, is_numeric
@@ -29,7 +30,7 @@ def points(df: DataFrame, label: str, value: str) -> DataFrame:
 
 def _month_number(label: Column, months: tuple[str, ...]) -> Column:
     names = F.array(*[F.lit(m) for m in months])
-    return F.array_position(names, F.lower(F.trim(label))).cast("int")
+    return F.array_position(names, F.lower(T.strip(label))).cast("int")
 
 
 def month_sort(chart: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def month_sort(chart: DataFrame) -> DataFrame:
     """
     chart = materialise(chart, "chart")
     es, en = (_month_number(F.col("label"), m) for m in (vocab.MONTHS_ES, vocab.MONTHS_EN))
-    blank = F.trim("label") == ""
+    blank = T.strip(F.col("label")) == ""
     verdict = chart.agg(
         F.when(F.bool_and(blank | (es > 0)), "es").when(F.bool_and(blank | (en > 0)), "en").alias("lang")
     ).scalar()
@@ -212,10 +213,15 @@ def auto_chart(df: DataFrame) -> DataFrame | None:
 
 
 def auto_chart_aggregated(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """Chart the first named table of 2 to 200 rows as it stands, always as bars."""
+    """Chart the first named table of 2 to 200 rows as it stands, always as bars.
+
+    A candidate is stored up to one row past the limit, so that it is computed only once.
+    """
     for name in vocab.AGGREGATED_TABLE_NAMES:
-        df = tables.get(name)
-        if df is None or not 2 <= df.limit(201).count() <= 200:
+        if name not in tables:
+            continue
+        df = materialise(tables[name].limit(201), "candidate")
+        if not 2 <= df.count() <= 200:
             continue
         plan = chart_plan(df)
         value = (plan or {}).get("value")

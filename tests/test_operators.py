@@ -409,3 +409,35 @@ def test_hot_user_does_not_sort_in_one_task(spark):
     since = spark.createDataFrame([], "user_id long, premium_since timestamp_ntz")
     # The ranking is limited and stored before; what is left joins without any window.
     assert "Window" not in plan(usage.daily_quota(messages, since, 4))
+
+
+# --- what the plans read ------------------------------------------------------------------------
+
+def _read_columns(df):
+    import re
+
+    return [re.findall(r"(\w+):", s) for s in re.findall(r"ReadSchema: struct<([^\n]*)>", plan(df))]
+
+
+def test_scans_read_only_what_they_need(spark, sf):
+    from cobaltmill.catalog import QUERIES
+
+    assert _read_columns(QUERIES["group_count"](spark, sf)) == [["o_orderstatus"]]
+    sales = [set(c) for c in _read_columns(QUERIES["analysis_spec"](spark, sf))]
+    assert {"l_orderkey", "l_extendedprice", "l_discount"} in sales
+    assert {"o_orderkey", "o_custkey"} in sales
+
+
+def test_filters_reach_the_scan(spark, sf):
+    from cobaltmill.session import table
+
+    spec = {"filters": [{"column": "o_orderstatus", "op": "==", "value": "O"}], "metrics": [{"agg": "count", "name": "n"}]}
+    assert "EqualTo(o_orderstatus,O)" in plan(run_spec(table(spark, sf, "orders"), spec))
+
+
+def test_raw_scan_shuffles_no_lines(spark):
+    folder = fresh_path(spark, "lines")
+    spark.range(500).selectExpr("concat(id, ';x') AS value").write.text(folder)
+    scanned = raw.raw_scan(spark, folder)
+    assert "Exchange hashpartitioning" not in plan(scanned) and "BroadcastHashJoin" in plan(scanned)
+    assert scanned.select("file", "row_id").distinct().count() == 500
