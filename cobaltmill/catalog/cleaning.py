@@ -14,7 +14,7 @@ from cobaltmill.operators import fuzzy, headers
 from cobaltmill.operators.ordering import locf
 from cobaltmill.operators.profile import delimiter_density, id_profile
 from cobaltmill.plans.clean import clean_table
-from cobaltmill.session import table
+from cobaltmill.session import spread, table
 
 
 def sql_list(words) -> str:
@@ -340,7 +340,8 @@ def parse_usd(spark, sf):
         F.when(F.col("l_linestatus") == "O", F.concat(F.lit("US$ "), price))
         .when(F.col("l_quantity") < 2, "-").otherwise(price)
     )
-    rows = table(spark, sf, "lineitem").select("l_returnflag", text.alias("txt"))
+    rows = spread(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")).select(
+        "l_returnflag", text.alias("txt"))
     return rows.withColumn("amount", N.parse_usd(F.col("txt")))
 
 
@@ -522,7 +523,7 @@ def _messy_export(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(" "),
         F.concat_ws("|", "o_orderstatus", F.concat(F.lit(" "), "o_orderpriority")),
     )
-    body = table(spark, sf, "orders").select((F.col("o_orderkey") + 3).alias("row_id"), cells.alias("cells"))
+    body = spread(table(spark, sf, "orders")).select((F.col("o_orderkey") + 3).alias("row_id"), cells.alias("cells"))
     top = [
         (0, ["DIAN  informe 900123456-7", None, "", None, None, None, None]),
         (1, ["Periodo 2024", "x", None, None, None, None, None]),

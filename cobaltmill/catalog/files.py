@@ -130,7 +130,7 @@ SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
 FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50000) GROUP BY o_orderstatus
 """)
 def bounded_read(spark, sf):
-    rows = raw.bounded_read(table(spark, sf, "orders"), order=[F.col("o_orderkey")])
+    rows = raw.bounded_read(table(spark, sf, "orders"), "o_orderkey")
     return rows.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cobaltmill.catalog.registry import register
 from cobaltmill.functions import webhooks as H
 from cobaltmill.operators import payments as P
-from cobaltmill.session import materialise, table
+from cobaltmill.session import materialise, spread, table
 
 SECRET = "not-a-real-secret"
 
@@ -33,7 +33,7 @@ END
 
 
 def webhook_log(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("ts"),
         (F.col("o_totalprice") > 20000).alias("signature_ok"), F.expr(BODY).alias("body"))
 

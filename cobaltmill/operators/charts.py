@@ -127,8 +127,9 @@ def corr_matrix(df: DataFrame, max_columns: int = 12) -> DataFrame:
     """
     cols = [f.name for f in df.schema.fields if is_numeric(f)][:max_columns]
     values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    sample = values.limit(1000).agg(*[F.avg(f"`{c}`") for c in cols]).first()
-    origin = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in sample])
+    sample = np.array(values.take(1000), dtype=float).reshape(-1, len(cols))  # a few partitions
+    known = np.isfinite(sample)
+    origin = np.where(known, sample, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
     cells = ", ".join(f"{k} array<double>" for k in "nsqp")
     parts = values.mapInArrow(_pair_sums(cols, origin), cells)
     zipped = F.posexplode(F.arrays_zip(*list("nsqp")))

@@ -95,7 +95,13 @@ def first_n(df: DataFrame, keys: list[str], by: list[Column], n: int,
     """The first ``n`` rows of each key in the given order.
 
     Spark limits each map partition to ``n`` rows per key before the shuffle (window group limit),
-    so a hot key sends only ``n`` rows per partition to its task.
+    so a hot key sends only ``n`` rows per partition to its task. Spark does so up to 1000 rows;
+    for more, hashed parts of each key are limited first.
     """
+    if n > 1000:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(256))
+        parts = W.partitionBy(*keys, "__part").orderBy(*by)
+        ranked = df.withColumn("__part", part).withColumn(rank, F.row_number().over(parts))
+        df = ranked.filter(F.col(rank) <= n).drop("__part", rank)
     window = W.partitionBy(*keys).orderBy(*by)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)

@@ -104,9 +104,26 @@ def raw_scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     return marked.select("file", "split_start", "row_id", cells.alias("cells"), "encoding")
 
 
-def bounded_read(df: DataFrame, n: int = 50_000, order: list[Column] | None = None) -> DataFrame:
-    """The first ``n`` rows; callers that want the whole table do not call it."""
-    return (df.orderBy(*order) if order else df).limit(n)
+def bounded_read(df: DataFrame, key: str, n: int = 50_000, bins: int = 1024) -> DataFrame:
+    """The ``n`` rows with the smallest ``key``, a unique whole number such as a row id.
+
+    A plain ordered limit would send ``n`` rows of every partition to one task. Here counts per
+    key range narrow the range first, until it holds at most twice ``n`` rows.
+    """
+    keys = df.select(F.col(key).cast("long").alias("k"))
+    low, high, rows = keys.agg(F.min("k"), F.max("k"), F.count("k")).first()
+    below = 0  # rows known to lie under ``low``
+    while rows and below + rows > 2 * n and high > low:
+        width = (high - low) // bins + 1
+        found = keys.filter(F.col("k").between(low, high)).groupBy(
+            F.floor((F.col("k") - low) / width).alias("bin")).count()
+        for r in sorted(found.collect()):  # at most ``bins`` rows
+            if below + r["count"] >= n:
+                break
+            below += r["count"]
+        low = low + r["bin"] * width
+        high, rows = min(high, low + width - 1), r["count"]
+    return (df if high is None else df.filter(F.col(key) <= high)).orderBy(key).limit(n)
 
 
 def schema_sample(df: DataFrame, order: list[Column], rows: int = 2) -> DataFrame:

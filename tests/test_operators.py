@@ -441,3 +441,31 @@ def test_raw_scan_shuffles_no_lines(spark):
     scanned = raw.raw_scan(spark, folder)
     assert "Exchange hashpartitioning" not in plan(scanned) and "BroadcastHashJoin" in plan(scanned)
     assert scanned.select("file", "row_id").distinct().count() == 500
+
+
+@pytest.mark.parametrize("n, bins", [(1, 4), (37, 2), (100, 8), (5000, 8)])
+def test_bounded_read(spark, n, bins):
+    rng = random.Random(n)
+    keys = rng.sample(range(-5000, 5000), 800) + rng.sample(range(10**9, 10**9 + 300), 200)
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "k long, v string").repartition(6)
+    got = raw.bounded_read(df, "k", n, bins).collect()
+    assert [r["k"] for r in got] == sorted(keys)[:n]
+
+
+def test_bounded_read_of_nothing(spark):
+    assert raw.bounded_read(spark.createDataFrame([], "k long"), "k", 5).count() == 0
+
+
+def test_first_n_of_many(spark):
+    from cobaltmill.operators.ordering import first_n
+
+    df = spark.range(6000).withColumn("k", F.col("id") % 2)
+    got = first_n(df, ["k"], [F.col("id").desc()], 1500).collect()
+    assert sorted(r["id"] for r in got) == list(range(3000, 6000))
+
+
+def test_tenant_folders_are_pruned(spark, sf):
+    from cobaltmill.session import table
+
+    index = sinks.append_index(table(spark, sf, "embeddings"), fresh_path(spark, "index"), "label")
+    assert "PartitionFilters: [isnotnull(label" in plan(index.filter(F.col("label") == 3))
