@@ -469,3 +469,31 @@ def test_tenant_folders_are_pruned(spark, sf):
 
     index = sinks.append_index(table(spark, sf, "embeddings"), fresh_path(spark, "index"), "label")
     assert "PartitionFilters: [isnotnull(label" in plan(index.filter(F.col("label") == 3))
+
+
+def test_hot_users_are_split_in_joins(spark):
+    """With broadcasts off, a user with a third of the rows is split by the adaptive planner."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000)))
+        events = spark.range(0, 400_000, 1, 16).select(
+            F.col("id").alias("event_id"), hot.alias("user_id"),
+            F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 1000000).cast("timestamp_ntz").alias("ts"))
+        since = usage.premium_since(events.filter("event_id % 101 = 0").select("user_id", "ts"))
+        joined = usage.with_premium(events, since)
+        assert joined.agg(F.count_if("is_premium")).collect()
+        counted = joined.select(F.xxhash64("event_id", "is_premium").alias("h"))
+        counted.collect()
+        assert "skew=true" in plan(counted)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
