@@ -146,11 +146,13 @@ def text_scan(spark, sf):
 
 
 @register("webhook_log_scan", """
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY k
 """)
 def webhook_log_scan(spark, sf):
-    return table(spark, sf, "events").select(
-        "event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    path = fresh_path(spark, "log")
+    table(spark, sf, "events").select(F.col("props").alias("value")).write.text(path)
+    field = F.get_json_object("body", "$.k").try_cast("long").alias("k")
+    return files.json_log_scan(spark, path).groupBy(field).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("write_records", """

@@ -180,7 +180,7 @@ _PSP_SIGNED = (
 
 def _psp_log(spark, sf) -> DataFrame:
     body = _PSP_BODY.replace("{sha}", f"sha2({_PSP_SIGNED}, 256)")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.expr(body).alias("body"))
+    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.expr(body).alias("body"))
 
 
 _PSP_SQL = f"WITH b AS (SELECT o_orderkey AS event_id, {_PSP_BODY.replace('{sha}', f'sha256({_PSP_SIGNED})')} AS body FROM orders)"
@@ -206,11 +206,8 @@ SELECT event_id, sha256(
 FROM b
 """)
 def psp_checksum(spark, sf):
-    log = _psp_log(spark, sf).withColumn("v", H.parse_psp_body(F.col("body")))
-    raw, v = F.col("body"), F.col("v")
-    return log.select(
-        "event_id", H.property_checksum(raw, v, SECRET).alias("checksum"),
-        H.checksum_ok(raw, v, F.lit(""), SECRET).alias("checksum_ok"))
+    log = P.audit_checksums(_psp_log(spark, sf), F.lit(""), SECRET)
+    return log.select("event_id", "checksum", "checksum_ok")
 
 
 def payment_events(spark, sf) -> DataFrame:

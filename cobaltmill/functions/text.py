@@ -46,10 +46,6 @@ def norm_text(c: Column) -> Column:
     return F.trim(F.when(wide, collapsed(_NARROW_SPACE + _WIDE_SPACE)).otherwise(collapsed(_NARROW_SPACE)))
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(strip(c) != "", c)
-
-
 def _accent_table() -> tuple[str, str]:
     source, target = [], []
     for code in range(0x00C0, 0x1F00):

@@ -88,7 +88,7 @@ def dedupe_headers(headers: DataFrame) -> DataFrame:
     base = T.norm_text(F.coalesce("name", F.lit("")))
     numbered = F.concat(F.lit("col_"), (F.col("idx") + 1).cast("string"))
     named = headers.withColumn("base", F.when(_blankish(base), numbered).otherwise(base))
-    ranked = occurrence_number(named, "idx", ["file", "base"], "__seen")
+    ranked = occurrence_number(named, "idx", ["file", "base"], "__seen", levels=1)
     suffixed = F.concat_ws("_", "base", F.col("__seen").cast("string"))
     return ranked.select(
         "file", "idx", F.when(F.col("__seen") == 1, F.col("base")).otherwise(suffixed).alias("column")

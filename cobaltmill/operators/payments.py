@@ -47,6 +47,14 @@ def psp_events(log: DataFrame, body: str = "body") -> DataFrame:
     return fields.filter((F.col("reference") != "") & (F.col("status") != "")).drop("__v")
 
 
+def audit_checksums(log: DataFrame, header: Column, secret: str, body: str = "body") -> DataFrame:
+    """Adds the computed ``checksum`` of each body and whether the given one matches."""
+    parsed = _parsed(log, H.parse_psp_body(F.col(body)))
+    computed = parsed.withColumn("checksum", H.property_checksum(F.col(body), F.col("__v"), secret))
+    verdict = H.checksum_ok(F.col("__v"), header, F.col("checksum"), secret)
+    return computed.withColumn("checksum_ok", verdict).drop("__v")
+
+
 def payment_fold(events: DataFrame, strict_reference: bool = False) -> DataFrame:
     """State per reference from events (reference, ts, event_id, is_success, amount, chat_id,
     payer_email).

@@ -21,9 +21,14 @@ def write_records(df: DataFrame, path: str, fmt: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_tenant(df: DataFrame, tenant: str) -> DataFrame:
+    """Group rows for a write by tenant: few files per small tenant, large tenants stay split."""
+    return df.hint("rebalance", tenant)
+
+
 def write_sidecar(metadata: DataFrame, path: str, tenant: str) -> DataFrame:
     """Metadata records as JSON, one folder per tenant, read back with the same schema."""
-    metadata.write.mode("errorifexists").partitionBy(tenant).json(path)
+    by_tenant(metadata, tenant).write.mode("errorifexists").partitionBy(tenant).json(path)
     return metadata.sparkSession.read.schema(metadata.schema).json(path)
 
 
@@ -41,7 +46,7 @@ def load_chart_specs(spark: SparkSession, path: str) -> DataFrame:
 
 def append_index(vectors: DataFrame, path: str, tenant: str) -> DataFrame:
     """Append vectors to a tenant-partitioned index and return the whole index; never dedupes."""
-    vectors.write.mode("append").partitionBy(tenant).parquet(path)
+    by_tenant(vectors, tenant).write.mode("append").partitionBy(tenant).parquet(path)
     return vectors.sparkSession.read.schema(vectors.schema).parquet(path)
 
 

@@ -468,7 +468,11 @@ def test_tenant_folders_are_pruned(spark, sf):
     from cobaltmill.session import table
 
     index = sinks.append_index(table(spark, sf, "embeddings"), fresh_path(spark, "index"), "label")
-    assert "PartitionFilters: [isnotnull(label" in plan(index.filter(F.col("label") == 3))
+    queries = index.filter("label = 3").limit(1).selectExpr("vec_id AS query_id", "embedding AS vector")
+    found = retrieval.tenant_search(index, "label", 3, queries)
+    assert "PartitionFilters: [isnotnull(label" in plan(found)
+    own = {r["vec_id"] for r in index.filter("label = 3").collect()}
+    assert {r["vec_id"] for r in found.collect()} <= own and found.count() == 5
 
 
 def test_hot_users_are_split_in_joins(spark):
@@ -497,3 +501,10 @@ def test_hot_users_are_split_in_joins(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_tenant_writes_are_rebalanced(spark, sf):
+    from cobaltmill.session import table
+
+    text = plan(sinks.by_tenant(table(spark, sf, "embeddings"), "label"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in text
