@@ -298,6 +298,14 @@ c AS (SELECT user_id AS chat_id, bool_or(event_type = 'view' AND value > 120) AS
 """
 
 
+def _chats(spark, sf) -> DataFrame:
+    """Does a chat have a saved dashboard, and does it have files?"""
+    kind, value = F.col("event_type"), F.col("value")
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("chat_id")).agg(
+        F.bool_or((kind == "view") & (value > 120)).alias("has_snapshot"),
+        F.bool_or((kind == "error") & (value > 60)).alias("has_files"))
+
+
 @register("token_outcome", _TOKEN_SQL.rstrip() + f""",
 {_CHATS_SQL},
 v AS (SELECT u.*, x.chat_id, x.payload, coalesce(used_at BETWEEN issued_at AND expires_at, false) AS is_live
@@ -309,11 +317,19 @@ SELECT use_id, g.token, used_at, CAST(CASE WHEN served THEN 200 WHEN is_live AND
 FROM g LEFT JOIN c ON g.chat_id = c.chat_id
 """)
 def token_outcome(spark, sf):
-    kind, value = F.col("event_type"), F.col("value")
-    chats = table(spark, sf, "events").groupBy(F.col("user_id").alias("chat_id")).agg(
-        F.bool_or((kind == "view") & (value > 120)).alias("has_snapshot"),
-        F.bool_or((kind == "error") & (value > 60)).alias("has_files"))
-    return tokens.token_outcome(*_token_tables(spark, sf), chats)
+    return tokens.token_outcome(*_token_tables(spark, sf), _chats(spark, sf))
+
+
+@register("dashboard_refresh", f"""
+WITH {_CHATS_SQL.strip()}
+SELECT event_id, user_id - 1 AS chat_id, CAST(CASE WHEN user_id - 1 <= 0 THEN 422 WHEN has_snapshot THEN 200
+       WHEN has_files THEN 202 ELSE 404 END AS BIGINT) AS http_status
+FROM events LEFT JOIN c ON c.chat_id = user_id - 1 WHERE event_type = 'click'
+""")
+def dashboard_refresh(spark, sf):
+    requests = table(spark, sf, "events").filter(F.col("event_type") == "click").select(
+        "event_id", (F.col("user_id") - 1).alias("chat_id"))
+    return tokens.refresh_outcome(requests, _chats(spark, sf))
 
 
 @register("token_expire_gc", _TOKEN_SQL + """
@@ -404,7 +420,8 @@ def upload_audit(spark, sf):
 @register("udf_surface", """
 SELECT o_orderkey, o_orderpriority AS priority, o_totalprice AS price,
        CASE WHEN w >= 1000000 AND w % 100 = 0 THEN w // 100 ELSE w END AS pesos,
-       CAST(o_orderdate - INTERVAL 5 HOURS AS DATE) AS day
+       CAST(o_orderdate - INTERVAL 5 HOURS AS DATE) AS day, CAST(floor(o_totalprice) AS DOUBLE) AS cop,
+       lpad(CAST(o_custkey AS VARCHAR), 9, '9') AS id
 FROM (SELECT *, CAST(floor(o_totalprice) * 10 AS BIGINT) AS w FROM orders)
 """)
 def udf_surface(spark, sf):
@@ -415,7 +432,9 @@ def udf_surface(spark, sf):
     return spark.sql("""
         SELECT o_orderkey, norm_text(concat('  ', o_orderpriority, ' ')) AS priority,
                parse_usd(concat('US$ ', format_number(o_totalprice, 2))) AS price,
-               whole_pesos(floor(o_totalprice) * 10) AS pesos, local_day(o_orderdate) AS day
+               whole_pesos(floor(o_totalprice) * 10) AS pesos, local_day(o_orderdate) AS day,
+               parse_cop(concat('$', translate(format_number(floor(o_totalprice), 0), ',', '.'), ',00')) AS cop,
+               id_normalize(concat(lpad(CAST(o_custkey AS STRING), 9, '9'), '-', o_orderstatus)) AS id
         FROM cobaltmill_orders
     """)
 

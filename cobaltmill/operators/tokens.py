@@ -72,6 +72,19 @@ def token_outcome(uses: DataFrame, issues: DataFrame, chats: DataFrame) -> DataF
     return joined.select(*uses.columns, status.cast("long").alias("http_status"))
 
 
+def refresh_outcome(requests: DataFrame, chats: DataFrame) -> DataFrame:
+    """HTTP outcome of asking for a new dashboard link: 200 from the last snapshot, 202 when only
+    files are there yet, 404 when neither is, 422 for a chat id that cannot exist."""
+    joined = requests.join(materialise(chats, "chats"), "chat_id", "left")
+    status = (
+        F.when(F.coalesce(F.col("chat_id") <= 0, F.lit(True)), 422)
+        .when(F.coalesce("has_snapshot", F.lit(False)), 200)
+        .when(F.coalesce("has_files", F.lit(False)), 202)
+        .otherwise(404)
+    )
+    return joined.select(*requests.columns, status.cast("long").alias("http_status"))
+
+
 def live_tokens(issues: DataFrame, asof: Column) -> DataFrame:
     """Tokens that a clean-up at ``asof`` leaves in place."""
     return with_expiry(issues.filter(F.col("issued_at") <= asof)).filter(F.col("expires_at") >= asof)

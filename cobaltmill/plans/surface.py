@@ -14,12 +14,25 @@ from cobaltmill.session import table
 from cobaltmill.sources.sinks import write_records, write_report
 
 _SPACE_SQL = SPACE.replace("\\", "\\\\")
-_MONEY = "regexp_replace(s, '[^0-9,.\\\\-]', '')"
+_MONEY = r"regexp_replace(s, '[^0-9,.\\-]', '')"
 
 # SQL bodies are inlined by Catalyst, so calling them costs the same as writing them out.
 SQL_FUNCTIONS = {
     "norm_text(s STRING) RETURNS STRING": f"trim(regexp_replace(s, '[{_SPACE_SQL}]+', ' '))",
-    "parse_usd(s STRING) RETURNS DOUBLE": f"try_cast(nullif(replace({_MONEY}, ',', ''), '') AS DOUBLE)",
+    "money_chars(s STRING) RETURNS STRING": _MONEY,
+    "mark_count(s STRING, mark STRING) RETURNS INT": "length(s) - length(replace(s, mark, ''))",
+    "parse_usd(s STRING) RETURNS DOUBLE": "try_cast(nullif(replace(money_chars(s), ',', ''), '') AS DOUBLE)",
+    "peso_text(s STRING, dots INT, commas INT) RETURNS STRING": r"""
+        CASE WHEN dots > 1 OR (dots = 1 AND commas >= 1) THEN replace(replace(s, '.', ''), ',', '.')
+             WHEN dots = 1 AND s RLIKE '^-?\\d+\\.\\d{3}$' THEN replace(s, '.', '')
+             WHEN dots = 0 AND commas = 1 THEN replace(s, ',', '.')
+             WHEN dots = 0 AND commas > 1 THEN replace(s, ',', '') ELSE s END""",
+    "parse_cop(s STRING) RETURNS DOUBLE": """try_cast(nullif(peso_text(money_chars(s),
+        mark_count(money_chars(s), '.'), mark_count(money_chars(s), ',')), '') AS DOUBLE)""",
+    "id_text(s STRING) RETURNS STRING":
+        r"regexp_replace(translate(norm_text(s), '., ', ''), '-\\w+$', '')",
+    "id_normalize(s STRING) RETURNS STRING":
+        r"coalesce(nullif(regexp_extract(id_text(s), '(\\d{8,10})', 1), ''), id_text(s))",
     "whole_pesos(n BIGINT) RETURNS BIGINT":
         "CASE WHEN n <= 0 THEN 0 WHEN n >= 1000000 AND n % 100 = 0 THEN n div 100 ELSE n END",
     "local_day(t TIMESTAMP_NTZ) RETURNS DATE": "to_date(convert_timezone('UTC', 'America/Bogota', t))",

@@ -184,3 +184,18 @@ def test_prefixes(spark):
         lead = int(r["p"][:6]) if r["p"][:6].isdigit() else -1
         assert r["c"] == ("US" if 400000 <= lead <= 499999 else "BR" if 500000 <= lead <= 509999 else "UNKNOWN")
     assert one(spark, " 1234567890123456 ", X.read_prefix) == "12345678"
+
+
+def test_sql_functions_agree_with_the_expressions(spark):
+    from cobaltmill.plans.surface import register_sql_functions
+
+    register_sql_functions(spark)
+    texts = ["10.500.000", "10.500", "100.5", "10.500,50", "10500,50", "10,500,000", "$ 1.234", "", "10-5",
+             "900.123.456-7", "12 345 678", "ABC", " a \t b ", None, "1,234.56", "-"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    df.createOrReplaceTempView("texts")
+    ours = df.select(
+        N.parse_cop(F.col("s")).alias("c"), N.parse_usd(F.col("s")).alias("u"),
+        N.id_normalize(F.col("s")).alias("i"), T.norm_text(F.col("s")).alias("n")).collect()
+    theirs = spark.sql("SELECT parse_cop(s) c, parse_usd(s) u, id_normalize(s) i, norm_text(s) n FROM texts").collect()
+    assert list(map(tuple, ours)) == list(map(tuple, theirs))
