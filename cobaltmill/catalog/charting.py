@@ -60,6 +60,20 @@ def analysis_spec(spark, sf):
     })
 
 
+@register("analysis_spec_matrix", """
+SELECT o_orderstatus AS label, o_orderpriority AS segment, CAST(count(*) AS DOUBLE) AS value
+FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice * 2 > 100000 GROUP BY ALL
+""")
+def analysis_spec_matrix(spark, sf):
+    return run_spec({"orders": table(spark, sf, "orders")}, {
+        "source": "orders", "derive": {"double_price": "o_totalprice * 2"},
+        "filters": [{"column": "o_orderstatus", "op": "in", "value": ["F", "O"]},
+                    {"column": "double_price", "op": ">", "value": 100000}],
+        "group_by": ["o_orderstatus", "o_orderpriority"],
+        "metrics": [{"agg": "count", "name": "n"}], "chart": "stacked",
+    })
+
+
 @register("spec_retry_columns", """
 SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top
 FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority

@@ -1,8 +1,12 @@
 """Declarative analysis requests: a small spec becomes ordinary DataFrame calls.
 
-    {"filters": [{"column", "op", "value"}], "derive": {name: SQL expression},
-     "group_by": [...], "metrics": [{"column", "agg", "name"}],
-     "order_by": [{"column", "descending"}], "limit": n, "chart": "ranking"}
+    {"source": table name, "filters": [{"column", "op", "value"}],
+     "derive": {name: SQL expression}, "group_by": [...],
+     "metrics": [{"column", "agg", "name"}], "order_by": [{"column", "descending"}],
+     "limit": n, "chart": "ranking", "x": column, "y": column}
+
+Charts with a label and a value take the first key and metric, stacked bars and heatmaps the first
+two keys, and scatter plots ``x`` and ``y``.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ FILTER_OPS = {
     "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
     "in": lambda c, v: c.isin(*v), "contains": lambda c, v: c.contains(v),
 }
-CHARTS = {
+LABEL_CHARTS = {
     "bar": charts.bar, "line": charts.line, "pie": charts.pie, "ranking": charts.ranking,
 }
+MATRIX_CHARTS = {"stacked": charts.stacked, "heatmap": charts.heatmap}
 
 
 class UnknownColumn(ValueError):
@@ -40,15 +45,20 @@ def nearest_column(name: str, columns: list[str]) -> str:
     return by_lower[close[0]]
 
 
-def run_spec(df: DataFrame, spec: dict) -> DataFrame:
-    """Run one analysis request; misspelt columns are matched to the schema first."""
+def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict) -> DataFrame:
+    """Run one analysis request on a table, or on the named one of several tables.
+
+    Misspelt columns are matched to the schema first.
+    """
+    df = data[spec["source"]] if isinstance(data, dict) else data
+
     def col(name: str):
         return F.col(f"`{nearest_column(name, df.columns)}`")
 
-    for rule in spec.get("filters", []):
-        df = df.filter(FILTER_OPS[rule["op"]](col(rule["column"]), rule["value"]))
     for name, expression in spec.get("derive", {}).items():
         df = df.withColumn(name, F.expr(expression))
+    for rule in spec.get("filters", []):
+        df = df.filter(FILTER_OPS[rule["op"]](col(rule["column"]), rule["value"]))
     keys = [nearest_column(k, df.columns) for k in spec.get("group_by", [])]
     metrics = [
         aggregate(col(m["column"]) if m.get("column") else None, m["agg"]).alias(m["name"])
@@ -64,8 +74,16 @@ def run_spec(df: DataFrame, spec: dict) -> DataFrame:
     ]
     df = df.orderBy(*order) if order else df
     df = df.limit(spec["limit"]) if spec.get("limit") else df
-    if spec.get("chart"):
-        return CHARTS[spec["chart"]](df, keys[0], spec["metrics"][0]["name"])
+    chart = spec.get("chart")
+    if chart in LABEL_CHARTS:
+        return LABEL_CHARTS[chart](df, keys[0], spec["metrics"][0]["name"])
+    if chart in MATRIX_CHARTS:
+        return MATRIX_CHARTS[chart](df, keys[0], keys[1], spec["metrics"][0]["name"])
+    if chart == "scatter":
+        x, y = (nearest_column(spec[axis], df.columns) for axis in "xy")
+        return charts.scatter(df, x, y)
+    if chart:
+        raise ValueError(f"no chart {chart!r}")
     return df
 
 

@@ -508,3 +508,16 @@ def test_tenant_writes_are_rebalanced(spark, sf):
 
     text = plan(sinks.by_tenant(table(spark, sf, "embeddings"), "label"))
     assert "REBALANCE_PARTITIONS_BY_COL" in text
+
+
+def test_spec_charts(spark):
+    df = spark.createDataFrame([("a", "x", 1.0, 2.0), ("b", "y", 3.0, None)], "k string, s string, v double, w double")
+    base = {"group_by": ["k", "s"], "metrics": [{"column": "v", "agg": "sum", "name": "t"}]}
+    stacked = {(r["label"], r["segment"]): r["value"] for r in run_spec(df, base | {"chart": "stacked"}).collect()}
+    assert stacked == {("a", "x"): 1.0, ("a", "y"): 0.0, ("b", "x"): 0.0, ("b", "y"): 3.0}
+    heat = {(r["x"], r["y"]): r["v"] for r in run_spec({"t": df}, base | {"chart": "heatmap", "source": "t"}).collect()}
+    assert heat == {(0, 0): 1.0, (1, 1): 3.0}
+    dots = run_spec(df, {"chart": "scatter", "x": "v", "y": "w"}).collect()
+    assert sorted((r["x"], r["y"]) for r in dots) == [(1.0, 2.0), (3.0, 0.0)]
+    with pytest.raises(ValueError, match="radar"):
+        run_spec(df, base | {"chart": "radar"})
