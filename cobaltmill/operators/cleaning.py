@@ -59,7 +59,7 @@ def shape(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def typed_value(c: Column, name: str, is_id: bool, matching: str = "token") -> Column:
+def typed_value(c: Column, name: str, is_id: bool, matching: str = "substring") -> Column:
     """A column's value under the naming rules: ids first, then dollars, then pesos."""
     if is_id:
         return N.id_normalize(c)
@@ -71,7 +71,7 @@ def typed_value(c: Column, name: str, is_id: bool, matching: str = "token") -> C
 
 
 def type_by_name(df: DataFrame, cols: list[str], id_cols: set[str],
-                 matching: str = "token") -> DataFrame:
+                 matching: str = "substring") -> DataFrame:
     """Apply :func:`typed_value` to every column in one projection."""
     return df.select(*[
         typed_value(F.col(f"`{c}`"), c, c in id_cols, matching).alias(c)

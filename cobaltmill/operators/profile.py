@@ -49,7 +49,7 @@ def delimiter_density(df: DataFrame, cols: list[str]) -> DataFrame:
     return flat.withColumn("dense", F.col("density") >= vocab.SPLIT_DENSITY)
 
 
-def id_profile(df: DataFrame, cols: list[str], matching: str = "token") -> DataFrame:
+def id_profile(df: DataFrame, cols: list[str], matching: str = "substring") -> DataFrame:
     """Per column: share of filled values that look like an id, and the verdict."""
     aggs = []
     for i, c in enumerate(cols):
@@ -64,11 +64,11 @@ def id_profile(df: DataFrame, cols: list[str], matching: str = "token") -> DataF
     return shares.withColumn("is_id", is_id)
 
 
-def name_hint(name: str, hints: tuple[str, ...], matching: str = "token") -> bool:
+def name_hint(name: str, hints: tuple[str, ...], matching: str = "substring") -> bool:
     """Does a column name carry one of the hints?
 
-    ``token`` compares whole words of the name (so ``unit`` is not ``nit``); ``substring``
-    accepts a hint anywhere in the name.
+    ``substring`` accepts a hint anywhere in the name (so ``Costos`` counts as ``costo``);
+    ``token`` compares whole words (so ``unit`` is not ``nit``).
     """
     lowered = name.lower()
     if matching == "substring":

@@ -45,7 +45,7 @@ def route_catalog(name: str) -> str | None:
     return None
 
 
-def clean_table(raw: DataFrame, matching: str = "token", scorer: str = "levenshtein") -> CleanTable:
+def clean_table(raw: DataFrame, matching: str = "substring", scorer: str = "levenshtein") -> CleanTable:
     """Clean one raw file given as (file, row_id, cells).
 
     Only the leading 24 rows and one profile row per pass reach the driver. The body is read from

@@ -92,8 +92,9 @@ def test_split_header_names(spark):
 
 
 def test_name_hints():
-    assert name_hint("unit price", ("nit",), "substring") and not name_hint("unit price", ("nit",))
-    assert name_hint("NIT-cliente", ("nit",)) and name_hint("valor US$", ("us$",))
+    assert name_hint("unit price", ("nit",)) and not name_hint("unit price", ("nit",), "token")
+    assert name_hint("NIT-cliente", ("nit",), "token") and name_hint("valor US$", ("us$",), "token")
+    assert name_hint("Costos", ("costo",)) and not name_hint("Costos", ("costo",), "token")
 
 
 def test_id_profile(spark):
