@@ -467,7 +467,7 @@ def numeric_quarantine(spark, sf):
 
 
 @register("impute_additive", """
-SELECT l_returnflag, count(*) AS n, count_if(l_tax = 0) AS n_zero,
+SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_tax = 0) AS n_zero,
        CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS impuesto
 FROM lineitem GROUP BY l_returnflag
 """)

@@ -48,8 +48,8 @@ def latest_file(spark, sf):
 @register("file_inventory", _FILES_SQL + """
 SELECT tenant,
        bool_or(NOT contains(path, '/.') AND regexp_matches(lower(path), '\\.(csv|xlsx|xls|pdf|docx|txt)$')) AS has_data,
-       count_if(path LIKE '%.pdf') AS n_pdf, count_if(regexp_matches(lower(path), '\\.(csv|xlsx|xls)$')) AS n_data,
-       CAST(0 AS BIGINT) AS n_document, count_if(path LIKE '%.md') AS n_other
+       count(*) FILTER (WHERE path LIKE '%.pdf') AS n_pdf, count(*) FILTER (WHERE regexp_matches(lower(path), '\\.(csv|xlsx|xls)$')) AS n_data,
+       CAST(0 AS BIGINT) AS n_document, count(*) FILTER (WHERE path LIKE '%.md') AS n_other
 FROM f GROUP BY tenant
 """)
 def file_inventory(spark, sf):

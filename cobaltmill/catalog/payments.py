@@ -222,7 +222,7 @@ SELECT reference, CASE WHEN bool_or(pays) THEN 'paid' ELSE 'failed' END AS statu
        max(amount) FILTER (WHERE (ts, event_id) = opened) AS amount,
        max(chat_id) FILTER (WHERE (ts, event_id) = paid) AS payer_chat_id,
        max(nullif(payer_email, '')) FILTER (WHERE (ts, event_id) = paid) AS payer_email,
-       greatest(count_if(pays) - 1, 0) AS already_processed, count(*) AS n_events
+       greatest(count(*) FILTER (WHERE pays) - 1, 0) AS already_processed, count(*) AS n_events
 FROM s GROUP BY reference
 """
 FOLD_ORACLE = _EVENT_SQL.rstrip() + ", r AS (SELECT *, is_success AS pays FROM pesos WHERE reference <> '')" + _FOLD_SQL
