@@ -43,6 +43,18 @@ def test_quota_over_many_batches(spark):
     assert {r["event_id"]: r["outcome"] for r in got} == _quota_expected(rows, paid, 4)
 
 
+def test_quota_continues_after_a_restart(spark):
+    rows = sorted(_quota_rows(200), key=lambda r: (r[2], r[0]))
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    since = spark.createDataFrame([], "user_id long, premium_since timestamp_ntz")
+    source, folder = fresh_path(spark, "feed"), fresh_path(spark, "quota")
+    for part in (rows[:70], rows[70:71], rows[71:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        got = jobs.daily_quota_stream(stream, since, folder, 3)
+    assert {r["event_id"]: r["outcome"] for r in got.collect()} == _quota_expected(rows, {}, 3)
+
+
 def test_payments_over_many_batches(spark):
     df = spark.createDataFrame(
         [(r, BASE + dt.timedelta(minutes=m), i, ok, a, c, e) for i, (r, m, ok, a, c, e) in enumerate(PAYMENTS)],
