@@ -13,11 +13,16 @@ from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 from cobaltmill.operators.ordering import locf
 from cobaltmill.operators.profile import name_hint, shape_profile
+from cobaltmill.session import computed_once
 
 
 def normalise_cells(df: DataFrame, cols: list[str]) -> DataFrame:
     """Normalise white space, turn blanks into nulls and drop rows without any value."""
-    clean = df.withColumns({c: F.nullif(T.norm_text(F.col(f"`{c}`")), F.lit("")) for c in cols})
+    cells = F.struct(*[F.nullif(T.norm_text(F.col(f"`{c}`")), F.lit("")).alias(c) for c in cols])
+    rest = [c for c in df.columns if c not in cols]
+    clean = computed_once(df, cells, "__cells").select(
+        *rest, *[F.col("__cells").getField(c).alias(c) for c in cols]
+    )
     return clean.filter(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in cols]))
 
 

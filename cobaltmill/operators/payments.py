@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from cobaltmill.functions import vocab
 from cobaltmill.functions import webhooks as H
-from cobaltmill.session import materialise
-
-
-def _parsed(log: DataFrame, body: Column) -> DataFrame:
-    """Adds the parsed body as ``__v``.
-
-    The one-element generator is a barrier: a filter on a billing field would otherwise be pushed
-    down to the raw text and parse it once more for every path it mentions.
-    """
-    return log.select("*", F.explode(F.array(body)).alias("__v"))
+from cobaltmill.session import computed_once, materialise
 
 
 def normalise_events(log: DataFrame, body: str = "body") -> DataFrame:
     """Billing fields of each raw webhook body; every body is parsed once."""
     v = F.col("__v")
-    fields = _parsed(log, H.parse_body(F.col(body))).withColumns({
+    fields = computed_once(log, H.parse_body(F.col(body)), "__v").withColumns({
         "type": H.first_text(v, H.TYPE_PATHS),
         "status": H.first_text(v, H.STATUS_PATHS),
         "reference": H.first_text(v, H.REFERENCE_PATHS),
@@ -37,7 +28,7 @@ def normalise_events(log: DataFrame, body: str = "body") -> DataFrame:
 def psp_events(log: DataFrame, body: str = "body") -> DataFrame:
     """Transaction updates of the second gateway that carry a reference and a status."""
     change = F.col("__v.data.transaction")
-    parsed = _parsed(log, H.parse_psp_body(F.col(body))).filter(F.col("__v.event") == H.PSP_EVENT)
+    parsed = computed_once(log, H.parse_psp_body(F.col(body)), "__v").filter(F.col("__v.event") == H.PSP_EVENT)
     fields = parsed.withColumns({
         "reference": change["reference"],
         "status": change["status"],
@@ -49,7 +40,7 @@ def psp_events(log: DataFrame, body: str = "body") -> DataFrame:
 
 def audit_checksums(log: DataFrame, header: Column, secret: str, body: str = "body") -> DataFrame:
     """Adds the computed ``checksum`` of each body and whether the given one matches."""
-    parsed = _parsed(log, H.parse_psp_body(F.col(body)))
+    parsed = computed_once(log, H.parse_psp_body(F.col(body)), "__v")
     computed = parsed.withColumn("checksum", H.property_checksum(F.col(body), F.col("__v"), secret))
     verdict = H.checksum_ok(F.col("__v"), header, F.col("checksum"), secret)
     return computed.withColumn("checksum_ok", verdict).drop("__v")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SHARED: dict[str, str] = {}
 
@@ -41,6 +42,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly column so that later steps reuse it instead of computing it again.
+
+    Catalyst pushes filters on fields of a column down to where the column is computed and
+    repeats it for every field; it does not push through a generator, here of one element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 

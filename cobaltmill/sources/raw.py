@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobaltmill.session import materialise
+from cobaltmill.session import computed_once, materialise
 
 SEPARATORS = (",", ";", "|", "\t")
 FALLBACK_ENCODING = "iso-8859-1"
@@ -101,7 +101,7 @@ def raw_scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     decoded = F.decode(F.col("line").cast("binary"), FALLBACK_ENCODING)
     text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(decoded)
     cells = split_cells(text, F.col("sep"), int(width or 0) + 1)
-    return marked.select("file", "split_start", "row_id", cells.alias("cells"), "encoding")
+    return computed_once(marked, cells, "cells").select("file", "split_start", "row_id", "cells", "encoding")
 
 
 def bounded_read(df: DataFrame, key: str, n: int = 50_000, bins: int = 1024) -> DataFrame:
