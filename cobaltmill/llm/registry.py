@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import mixing
+from cobaltmill.llm import lines, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_line_dedup": lines.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op2_line_dedup": lines.SQL,
 }

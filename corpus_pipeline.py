@@ -1,4 +1,21 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: each stage reads what its predecessor stored and returns a DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cobaltmill.session import materialise, table
 
 STAGES = []
+
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; every result but the last is stored and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, f"stage-{name}")
+    return docs
