@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import lines, mixing
+from cobaltmill.llm import jaccard, lines, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_line_dedup": lines.query,
+    "op4_ngram_jaccard_join": jaccard.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op2_line_dedup": lines.SQL,
+    "op4_ngram_jaccard_join": jaccard.SQL,
 }
