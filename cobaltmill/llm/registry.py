@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import jaccard, lines, mixing
+from cobaltmill.llm import bpe, jaccard, lines, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_line_dedup": lines.query,
+    "op3_bpe_round_trip": bpe.query,
     "op4_ngram_jaccard_join": jaccard.query,
 }
 
