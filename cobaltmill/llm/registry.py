@@ -1,16 +1,18 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, jaccard, lines, mixing
+from cobaltmill.llm import bpe, jaccard, lines, mixing, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_line_dedup": lines.query,
     "op3_bpe_round_trip": bpe.query,
     "op4_ngram_jaccard_join": jaccard.query,
+    "op5_exact_top_k": topk.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op2_line_dedup": lines.SQL,
     "op4_ngram_jaccard_join": jaccard.SQL,
+    "op5_exact_top_k": topk.SQL,
 }
