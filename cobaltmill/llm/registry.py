@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, jaccard, lines, mixing, topk
+from cobaltmill.llm import bpe, jaccard, lines, mixing, topk, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_bpe_round_trip": bpe.query,
     "op4_ngram_jaccard_join": jaccard.query,
     "op5_exact_top_k": topk.query,
+    "op6_warc_revisits": warc.query,
 }
 
 ORACLES = {
@@ -15,4 +16,5 @@ ORACLES = {
     "op2_line_dedup": lines.SQL,
     "op4_ngram_jaccard_join": jaccard.SQL,
     "op5_exact_top_k": topk.SQL,
+    "op6_warc_revisits": warc.SQL,
 }
