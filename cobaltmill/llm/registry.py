@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, jaccard, lines, mixing, topk, warc
+from cobaltmill.llm import bpe, jaccard, lines, mixing, topk, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": jaccard.query,
     "op5_exact_top_k": topk.query,
     "op6_warc_revisits": warc.query,
+    "op7_url_filter": urls.query,
 }
 
 ORACLES = {
