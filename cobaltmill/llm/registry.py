@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, jaccard, lines, mixing, topk, urls, warc
+from cobaltmill.llm import bpe, jaccard, langid, lines, mixing, topk, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_top_k": topk.query,
     "op6_warc_revisits": warc.query,
     "op7_url_filter": urls.query,
+    "op8_language_id": langid.query,
 }
 
 ORACLES = {
