@@ -5,7 +5,7 @@ hashed to ``DIMS`` counts; the vector is ``1 + log(count)`` times the n-gram's i
 frequency, of length 1. Document frequencies come from all documents that may be learned from. The
 centroids come from at most ``PER_LANG`` documents of each language (those with the smallest hash of
 the id), by spherical k-means within the language. A text gets the language of the centroid with the
-largest cosine; it is rejected if that cosine is far below those of the centroid's own members.
+largest cosine; it is rejected if that cosine is far below those of the language's own members.
 
 The driver holds document frequencies (``DIMS`` numbers) and ``CENTROIDS`` vectors per language.
 
@@ -38,8 +38,8 @@ DIMS = 4096
 SLICE, ROWS = 1 << 20, 256
 PER_LANG = 400
 CENTROIDS = 3
-#: A text is rejected below this share of the smallest cosine among its centroid's members.
-REJECT_BELOW = 0.5
+#: A text is rejected below this share of the smallest cosine among its language's members.
+REJECT_BELOW = 0.3
 NONE = "und"
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG, centroi
         if not len(points):
             return pd.DataFrame({"lang": [], "centre": [], "floor": []})
         centres, floor = _cluster(points, centroids)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": floor.astype(float),
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": float(floor.min()),
                              "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
     rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, floor double, centre binary").collect()
