@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, jaccard, langid, lines, mixing, topk, urls, warc
+from cobaltmill.llm import bpe, jaccard, langid, lines, mixing, quality, topk, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc_revisits": warc.query,
     "op7_url_filter": urls.query,
     "op8_language_id": langid.query,
+    "op9_quality_co_training": quality.query,
 }
 
 ORACLES = {
