@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, jaccard, langid, lines, mixing, quality, topk, urls, warc
+from cobaltmill.llm import bpe, fingerprint, jaccard, langid, lines, mixing, quality, topk, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_url_filter": urls.query,
     "op8_language_id": langid.query,
     "op9_quality_co_training": quality.query,
+    "op10_fingerprints": fingerprint.query,
 }
 
 ORACLES = {
