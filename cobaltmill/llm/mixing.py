@@ -14,7 +14,7 @@ Defined results:
 
 - null or wordless text: size 0, takes 0; a source of size 0 has target 0;
 - null source: a source of its own, last in order; null id: hashed as the empty text;
-- repeated rows share a key; order goes on by id and size, and equal rows are interchangeable;
+- rows with one id share a key; order goes on by size and text, and equal rows are interchangeable;
 - null, zero or negative weight counts as 1;
 - an empty table gives no rows; other columns of the input are ignored.
 """
@@ -81,7 +81,7 @@ def _cut(sums: DataFrame, bucket: str, start: Column) -> DataFrame:
 
 
 def mix(rows: DataFrame, goal: DataFrame, seed: str = SEED) -> DataFrame:
-    """How often each row is taken: ``rows`` with columns doc_id, source, size, weight.
+    """How often each row is taken: ``rows`` with columns doc_id, source, size, weight, text_hash.
 
     Adds ``source_size, target, sample_key, epochs`` (whole repeats), ``chosen`` (one repeat more)
     and ``taken`` (words). The row at which the running sum crosses the target is taken if that
@@ -91,7 +91,7 @@ def mix(rows: DataFrame, goal: DataFrame, seed: str = SEED) -> DataFrame:
     key = -F.log(draw(F.col("doc_id"), seed)) / weight
     spot = (F.lit(1.0) - F.exp(-F.col("sample_key"))) * BUCKETS
     stored = materialise(
-        rows.select("doc_id", "source", "size", key.alias("sample_key"))
+        rows.select("doc_id", "source", "size", "text_hash", key.alias("sample_key"))
         .withColumn("_b1", F.least(F.floor(spot), F.lit(BUCKETS - 1)).cast("int"))
         .withColumn("_b2", F.least(F.floor((spot - F.col("_b1")) * BUCKETS),
                                    F.lit(BUCKETS - 1)).cast("int")),
@@ -119,25 +119,26 @@ def mix(rows: DataFrame, goal: DataFrame, seed: str = SEED) -> DataFrame:
     at_cut = F.coalesce((F.col("_b1") == F.col("_c1")) & (F.col("_b2") == F.col("_c2")), F.lit(False))
     below = (F.col("_b1") < F.col("_c1")) | (
         (F.col("_b1") == F.col("_c1")) & (F.col("_b2") < F.col("_c2")))
-    running = Window.partitionBy("source").orderBy("sample_key", "doc_id", "size").rowsBetween(
+    running = Window.partitionBy("source").orderBy("sample_key", "doc_id", "size", "text_hash").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     middle = F.col("_f2") + F.sum("size").over(running) - F.col("size") / 2
     decided = joined.filter(~at_cut).withColumn(
         "chosen", F.coalesce(below, F.lit(False)).cast("long"))
     crossing = joined.filter(at_cut).withColumn("chosen", (middle <= F.col("rest")).cast("long"))
     return decided.unionByName(crossing).select(
-        "doc_id", "source", "size", "source_size", "target", "sample_key", "epochs", "chosen",
+        "doc_id", "source", "size", "text_hash", "source_size", "target", "sample_key", "epochs", "chosen",
         (F.col("size") * (F.col("epochs") + F.col("chosen"))).alias("taken"))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, source, size, weight``: labelled good weighs 2, labelled bad 0.5, else 1."""
+    """``doc_id, source, size, text_hash, weight``: labelled good weighs 2, labelled bad 0.5, else 1."""
     judged = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.max("quality").alias("quality"))
     weight = F.when(F.col("quality") >= 1, 2.0).when(F.col("quality") < 1, 0.5).otherwise(1.0)
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                        F.xxhash64("text").alias("text_hash"))
     return sized.join(judged, "doc_id", "left").select(
-        "doc_id", "source", "size", weight.alias("weight"))
+        "doc_id", "source", "size", "text_hash", weight.alias("weight"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,6 +146,27 @@ def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return mix(rows, targets(rows))
 
 
+def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed`` takes them.
+
+    Of several rows with one id, source and text, those that come first in any order get what was chosen.
+    """
+    keys = ["doc_id", "source", "text_hash"]
+    times = materialise(
+        mixed.filter("size > 0").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+            F.max("epochs").alias("_epochs"), F.sum("chosen").alias("_chosen"), F.count(F.lit(1)).alias("_rows"))
+        .filter("_epochs + _chosen > 0"), "mix-times")
+    same = (docs["doc_id"].eqNullSafe(F.col("_doc_id")) & docs["source"].eqNullSafe(F.col("_source"))
+            & (F.xxhash64(docs["text"]) == F.col("_text_hash")))
+    once = docs.join(times.filter("_rows = 1"), same).withColumn("_n", F.col("_epochs") + F.col("_chosen"))
+    alike = Window.partitionBy("_doc_id", "_source", "_text_hash").orderBy(F.lit(0))
+    more = docs.join(times.filter("_rows > 1"), same).withColumn(
+        "_n", F.col("_epochs") + (F.row_number().over(alike) <= F.col("_chosen")).cast("long"))
+    both = once.unionByName(more).filter("_n > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs", "chosen")
