@@ -23,7 +23,7 @@ HEADLINE = (
     "locf_by_file", "clean_table", "raw_scan", "mime_audit", "chunk_text", "chunk_fixed",
     "context_assemble", "cosine_topk", "cosine_topk_batch", "tenant_scope", "error_class",
     "daily_quota", "quota_state", "get_or_create", "identity_link", "entitlement_gate",
-    "token_outcome", "burst_flag", "webhook_normalize", "payment_fold", "payment_outcome",
+    "token_outcome", "webhook_normalize", "payment_fold", "payment_outcome",
     "signature_audit", "store_summary", "daily_quota_stream", "payment_fold_stream",
 )
 

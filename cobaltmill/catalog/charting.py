@@ -153,11 +153,11 @@ def _roles_sql() -> str:
         ("o_orderdate", False), ("o_orderpriority", False),
     )
     for pos, (name, numeric) in enumerate(columns):
-        distinct = "max(CAST(NULL AS BIGINT))" if numeric else f"least(count(DISTINCT {name}), 51)"
+        distinct = "max(CAST(NULL AS BIGINT))" if numeric else f"count(DISTINCT {name})"
         categorical = "false" if numeric else f"count(DISTINCT {name}) BETWEEN 2 AND 50"
         parts.append(
             f"SELECT CAST({pos} AS BIGINT) AS pos, '{name}' AS \"column\", {numeric} AS is_numeric, "
-            f"{'date' in name} AS is_date, {distinct} AS n_distinct_to_51, "
+            f"{'date' in name} AS is_date, {distinct} AS n_distinct, "
             f"{categorical} AS is_categorical FROM orders"
         )
     return " UNION ALL ".join(parts)
@@ -300,20 +300,23 @@ def chart_heatmap(spark, sf):
 def _corr_sql() -> str:
     cols = (
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax",
+        "l_discount", "l_tax", "late_price",
     )
     cells = ", ".join(
         f"{{'row': '{a}', 'col': '{b}', 'r': corr({a}, {b})}}" for a in cols for b in cols
     )
     return (
         f"SELECT c.row AS \"row\", c.col AS col, round(c.r, 6) AS r "
-        f"FROM (SELECT unnest([{cells}]) AS c FROM lineitem)"
+        f"FROM (SELECT unnest([{cells}]) AS c FROM (SELECT *, CASE WHEN l_orderkey > 500 THEN l_extendedprice + 1e9 END AS late_price "
+        f"FROM lineitem))"
     )
 
 
 @register("corr_matrix", _corr_sql())
 def corr_matrix(spark, sf):
-    return charts.corr_matrix(table(spark, sf, "lineitem")).withColumn("r", F.round("r", 6))
+    late = F.when(F.col("l_orderkey") > 500, F.col("l_extendedprice") + 1e9)  # null at first, then far from 0
+    lines = table(spark, sf, "lineitem").withColumn("late_price", late)
+    return charts.corr_matrix(lines).withColumn("r", F.round("r", 6))
 
 
 @register("chart_stacked", """

@@ -14,7 +14,7 @@ from cobaltmill.operators import fuzzy, headers
 from cobaltmill.operators.ordering import locf
 from cobaltmill.operators.profile import delimiter_density, id_profile
 from cobaltmill.plans.clean import clean_table
-from cobaltmill.session import spread, table
+from cobaltmill.session import table
 
 
 def sql_list(words) -> str:
@@ -340,7 +340,7 @@ def parse_usd(spark, sf):
         F.when(F.col("l_linestatus") == "O", F.concat(F.lit("US$ "), price))
         .when(F.col("l_quantity") < 2, "-").otherwise(price)
     )
-    rows = spread(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")).select(
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice").select(
         "l_returnflag", text.alias("txt"))
     return rows.withColumn("amount", N.parse_usd(F.col("txt")))
 
@@ -391,6 +391,8 @@ def _city_texts(spark, sf) -> DataFrame:
         .when(F.col("c_mktsegment") == "MACHINERY", F.translate(city, "AEO", "ÁÉÓ"))
         .when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit(" "), F.substring(city, 1, 4), F.substring(city, 6, 40)))
         .when(F.col("c_mktsegment") == "AUTOMOBILE", F.col("c_name"))
+        .when(F.col("c_custkey") % 5 == 0, "CLI").when(F.col("c_custkey") % 5 == 1, "Ibage")
+        .when(F.col("c_custkey") % 5 == 2, "neva")
         .otherwise(city)
     )
     return table(spark, sf, "customer").select("c_custkey", text.alias("ciudad"))
@@ -402,10 +404,13 @@ WITH c AS (SELECT c_custkey, c_name, c_mktsegment,
 d AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN lower(city)
         WHEN 'MACHINERY' THEN translate(city, 'AEO', 'ÁÉÓ')
         WHEN 'HOUSEHOLD' THEN ' ' || substr(city, 1, 4) || substr(city, 6, 40)
-        WHEN 'AUTOMOBILE' THEN c_name ELSE city END AS ciudad FROM c),
+        WHEN 'AUTOMOBILE' THEN c_name ELSE CASE c_custkey % 5 WHEN 0 THEN 'CLI' WHEN 1 THEN 'Ibage' WHEN 2 THEN 'neva' ELSE city END
+        END AS ciudad FROM c),
 u AS (SELECT DISTINCT ciudad, strip_accents(trim(upper(ciudad))) AS k FROM d),
-s AS (SELECT ciudad, term, pos, (100 * (greatest(length(k), length(term)) - levenshtein(k, term)))
-             // greatest(length(k), length(term)) AS score
+s AS (SELECT ciudad, term, pos, 200 * (length(term) - bit_count(list_reduce(
+               list_prepend((1::BIGINT << length(term)) - 1, list_transform(string_split(k, ''), lambda c: coalesce(list_sum(
+                 [CASE WHEN substr(term, i, 1) = c THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, length(term) + 1)]), 0)::BIGINT)),
+               lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(term)) - 1)))) // (length(k) + length(term)) AS score
       FROM u CROSS JOIN (SELECT unnest({sql_list(vocab.CATALOGS["ciudades"])}) AS term,
                                 generate_subscripts({sql_list(vocab.CATALOGS["ciudades"])}, 1) AS pos)),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ciudad ORDER BY score DESC, pos) = 1)
@@ -425,11 +430,6 @@ def fuzzy_best_terms(spark, sf):
     return fuzzy.best_terms(_city_texts(spark, sf), "ciudad", "ciudades")
 
 
-@register("harmonize_fuzzy_ratio")
-def harmonize_fuzzy_ratio(spark, sf):
-    return fuzzy.harmonize(_city_texts(spark, sf), "ciudad", "ciudades", scorer="difflib")
-
-
 # --- dates, gaps, quarantine --------------------------------------------------------------------
 
 @register("date_coerce", """
@@ -523,7 +523,7 @@ def _messy_export(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(" "),
         F.concat_ws("|", "o_orderstatus", F.concat(F.lit(" "), "o_orderpriority")),
     )
-    body = spread(table(spark, sf, "orders")).select((F.col("o_orderkey") + 3).alias("row_id"), cells.alias("cells"))
+    body = table(spark, sf, "orders").select((F.col("o_orderkey") + 3).alias("row_id"), cells.alias("cells"))
     top = [
         (0, ["DIAN  informe 900123456-7", None, "", None, None, None, None]),
         (1, ["Periodo 2024", "x", None, None, None, None, None]),

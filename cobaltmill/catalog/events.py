@@ -165,30 +165,42 @@ def entitlement_denied(spark, sf):
 
 # --- identities ---------------------------------------------------------------------------------
 
+# Chats and e-mails of an order stay within the family of its customer, so every family is replayed
+# request by request on its own.
 _IDENTITY_SQL = """
-WITH users AS (
+WITH RECURSIVE users AS (
   SELECT c_custkey AS user_id, CASE WHEN c_acctbal >= 0 THEN c_custkey END AS chat_id,
          CASE WHEN c_mktsegment <> 'BUILDING' THEN lower(c_name) || '@mail.com' END AS email FROM customer),
 requests AS (
   SELECT o_orderkey AS request_id,
          CASE o_orderpriority WHEN '5-LOW' THEN o_custkey + 1000000 WHEN '1-URGENT' THEN NULL ELSE o_custkey END AS chat_id,
          CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'F' THEN 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '@mail.com'
-              ELSE 'new' || (o_custkey % 500) || '@mail.com' END AS email FROM orders),
-keyed AS (SELECT *, coalesce('chat:' || chat_id, 'mail:' || email) AS call_key FROM requests),
-calls AS (SELECT call_key, any_value(chat_id) AS chat_id, min(request_id) AS request_id,
-                 arg_min(email, request_id) FILTER (WHERE email IS NOT NULL) AS email
-          FROM keyed WHERE call_key IS NOT NULL GROUP BY call_key),
-found AS (SELECT c.*, u.user_id AS cu, u.email AS ce, v.user_id AS eu, v.chat_id AS ec
-          FROM calls c LEFT JOIN users u ON u.chat_id = c.chat_id LEFT JOIN users v ON v.email = c.email),
-takers AS (SELECT email, min(request_id) AS taker FROM found WHERE email IS NOT NULL AND eu IS NULL AND ce IS NULL GROUP BY email),
-owner AS (SELECT f.email, coalesce(CAST(cu AS VARCHAR), call_key) AS owner_key, t.taker
-          FROM found f JOIN takers t ON f.email = t.email AND f.request_id = t.taker AND f.eu IS NULL AND f.ce IS NULL),
-res AS (SELECT f.request_id, f.chat_id, f.email, f.call_key, cu, eu, ec,
-               CASE WHEN cu IS NOT NULL THEN 'chat' WHEN eu IS NOT NULL OR (taker IS NOT NULL AND taker <> request_id) THEN 'email'
-                    ELSE 'created' END AS resolution,
-               CASE WHEN cu IS NOT NULL THEN CAST(cu AS VARCHAR) WHEN eu IS NOT NULL THEN CAST(eu AS VARCHAR)
-                    WHEN taker <> request_id THEN owner_key ELSE call_key END AS user_key, taker
-        FROM found f LEFT JOIN owner o ON f.email = o.email)
+              ELSE 'new' || (o_custkey % 500) || '@mail.com' END AS email, o_custkey % 500 AS f FROM orders),
+asked AS (
+  SELECT request_id, chat_id, email, f, row_number() OVER (PARTITION BY f ORDER BY request_id) AS i
+  FROM requests),
+start AS (
+  SELECT f, coalesce(list({'k': CAST(user_id AS VARCHAR), 'c': CAST(chat_id AS BIGINT), 'e': email})
+                     FILTER (WHERE user_id IS NOT NULL), []) AS us
+  FROM (SELECT DISTINCT f FROM asked UNION SELECT DISTINCT user_id % 500 FROM users) LEFT JOIN users ON user_id % 500 = f GROUP BY f),
+replay AS (
+  SELECT f, CAST(0 AS BIGINT) AS i, us, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS chat_id,
+         CAST(NULL AS VARCHAR) AS email, '' AS resolution, CAST(NULL AS VARCHAR) AS user_key FROM start
+  UNION ALL
+  SELECT f, i,
+    CASE WHEN cu IS NOT NULL AND email IS NOT NULL AND cu.e IS NULL AND eu IS NULL
+         THEN list_transform(us, lambda u: CASE WHEN u.k = cu.k THEN {'k': u.k, 'c': u.c, 'e': email} ELSE u END)
+         WHEN cu IS NULL AND eu IS NOT NULL AND chat_id IS NOT NULL AND eu.c IS NULL
+         THEN list_transform(us, lambda u: CASE WHEN u.k = eu.k THEN {'k': u.k, 'c': chat_id, 'e': u.e} ELSE u END)
+         WHEN cu IS NULL AND eu IS NULL AND made IS NOT NULL
+         THEN list_append(us, {'k': made, 'c': chat_id, 'e': email}) ELSE us END,
+    request_id, chat_id, email,
+    CASE WHEN cu IS NOT NULL THEN 'chat' WHEN eu IS NOT NULL THEN 'email' WHEN made IS NOT NULL THEN 'created' ELSE 'rejected' END,
+    coalesce(cu.k, eu.k, made)
+  FROM (SELECT r.f, a.i, r.us, a.request_id, CAST(a.chat_id AS BIGINT) AS chat_id, a.email,
+               coalesce('chat:' || a.chat_id, 'mail:' || a.email) AS made,
+               list_filter(r.us, lambda u: u.c = a.chat_id)[1] AS cu, list_filter(r.us, lambda u: u.e = a.email)[1] AS eu
+        FROM replay r JOIN asked a ON a.f = r.f AND a.i = r.i + 1))
 """
 
 
@@ -209,18 +221,14 @@ def _identity(spark, sf):
     return usage.get_or_create(users, requests)
 
 
-@register("get_or_create", _IDENTITY_SQL + "SELECT request_id, chat_id, email, resolution, user_key FROM res")
+@register("get_or_create", _IDENTITY_SQL + "SELECT request_id, chat_id, email, resolution, user_key FROM replay WHERE i > 0")
 def get_or_create(spark, sf):
-    return _identity(spark, sf)[0].drop("call_key")
+    return _identity(spark, sf)[0]
 
 
 @register("get_or_create_users", _IDENTITY_SQL + """
-SELECT CAST(u.user_id AS VARCHAR) AS user_key,
-       coalesce(u.chat_id, (SELECT arg_min(r.chat_id, r.request_id) FILTER (WHERE r.chat_id IS NOT NULL) FROM res r
-                            WHERE r.cu IS NULL AND r.eu = u.user_id AND r.ec IS NULL)) AS chat_id,
-       coalesce(u.email, (SELECT max(r.email) FROM res r WHERE r.cu = u.user_id AND r.taker = r.request_id)) AS email
-FROM users u
-UNION ALL SELECT user_key, chat_id, email FROM res WHERE resolution = 'created'
+SELECT u.k AS user_key, u.c AS chat_id, u.e AS email
+FROM (SELECT unnest(arg_max(us, i)) AS u FROM replay GROUP BY f)
 """)
 def get_or_create_users(spark, sf):
     return _identity(spark, sf)[1]
@@ -350,22 +358,6 @@ def latest_snapshot(spark, sf):
     return usage.latest_snapshot(table(spark, sf, "events").filter(F.col("event_type") == "view"), "props")
 
 
-@register("burst_flag", """
-WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS sec,
-                            row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
-s AS (SELECT event_id, user_id, ts, sec, n, 1.0::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1
-      UNION ALL
-      SELECT event_id, user_id, ts, sec, n, level - CASE WHEN level >= 1 THEN 1 ELSE 0 END, level >= 1 FROM (
-        SELECT e.*, least(2.0::DOUBLE, s.tokens + (e.sec - s.sec) * (1.0::DOUBLE / 3600)) AS level
-        FROM s JOIN e ON e.user_id = s.user_id AND CAST(e.ts AS DATE) = CAST(s.ts AS DATE) AND e.n = s.n + 1))
-SELECT event_id AS request_id, user_id AS client, ts, allowed FROM s
-""")
-def burst_flag(spark, sf):
-    requests = table(spark, sf, "events").select(
-        F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts")
-    return tokens.burst_flag(requests, rate=1 / 3600, burst=2, reset_seconds=86_400)
-
-
 # --- configuration and uploads ------------------------------------------------------------------
 
 @register("tier_config", """

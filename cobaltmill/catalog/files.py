@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.catalog.cleaning import STAMPED_SQL, stamped_documents
 from cobaltmill.catalog.registry import register
+from cobaltmill.functions import vocab
 from cobaltmill.operators import aggregates as A
 from cobaltmill.operators import charts, headers
 from cobaltmill.session import fresh_path, table
@@ -126,13 +127,13 @@ def schema_sample(spark, sf):
 
 
 @register("bounded_read", """
-SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
-FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50000) GROUP BY o_orderstatus
+(SELECT 'first' AS reading, o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 700)
+UNION ALL SELECT 'all', o_orderkey, o_orderstatus FROM orders
 """)
 def bounded_read(spark, sf):
-    rows = raw.bounded_read(table(spark, sf, "orders"), "o_orderkey")
-    return rows.groupBy("o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    first = raw.bounded_read(orders, "o_orderkey", 700).withColumn("reading", F.lit("first"))
+    return first.unionByName(raw.bounded_read(orders, "o_orderkey").withColumn("reading", F.lit("all")))
 
 
 @register("text_scan", """
@@ -186,23 +187,26 @@ def sidecar_write(spark, sf):
 
 
 @register("chart_spec_write", """
-SELECT title, count(*) AS n_points, CAST(sum(n) AS DOUBLE) AS total FROM (
-  SELECT 'Distribución por estado' AS title, count(*) AS n FROM orders GROUP BY o_orderstatus
-  UNION ALL SELECT 'Distribución por prioridad', count(*) FROM orders GROUP BY o_orderpriority) GROUP BY title
+SELECT title, string_agg(label, '|' ORDER BY pos, label) AS labels, string_agg(CAST(n AS VARCHAR), '|' ORDER BY pos, label) AS points FROM (
+  SELECT 'Distribución por estado' AS title, 0 AS pos, o_orderstatus AS label, count(*) AS n FROM orders GROUP BY ALL
+  UNION ALL SELECT 'Distribución por prioridad', 0, o_orderpriority, count(*) FROM orders GROUP BY ALL
+  UNION ALL SELECT 'Distribución por mes', month(o_orderdate), list_extract(['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio',
+    'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'], month(o_orderdate)), count(*) FROM orders GROUP BY ALL) GROUP BY title
 """)
 def chart_spec_write(spark, sf):
-    orders = table(spark, sf, "orders")
+    names = F.array(*[F.lit(m) for m in vocab.MONTHS_ES])
+    orders = table(spark, sf, "orders").withColumn("mes", F.element_at(names, F.month("o_orderdate")))
     specs = [
         charts.option_json(charts.bar(A.group_by(orders, key), key, "value"), "bar", f"Distribución por {name}")
-        for key, name in (("o_orderstatus", "estado"), ("o_orderpriority", "prioridad"))
+        for key, name in (("o_orderstatus", "estado"), ("o_orderpriority", "prioridad"), ("mes", "mes"))
     ]
-    broken = orders.agg(F.concat(F.lit("{"), F.max("o_orderstatus")).alias("spec"))
+    broken = orders.agg(F.lit(0).cast("long").alias("block"), F.concat(F.lit("{"), F.max("o_orderstatus")).alias("spec"))
     written = sinks.write_chart_specs(reduce(DataFrame.unionByName, [*specs, broken]), fresh_path(spark, "charts"))
-    data = F.try_variant_get("spec", "$.series[0].data", "array<double>")
+    data = F.try_variant_get("spec", "$.series[0].data", "array<bigint>").cast("array<string>")
     return written.select(
         F.try_variant_get("spec", "$.title.text", "string").alias("title"),
-        F.size(data).cast("long").alias("n_points"),
-        F.aggregate(data, F.lit(0.0), lambda a, v: a + v).alias("total"),
+        F.array_join(F.try_variant_get("spec", "$.xAxis.data", "array<string>"), "|").alias("labels"),
+        F.array_join(data, "|").alias("points"),
     )
 
 

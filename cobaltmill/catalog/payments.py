@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cobaltmill.catalog.registry import register
 from cobaltmill.functions import webhooks as H
 from cobaltmill.operators import payments as P
-from cobaltmill.session import materialise, spread, table
+from cobaltmill.session import materialise, table
 
 SECRET = "not-a-real-secret"
 
@@ -32,10 +32,10 @@ END
 """
 
 
-def webhook_log(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "orders")).select(
+def webhook_log(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("ts"),
-        (F.col("o_totalprice") > 20000).alias("signature_ok"), F.expr(BODY).alias("body"))
+        (F.col("o_totalprice") > 20000).alias("signature_ok"), F.expr(BODY).alias("body"), *more)
 
 
 def _first(paths) -> str:
@@ -79,28 +79,29 @@ pesos AS (SELECT *, CASE WHEN amount_raw <= 0 THEN 0 WHEN amount_raw >= 1000000
 """
 
 
-def events(spark, sf) -> DataFrame:
-    return P.normalise_events(webhook_log(spark, sf))
+def events(spark, sf, *fields: str) -> DataFrame:
+    return P.normalise_events(webhook_log(spark, sf), fields=fields)
 
 
 @register("webhook_normalize", _EVENT_SQL + "SELECT event_id, type, status, reference, description, amount_raw FROM e")
 def webhook_normalize(spark, sf):
-    return events(spark, sf).select("event_id", "type", "status", "reference", "description", "amount_raw")
+    fields = ("type", "status", "reference", "description", "amount_raw")
+    return events(spark, sf, *fields).select("event_id", *fields)
 
 
 @register("payer_email", _EVENT_SQL + "SELECT event_id, payer_email FROM e")
 def payer_email(spark, sf):
-    return events(spark, sf).select("event_id", "payer_email")
+    return events(spark, sf, "payer_email").select("event_id", "payer_email")
 
 
 @register("payment_success", _EVENT_SQL + "SELECT event_id, is_success FROM e")
 def payment_success(spark, sf):
-    return events(spark, sf).select("event_id", "is_success")
+    return events(spark, sf, "type", "status").select("event_id", "is_success")
 
 
 @register("chat_id_extract", _EVENT_SQL + "SELECT event_id, chat_id FROM e")
 def chat_id_extract(spark, sf):
-    return events(spark, sf).select("event_id", "chat_id")
+    return events(spark, sf, "chat_id").select("event_id", "chat_id")
 
 
 _RAW_AMOUNT = "CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN -1 ELSE 1 END"
@@ -153,8 +154,8 @@ SELECT event_id, mac, header <> '' AND (lower(replace(trim(header), 'sha256=', '
 FROM h
 """)
 def signature_audit(spark, sf):
-    logged = webhook_log(spark, sf).drop("signature_ok").withColumn("mac", H.hmac_sha256(F.col("body"), SECRET))
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), "o_orderstatus", "o_orderpriority")
+    logged = webhook_log(spark, sf, "o_orderstatus", "o_orderpriority").drop("signature_ok").withColumn(
+        "mac", H.hmac_sha256(F.col("body"), SECRET))
     header = (
         F.when(F.col("o_orderpriority") == "5-LOW", F.base64(F.unhex("mac")))
         .when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), F.upper("mac")))
@@ -162,7 +163,7 @@ def signature_audit(spark, sf):
         .when(F.col("o_orderpriority") == "1-URGENT", "")
         .otherwise(F.concat(F.substring("mac", 3, 62), F.lit("zz")))
     )
-    return logged.join(orders, "event_id").select(
+    return logged.select(
         "event_id", "mac", H.signature_ok(F.col("body"), header, SECRET).alias("signature_ok"))
 
 
@@ -180,7 +181,7 @@ _PSP_SIGNED = (
 
 def _psp_log(spark, sf) -> DataFrame:
     body = _PSP_BODY.replace("{sha}", f"sha2({_PSP_SIGNED}, 256)")
-    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.expr(body).alias("body"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.expr(body).alias("body"))
 
 
 _PSP_SQL = f"WITH b AS (SELECT o_orderkey AS event_id, {_PSP_BODY.replace('{sha}', f'sha256({_PSP_SIGNED})')} AS body FROM orders)"
@@ -212,7 +213,8 @@ def psp_checksum(spark, sf):
 
 def payment_events(spark, sf) -> DataFrame:
     """Events with a reference, in the shape the fold reads."""
-    return events(spark, sf).filter(F.col("reference") != "").withColumn("amount", H.whole_pesos(F.col("amount_raw")))
+    read = events(spark, sf, "type", "status", "reference", "amount_raw", "chat_id", "payer_email")
+    return read.filter(F.col("reference") != "").withColumn("amount", H.whole_pesos(F.col("amount_raw")))
 
 
 _FOLD_SQL = """,
@@ -233,13 +235,24 @@ def payment_fold(spark, sf):
     return P.payment_fold(payment_events(spark, sf))
 
 
-@register("payment_fold_strict", _EVENT_SQL.rstrip() + """,
-l AS (SELECT *, max((ts, event_id)) FILTER (WHERE NOT is_success) OVER (PARTITION BY reference) AS last_failure
-      FROM pesos WHERE reference <> ''),
-r AS (SELECT *, is_success AND (last_failure IS NULL OR (ts, event_id) > last_failure) AS pays FROM l)""" + _FOLD_SQL)
+@register("payment_fold_strict", _EVENT_SQL.replace("WITH b", "WITH RECURSIVE b", 1).rstrip() + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY ts, event_id) AS i FROM pesos WHERE reference <> ''),
+replay AS (
+  SELECT reference, i, CASE WHEN is_success THEN 'paid' ELSE 'failed' END AS status, CASE WHEN is_success THEN ts END AS paid_at, amount,
+         CASE WHEN is_success THEN chat_id END AS payer_chat_id, CASE WHEN is_success THEN nullif(payer_email, '') END AS payer_email,
+         CAST(0 AS BIGINT) AS already_processed FROM o WHERE i = 1
+  UNION ALL
+  SELECT r.reference, o.i, CASE WHEN o.is_success THEN 'paid' ELSE 'failed' END,
+         CASE WHEN o.is_success AND r.status <> 'paid' THEN o.ts ELSE r.paid_at END, r.amount,
+         CASE WHEN o.is_success AND r.status <> 'paid' THEN coalesce(r.payer_chat_id, o.chat_id) ELSE r.payer_chat_id END,
+         CASE WHEN o.is_success AND r.status <> 'paid' THEN coalesce(r.payer_email, nullif(o.payer_email, '')) ELSE r.payer_email END,
+         r.already_processed + CASE WHEN o.is_success AND r.status = 'paid' THEN 1 ELSE 0 END
+  FROM replay r JOIN o ON o.reference = r.reference AND o.i = r.i + 1)
+SELECT reference, status, paid_at, amount, payer_chat_id, payer_email, already_processed, i AS n_events
+FROM replay QUALIFY i = max(i) OVER (PARTITION BY reference)
+""")
 def payment_fold_strict(spark, sf):
-    stored = materialise(payment_events(spark, sf).drop("body"), "payment-events")
-    return P.payment_fold(stored, strict_reference=True)
+    return P.payment_fold(payment_events(spark, sf), strict_reference=True)
 
 
 @register("payment_outcome", _EVENT_SQL.rstrip() + """,
@@ -253,5 +266,6 @@ FROM g
 """)
 def payment_outcome(spark, sf):
     # Stored once: the outcome reads the events twice and must not parse the bodies again.
-    stored = materialise(events(spark, sf).drop("body"), "payment-events")
+    read = events(spark, sf, "type", "status", "reference", "amount_raw", "chat_id")
+    stored = materialise(read.drop("body"), "payment-events")
     return P.payment_outcome(stored).select("event_id", "payment_reference", "outcome")

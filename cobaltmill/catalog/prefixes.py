@@ -10,15 +10,18 @@ from cobaltmill.functions import prefixes as X
 from cobaltmill.operators import prefix_batch as B
 from cobaltmill.session import table
 
-# Invented texts: six and eight digit prefixes, too short and overlong ones, and letters.
+# Invented texts: six and eight digit prefixes, too short and overlong ones, and letters. Several
+# overlong ones of a store begin alike and stay apart.
 _TEXT = """
 CASE p_size % 6 WHEN 0 THEN '  ' || (390000 + (p_partkey * 37) % 130000) WHEN 1 THEN (39000000 + (p_partkey * 7919) % 13000000) || ''
   WHEN 2 THEN (p_partkey % 100000) || '' WHEN 3 THEN 'AB' || p_partkey
   WHEN 4 THEN (400000000 + p_partkey * 104729 % 100000000) || '' ELSE (300000 + p_partkey % 50000) || ' ' END
 """
 _SQL = f"""
-WITH r AS (SELECT DISTINCT p_brand AS store_id, substr(trim({_TEXT}), 1, 8) AS prefix FROM part),
-f AS (SELECT *, regexp_full_match(prefix, '[0-9]{{6,8}}') AS format_ok FROM r),
+WITH t AS (SELECT p_brand AS store_id, trim({_TEXT}) AS typed FROM part),
+r AS (SELECT DISTINCT store_id, typed AS prefix, false AS overlong FROM t WHERE length(typed) <= 8
+      UNION ALL SELECT store_id, NULL, true FROM t WHERE length(typed) > 8),
+f AS (SELECT *, coalesce(regexp_full_match(prefix, '[0-9]{{6,8}}'), false) AS format_ok FROM r),
 d AS (SELECT *, CASE WHEN format_ok THEN list_sum([
          CASE WHEN i % 2 = 1 THEN (2 * CAST(substr(prefix, length(prefix) + 1 - i, 1) AS INT)) // 10
                                   + (2 * CAST(substr(prefix, length(prefix) + 1 - i, 1) AS INT)) % 10
@@ -37,44 +40,43 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
     return B.normalise(made)
 
 
-@register("prefix_normalize", _SQL + "SELECT store_id, prefix FROM r")
+@register("prefix_normalize", _SQL + "SELECT store_id, prefix, overlong FROM r")
 def prefix_normalize(spark, sf):
     return rows(spark, sf)
 
 
-@register("prefix_format", _SQL + "SELECT store_id, prefix, format_ok FROM f")
+@register("prefix_format", _SQL + "SELECT store_id, prefix, overlong, format_ok FROM f")
 def prefix_format(spark, sf):
     return rows(spark, sf).withColumn("format_ok", X.format_ok(F.col("prefix")))
 
 
-@register("prefix_checksum", _SQL + "SELECT store_id, prefix, checksum_ok FROM d")
+@register("prefix_checksum", _SQL + "SELECT store_id, prefix, overlong, checksum_ok FROM d")
 def prefix_checksum(spark, sf):
     return rows(spark, sf).withColumn("checksum_ok", X.checksum_ok(F.col("prefix")))
 
 
-@register("prefix_level", _SQL + "SELECT validation_level, count(*) AS n FROM c GROUP BY validation_level")
+@register("prefix_level", _SQL + "SELECT store_id, prefix, overlong, validation_level FROM c")
 def prefix_level(spark, sf):
-    levels = rows(spark, sf).select(X.level(F.col("prefix")).alias("validation_level"))
-    return levels.groupBy("validation_level").agg(F.count(F.lit(1)).alias("n"))
+    return rows(spark, sf).withColumn("validation_level", X.level(F.col("prefix")))
 
 
-@register("prefix_country", _SQL + "SELECT store_id, prefix, country FROM c")
+@register("prefix_country", _SQL + "SELECT store_id, prefix, overlong, country FROM c")
 def prefix_country(spark, sf):
     return rows(spark, sf).withColumn("country", X.country(F.col("prefix")))
 
 
-@register("prefix_brand", _SQL + "SELECT store_id, prefix, card_type FROM c")
+@register("prefix_brand", _SQL + "SELECT store_id, prefix, overlong, card_type FROM c")
 def prefix_brand(spark, sf):
     return rows(spark, sf).withColumn("card_type", X.brand(F.col("prefix")))
 
 
-@register("prefix_classify", _SQL + "SELECT store_id, prefix, country, card_type, validation_level FROM c")
+@register("prefix_classify", _SQL + "SELECT store_id, prefix, overlong, country, card_type, validation_level FROM c")
 def prefix_classify(spark, sf):
     return B.classify(rows(spark, sf))
 
 
 @register("store_summary", _SQL + """
-SELECT store_id, country, card_type, count(prefix) AS prefix_count,
+SELECT store_id, country, card_type, count(*) AS prefix_count,
        round(100 * avg(CASE WHEN validation_level = 'HIGH' THEN 1.0 ELSE 0.0 END), 6) AS high_validation_percent
 FROM c GROUP BY ALL
 """)

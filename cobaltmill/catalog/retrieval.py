@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.catalog.registry import register
 from cobaltmill.operators import retrieval as R
+from cobaltmill.operators.ordering import first_n
 from cobaltmill.session import fresh_path, table
 from cobaltmill.sources.sinks import append_index
 
@@ -42,15 +43,23 @@ def cosine_topk_batch(spark, sf):
 
 
 @register("tenant_scope", f"""
-SELECT e.label, e.vec_id, round({_COS}, 6) AS score
-FROM embeddings e JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q
-  ON e.label = q.label
-QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY {_COS} DESC, e.vec_id) <= 5
+WITH e AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label, embedding[1:9] FROM embeddings),
+q AS (SELECT vec_id, label, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3
+      UNION ALL SELECT vec_id + 1000000, label, embedding[1:9] FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)
+SELECT q.vec_id AS query_id, e.label, e.vec_id, round({_COS}, 6) AS score
+FROM e JOIN q ON e.label = q.label AND len(e.embedding) = len(q.embedding)
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) <= 5
 """)
 def tenant_scope(spark, sf):
-    index = table(spark, sf, "embeddings")
-    found = R.tenant_topk(index, _first_per_label(index), "label")
-    return found.select("label", "vec_id", F.round("score", 6).alias("score"))
+    whole = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    short = whole.select((F.col("vec_id") + 1000000).alias("vec_id"), "label", F.slice("embedding", 1, 9).alias("embedding"))
+
+    def asked(index, n):
+        return first_n(index, ["label"], [F.col("vec_id")], n).select(
+            F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("vector"))
+
+    found = R.tenant_topk(whole.unionByName(short), asked(whole, 3).unionByName(asked(short, 1)), "label")
+    return found.select("query_id", "label", "vec_id", F.round("score", 6).alias("score"))
 
 
 @register("index_append", """

@@ -26,7 +26,8 @@ def daily_quota_stream(spark, sf):
 def payment_fold_stream(spark, sf):
     log = table_stream(spark, sf, "orders").select(
         F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("ts"), F.expr(Y.BODY).alias("body"))
-    events = P.normalise_events(log).filter(F.col("reference") != "")
+    fields = ("type", "status", "reference", "amount_raw", "chat_id", "payer_email")
+    events = P.normalise_events(log, fields=fields).filter(F.col("reference") != "")
     events = events.withColumn("amount", H.whole_pesos(F.col("amount_raw")))
     return jobs.payment_fold_stream(events, fresh_path(spark, "payments"))
 

@@ -92,7 +92,7 @@ def parse_date(c: Column) -> Column:
 
 def value_coerce(c: Column) -> Column:
     """Chart value: null, text and NaN become 0; others are kept to four places."""
-    number = c.cast("double") if not isinstance(c, str) else F.col(c).cast("double")
+    number = (F.col(c) if isinstance(c, str) else c).try_cast("double")
     return F.round(F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0)), 4)
 
 

@@ -1,4 +1,4 @@
-"""Issuer prefixes: 6 to 8 digits only. Longer inputs are cut by the reader and never stored."""
+"""Issuer prefixes: at most 8 characters. Of longer inputs the reader keeps only that they are overlong."""
 
 from __future__ import annotations
 
@@ -12,8 +12,16 @@ PREFIX_FORMAT = r"^\d{6,8}$"
 # ------------------------------------------------------------------------------------------------
 
 
+PREFIX_CHARS = 8
+
+
+def is_overlong(c: Column) -> Column:
+    return F.coalesce(F.length(F.trim(c.cast("string"))) > PREFIX_CHARS, F.lit(False))
+
+
 def read_prefix(c: Column) -> Column:
-    return F.substring(F.trim(c.cast("string")), 1, 8)
+    """The trimmed prefix; null for an overlong input, of which nothing may be kept."""
+    return F.when(~is_overlong(c), F.trim(c.cast("string")))
 
 
 def format_ok(prefix: Column) -> Column:

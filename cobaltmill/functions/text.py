@@ -29,6 +29,10 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACES))
 
 
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(_SPACES))
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(_SPACES))
 
@@ -169,15 +173,21 @@ def catalog_name(column_name: Column) -> Column:
     return out
 
 
+# --- fixed values: the lines of the report style contract ---------------------------------------
+STYLE_CONTRACT = (
+    "CONTRATO DE ESTILO ACTUAL:\n"
+    "- Perfil del stakeholder: %s\n"
+    "- Estilo de lenguaje: %s\n"
+    "- Dialecto / región: %s\n"
+    "- Color primario: %s | Secundario: %s\n"
+    "- Tamaños: cuerpo %d pt, títulos %d pt\n"
+)
+# ------------------------------------------------------------------------------------------------
+
+
 def style_block(profile: Column, language: Column, dialect: Column, primary: Column,
                 secondary: Column, body_size: Column, title_size: Column) -> Column:
     """The report style contract of one configuration row as text."""
     return F.format_string(
-        "CONTRATO DE ESTILO ACTUAL:\n"
-        "- Perfil del stakeholder: %s\n"
-        "- Estilo de lenguaje: %s\n"
-        "- Dialecto / región: %s\n"
-        "- Color primario: %s | Secundario: %s\n"
-        "- Tamaños: cuerpo %d pt, títulos %d pt\n",
-        profile, language, dialect, primary, secondary, body_size, title_size,
+        STYLE_CONTRACT, profile, language, dialect, primary, secondary, body_size, title_size,
     )

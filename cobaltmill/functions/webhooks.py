@@ -1,7 +1,7 @@
 """Payment webhook bodies: fields, ids, amounts and signatures as column expressions.
 
-A body is parsed once against one schema that covers every path; each field is then the first
-match among its ordered paths. Catalyst drops the parts of the schema that a query does not use.
+A body is parsed once against a schema of the paths of the wanted fields; each field is then the
+first match among its ordered paths.
 """
 
 from __future__ import annotations
@@ -60,14 +60,18 @@ PSP_APPROVED = ("APPROVED", "COMPLETED")
 # ------------------------------------------------------------------------------------------------
 
 
-def _schema() -> str:
-    """Schema of all paths: text leaves, and variant leaves for amounts (which may be null)."""
-    texts = (
-        TYPE_PATHS + STATUS_PATHS + REFERENCE_PATHS + DESCRIPTION_PATHS + EMAIL_PATHS
-        + CHAT_ID_PATHS + CHAT_TEXT_PATHS + CHAT_REFERENCE_PATHS
-    )
+#: The paths of each field.
+FIELD_PATHS = {
+    "type": TYPE_PATHS, "status": STATUS_PATHS, "reference": REFERENCE_PATHS,
+    "description": DESCRIPTION_PATHS, "amount_raw": AMOUNT_PATHS, "payer_email": EMAIL_PATHS,
+    "chat_id": CHAT_ID_PATHS + CHAT_TEXT_PATHS + CHAT_REFERENCE_PATHS,
+}
+
+
+def body_schema(fields: tuple[str, ...]) -> str:
+    """Schema of the fields' paths: text leaves, and variant leaves for amounts (which may be null)."""
     tree: dict = {}
-    for path in texts + AMOUNT_PATHS:
+    for path in dict.fromkeys(p for f in fields for p in FIELD_PATHS[f]):
         *parents, leaf = path.split(".")
         node = tree
         for name in parents:
@@ -83,11 +87,8 @@ def _schema() -> str:
     return f"struct<{ddl(tree)}>"
 
 
-BODY_SCHEMA = _schema()
-
-
-def parse_body(raw: Column) -> Column:
-    return F.from_json(raw, BODY_SCHEMA)
+def parse_body(raw: Column, fields: tuple[str, ...] = tuple(FIELD_PATHS)) -> Column:
+    return F.from_json(raw, body_schema(fields))
 
 
 def _field(body: Column, path: str) -> Column:

@@ -33,7 +33,7 @@ def group_by(df: DataFrame, key: str, agg: str = "count", value: str | None = No
     return grouped.agg(aggregate(col, agg).alias(name)).orderBy(key)
 
 
-def conditional_pct(df: DataFrame, keys: list[str], counted: str, condition: Column,
+def conditional_pct(df: DataFrame, keys: list[str], counted: str | Column, condition: Column,
                     count_name: str, pct_name: str) -> DataFrame:
     """Per group the filled count and the percentage of rows that meet a condition."""
     hit = F.when(condition, 1.0).otherwise(0.0)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +9,12 @@ from cobaltmill.functions import numbers as N
 from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 from cobaltmill.operators.aggregates import group_by
+from cobaltmill.operators.ordering import positions
 from cobaltmill.operators.profile import column_roles, is_numeric
 from cobaltmill.session import materialise
 
-# A chart option is one JSON document for a browser; beyond this use the relation itself.
-OPTION_POINTS = 10_000
-AXIS_LABELS = 1_000
+# Points in one JSON document.
+OPTION_BLOCK = 1_000
 
 
 def points(df: DataFrame, label: str, value: str) -> DataFrame:
@@ -74,111 +70,84 @@ def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(N.value_coerce(F.col(x)).alias("x"), N.value_coerce(F.col(y)).alias("y"))
 
 
-def axis_labels(df: DataFrame, column: str) -> list[str]:
-    """Distinct labels of an axis in order; an axis that cannot be drawn is an error."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(AXIS_LABELS + 1)
-    labels = sorted(r[0] for r in found.collect())
-    if len(labels) > AXIS_LABELS:
-        raise ValueError(f"{column} has over {AXIS_LABELS} labels; group it before drawing")
-    return labels
+def axis(df: DataFrame, column: str, index: str) -> DataFrame:
+    """Distinct labels of an axis with their position in order, however many there are."""
+    labels = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return materialise(positions(labels, [F.col(column)], index), "axis")
 
 
 def heatmap(matrix: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Matrix cells as column index, row index, value, with the colour range (at least -1 to 1)."""
     matrix = materialise(matrix.select(row, col, value), "matrix")
-    rows, cols = axis_labels(matrix, row), axis_labels(matrix, col)
-
-    def index(c: str, labels: list[str]) -> Column:
-        return (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(c)) - 1).cast("long")
-
     v = F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
     span = matrix.agg(F.struct(
         F.least(F.min(v), F.lit(-1.0)).alias("low"), F.greatest(F.max(v), F.lit(1.0)).alias("high")
     )).scalar()
-    return matrix.select(
-        index(col, cols).alias("x"), index(row, rows).alias("y"), F.round(v, 3).alias("v"),
+    placed = matrix.join(axis(matrix, col, "x"), col, "left").join(axis(matrix, row, "y"), row, "left")
+    return placed.select(
+        "x", "y", F.round(v, 3).alias("v"),
         F.round(span.getField("low"), 3).alias("colour_min"),
         F.round(span.getField("high"), 3).alias("colour_max"),
     )
 
 
-def _pair_sums(cols: list[str], origin: np.ndarray):
-    """Per partition the sums of every column pair over the rows where both are known."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, len(cols), len(cols)))
-        for batch in batches:
-            x = np.column_stack([
-                batch[c].to_numpy(zero_copy_only=False).astype(float) for c in cols
-            ]) - origin
-            known = ~np.isnan(x)
-            x, m = np.where(known, x, 0.0), known.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        names = ("n", "s", "q", "p")
-        yield pa.RecordBatch.from_pydict({k: [total[i].ravel()] for i, k in enumerate(names)})
-
-    return run
-
+def corr_matrix(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Pairwise-complete Pearson correlations of the numeric columns, in one aggregate.
 
-def corr_matrix(df: DataFrame, max_columns: int = 12) -> DataFrame:
-    """Pairwise-complete Pearson correlations of the first numeric columns.
-
-    Each partition reduces its rows to four small matrices in numpy; Spark adds those up. Values
-    are taken relative to a sample mean, which keeps the sums accurate for large offsets.
+    A column without spread has no correlation (null). Without numeric columns there are no rows.
     """
     cols = [f.name for f in df.schema.fields if is_numeric(f)][:max_columns]
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    sample = np.array(values.take(1000), dtype=float).reshape(-1, len(cols))  # a few partitions
-    known = np.isfinite(sample)
-    origin = np.where(known, sample, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
-    cells = ", ".join(f"{k} array<double>" for k in "nsqp")
-    parts = values.mapInArrow(_pair_sums(cols, origin), cells)
-    zipped = F.posexplode(F.arrays_zip(*list("nsqp")))
-    sums = parts.select(zipped.alias("pos", "c")).groupBy("pos").agg(
-        *[F.sum(f"c.{k}").alias(k) for k in "nsqp"]
-    )
-    k = len(cols)
-    names = F.array(*[F.lit(c) for c in cols])
-    i, j = F.floor(F.col("pos") / k).cast("int"), (F.col("pos") % k).cast("int")
-    # The mirrored cell holds the sums of the other column over the same rows.
-    mirror = sums.select(
-        ((F.col("pos") % k) * k + F.floor(F.col("pos") / k)).cast("int").alias("pos"),
-        F.col("s").alias("t"), F.col("q").alias("u"),
-    )
-    n = F.col("n")
-    spread = F.sqrt((n * F.col("q") - F.col("s") ** 2) * (n * F.col("u") - F.col("t") ** 2))
-    r = (n * F.col("p") - F.col("s") * F.col("t")) / F.nullif(spread, F.lit(0.0))
-    return sums.join(mirror, "pos").select(
-        F.get(names, i).alias("row"), F.get(names, j).alias("col"), r.alias("r")
-    )
+    if not cols:
+        return df.sparkSession.createDataFrame([], "row string, col string, r double")
+    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"v{i}")
+                         for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
 
+    def corr(x: Column, y: Column) -> Column:  # the built-in one stops at columns without spread
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), spread)
 
-def stacked(df: DataFrame, category: str, segment: str, value: str,
-            segments: list[str] | None = None) -> DataFrame:
-    """One value per category and segment; combinations without rows are 0."""
-    sums = df.groupBy(category, segment).agg(F.sum(value).alias("__sum"))
-    if segments is None:
-        sums = materialise(sums, "segments")
-        segments = axis_labels(sums, segment)
-    wide = sums.groupBy(category).pivot(segment, segments).agg(F.sum("__sum"))
+    found = values.agg(*[corr(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"r_{i}_{j}") for i, j in pairs])
     cells = F.explode(F.array(*[
-        F.struct(
-            F.lit(s).alias("segment"), N.value_coerce(F.col(f"`{s}`")).alias("value")
-        )
-        for s in segments
+        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"),
+                 F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r"))
+        for i, a in enumerate(cols) for j, b in enumerate(cols)
     ]))
-    flat = wide.select(N.label_coerce(F.col(category)).alias("label"), cells.alias("c"))
-    return flat.select("label", "c.*")
+    return found.select(cells.alias("c")).select("c.*")
+
 
+def stacked(df: DataFrame, category: str, segment: str, value: str,
+            segments: list[str] | None = None) -> DataFrame:
+    """One value per category and segment; combinations without rows are 0.
 
-def option_json(chart: DataFrame, kind: str, title: str) -> DataFrame:
-    """One JSON chart specification from a (label, value) relation that a browser can draw."""
-    if chart.limit(OPTION_POINTS + 1).count() > OPTION_POINTS:
-        raise ValueError("too many points for one chart option; use the relation")
-    ordered = F.sort_array(F.collect_list(F.struct("label", "value")))
+    The segments are the chart's series; their names, not the rows, are held as one list.
+    """
+    sums = materialise(
+        df.groupBy(category, segment).agg(F.sum(value).alias("__sum")), "segments")
+    named = sums.agg(F.array_sort(F.collect_set(segment))).scalar() if segments is None else F.lit(segments)
+    cells = sums.select(F.col(category).alias("__category")).distinct().select(
+        "__category", F.explode(named).alias("segment"))
+    joined = cells.join(
+        sums, F.col("__category").eqNullSafe(F.col(category)) & (F.col("segment") == F.col(segment)), "left")
+    return joined.select(
+        N.label_coerce(F.col("__category")).alias("label"), cells["segment"],
+        N.value_coerce(F.col("__sum")).alias("value"))
+
+
+def option_json(chart: DataFrame, kind: str, title: str, block: int = OPTION_BLOCK) -> DataFrame:
+    """JSON chart specification from a (label, value) relation, one row per ``block`` points.
+
+    Points stand in the order of ``sort_key`` (if there is one) and label. A browser draws the only
+    block of a usual chart; a longer one comes in blocks, numbered from 0.
+    """
+    order = [F.col(c) for c in ("sort_key", "label", "value") if c in chart.columns]
+    placed = positions(chart.select("label", "value", *[c for c in ("sort_key",) if c in chart.columns]), order)
+    ordered = F.sort_array(F.collect_list(F.struct("position", "label", "value")))
     series = F.struct(
         F.lit(kind).alias("type"), F.transform(ordered, lambda p: p["value"]).alias("data")
     )
-    return chart.agg(F.to_json(F.struct(
+    blocks = placed.groupBy(F.floor(F.col("position") / block).alias("block"))
+    return blocks.agg(F.to_json(F.struct(
         F.struct(F.lit(title).alias("text")).alias("title"),
         F.struct(F.transform(ordered, lambda p: p["label"]).alias("data")).alias("xAxis"),
         F.array(series).alias("series"),
@@ -193,7 +162,7 @@ def chart_plan(df: DataFrame) -> dict | None:
     if group is None:
         return None
     value = next((r["column"] for r in roles if r["is_numeric"] and r["column"] != group["column"]), None)
-    distinct = group["n_distinct_to_51"] or 51
+    distinct = group["n_distinct"] or 0
     kind = (
         "line" if dated else "pie" if distinct <= 7
         else "horizontal_bar" if distinct > 15 else "bar"

@@ -1,68 +1,84 @@
-"""Cut texts into overlapping chunks or message blocks. Documents run in parallel."""
+"""Cut texts into overlapping chunks or message blocks, with column expressions only.
 
-from __future__ import annotations
+A text is folded into its pieces: the state of the fold is what is left of the text, and each step
+looks for the last break in the window at its front. Documents run in parallel.
+"""
 
-from collections.abc import Callable, Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 
+_PIECES = "array<struct<chunk:string,is_tail:boolean>>"
+
+
+def _last(window: Column, mark: str) -> Column:
+    """Characters of the window before the last ``mark``; null if it does not occur."""
+    back = F.locate(mark[::-1], F.reverse(window))
+    return F.when(back > 0, F.length(window) - back - (len(mark) - 1))
+
+
+def _explode_pieces(df: DataFrame, key: str, pieces: Column) -> DataFrame:
+    return df.select(key, F.posexplode(pieces).alias("chunk_index", "__piece")).select(
+        key, F.col("chunk_index").cast("long").alias("chunk_index"), "__piece.chunk", "__piece.is_tail")
+
 
-def _chunks(text: str, size: int, overlap: int) -> Iterator[tuple[str, bool]]:
-    """Chunks of one text; the flag marks a last chunk that only repeats the overlap."""
-    text = (text or "").strip()
-    start, covered = 0, 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            newline = text.rfind("\n", start, end + 1)
-            cut = newline if newline >= 0 else text.rfind(". ", start, end + 1)
-            end = cut + 1 if cut >= 0 else end
-        piece = text[start:end].strip()
-        if piece:
-            yield piece, covered >= len(text)
-        covered = max(covered, end)
-        start = end - overlap if end - start > overlap else end
-
-
-def _blocks(text: str, size: int) -> Iterator[tuple[str, bool]]:
-    """Message blocks: cut after the last newline when it lies past the middle."""
-    text = (text or "").strip()
-    while text:
-        block = text[:size]
-        if len(text) > size:
-            newline = block.rfind("\n")
-            block = block[:newline + 1] if newline > size // 2 else block
-        yield block, False
-        text = text[len(block):].lstrip()
-
-
-def _explode_text(df: DataFrame, key: str, text: str, cutter: Callable) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, i, piece, tail)
-                for k, t in zip(batch[key], batch[text])
-                for i, (piece, tail) in enumerate(cutter(t))
-            ]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk", "is_tail"])
-
-    key_type = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, chunk_index long, chunk string, is_tail boolean"
-    return df.select(key, text).mapInPandas(run, schema)
+def _start(text: Column) -> Column:
+    return F.struct(text.alias("rest"), F.lit(0).alias("at"), F.lit(0).alias("covered"),
+                    F.array().cast(_PIECES).alias("pieces"))
 
 
 def chunk_text(df: DataFrame, key: str, text: str, size: int = vocab.CHUNK_CHARS,
                overlap: int = vocab.CHUNK_OVERLAP) -> DataFrame:
-    """Windows of ``size`` characters cut at the last newline, else the last sentence end."""
-    return _explode_text(df, key, text, lambda t: _chunks(t, size, overlap))
+    """Windows of ``size`` characters cut after the last line feed, else after the last sentence end.
+
+    The next window goes back by ``overlap`` characters, unless the piece is no longer than that.
+    ``is_tail`` marks a last piece that only repeats the overlap. Blank pieces are left out.
+    """
+    whole = T.strip(F.coalesce(F.col(text), F.lit("")))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        window = F.substring(rest, 1, size + 1)
+        cut = F.coalesce(_last(window, "\n"), _last(window, ". ")) + 1
+        took = F.when(F.length(rest) > size, F.coalesce(cut, F.lit(size))).otherwise(size)
+        end = state["at"] + took
+        onward = F.when(took > overlap, took - overlap).otherwise(took)
+        piece = T.strip(F.substring(rest, F.lit(1), took))
+        tail = state["covered"] >= F.length("__text")
+        grown = F.array_append(state["pieces"], F.struct(piece.alias("chunk"), tail.alias("is_tail")))
+        return F.when(rest == "", state).otherwise(F.struct(
+            F.substring(rest, onward + 1, F.length(rest)).alias("rest"), (state["at"] + onward).alias("at"),
+            F.greatest(state["covered"], end).alias("covered"),
+            F.when(piece != "", grown).otherwise(state["pieces"]).alias("pieces")))
+
+    # A window without a late break is followed by one that reaches on, so two steps pass most of a window.
+    steps = F.ceil(F.length("__text") * 2 / max(size - 2 * overlap, 1)) + 3
+    folded = F.aggregate(F.sequence(F.lit(1), steps.cast("int")), _start(F.col("__text")), step, lambda s: s["pieces"])
+    return _explode_pieces(df.select(key, whole.alias("__text")), key, folded)
 
 
 def split_message(df: DataFrame, key: str, text: str, size: int = vocab.MESSAGE_LIMIT) -> DataFrame:
-    return _explode_text(df, key, text, lambda t: _blocks(t, size)).drop("is_tail")
+    """Message blocks of at most ``size`` characters, cut after the last line feed past the middle."""
+    whole = T.strip(F.coalesce(F.col(text), F.lit("")))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        block = F.substring(rest, 1, size)
+        feed = _last(block, "\n")
+        took = F.when((F.length(rest) > size) & (feed > size // 2), feed + 1).otherwise(size)
+        piece = F.struct(F.substring(rest, F.lit(1), took).alias("chunk"), F.lit(False).alias("is_tail"))
+        onward = T.lstrip(F.substring(rest, took + 1, F.length(rest)))
+        return F.when(rest == "", state).otherwise(F.struct(
+            onward.alias("rest"), state["at"].alias("at"), state["covered"].alias("covered"),
+            F.array_append(state["pieces"], piece).alias("pieces")))
+
+    steps = F.ceil(F.length("__text") / max(size // 2, 1)) + 1
+    folded = F.aggregate(F.sequence(F.lit(1), steps.cast("int")), _start(F.col("__text")), step, lambda s: s["pieces"])
+    return _explode_pieces(df.select(key, whole.alias("__text")), key, folded).drop("is_tail")
 
 
 def chunk_fixed(df: DataFrame, key: str, text: str, size: int = vocab.CHUNK_CHARS,

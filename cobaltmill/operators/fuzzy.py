@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,36 +32,49 @@ def levenshtein_match(c: Column, terms: tuple[str, ...]) -> Column:
     return T.let(catalog_key(c), best)
 
 
-def difflib_match(c: Column, terms: tuple[str, ...]) -> Column:
-    """Same, with the matching-block ratio of the standard library."""
+def ratio_match(c: Column, terms: tuple[str, ...]) -> Column:
+    """Best term and score; the score is the share of letters that stand in common order.
+
+    The longest common subsequence is found with one number per letter: bit ``i`` of the state falls
+    once the first ``i + 1`` letters of the term hold one more letter of the common order.
+    """
+    if max(map(len, terms)) > 62:
+        raise ValueError("terms may have 62 letters at most")
+    choices = F.array(*[
+        F.struct(F.lit(t).alias("term"), F.lit((1 << len(t)) - 1).cast("long").alias("bits"),
+                 F.create_map(*[x for letter in dict.fromkeys(t) for x in (F.lit(letter), F.lit(sum(
+                     1 << i for i, other in enumerate(t) if other == letter)).cast("long"))]).alias("places"))
+        for t in terms])
+
+    def best(key: Column) -> Column:
+        letters = F.split(key, "")
+
+        def scored(choice: Column, pos: Column) -> Column:
+            def step(state: Column, letter: Column) -> Column:
+                hit = state.bitwiseAND(F.coalesce(F.try_element_at(choice["places"], letter), F.lit(0).cast("long")))
+                return (state + hit).bitwiseOR(state - hit).bitwiseAND(choice["bits"])
 
-    @F.pandas_udf("score int, earlier int, term string")
-    def best_block(keys: pd.Series) -> pd.DataFrame:
-        def best(key: str | None):
-            if not key:
-                return None, None, None
-            scores = [int(100 * SequenceMatcher(None, key, t).ratio()) for t in terms]
-            top = max(range(len(terms)), key=lambda i: scores[i])
-            return scores[top], -top, terms[top]
+            left = F.aggregate(letters, choice["bits"], step)
+            common = F.length(choice["term"]) - F.bit_count(left)
+            score = F.floor(common * 200 / (F.length(key) + F.length(choice["term"])))
+            return F.struct(score.cast("int").alias("score"), (-pos).alias("earlier"), choice["term"].alias("term"))
 
-        return pd.DataFrame([best(k) for k in keys], columns=["score", "earlier", "term"]).astype(
-            {"score": "Int32", "earlier": "Int32"}
-        )
+        return F.when(key != "", F.array_max(F.transform(choices, scored)))
 
-    return best_block(catalog_key(c))
+    return T.let(catalog_key(c), best)
 
 
-SCORERS = {"levenshtein": levenshtein_match, "difflib": difflib_match}
+SCORERS = {"ratio": ratio_match, "levenshtein": levenshtein_match}
 
 
-def best_terms(df: DataFrame, column: str, catalog: str, scorer: str = "levenshtein") -> DataFrame:
+def best_terms(df: DataFrame, column: str, catalog: str, scorer: str = "ratio") -> DataFrame:
     """One row per distinct value: its best term and score."""
     match = SCORERS[scorer](F.col(column), vocab.CATALOGS[catalog])
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
     return values.select(column, match.alias("m")).select(column, "m.term", "m.score")
 
 
-def harmonize(df: DataFrame, column: str, catalog: str, scorer: str = "levenshtein",
+def harmonize(df: DataFrame, column: str, catalog: str, scorer: str = "ratio",
               threshold: int = vocab.FUZZY_SCORE) -> DataFrame:
     """Replace values that score at least ``threshold`` by their catalog term.
 

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cobaltmill.session import materialise
+
 BLOCK_BITS = 20
 LEVELS = 2
+KEY_PARTS = 64
 
 
 def _last_known(name: str, order: str) -> Column:
@@ -94,14 +97,28 @@ def first_n(df: DataFrame, keys: list[str], by: list[Column], n: int,
             rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each key in the given order.
 
-    Spark limits each map partition to ``n`` rows per key before the shuffle (window group limit),
-    so a hot key sends only ``n`` rows per partition to its task. Spark does so up to 1000 rows;
-    for more, hashed parts of each key are limited first.
+    Ranked twice: first within hashed parts of each key, then among the ``n`` best of the parts. A
+    key that holds most rows is thereby spread over the parts, and Spark limits every map partition
+    to ``n`` rows per key and part before the shuffle (window group limit).
     """
-    if n > 1000:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(256))
-        parts = W.partitionBy(*keys, "__part").orderBy(*by)
-        ranked = df.withColumn("__part", part).withColumn(rank, F.row_number().over(parts))
-        df = ranked.filter(F.col(rank) <= n).drop("__part", rank)
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(KEY_PARTS))
+    parts = W.partitionBy(*keys, "__part").orderBy(*by)
+    best = df.withColumn("__part", part).withColumn(rank, F.row_number().over(parts)).filter(F.col(rank) <= n)
     window = W.partitionBy(*keys).orderBy(*by)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    return best.drop("__part", rank).withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Number the rows 0, 1, ... in a global order without a window over the whole table.
+
+    A range sort is stored with row numbers that count within each of its partitions; the window
+    runs over one row per partition only. Keep ``df`` narrow.
+    """
+    stored = materialise(df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("__mid", 33)
+    sizes = stored.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = stored.withColumn("__part", part).join(starts, "__part")
+    return numbered.withColumn(name, F.col("__start") + within).drop("__mid", "__part", "__start")

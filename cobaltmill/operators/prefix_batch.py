@@ -10,8 +10,14 @@ from cobaltmill.operators.aggregates import conditional_pct
 
 
 def normalise(rows: DataFrame, prefix: str = "prefix") -> DataFrame:
-    """Trimmed prefixes of at most 8 characters; exact duplicate rows dropped."""
-    return rows.withColumn(prefix, P.read_prefix(F.col(prefix))).dropDuplicates()
+    """Trimmed prefixes and the flag ``overlong``; exact duplicate rows dropped.
+
+    An overlong input becomes a null prefix. Such rows may stem from different inputs, which must not
+    be compared, so all of them stay.
+    """
+    read = rows.withColumn("overlong", P.is_overlong(F.col(prefix))).withColumn(
+        prefix, P.read_prefix(F.col(prefix)))
+    return read.filter(~F.col("overlong")).dropDuplicates().unionByName(read.filter("overlong"))
 
 
 def classify(rows: DataFrame, prefix: str = "prefix") -> DataFrame:
@@ -23,8 +29,9 @@ def classify(rows: DataFrame, prefix: str = "prefix") -> DataFrame:
 
 
 def store_summary(classified: DataFrame, prefix: str = "prefix") -> DataFrame:
-    """Prefixes and percentage of HIGH per store, country and brand."""
+    """Inputs and percentage of HIGH per store, country and brand; overlong inputs count as LOW."""
     return conditional_pct(
-        classified, ["store_id", "country", "card_type"], prefix,
+        classified, ["store_id", "country", "card_type"],
+        F.when(F.col(prefix).isNotNull() | F.col("overlong"), F.lit(1)),
         F.col("validation_level") == "HIGH", "prefix_count", "high_validation_percent",
     )

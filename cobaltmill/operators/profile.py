@@ -85,32 +85,25 @@ def is_numeric(field: T.StructField) -> bool:
 
 
 def column_roles(df: DataFrame) -> DataFrame:
-    """Role of every column for charting.
+    """Role of every column for charting, with the exact number of distinct values of text columns.
 
-    Distinct counts only matter up to 50. A sketch pass rules out the wide columns; the exact
-    count then runs on columns with few values, where it collapses map-side.
+    Categories have 2 to 50 values.
     """
     fields = df.schema.fields
     texts = [f.name for f in fields if not is_numeric(f)]
-    sketch = (
-        df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"a{i}") for i, c in enumerate(texts)])
-        .first() if texts else []
-    )
-    narrow = [c for i, c in enumerate(texts) if sketch[i] <= 100]
     counts = df.agg(
         F.lit(1).alias("one"),
-        *[F.count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(narrow)],
+        *[F.count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(texts)],
     )
     rows = []
     for pos, f in enumerate(fields):
-        distinct = F.col(f"d{narrow.index(f.name)}") if f.name in narrow else F.lit(51)
-        capped = F.least(distinct, F.lit(51)).cast("long")
+        distinct = F.col(f"d{texts.index(f.name)}") if f.name in texts else F.lit(None)
         numeric = F.lit(is_numeric(f))
         dated = F.lit(any(h in f.name.lower() for h in vocab.CHART_DATE_HINTS))
         rows.append(F.struct(
             F.lit(pos).cast("long").alias("pos"), F.lit(f.name).alias("column"),
             numeric.alias("is_numeric"), dated.alias("is_date"),
-            F.when(~numeric, capped).alias("n_distinct_to_51"),
-            F.coalesce(~numeric & capped.between(2, 50), F.lit(False)).alias("is_categorical"),
+            distinct.cast("long").alias("n_distinct"),
+            F.coalesce(distinct.between(2, 50), F.lit(False)).alias("is_categorical"),
         ))
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

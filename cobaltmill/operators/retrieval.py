@@ -15,13 +15,15 @@ from cobaltmill.functions import vocab
 from cobaltmill.operators.ordering import first_n
 from cobaltmill.session import materialise
 
-# Queries travel to the tasks inside the function; larger sets are searched block by block.
-QUERY_BLOCK = 1024
+# Queries that are scored together, vectors of a packed piece of the index, and parts of the index that
+# queries are copied to.
+QUERY_BLOCK = 256
+CHUNK_ROWS = 4096
+PARTS = 64
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -29,32 +31,41 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _partition_top(query_ids: np.ndarray, queries: np.ndarray, k: int, id_col: str, vec_col: str):
-    """Keeps the best ``k`` per query while streaming through a partition."""
-    dim = queries.shape[1]
-    unit_queries = _unit(queries)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) of each size as pieces: unit vectors in one binary, ids in another."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0)
+        for dim in pc.unique(sizes).to_pylist():
+            rows = batch.filter(pc.and_(pc.equal(sizes, dim), pc.is_valid(batch.column(0)))) if dim else None
+            for start in range(0, rows.num_rows if rows else 0, CHUNK_ROWS):
+                part = rows.slice(start, CHUNK_ROWS)
+                ids = part.column(0).cast(pa.int64()).to_numpy()
+                yield pa.RecordBatch.from_pydict({
+                    "dim": pa.array([dim], pa.int32()), "ids": [ids.tobytes()],
+                    "vectors": [_unit(_matrix(part.column(1), dim)).tobytes()]})
 
+
+PACKED = "dim int, ids binary, vectors binary"
+
+
+def _best(k: int):
+    """Scores a block of queries against a piece of the index and keeps the best ``k`` of each query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        which, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for batch in batches:
-            usable = batch.filter(pc.equal(pc.list_value_length(batch[vec_col]), dim))
-            if usable.num_rows == 0:
-                continue
-            scores = unit_queries @ _unit(_matrix(usable[vec_col], dim)).T
-            worst = -np.inf
-            if usable.num_rows > k:
-                worst = np.partition(scores, -k, axis=1)[:, [-k]]
-            rows, cols = np.nonzero(scores >= worst)  # ties with the k-th score stay in
-            which = np.concatenate([which, rows])
-            ids = np.concatenate([ids, usable[id_col].to_numpy()[cols]])
-            score = np.concatenate([score, scores[rows, cols]])
-            order = np.lexsort((ids, -score, which))
-            which, ids, score = which[order], ids[order], score[order]
-            position = np.arange(len(which)) - np.searchsorted(which, which)
-            which, ids, score = (a[position < k] for a in (which, ids, score))
-        yield pa.RecordBatch.from_pydict(
-            {"query_id": query_ids[which], "vec_id": ids, "score": score}
-        )
+            for row in batch.to_pylist():
+                queries = np.frombuffer(row["query_vectors"]).reshape(-1, row["dim"])
+                vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+                ids = np.frombuffer(row["ids"], np.int64)
+                scores = queries @ vectors.T
+                worst = np.partition(scores, -k, axis=1)[:, [-k]] if len(ids) > k else -np.inf
+                which, at = np.nonzero(scores >= worst)  # ties with the k-th score stay in
+                score, found = scores[which, at], ids[at]
+                order = np.lexsort((found, -score, which))
+                which, score, found = which[order], score[order], found[order]
+                kept = np.arange(len(which)) - np.searchsorted(which, which) < k
+                asked = np.frombuffer(row["query_ids"], np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": asked[which[kept]], "vec_id": found[kept], "score": score[kept]})
 
     return run
 
@@ -63,47 +74,39 @@ def cosine_topk(index: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, id_c
                 vec_col: str = "embedding") -> DataFrame:
     """Exact top ``k`` by cosine for every query (query_id, vector); ties go to the smaller id.
 
-    ``queries`` is a request batch. It is fetched in blocks of 1024 so that no task holds more,
-    however many there are; each block is one pass over the index in which a partition sends
-    only ``k`` rows per query to the final ranking.
+    The index is packed once into pieces, the queries into blocks; a block is copied to each part of
+    the index and scored piece by piece, and only ``k`` rows per query and piece reach the ranking.
+    Vectors of another size than the query's take no part.
     """
-    result = None
-    for block in _query_blocks(queries):
-        ids = np.array([r["query_id"] for r in block], dtype=np.int64)
-        vectors = np.array([r["vector"] for r in block], dtype=np.float64)
-        partial = index.select(id_col, vec_col).mapInArrow(
-            _partition_top(ids, vectors, k, id_col, vec_col),
-            "query_id long, vec_id long, score double",
-        )
-        top = first_n(partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
-        result = top if result is None else result.unionByName(top)
-    if result is None:
-        raise ValueError("no queries")
-    return result
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    block: list = []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    pieces = index.select(id_col, vec_col).mapInArrow(_pack, PACKED)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+    blocks = _query_blocks(queries).withColumn("part", F.explode(every))
+    scored = pieces.join(blocks, ["dim", "part"]).drop("part").mapInArrow(
+        _best(k), "query_id long, vec_id long, score double")
+    return first_n(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vector columns, row by row in numpy batches; zero vectors score 0."""
+def _query_blocks(queries: DataFrame) -> DataFrame:
+    """Packed queries, stored; as many to a block as arrive together, ``QUERY_BLOCK`` at most."""
+    packed = queries.select("query_id", "vector").mapInArrow(_pack_queries, "dim int, query_ids binary, query_vectors binary")
+    return materialise(packed, "queries")
 
-    @F.arrow_udf("double")
-    def score(x: pa.Array, y: pa.Array) -> pa.Array:
-        if len(x) == 0:
-            return pa.array([], pa.float64())
-        dim = len(x[0])
-        return pa.array((_unit(_matrix(x, dim)) * _unit(_matrix(y, dim))).sum(axis=1))
 
-    return score(a, b)
+def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in _pack(part for batch in batches for part in (
+            batch.slice(at, QUERY_BLOCK) for at in range(0, batch.num_rows, QUERY_BLOCK))):
+        yield piece.rename_columns(["dim", "query_ids", "query_vectors"])
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one size; zero vectors score 0, other sizes null."""
+    def total(x: Column, y: Column) -> Column:
+        products = F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q)
+        return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
+
+    norm = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
+    return F.when(F.size(a) == F.size(b), F.when(norm > 0, total(a, b) / norm).otherwise(0.0))
 
 
 def tenant_search(index: DataFrame, tenant: str, value, queries: DataFrame,
@@ -113,17 +116,16 @@ def tenant_search(index: DataFrame, tenant: str, value, queries: DataFrame,
 
 
 def tenant_topk(index: DataFrame, requests: DataFrame, tenant: str, k: int = vocab.TOP_K) -> DataFrame:
-    """Each request (tenant, vector) searches its own tenant's vectors only.
+    """Each request (query_id, tenant, vector) searches the vectors of its own tenant.
 
-    One request per tenant joins on the tenant; the ranking limits every partition to ``k`` rows
-    per tenant before the shuffle.
+    A tenant may ask several times; every request gets its own ``k``. Vectors of another size than
+    the request's take no part.
     """
-    same_size = F.size("embedding") == F.size("vector")
-    wanted = materialise(requests.select(tenant, "vector"), "requests")
-    scored = index.join(wanted, tenant).filter(same_size).select(
-        tenant, "vec_id", cosine(F.col("embedding"), F.col("vector")).alias("score")
+    wanted = materialise(requests.select("query_id", tenant, "vector"), "requests")
+    scored = index.join(wanted, tenant).filter(F.size("embedding") == F.size("vector")).select(
+        "query_id", tenant, "vec_id", cosine(F.col("embedding"), F.col("vector")).alias("score")
     )
-    return first_n(scored, [tenant], [F.col("score").desc(), F.col("vec_id")], k)
+    return first_n(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
 def context_assemble(hits: DataFrame, keys: list[str], rank: str, source: str, text: str) -> DataFrame:

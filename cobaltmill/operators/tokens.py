@@ -1,14 +1,11 @@
-"""Download tokens: issue and use logs, one-shot rules, expiry. And the chat rate limiter."""
+"""Download tokens: issue and use logs, one-shot rules, expiry."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobaltmill.functions import clock, vocab
+from cobaltmill.functions import vocab
 from cobaltmill.session import materialise
 
 
@@ -88,39 +85,3 @@ def refresh_outcome(requests: DataFrame, chats: DataFrame) -> DataFrame:
 def live_tokens(issues: DataFrame, asof: Column) -> DataFrame:
     """Tokens that a clean-up at ``asof`` leaves in place."""
     return with_expiry(issues.filter(F.col("issued_at") <= asof)).filter(F.col("expires_at") >= asof)
-
-
-def burst_flag(requests: DataFrame, rate: float = 8.0, burst: int = 24,
-               reset_seconds: int = 300) -> DataFrame:
-    """Replays a token bucket per client over requests (request_id, client, ts).
-
-    All buckets refill at each multiple of ``reset_seconds``, which makes (client, window) the
-    unit of work: a busy client spreads over its windows, and each task streams its sorted rows
-    with the state of one bucket only.
-    """
-    seconds = clock.epoch_seconds(F.col("ts")).cast("double")
-    keyed = requests.select(
-        "request_id", "client", "ts", seconds.alias("__at"),
-        F.floor(seconds / reset_seconds).alias("__window"),
-    )
-    ordered = keyed.repartition("client", "__window").sortWithinPartitions(
-        "client", "__window", "__at", "request_id"
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, tokens, last = None, 0.0, 0.0
-        for batch in batches:
-            flags = []
-            for client, window, at in zip(batch["client"], batch["__window"], batch["__at"]):
-                if (client, window) != bucket:
-                    bucket, tokens, last = (client, window), float(burst), at
-                tokens = min(float(burst), tokens + (at - last) * rate)
-                last = at
-                allowed = tokens >= 1.0
-                tokens -= 1.0 if allowed else 0.0
-                flags.append(allowed)
-            yield batch[["request_id", "client", "ts"]].assign(allowed=flags)
-
-    fields = [f for f in keyed.schema.fields if not f.name.startswith("__")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", allowed boolean"
-    return ordered.mapInPandas(replay, schema)

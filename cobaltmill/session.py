@@ -32,16 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a stored table over the cores when it comes in fewer pieces than there are cores.
-
-    For work that is heavy per row: a few unsplittable files would keep most cores idle. A table
-    of many pieces is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Add a costly column so that later steps reuse it instead of computing it again.
 

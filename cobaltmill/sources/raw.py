@@ -9,7 +9,6 @@ from cobaltmill.session import computed_once, materialise
 
 SEPARATORS = (",", ";", "|", "\t")
 FALLBACK_ENCODING = "iso-8859-1"
-BROADCAST_FILES = 100_000  # one short row each
 
 
 def line_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -60,15 +59,6 @@ def file_facts(lines: DataFrame) -> DataFrame:
     )
 
 
-def with_facts(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """Join lines with their file's facts without shuffling them, while the file list is short.
-
-    Past the checked size the planner chooses, and splits large files in a sort-merge join.
-    """
-    small = facts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
-    return lines.join(F.broadcast(facts) if small else facts, "file")
-
-
 def split_cells(line: Column, sep: Column, width: int) -> Column:
     """Quote-aware split of one line into exactly ``width`` cells (missing ones are null)."""
     schema = ", ".join(f"c{i} STRING" for i in range(width))
@@ -97,19 +87,21 @@ def raw_scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
         facts = facts.drop("sep", "marks").join(marks, "file").withColumn("sep", F.lit(sep))
     facts = materialise(facts.select("file", "encoding", "sep", F.col("marks").cast("long").alias("marks")), "file-facts")
     width = facts.agg(F.max("marks")).first()[0]
-    marked = with_facts(lines, facts)
+    marked = lines.join(facts, "file")  # stored, so the planner knows its size
     decoded = F.decode(F.col("line").cast("binary"), FALLBACK_ENCODING)
     text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(decoded)
     cells = split_cells(text, F.col("sep"), int(width or 0) + 1)
     return computed_once(marked, cells, "cells").select("file", "split_start", "row_id", "cells", "encoding")
 
 
-def bounded_read(df: DataFrame, key: str, n: int = 50_000, bins: int = 1024) -> DataFrame:
-    """The ``n`` rows with the smallest ``key``, a unique whole number such as a row id.
+def bounded_read(df: DataFrame, key: str, n: int | None = None, bins: int = 1024) -> DataFrame:
+    """The ``n`` rows with the smallest ``key``, a unique whole number such as a row id; all by default.
 
     A plain ordered limit would send ``n`` rows of every partition to one task. Here counts per
     key range narrow the range first, until it holds at most twice ``n`` rows.
     """
+    if n is None:
+        return df
     keys = df.select(F.col(key).cast("long").alias("k"))
     low, high, rows = keys.agg(F.min("k"), F.max("k"), F.count("k")).first()
     below = 0  # rows known to lie under ``low``

@@ -183,7 +183,8 @@ def test_prefixes(spark):
         assert r["l"] == ("LOW" if not shaped else "HIGH" if _mod10(r["p"]) else "MEDIUM")
         lead = int(r["p"][:6]) if r["p"][:6].isdigit() else -1
         assert r["c"] == ("US" if 400000 <= lead <= 499999 else "BR" if 500000 <= lead <= 509999 else "UNKNOWN")
-    assert one(spark, " 1234567890123456 ", X.read_prefix) == "12345678"
+    assert one(spark, " 1234567890123456 ", X.read_prefix) is None
+    assert one(spark, " 12345678 ", X.read_prefix) == "12345678"
 
 
 def test_sql_functions_agree_with_the_expressions(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cobaltmill.functions import vocab
 from cobaltmill.operators import charts, chunking, cleaning, fuzzy, headers, payments, retrieval, tokens, usage
 from cobaltmill.operators.ordering import locf, occurrence_number
 from cobaltmill.operators.profile import id_profile, name_hint
@@ -103,7 +104,7 @@ def test_id_profile(spark):
     assert {r["column"]: r["is_id"] for r in found} == {"c": True, "d": False}
 
 
-@pytest.mark.parametrize("scorer", ["levenshtein", "difflib"])
+@pytest.mark.parametrize("scorer", ["levenshtein", "ratio"])
 def test_harmonize(spark, scorer):
     values = ["bogotá", "MEDELLlN", "Santa  Marta", "nada que ver", None, "BARRANQUILA", ""]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, ciudad string")
@@ -111,6 +112,26 @@ def test_harmonize(spark, scorer):
     assert got == {0: "BOGOTA", 1: "MEDELLIN", 2: "SANTA MARTA", 3: "nada que ver", 4: None, 5: "BARRANQUILLA", 6: ""}
 
 
+def test_ratio_counts_letters_in_common_order(spark):
+    def common(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = list(best)
+            for j, y in enumerate(b):
+                best[j + 1] = last[j] + 1 if x == y else max(best[j], last[j + 1])
+        return best[-1]
+
+    values = ["CLI", "IBAGE", "NEVA", "ILAC", "", "BUCARAMANGA", "x", "SANTAMARTA", "BARRANCABERMEJAAA", "éñ"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r["v"]: (r["term"], r["score"]) for r in fuzzy.best_terms(rows, "v", "ciudades").collect()}
+    for v in values:
+        key = {"x": "X", "éñ": "EN"}.get(v, v)
+        scores = [200 * common(key, t) // (len(key) + len(t)) for t in vocab.CATALOGS["ciudades"]]
+        top = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        assert got[v] == ((vocab.CATALOGS["ciudades"][top], scores[top]) if v else (None, None))
+    assert [got[v][1] for v in values[:3]] == [85, 90, 88] and got["ILAC"][1] < 85
+
+
 def test_clean_table_from_files(spark):
     folder = fresh_path(spark, "messy")
     lines = [
@@ -200,6 +221,54 @@ def test_null_groups(spark):
         group_by(df, "k", "median", "v")
 
 
+def test_corr_with_leading_nulls_and_an_offset(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") >= 1000, 1e9 + F.col("id") % 97).alias("a"), F.when(F.col("id") >= 1000, 2e9 + F.col("id") % 97).alias("b"),
+        F.lit(1.0).alias("flat"), F.lit("x").alias("text"))
+    got = {(r["row"], r["col"]): r["r"] for r in charts.corr_matrix(df).collect()}
+    assert all(abs(got[p] - 1) < 1e-9 for p in (("a", "a"), ("a", "b"), ("b", "a")))
+    assert got["flat", "flat"] is None and got["a", "flat"] is None and len(got) == 9
+    assert charts.corr_matrix(df.select("text")).count() == 0
+
+
+def test_charts_with_many_labels(spark):
+    df = spark.range(4500).select(F.format_string("r%04d", (F.col("id") % 1500).cast("int")).alias("r"),
+                                  F.format_string("c%d", (F.col("id") % 3).cast("int")).alias("c"), F.col("id").alias("v"))
+    cells = charts.heatmap(df, "r", "c", "v")
+    assert cells.select("y").distinct().count() == 1500 and cells.agg(F.max("y")).first()[0] == 1499
+    flat = charts.stacked(df.filter("id % 7 != 0"), "c", "r", "v")
+    assert flat.count() == 4500 and flat.agg(F.sum("value")).first()[0] == df.filter("id % 7 != 0").agg(F.sum("v")).first()[0]
+
+
+def test_text_values_count_as_zero(spark):
+    df = spark.createDataFrame([("a", "3"), ("b", "n/d"), ("c", None)], "k string, v string")
+    assert {r["label"]: r["value"] for r in charts.bar(df, "k", "v").collect()} == {"a": 3.0, "b": 0.0, "c": 0.0}
+
+
+def test_option_in_calendar_order_and_in_blocks(spark):
+    import json
+
+    df = spark.createDataFrame([("marzo", 3), ("abril", 4), ("enero", 1), ("diciembre", 12)], "m string, v long")
+    spec = json.loads(charts.option_json(charts.bar(df, "m", "v"), "bar", "t").first()["spec"])
+    assert spec["xAxis"]["data"] == ["enero", "marzo", "abril", "diciembre"] and spec["series"][0]["data"] == [1, 3, 4, 12]
+    many = spark.range(2500).select(F.format_string("%05d", F.col("id")).alias("label"), F.col("id").alias("value"))
+    rows = charts.option_json(many, "bar", "t").orderBy("block").collect()
+    assert [r["block"] for r in rows] == [0, 1, 2]
+    assert sum((json.loads(r["spec"])["xAxis"]["data"] for r in rows), []) == [f"{i:05d}" for i in range(2500)]
+
+
+def test_overlong_prefixes_stay_apart(spark):
+    from cobaltmill.operators import prefix_batch
+
+    rows = [("s", "4000000012345678"), ("s", "4000000099999999"), ("s", "400000001"), ("s", " 40000000 "), ("s", "40000000"), ("s", None)]
+    read = prefix_batch.classify(prefix_batch.normalise(spark.createDataFrame(rows, "store_id string, prefix string")))
+    got = sorted((r["prefix"] or "", r["overlong"], r["validation_level"]) for r in read.collect())
+    assert got == [("", False, "LOW"), ("", True, "LOW"), ("", True, "LOW"), ("", True, "LOW"), ("40000000", False, got[-1][2])]
+    assert got[-1][2] != "LOW"
+    total = prefix_batch.store_summary(read).agg(F.sum("prefix_count")).first()[0]
+    assert total == 4
+
+
 def test_corr_is_pairwise_complete(spark):
     import pandas as pd
 
@@ -254,6 +323,7 @@ def test_split_message(spark):
 
 def test_cosine_topk_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 30)
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 8)).round(1)
     vectors[10] = 0
@@ -302,22 +372,6 @@ def test_daily_quota(spark):
     assert got == _quota_expected(rows, paid, 4)
 
 
-def test_burst_flag(spark):
-    rng = random.Random(2)
-    rows = [(i, rng.choice(["hot", "hot", "b", "c"]), BASE + dt.timedelta(milliseconds=rng.randrange(900_000))) for i in range(3000)]
-    state, expected = {}, {}
-    for i, client, ts in sorted(rows, key=lambda r: (r[2], r[0])):
-        at = (ts - dt.datetime(1970, 1, 1)).total_seconds()
-        key = (client, int(at // 300))
-        level, last = state.get(key, (5.0, at))
-        level = min(5.0, level + (at - last) * 0.5)
-        expected[i] = level >= 1
-        state[key] = (level - expected[i], at)
-    df = spark.createDataFrame(rows, "request_id long, client string, ts timestamp_ntz").repartition(6)
-    got = {r["request_id"]: r["allowed"] for r in tokens.burst_flag(df, 0.5, 5, 300).collect()}
-    assert got == expected and not all(got.values())
-
-
 def test_identity_links(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(12), f" M{rng.randrange(10)}@X.co", BASE + dt.timedelta(minutes=i // 2), i) for i in range(200)]
@@ -342,11 +396,11 @@ def test_identity_links(spark):
 def test_get_or_create(spark):
     rng = random.Random(4)
     start = [(1, 10, "a@x.co"), (2, 20, None), (3, None, "c@x.co"), (4, None, "d@x.co"), (5, 50, None)]
-    calls, chats = [], list(range(10, 70, 5)) + [None] * 3
+    calls, chats = [], (list(range(10, 70, 5)) + [None] * 6) * 6 + [10] * 40
     rng.shuffle(chats)
     for i, chat in enumerate(chats):
-        mail = rng.choice(["a@x.co", "C@x.co ", "d@x.co", "n@x.co", "m@x.co", None])
-        calls.append((i, chat, f"u{i}@x.co" if chat is None else mail))
+        mail = rng.choice(["a@x.co", "C@x.co ", "d@x.co", "n@x.co", "m@x.co", None, "p@x.co", " ", f"u{i % 9}@x.co"])
+        calls.append((i, chat, mail))
     users = {str(u): [c, e] for u, c, e in start}
     expected = {}
     for i, chat, mail in calls:
@@ -357,7 +411,9 @@ def test_get_or_create(spark):
             key, how = next((k for k, u in users.items() if u[1] == mail), None), "email"
             if key is not None and chat is not None and users[key][0] is None:
                 users[key][0] = chat
-        if key is None:
+        if key is None and chat is None and mail is None:
+            how = "rejected"
+        elif key is None:
             key, how = (f"chat:{chat}" if chat is not None else f"mail:{mail}"), "created"
             users[key] = [chat, mail]
         elif mail and not users[key][1] and all(u[1] != mail for u in users.values()):
@@ -368,6 +424,21 @@ def test_get_or_create(spark):
         spark.createDataFrame(calls, "request_id long, chat_id long, email string"))
     assert {r["request_id"]: (r["resolution"], r["user_key"]) for r in resolved.collect()} == expected
     assert {r["user_key"]: [r["chat_id"], r["email"]] for r in after.collect()} == users
+    assert {h for h, _ in expected.values()} == {"chat", "email", "created", "rejected"}
+
+
+def test_users_made_by_a_batch_take_part(spark):
+    def run(calls):
+        resolved, after = usage.get_or_create(
+            spark.createDataFrame([], "user_id long, chat_id long, email string"),
+            spark.createDataFrame(calls, "request_id long, chat_id long, email string"))
+        return ([r["user_key"] for r in resolved.orderBy("request_id").collect()],
+                {(r["user_key"], r["chat_id"], r["email"]) for r in after.collect()})
+
+    keys, users = run([(1, 1, None), (5, 2, "x"), (10, 1, "x")])
+    assert keys == ["chat:1", "chat:2", "chat:1"] and users == {("chat:1", 1, None), ("chat:2", 2, "x")}
+    keys, users = run([(5, None, "x"), (7, 2, "x")])
+    assert keys == ["mail:x", "mail:x"] and users == {("mail:x", 2, "x")}
 
 
 def test_download_gate(spark):
@@ -391,17 +462,21 @@ PAYMENTS = [  # reference, minute, success, amount, chat, email
 def test_payment_fold(spark, strict):
     state = {}
     for i, (ref, minute, ok, amount, chat, mail) in enumerate(PAYMENTS):
-        s = state.setdefault(ref, {"amount": amount, "status": None})
-        if ok and s["status"] != "paid":
-            s.update(status="paid", paid_at=BASE + dt.timedelta(minutes=minute))
-        elif not ok and (strict or s["status"] != "paid"):
-            s.update(status="failed", paid_at=None)
+        s = state.setdefault(ref, {"amount": amount, "status": None, "paid_at": None, "chat": None, "mail": None, "again": 0})
+        if ok and s["status"] == "paid":
+            s["again"] += 1
+        elif ok:
+            s.update(status="paid", paid_at=BASE + dt.timedelta(minutes=minute), chat=s["chat"] or chat, mail=s["mail"] or mail or None)
+        elif strict or s["status"] != "paid":
+            s.update(status="failed")
     df = spark.createDataFrame(
         [(r, BASE + dt.timedelta(minutes=m), i, ok, a, c, e) for i, (r, m, ok, a, c, e) in enumerate(PAYMENTS)],
         "reference string, ts timestamp_ntz, event_id long, is_success boolean, amount long, chat_id long, payer_email string")
     got = {r["reference"]: r for r in payments.payment_fold(df, strict).collect()}
     for ref, s in state.items():
-        assert (got[ref]["status"], got[ref]["amount"], got[ref]["paid_at"]) == (s["status"], s["amount"], s.get("paid_at"))
+        r = got[ref]
+        assert (r["status"], r["amount"], r["paid_at"], r["payer_chat_id"], r["payer_email"], r["already_processed"]) == (
+            s["status"], s["amount"], s["paid_at"], s["chat"], s["mail"], s["again"])
     assert (got["dup"]["payer_email"], got["dup"]["payer_chat_id"], got["dup"]["already_processed"]) == ("a@x.co", 1, 1)
 
 
@@ -451,6 +526,7 @@ def test_bounded_read(spark, n, bins):
     df = spark.createDataFrame([(k, str(k)) for k in keys], "k long, v string").repartition(6)
     got = raw.bounded_read(df, "k", n, bins).collect()
     assert [r["k"] for r in got] == sorted(keys)[:n]
+    assert raw.bounded_read(df, "k").count() == 1000
 
 
 def test_bounded_read_of_nothing(spark):

@@ -10,7 +10,7 @@ sys.path.insert(0, {root!r})
 from cobaltmill.session import get_session
 from cobaltmill.catalog import QUERIES
 spark = get_session("workers", "local[2]", **{{"spark.sql.shuffle.partitions": "2"}})
-for name in ("chunk_text", "corr_matrix", "burst_flag", "cosine_topk", "tenant_scope", "harmonize_fuzzy_ratio"):
+for name in ("cosine_topk", "cosine_topk_batch"):
     assert QUERIES[name](spark, {sf!r}).count() > 0, name
 """
 
