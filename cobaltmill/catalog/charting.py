@@ -50,12 +50,21 @@ WITH sales AS (
 
 
 @register("analysis_spec", SALES_SQL + """
-SELECT r_name AS label, round(CAST(sum(revenue) AS DOUBLE), 4) AS value FROM sales GROUP BY r_name
+SELECT r_name AS label, round(CAST(sum(revenue) AS DOUBLE), 4) AS value FROM sales GROUP BY r_name HAVING count(DISTINCT n_name) > 1
 """)
 def analysis_spec(spark, sf):
-    return run_spec(sales(spark, sf), {
+    names = ("lineitem", "orders", "customer", "nation", "region")
+    return run_spec({n: table(spark, sf, n) for n in names}, {
+        "source": "lineitem",
+        "joins": [{"table": "orders", "on": [["l_orderkey", "o_orderkey"]]},
+                  {"table": "customer", "on": [["o_custkey", "c_custkey"]]},
+                  {"table": "nation", "on": [["c_nationkey", "n_nationkey"]]},
+                  {"table": "region", "on": [["n_regionkey", "r_regionkey"]]}],
+        "derive": {"revenue": "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"},
         "group_by": ["r_name"],
-        "metrics": [{"column": "revenue", "agg": "sum", "name": "total"}],
+        "metrics": [{"column": "revenue", "agg": "sum", "name": "total"},
+                    {"column": "n_name", "agg": "distinct", "name": "nations"}],
+        "having": [{"column": "nations", "op": ">", "value": 1}],
         "chart": "ranking",
     })
 
@@ -75,16 +84,22 @@ def analysis_spec_matrix(spark, sf):
 
 
 @register("spec_retry_columns", """
-SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top
-FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority
+SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top, median(o_totalprice) AS middle,
+       'o_orderprioritty -> o_orderpriority, o_totalprise -> o_totalprice' AS replaced
+FROM orders WHERE o_orderstatus NOT IN ('F', 'P') AND o_totalprice BETWEEN 1000 AND 400000 AND o_custkey IS NOT NULL GROUP BY o_orderpriority
 """)
 def spec_retry_columns(spark, sf):
-    return run_spec(table(spark, sf, "orders"), {
-        "filters": [{"column": "O_OrderStatus", "op": "==", "value": "O"}],
+    replaced: dict[str, str] = {}
+    found = run_spec(table(spark, sf, "orders"), {
+        "filters": [{"column": "O_OrderStatus", "op": "not in", "value": ["F", "P"]},
+                    {"column": "o_totalprise", "op": "between", "value": [1000, 400000]},
+                    {"column": "o_custkey", "op": "is not null"}],
         "group_by": ["o_orderprioritty"],
-        "metrics": [{"agg": "count", "name": "n"},
-                    {"column": "o_totalprise", "agg": "max", "name": "top"}],
-    })
+        "metrics": [{"agg": "count", "name": "n"}, {"column": "o_totalprise", "agg": "max", "name": "top"},
+                    {"column": "o_totalprice", "agg": "median", "name": "middle"}],
+    }, replaced)
+    told = ", ".join(f"{a} -> {b}" for a, b in sorted(replaced.items()))
+    return found.withColumn("replaced", F.lit(told))
 
 
 @register("chart_fallback_chain", """

@@ -141,13 +141,17 @@ def header_score_legacy(spark, sf):
 @register("dedupe_headers", """
 WITH b AS (SELECT user_id AS file, event_id AS idx,
                   CASE event_type WHEN 'error' THEN 'col_' || (event_id + 1) WHEN 'view' THEN 'col_' || (event_id + 1)
-                       ELSE event_type || ' x' END AS base FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY idx) AS n FROM b)
-SELECT file, idx, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS "column" FROM r
+                       WHEN 'click' THEN 'signup x_' || (1 + event_id % 5) ELSE event_type || ' x' END AS base FROM events),
+h AS (SELECT file, list(DISTINCT base) AS held FROM b GROUP BY file),
+r AS (SELECT b.*, held, row_number() OVER (PARTITION BY file, base ORDER BY idx) AS n FROM b JOIN h USING (file))
+SELECT file, idx, CASE WHEN n = 1 THEN base ELSE base || '_' || list_filter(
+         range(2, n + len(held) + 2), lambda k: NOT list_contains(held, base || '_' || k))[n - 1] END AS "column" FROM r
 """)
 def dedupe_headers(spark, sf):
     kind = F.col("event_type")
-    name = F.when(kind == "error", " ").when(kind == "view", "NaN").otherwise(F.concat(kind, F.lit("   x ")))
+    name = F.when(kind == "error", " ").when(kind == "view", "NaN").when(
+        kind == "click", F.concat(F.lit("signup x_"), (1 + F.col("event_id") % 5).cast("string"))
+    ).otherwise(F.concat(kind, F.lit("   x ")))
     cells = table(spark, sf, "events").select(
         F.col("user_id").alias("file"), F.col("event_id").alias("idx"), name.alias("name"))
     return headers.dedupe_headers(cells)
@@ -444,8 +448,11 @@ def date_coerce(spark, sf):
         .when(F.col("o_orderpriority") == "1-URGENT", F.date_format(day, "d/M/yyyy"))
         .when(F.col("o_orderpriority") == "2-HIGH", F.date_format(day, "dd-MM-yyyy"))
         .when(F.col("o_orderpriority") == "3-MEDIUM", F.date_format(day, "dd/MM/yyyy HH:mm"))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
     )
+    layouts = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS", "dd/MM/yy", "MMM d, yyyy",
+               "yyyyMMdd", "d MMMM yyyy", "dd-MMM-yyyy")
+    for i, layout in enumerate(layouts):
+        text = text.when(F.col("o_orderkey") % len(layouts) == i, F.date_format(day, layout))
     rows = table(spark, sf, "orders").select("o_orderkey", text.alias("fecha"))
     return C.coerce_dates(rows, "o_orderkey", ["fecha"])
 

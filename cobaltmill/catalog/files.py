@@ -61,23 +61,37 @@ def file_inventory(spark, sf):
 WITH f AS (
   SELECT 'p/' || page_id || '.txt' AS path, html AS t FROM pages
   UNION ALL SELECT 'd/' || doc_id || '.csv', text FROM documents
-  UNION ALL SELECT 'e/' || event_id || '.PDF', CASE WHEN value > 10 THEN '%PDF-1.4 ' || props ELSE props END FROM events),
+  UNION ALL SELECT 'e/' || event_id || '.PDF', CASE WHEN value > 10 THEN '%PDF-1.4 ' || props ELSE props END FROM events
+  UNION ALL SELECT 'x/' || event_id || CASE event_type WHEN 'view' THEN '.csv' WHEN 'click' THEN '.txt' WHEN 'error' THEN '.docx' ELSE '.xlsx' END,
+    CASE event_type WHEN 'view' THEN 'MZ' || chr(1) || props WHEN 'click' THEN props || chr(2) WHEN 'signup' THEN 'PK' || chr(3) || chr(4) || 'xl/'
+      ELSE 'PK' || chr(3) || chr(4) || props END FROM events),
 m AS (SELECT path, CASE WHEN starts_with(t, '%PDF') THEN 'application/pdf'
+        WHEN starts_with(t, 'PK' || chr(3) || chr(4) || 'xl/') THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'
+        WHEN starts_with(t, 'PK' || chr(3) || chr(4)) THEN 'application/zip'
+        WHEN starts_with(t, 'MZ') THEN 'application/vnd.microsoft.portable-executable'
+        WHEN contains(substr(t, 1, 4000), chr(2)) THEN 'application/octet-stream'
         WHEN starts_with(ltrim(lower(t)), '<!doctype html') OR starts_with(ltrim(lower(t)), '<html') THEN 'text/html'
         WHEN starts_with(ltrim(t), '{') THEN 'application/json' ELSE 'text/plain' END AS mime, strlen(t) AS size FROM f)
-SELECT path, mime, CASE WHEN path LIKE '%.PDF' THEN mime = 'application/pdf' ELSE mime = 'text/plain' END AS mime_ok,
+SELECT path, mime, CASE WHEN path LIKE '%.PDF' THEN mime = 'application/pdf' WHEN path LIKE '%.docx' THEN mime LIKE '%wordprocessingml%'
+         WHEN path LIKE '%.xlsx' THEN mime LIKE '%spreadsheetml%' OR mime = 'application/zip' ELSE mime = 'text/plain' END AS mime_ok,
        size <= 33554432 AS size_ok FROM m
 """)
 def mime_audit(spark, sf):
     def rows(name, folder, key, ext, content):
-        path = F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(ext))
+        path = F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(ext) if isinstance(ext, str) else ext)
         return table(spark, sf, name).select(path.alias("path"), content.cast("binary").alias("content"))
 
     signed = F.when(F.col("value") > 10, F.concat(F.lit("%PDF-1.4 "), "props")).otherwise(F.col("props"))
+    kind, zip_mark = F.col("event_type"), F.lit("PK\x03\x04")
+    named = F.when(kind == "view", ".csv").when(kind == "click", ".txt").when(kind == "error", ".docx").otherwise(".xlsx")
+    disguised = (
+        F.when(kind == "view", F.concat(F.lit("MZ\x01"), "props")).when(kind == "click", F.concat("props", F.lit("\x02")))
+        .when(kind == "signup", F.concat(zip_mark, F.lit("xl/"))).otherwise(F.concat(zip_mark, "props")))
     uploads = (
         rows("pages", "p/", "page_id", ".txt", F.col("html"))
         .unionByName(rows("documents", "d/", "doc_id", ".csv", F.col("text")))
         .unionByName(rows("events", "e/", "event_id", ".PDF", signed))
+        .unionByName(rows("events", "x/", "event_id", named, disguised))
     )
     return files.upload_check(uploads).drop("content")
 

@@ -32,7 +32,7 @@ def payment_fold_stream(spark, sf):
     return jobs.payment_fold_stream(events, fresh_path(spark, "payments"))
 
 
-@register("token_first_use_stream", E._TOKEN_SQL + "SELECT DISTINCT token FROM f")
+@register("token_first_use_stream", E._TOKEN_SQL + "SELECT f.use_id, f.token, u.used_at FROM f JOIN u ON u.use_id = f.use_id WHERE is_first")
 def token_first_use_stream(spark, sf):
     from cobaltmill.session import table
 
@@ -40,7 +40,7 @@ def token_first_use_stream(spark, sf):
     uses = uses.withColumn("used_at", F.col("used_at").cast("timestamp"))
     issued = E.issues(table(spark, sf, "events"))
     firsts = jobs.first_use_stream(uses, issued, fresh_path(spark, "first-use"))
-    return firsts.select("token")  # which use of a micro-batch comes first is not fixed
+    return firsts.withColumn("used_at", F.col("used_at").cast("timestamp_ntz"))
 
 
 @register("token_expiry_stream", E._TOKEN_SQL.rstrip() + """,

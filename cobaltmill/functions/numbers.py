@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +9,23 @@ from cobaltmill.functions.text import norm_text
 
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Accepted layouts, day first; the first that parses wins.
+# Accepted shapes and the layout of each, day first; the first shape that fits decides.
+_DAY, _ISO, _TIME = r"\d{1,2}", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{1,2}:\d{1,2}"
+_MONTH = r"[A-Za-z]{3,9}\.?"
 DATE_LAYOUTS = (
-    "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d",
-    "d/M/yyyy H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d/M/yyyy H:m", "yyyy-M-d H:m",
+    (rf"{_DAY}/{_DAY}/\d{{4}}", "d/M/yyyy"), (rf"{_DAY}-{_DAY}-\d{{4}}", "d-M-yyyy"),
+    (rf"{_DAY}\.{_DAY}\.\d{{4}}", "d.M.yyyy"), (_ISO, "yyyy-M-d"), (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (rf"{_DAY}/{_DAY}/\d{{4}} {_TIME}", "d/M/yyyy H:m:s"), (rf"{_ISO} {_TIME}", "yyyy-M-d H:m:s"),
+    (rf"{_ISO}T{_TIME}", "yyyy-M-d'T'H:m:s"), (rf"{_DAY}/{_DAY}/\d{{4}} {_DAY}:{_DAY}", "d/M/yyyy H:m"),
+    (rf"{_ISO} {_DAY}:{_DAY}", "yyyy-M-d H:m"), (rf"{_ISO}T{_TIME}\.\d{{1,6}}", "yyyy-M-d'T'H:m:s.SSSSSS"),
+    (rf"{_ISO} {_TIME}\.\d{{1,6}}", "yyyy-M-d H:m:s.SSSSSS"),
+    (rf"{_ISO}T{_TIME}(Z|[+-]\d\d:\d\d)", "yyyy-M-d'T'H:m:sXXX"),
+    (rf"{_ISO}T{_TIME}\.\d{{1,6}}(Z|[+-]\d\d:\d\d)", "yyyy-M-d'T'H:m:s.SSSSSSXXX"),
+    (rf"{_DAY}/{_DAY}/\d\d", "d/M/yy"), (rf"{_DAY}-{_DAY}-\d\d", "d-M-yy"), (rf"{_DAY}\.{_DAY}\.\d\d", "d.M.yy"),
+    (r"\d{8}", "yyyyMMdd"), (rf"{_MONTH} {_DAY},? \d{{4}}", "MMM d yyyy"), (rf"{_DAY}[ -]{_MONTH}[ -]\d{{4}}", "d MMM yyyy"),
 )
+#: Two-digit years from here on lie in the last century.
+LAST_CENTURY = 70
 
 
 def to_number(c: Column) -> Column:
@@ -72,21 +82,22 @@ def id_normalize(c: Column) -> Column:
     return F.when(run != "", run).otherwise(text)
 
 
-def _layout_pattern(layout: str) -> str:
-    """Regex of the texts a layout can parse."""
-    literal = layout.replace("'", "").replace(".", r"\.")
-    return "^" + re.sub("yyyy|[dMHms]", lambda m: r"\d{4}" if m[0] == "yyyy" else r"\d{1,2}", literal) + "$"
-
-
 def parse_date(c: Column) -> Column:
     """Day-first date text to a zone-less timestamp; bad text to null.
 
-    The shape of the text picks the layout, so at most one parse is tried per value.
+    The shape of the text picks the layout, so at most one parse is tried per value. A text with an
+    offset gives its time in the session's zone; English month names may be cut to three letters.
     """
     text = F.trim(c)
+    month = F.regexp_replace(F.regexp_replace(text, r"[,.]", ""), "-", " ")
+    month = F.regexp_replace(month, r"([A-Za-z]{3})[A-Za-z]*", "$1")
     out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
-    for layout in DATE_LAYOUTS:
-        out = out.when(text.rlike(_layout_pattern(layout)), F.try_to_timestamp(text, F.lit(layout)))
+    for shape, layout in DATE_LAYOUTS:
+        parsed = F.try_to_timestamp(month if "MMM" in layout else text, F.lit(layout))
+        if layout.endswith("yy") and not layout.endswith("yyyy"):
+            old = F.substring(text, -2, 2).try_cast("int") >= LAST_CENTURY
+            parsed = F.when(old, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
+        out = out.when(text.rlike(f"^{shape}$"), parsed)
     return out.cast("timestamp_ntz")
 
 

@@ -11,7 +11,7 @@ from cobaltmill.functions import vocab
 from cobaltmill.operators.ordering import first_n
 from cobaltmill.operators.profile import is_numeric
 
-AGGREGATES = ("count", "sum", "mean", "max", "min")
+AGGREGATES = ("count", "sum", "mean", "max", "min", "distinct", "median")
 
 
 def aggregate(value: Column | None, agg: str) -> Column:
@@ -22,15 +22,15 @@ def aggregate(value: Column | None, agg: str) -> Column:
         raise ValueError(f"aggregate must be one of {', '.join(AGGREGATES)}; all but count need a value")
     if agg == "sum":
         return F.coalesce(F.sum(value), F.lit(0))
-    return {"mean": F.avg, "max": F.max, "min": F.min}[agg](value)
+    return {"mean": F.avg, "max": F.max, "min": F.min, "distinct": F.count_distinct, "median": F.median}[agg](value)
 
 
 def group_by(df: DataFrame, key: str, agg: str = "count", value: str | None = None,
              name: str = "value") -> DataFrame:
-    """Aggregate per key; rows without a key are left out, the result is ordered by key."""
+    """Aggregate per key; rows without a key are left out. Who shows the rows orders them."""
     col = F.col(value) if value else None
     grouped = df.filter(F.col(key).isNotNull()).groupBy(key)
-    return grouped.agg(aggregate(col, agg).alias(name)).orderBy(key)
+    return grouped.agg(aggregate(col, agg).alias(name))
 
 
 def conditional_pct(df: DataFrame, keys: list[str], counted: str | Column, condition: Column,

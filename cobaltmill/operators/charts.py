@@ -171,13 +171,19 @@ def chart_plan(df: DataFrame) -> dict | None:
 
 
 def auto_chart(df: DataFrame) -> DataFrame | None:
-    """Chart relation of a raw table: sum of the first numeric column, or row counts."""
+    """Chart relation of a raw table: sum of the first numeric column, or row counts.
+
+    None without a column to group by, or with fewer than two points.
+    """
     plan = chart_plan(df)
     if plan is None:
         return None
     grouped = group_by(df, plan["group"], "sum" if plan["value"] else "count", plan["value"])
+    drawn = bar(grouped, plan["group"], "value")
+    if len(drawn.take(2)) < 2:
+        return None
     return (
-        bar(grouped, plan["group"], "value")
+        drawn
         .withColumn("kind", F.lit(plan["kind"])).withColumn("group_column", F.lit(plan["group"]))
     )
 

@@ -12,7 +12,7 @@ from cobaltmill.functions import numbers as N
 from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 from cobaltmill.operators.ordering import locf
-from cobaltmill.operators.profile import name_hint, shape_profile
+from cobaltmill.operators.profile import name_hint, shape_profile, unpivot_metrics
 from cobaltmill.session import computed_once
 
 
@@ -111,6 +111,16 @@ def impute_forward(df: DataFrame, order: str, cols: list[str],
     return impute_additive(locf(df, order, cols, keys), cols)
 
 
+def date_failures(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per date column the filled cells and those among them that no layout fits."""
+    aggs = []
+    for i, c in enumerate(cols):
+        value = F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+        aggs += [F.count(value).alias(f"filled_{i}"),
+                 F.count_if(value.isNotNull() & N.parse_date(value).isNull()).alias(f"failed_{i}")]
+    return unpivot_metrics(df.agg(*aggs), cols, ["filled", "failed"])
+
+
 def coerce_dates(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
     """Day-first dates; bad text takes the last good date."""
     parsed = df.withColumns({c: N.parse_date(F.col(f"`{c}`")) for c in cols})

@@ -84,14 +84,23 @@ def header_rows(raw: DataFrame, mode: str = "token") -> DataFrame:
 
 
 def dedupe_headers(headers: DataFrame) -> DataFrame:
-    """Header cells (file, idx, name) to unique column names: blanks get a number, repeats a suffix."""
+    """Header cells (file, idx, name) to unique column names: blanks get a number, repeats a suffix.
+
+    The suffix is the next number, from 2, that makes a name the row doesn't hold already.
+    """
     base = T.norm_text(F.coalesce("name", F.lit("")))
     numbered = F.concat(F.lit("col_"), (F.col("idx") + 1).cast("string"))
     named = headers.withColumn("base", F.when(_blankish(base), numbered).otherwise(base))
     ranked = occurrence_number(named, "idx", ["file", "base"], "__seen", levels=1)
-    suffixed = F.concat_ws("_", "base", F.col("__seen").cast("string"))
-    return ranked.select(
-        "file", "idx", F.when(F.col("__seen") == 1, F.col("base")).otherwise(suffixed).alias("column")
+    held = named.groupBy("file").agg(F.collect_set("base").alias("__held"))  # the cells of one row
+
+    def suffixed(k: Column) -> Column:
+        return F.concat_ws("_", "base", k.cast("string"))
+
+    tries = F.transform(F.sequence(F.lit(2).cast("long"), F.col("__seen") + F.size("__held") + 1), suffixed)
+    free = F.get(F.filter(tries, lambda t: ~F.array_contains("__held", t)), (F.col("__seen") - 2).cast("int"))
+    return ranked.join(held, "file").select(
+        "file", "idx", F.when(F.col("__seen") == 1, F.col("base")).otherwise(free).alias("column")
     )
 
 

@@ -1,19 +1,19 @@
 """Declarative analysis requests: a small spec becomes ordinary DataFrame calls.
 
-    {"source": table name, "filters": [{"column", "op", "value"}],
-     "derive": {name: SQL expression}, "group_by": [...],
-     "metrics": [{"column", "agg", "name"}], "order_by": [{"column", "descending"}],
-     "limit": n, "chart": "ranking", "x": column, "y": column}
+    {"source": table name, "joins": [{"table", "on": [[left, right], ...], "how"}],
+     "derive": {name: SQL expression}, "filters": [{"column", "op", "value"}], "group_by": [...],
+     "metrics": [{"column", "agg", "name"}], "having": [{"column", "op", "value"}],
+     "order_by": [{"column", "descending"}], "limit": n, "chart": "ranking", "x": column, "y": column}
 
-Charts with a label and a value take the first key and metric, stacked bars and heatmaps the first
-two keys, and scatter plots ``x`` and ``y``.
+Charts with a label and a value take the only key and the first metric, stacked bars and heatmaps two
+keys, and scatter plots ``x`` and ``y``.
 """
 
 from __future__ import annotations
 
 from difflib import get_close_matches
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobaltmill.operators import charts
@@ -22,7 +22,9 @@ from cobaltmill.operators.aggregates import aggregate
 FILTER_OPS = {
     "==": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v,
     "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
-    "in": lambda c, v: c.isin(*v), "contains": lambda c, v: c.contains(v),
+    "in": lambda c, v: c.isin(*v), "not in": lambda c, v: ~c.isin(*v),
+    "between": lambda c, v: c.between(*v), "contains": lambda c, v: c.contains(v),
+    "is null": lambda c, v: c.isNull(), "is not null": lambda c, v: c.isNotNull(),
 }
 LABEL_CHARTS = {
     "bar": charts.bar, "line": charts.line, "pie": charts.pie, "ranking": charts.ranking,
@@ -34,32 +36,61 @@ class UnknownColumn(ValueError):
     """A spec names a column the table does not have."""
 
 
-def nearest_column(name: str, columns: list[str]) -> str:
-    """The schema's column of that name, or the closest one to a misspelt name."""
-    if name in columns:
-        return name
+def find_column(name: str, columns: list[str], corrections: dict[str, str] | None = None) -> str:
+    """The schema's column of that name, whatever its case.
+
+    A misspelt name is an error that says which column is nearest. A caller who passes a dictionary for
+    ``corrections`` gets the nearest column instead, and the replacement is recorded there.
+    """
     by_lower = {c.lower(): c for c in columns}
+    if name.lower() in by_lower:
+        return name if name in columns else by_lower[name.lower()]
     close = get_close_matches(name.lower(), list(by_lower), n=1, cutoff=0.75)
-    if not close:
-        raise UnknownColumn(f"no column like {name!r}; the table has {', '.join(columns)}")
-    return by_lower[close[0]]
+    if close and corrections is not None:
+        corrections[name] = by_lower[close[0]]
+        return corrections[name]
+    hint = f"; did you mean {by_lower[close[0]]!r}?" if close else ""
+    raise UnknownColumn(f"no column {name!r}; the table has {', '.join(columns)}{hint}")
+
+
+def joined_source(data: dict[str, DataFrame], spec: dict) -> DataFrame:
+    """The source table with the joins of the spec, in their order; equal keys keep the left column."""
+    df = data[spec["source"]]
+    for rule in spec.get("joins", []):
+        right = data[rule["table"]]
+        pairs = [(find_column(a, df.columns), find_column(b, right.columns)) for a, b in rule["on"]]
+        condition = [df[a] == right[b] for a, b in pairs]
+        twice = [right[b] for a, b in pairs if a == b]
+        df = df.join(right, condition, rule.get("how", "inner"))
+        for column in twice:
+            df = df.drop(column)
+    return df
 
 
-def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict) -> DataFrame:
-    """Run one analysis request on a table, or on the named one of several tables.
+def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict,
+             corrections: dict[str, str] | None = None) -> DataFrame:
+    """Run one analysis request on a table, or on the named one of several tables with its joins.
 
-    Misspelt columns are matched to the schema first.
+    With ``corrections`` misspelt columns are replaced by the nearest ones, which it then holds.
     """
-    df = data[spec["source"]] if isinstance(data, dict) else data
+    df = joined_source(data, spec) if isinstance(data, dict) else data
+
+    def find(name: str) -> str:
+        return find_column(name, df.columns, corrections)
+
+    def col(name: str) -> Column:
+        return F.col(f"`{find(name)}`")
 
-    def col(name: str):
-        return F.col(f"`{nearest_column(name, df.columns)}`")
+    def keep(rules: list[dict]) -> DataFrame:
+        kept = df
+        for rule in rules:
+            kept = kept.filter(FILTER_OPS[rule["op"]](col(rule["column"]), rule.get("value")))
+        return kept
 
     for name, expression in spec.get("derive", {}).items():
         df = df.withColumn(name, F.expr(expression))
-    for rule in spec.get("filters", []):
-        df = df.filter(FILTER_OPS[rule["op"]](col(rule["column"]), rule["value"]))
-    keys = [nearest_column(k, df.columns) for k in spec.get("group_by", [])]
+    df = keep(spec.get("filters", []))
+    keys = [find(k) for k in spec.get("group_by", [])]
     metrics = [
         aggregate(col(m["column"]) if m.get("column") else None, m["agg"]).alias(m["name"])
         for m in spec.get("metrics", [])
@@ -68,6 +99,7 @@ def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict) -> DataFrame:
         for k in keys:
             df = df.filter(F.col(f"`{k}`").isNotNull())
         df = df.groupBy(*keys).agg(*metrics)
+        df = keep(spec.get("having", []))
     order = [
         col(o["column"]).desc() if o.get("descending") else col(o["column"]).asc()
         for o in spec.get("order_by", [])
@@ -75,12 +107,15 @@ def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict) -> DataFrame:
     df = df.orderBy(*order) if order else df
     df = df.limit(spec["limit"]) if spec.get("limit") else df
     chart = spec.get("chart")
+    wanted = 1 if chart in LABEL_CHARTS else 2 if chart in MATRIX_CHARTS else len(keys)
+    if len(keys) != wanted:
+        raise ValueError(f"a {chart} chart takes {wanted} key(s), not {len(keys)}")
     if chart in LABEL_CHARTS:
         return LABEL_CHARTS[chart](df, keys[0], spec["metrics"][0]["name"])
     if chart in MATRIX_CHARTS:
         return MATRIX_CHARTS[chart](df, keys[0], keys[1], spec["metrics"][0]["name"])
     if chart == "scatter":
-        x, y = (nearest_column(spec[axis], df.columns) for axis in "xy")
+        x, y = (find(spec[axis]) for axis in "xy")
         return charts.scatter(df, x, y)
     if chart:
         raise ValueError(f"no chart {chart!r}")

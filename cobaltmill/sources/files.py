@@ -60,14 +60,36 @@ def file_inventory(files: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: leading bytes of common formats ----------------------------------------------
+SIGNATURES = (
+    ("25504446", "application/pdf"), ("D0CF11E0A1B11AE1", "application/x-ole-storage"),
+    ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"),
+    ("4D5A", "application/vnd.microsoft.portable-executable"), ("7F454C46", "application/x-elf"),
+    ("1F8B", "application/gzip"), ("377ABCAF271C", "application/x-7z-compressed"),
+    ("526172211A07", "application/x-rar-compressed"), ("504B0506", "application/zip"),
+)
+OPEN_XML = "application/vnd.openxmlformats-officedocument"
+#: Bytes that no text holds.
+BINARY_BYTES = r"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f]"
+# ------------------------------------------------------------------------------------------------
+
+
 def sniff_mime(content: Column) -> Column:
-    """Content type from the leading bytes."""
+    """Content type from the leading bytes; an unknown binary is ``application/octet-stream``."""
     magic = F.hex(F.substring(content, 1, 8))
-    head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "iso-8859-1")))
+    lead = F.decode(F.substring(content, 1, 4096), "iso-8859-1")
+    head = F.lower(F.ltrim(F.substring(lead, 1, 64)))
+    zipped = (
+        F.when(lead.contains("xl/"), f"{OPEN_XML}.spreadsheetml.sheet")
+        .when(lead.contains("word/"), f"{OPEN_XML}.wordprocessingml.document")
+        .otherwise("application/zip")
+    )
+    found = F.when(magic.startswith("504B0304"), zipped)
+    for signature, name in SIGNATURES:
+        found = found.when(magic.startswith(signature), name)
+    marked = magic.startswith("FFFE") | magic.startswith("FEFF")  # UTF-16
     return (
-        F.when(magic.startswith("25504446"), "application/pdf")
-        .when(magic.startswith("504B0304"), "application/zip")
-        .when(magic == "D0CF11E0A1B11AE1", "application/x-ole-storage")
+        found.when(~marked & lead.rlike(BINARY_BYTES), "application/octet-stream")
         .when(head.startswith("<!doctype html") | head.startswith("<html"), "text/html")
         .when(head.startswith("{"), "application/json")
         .otherwise("text/plain")
@@ -77,7 +99,8 @@ def sniff_mime(content: Column) -> Column:
 def upload_check(files: DataFrame, max_bytes: int = vocab.UPLOAD_MAX_BYTES) -> DataFrame:
     """Adds ``mime``, ``mime_ok`` and ``size_ok`` to rows with ``path`` and ``content``.
 
-    Both OLE office types share one signature, so it stands for either of them.
+    Both OLE office types share one signature, so it stands for either of them; an xlsx may look like
+    a plain zip.
     """
     ext, mime = extension(F.col("path")), F.col("mime")
     ok = F.lit(False)
@@ -85,7 +108,7 @@ def upload_check(files: DataFrame, max_bytes: int = vocab.UPLOAD_MAX_BYTES) -> D
         hits = [mime.startswith(a) for a in allowed]
         if name in ("xls", "doc"):
             hits.append(mime == "application/x-ole-storage")
-        if name == "docx":
+        if name == "xlsx":
             hits.append(mime == "application/zip")
         any_hit = hits[0]
         for hit in hits[1:]:

@@ -6,30 +6,36 @@ folders lie in the shared folder of the session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cobaltmill.functions import vocab
 from cobaltmill.operators import payments, tokens, usage
+from cobaltmill.session import STATE_STORE, remove_path
 
-LATE_DAYS = 2
+_STATE_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _run(writer, folder: str) -> StreamingQuery:
+    spark = SparkSession.active()
+    if spark.conf.get(_STATE_KEY, None) != STATE_STORE:
+        spark.conf.set(_STATE_KEY, STATE_STORE)
     query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 def daily_quota_stream(messages: DataFrame, since: DataFrame, folder: str,
-                       limit: int = vocab.DAILY_LIMIT, zone: str = vocab.QUOTA_ZONE) -> DataFrame:
+                       limit: int = vocab.DAILY_LIMIT, zone: str = vocab.QUOTA_ZONE,
+                       late_days: int | None = None) -> DataFrame:
     """Quota outcomes of a message stream; returns the outcomes written so far.
 
-    Each micro-batch runs the batch operator with the counts of earlier batches. Counts are kept
-    as one small snapshot per batch id (users and days of the last two days only), so a repeated
-    batch rewrites the same files and a lost executor costs nothing but a retry. Messages older
-    than that are marked late.
+    Each micro-batch runs the batch operator with the counts of earlier batches, one small row per user
+    and day, kept as a snapshot per batch id; a repeated batch rewrites the same files, and a snapshot
+    goes once the one after the next is written. With ``late_days`` the counts of older days go too, and
+    messages of such days are marked late; without it the stream gives what the batch operator gives for
+    messages in order.
     """
     spark = messages.sparkSession
     used_schema = "user_id long, local_day date, admitted long"
@@ -42,12 +48,13 @@ def daily_quota_stream(messages: DataFrame, since: DataFrame, folder: str,
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read twice below
         before = snapshot(batch_id - 1)
-        horizon = F.date_sub(before.agg(F.max("local_day")).scalar(), LATE_DAYS)
         result = usage.daily_quota(batch, since, limit, zone, before)
-        late = (F.col("outcome") != "premium") & F.coalesce(F.col("local_day") < horizon, F.lit(False))
+        if late_days is not None:
+            horizon = F.date_sub(before.agg(F.max("local_day")).scalar(), late_days)
+            late = (F.col("outcome") != "premium") & F.coalesce(F.col("local_day") < horizon, F.lit(False))
+            result = result.withColumn("outcome", F.when(late, "late").otherwise(F.col("outcome")))
         target = f"{folder}/outcomes/{batch_id}"
-        result.withColumn("outcome", F.when(late, "late").otherwise(F.col("outcome"))).write.mode(
-            "overwrite").parquet(target)
+        result.write.mode("overwrite").parquet(target)
         written = spark.read.parquet(target)
         now = written.filter(F.col("outcome") == "admitted").groupBy("user_id", "local_day").agg(
             F.count(F.lit(1)).alias("admitted")
@@ -55,11 +62,13 @@ def daily_quota_stream(messages: DataFrame, since: DataFrame, folder: str,
         total = before.unionByName(now).groupBy("user_id", "local_day").agg(
             F.sum("admitted").alias("admitted")
         )
-        newest = F.greatest(
-            before.agg(F.max("local_day")).scalar(), written.agg(F.max("local_day")).scalar()
-        )
-        total.filter(F.col("local_day") >= F.date_sub(newest, LATE_DAYS)).write.mode(
-            "overwrite").parquet(f"{folder}/used/{batch_id}")
+        if late_days is not None:
+            newest = F.greatest(
+                before.agg(F.max("local_day")).scalar(), written.agg(F.max("local_day")).scalar()
+            )
+            total = total.filter(F.col("local_day") >= F.date_sub(newest, late_days))
+        total.write.mode("overwrite").parquet(f"{folder}/used/{batch_id}")
+        remove_path(spark, f"{folder}/used/{batch_id - 2}")
         batch.unpersist()
 
     _run(messages.writeStream.foreachBatch(step), folder)
@@ -86,17 +95,24 @@ def payment_fold_stream(events: DataFrame, folder: str) -> DataFrame:
     return latest.select("reference", "s.*")
 
 
-def first_use_stream(uses: DataFrame, issues: DataFrame, folder: str) -> DataFrame:
-    """First live use of each one-shot token; ``issues`` is a stored table.
+def first_use_stream(uses: DataFrame, issues: DataFrame, folder: str, lateness: str | None = None) -> DataFrame:
+    """First live use by time of each one-shot token; ``issues`` is a stored table.
 
-    A token is live for 30 minutes at most, so the state of a token can go once the watermark
-    has passed that span.
+    The state holds the smallest (used_at, use_id) per token and hour of use, and each micro-batch writes
+    the ones that it lowered. With ``lateness`` (such as "30 minutes") hours behind the watermark leave the
+    state and later uses of them are ignored; without it any use counts, however late it arrives.
     """
-    span = f"{vocab.TOKEN_MINUTES} minutes"
-    live = tokens.resolve_uses(uses.withWatermark("used_at", span), issues).filter("is_live")
-    firsts = live.dropDuplicatesWithinWatermark(["token"]).select("use_id", "token", "used_at")
-    _run(firsts.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/firsts"), folder)
-    return uses.sparkSession.read.schema(firsts.schema).parquet(f"{folder}/firsts")
+    spark = uses.sparkSession
+    live = tokens.resolve_uses(uses if lateness is None else uses.withWatermark("used_at", lateness), issues)
+    firsts = live.filter("is_live").groupBy("token", F.window("used_at", "1 hour").alias("hour")).agg(
+        F.min(F.struct("used_at", "use_id")).alias("first")).select("token", "first")
+
+    def step(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/firsts/{batch_id}")
+
+    _run(firsts.writeStream.outputMode("update").foreachBatch(step), folder)
+    written = spark.read.schema(firsts.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/firsts")
+    return written.groupBy("token").agg(F.min("first").alias("first")).select("first.use_id", "token", "first.used_at")
 
 
 def token_expiry_stream(issues: DataFrame, uses: DataFrame, folder: str) -> DataFrame:

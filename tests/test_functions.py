@@ -47,6 +47,10 @@ def test_identifiers(spark, text, expected):
     ("3/4/2024", dt.datetime(2024, 4, 3)), ("2024-04-03", dt.datetime(2024, 4, 3)),
     ("31-12-2023 7:05", None), ("31/12/2023 7:05", dt.datetime(2023, 12, 31, 7, 5)),
     ("31/31/2023", None), ("n/a", None), ("3.4.2024", dt.datetime(2024, 4, 3)),
+    ("2024-01-02T03:04:05Z", dt.datetime(2024, 1, 2, 3, 4, 5)), ("2024-01-02T03:04:05.123", dt.datetime(2024, 1, 2, 3, 4, 5, 123000)),
+    ("2024-01-02T03:04:05.5+02:00", dt.datetime(2024, 1, 2, 1, 4, 5, 500000)), ("01/02/24", dt.datetime(2024, 2, 1)),
+    ("1-2-99", dt.datetime(1999, 2, 1)), ("Jan 2, 2024", dt.datetime(2024, 1, 2)), ("2 january 2024", dt.datetime(2024, 1, 2)),
+    ("02-FEB-2024", dt.datetime(2024, 2, 2)), ("20240102", dt.datetime(2024, 1, 2)), ("20241340", None), ("Foo 2, 2024", None),
 ])
 def test_dates(spark, text, expected):
     assert one(spark, text, N.parse_date) == expected

@@ -12,7 +12,7 @@ from cobaltmill.functions import vocab
 from cobaltmill.operators import charts, chunking, cleaning, fuzzy, headers, payments, retrieval, tokens, usage
 from cobaltmill.operators.ordering import locf, occurrence_number
 from cobaltmill.operators.profile import id_profile, name_hint
-from cobaltmill.plans.analysis import UnknownColumn, nearest_column, run_spec
+from cobaltmill.plans.analysis import UnknownColumn, find_column, run_spec
 from cobaltmill.plans.clean import clean_table
 from cobaltmill.session import fresh_path
 from cobaltmill.sources import files, raw, sinks
@@ -76,6 +76,22 @@ def test_dedupe_headers(spark):
     rows = spark.createDataFrame([("f", i, n) for i, n in enumerate(names)], "file string, idx long, name string")
     got = [r["column"] for r in headers.dedupe_headers(rows).orderBy("idx").collect()]
     assert got == ["Valor", "col_2", "Valor_2", "col_4", "Valor_3", "Total neto"]
+    names = ["a", "a", "a_2", "a", "a_2", "a_4"]
+    rows = spark.createDataFrame([("f", i, n) for i, n in enumerate(names)], "file string, idx long, name string")
+    got = [r["column"] for r in headers.dedupe_headers(rows).orderBy("idx").collect()]
+    assert got == ["a", "a_3", "a_2", "a_5", "a_2_2", "a_4"]
+
+
+def test_failed_dates_are_not_blanks(spark):
+    df = spark.createDataFrame([("2024-01-02",), ("soon",), (" ",), (None,)], "d string")
+    assert tuple(cleaning.date_failures(df, ["d"]).first()) == ("d", 2, 1)
+
+
+def test_binaries_are_no_text(spark):
+    rows = [("a.csv", b"MZ\x90\x00\x03"), ("b.txt", b"\x89PNG\r\n\x1a\n"), ("c.docx", b"PK\x03\x04 plain"), ("d.xlsx", b"PK\x03\x04 plain"),
+            ("e.docx", b"PK\x03\x04 word/document.xml"), ("f.txt", b"\x00\x01\x02"), ("g.txt", "año".encode("latin-1")), ("h.csv", b"a,b\n1,2")]
+    got = {r["path"]: r["mime_ok"] for r in files.upload_check(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"a.csv": False, "b.txt": False, "c.docx": False, "d.xlsx": True, "e.docx": True, "f.txt": False, "g.txt": True, "h.csv": True}
 
 
 def test_delimiter_threshold(spark):
@@ -280,9 +296,25 @@ def test_corr_is_pairwise_complete(spark):
 
 
 def test_spec_columns():
-    assert nearest_column("Totl", ["total", "n"]) == "total"
+    assert find_column("TOTAL", ["total", "n"]) == "total"
+    replaced = {}
+    assert find_column("Totl", ["total", "n"], replaced) == "total" and replaced == {"Totl": "total"}
+    with pytest.raises(UnknownColumn, match="did you mean 'total'"):
+        find_column("Totl", ["total", "n"])
     with pytest.raises(UnknownColumn, match="total, n"):
-        nearest_column("weather", ["total", "n"])
+        find_column("weather", ["total", "n"], {})
+
+
+def test_spec_joins_and_filters_after_grouping(spark):
+    sales = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", 1), (4, None, 9), (5, "z", 2)], "id long, k string, v long")
+    names = spark.createDataFrame([("a", "Ana"), ("b", "Bo")], "k string, name string")
+    spec = {"source": "sales", "joins": [{"table": "names", "on": [["k", "k"]], "how": "left"}],
+            "filters": [{"column": "name", "op": "is not null"}, {"column": "v", "op": "between", "value": [1, 8]}],
+            "group_by": ["name"], "metrics": [{"column": "id", "agg": "distinct", "name": "n"}, {"column": "v", "agg": "median", "name": "m"}],
+            "having": [{"column": "n", "op": ">=", "value": 2}]}
+    assert [tuple(r) for r in run_spec({"sales": sales, "names": names}, spec).collect()] == [("Ana", 2, 6.0)]
+    spec |= {"filters": [{"column": "name", "op": "is null"}], "group_by": ["k"], "having": []}
+    assert [tuple(r) for r in run_spec({"sales": sales, "names": names}, spec).collect()] == [("z", 1, 2.0)]
 
 
 def test_spec_filters(spark):
@@ -596,5 +628,8 @@ def test_spec_charts(spark):
     assert heat == {(0, 0): 1.0, (1, 1): 3.0}
     dots = run_spec(df, {"chart": "scatter", "x": "v", "y": "w"}).collect()
     assert sorted((r["x"], r["y"]) for r in dots) == [(1.0, 2.0), (3.0, 0.0)]
+    with pytest.raises(ValueError, match="1 key"):
+        run_spec(df, base | {"chart": "bar"})
+    assert charts.auto_chart(df.filter("k = 'a'")) is None
     with pytest.raises(ValueError, match="radar"):
         run_spec(df, base | {"chart": "radar"})

@@ -55,6 +55,32 @@ def test_quota_continues_after_a_restart(spark):
     assert {r["event_id"]: r["outcome"] for r in got.collect()} == _quota_expected(rows, {}, 3)
 
 
+def test_first_use_is_the_earliest_whatever_the_batches(spark):
+    issues = spark.createDataFrame([(1, BASE, "dashboard"), (2, BASE, "chart")], "token long, issued_at timestamp, resource_type string")
+    used = [(10, 1, 9), (11, 1, 5), (12, 1, 2), (13, 2, 7), (14, 2, 1), (15, 2, 1)]
+    uses = spark.createDataFrame([(i, t, BASE + dt.timedelta(minutes=m)) for i, t, m in used], "use_id long, token long, used_at timestamp")
+    for n in (1, 3, 6):
+        got = jobs.first_use_stream(feed(spark, uses, ["use_id"], n), issues, fresh_path(spark, "first")).collect()
+        assert {(r["token"], r["use_id"], r["used_at"]) for r in got} == {
+            (1, 12, BASE + dt.timedelta(minutes=2)), (2, 14, BASE + dt.timedelta(minutes=1))}
+
+
+def test_quota_of_late_messages(spark):
+    rows = [(i, 1, BASE + dt.timedelta(days=9)) for i in range(3)] + [(10 + i, 1, BASE) for i in range(3)]
+    messages = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    since = spark.createDataFrame([], "user_id long, premium_since timestamp_ntz")
+
+    def run(**how):
+        folder = fresh_path(spark, "quota")
+        got = jobs.daily_quota_stream(feed(spark, messages, ["event_id"], 3), since, folder, 2, **how).collect()
+        kept = list(Path(f"{folder.removeprefix('file:')}/used").iterdir())
+        return {r["event_id"]: r["outcome"] for r in got}, len(kept)
+
+    outcomes, kept = run()
+    assert outcomes == _quota_expected(rows, {}, 2) and kept == 2
+    assert {k: v for k, v in run(late_days=2)[0].items() if k >= 10} == {10: "late", 11: "late", 12: "late"}
+
+
 def test_payments_over_many_batches(spark):
     df = spark.createDataFrame(
         [(r, BASE + dt.timedelta(minutes=m), i, ok, a, c, e) for i, (r, m, ok, a, c, e) in enumerate(PAYMENTS)],
@@ -88,7 +114,7 @@ def test_tokens_over_many_batches(spark):
     live = {r["token"] for r in tokens.resolve_uses(uses, issues).filter("is_live").collect()}
     assert live == {1, 3, 4, 59}
     firsts = jobs.first_use_stream(feed(spark, uses, ["used_at"], 3), issues, fresh_path(spark, "first")).collect()
-    assert {r["token"] for r in firsts} == live and len(firsts) == len(live)
+    assert {r["token"]: r["use_id"] for r in firsts} == {1: 1000, 3: 1002, 4: 1004, 59: 1006} and len(firsts) == len(live)
 
     joined = jobs.token_expiry_stream(
         feed(spark, issues, ["issued_at"], 3), feed(spark, uses, ["used_at"], 3), fresh_path(spark, "expiry"))
