@@ -13,7 +13,7 @@ import sys
 import time
 
 from cobaltmill.catalog import QUERIES
-from cobaltmill.session import get_session
+from cobaltmill.session import get_session, release
 
 HEADLINE = (
     "analysis_spec", "chart_ranking", "group_count", "group_sum", "group_mean", "column_roles",
@@ -45,6 +45,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     spark.stop()
     print(json.dumps({
         "metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from cobaltmill.operators import cleaning as C
 from cobaltmill.operators import fuzzy, headers
 from cobaltmill.operators.ordering import locf
 from cobaltmill.operators.profile import delimiter_density, id_profile
-from cobaltmill.plans.clean import clean_table
+from cobaltmill.plans.clean import clean_files
 from cobaltmill.session import table
 
 
@@ -514,58 +516,72 @@ def locf_by_file(spark, sf):
 
 # --- the whole pipeline -------------------------------------------------------------------------
 
-def _messy_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as a raw file: two preamble rows, a header in the third row, then dirty cells."""
+def _messy_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as three raw files with a header each: in the third row below a preamble, in the first row
+    with the columns in another order, and in the second row with a repeated name; then dirty cells."""
     day, key = F.col("o_orderdate"), F.lpad(F.col("o_custkey").cast("string"), 9, "9")
     cities = F.array(*[F.lit(c) for c in vocab.CATALOGS["ciudades"]])
     city = F.element_at(cities, (1 + F.col("o_custkey") % len(vocab.CATALOGS["ciudades"])).cast("int"))
     whole = F.floor("o_totalprice")
-    cells = F.array(
-        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.date_format(day, "dd/MM/yyyy")),
-        F.concat(key, F.lit("-1")),
-        F.initcap(F.translate(city, "AO", "ÁÓ")),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None))
+    cells = {
+        "Fecha": F.when(F.col("o_orderstatus") == "P", "").otherwise(F.date_format(day, "dd/MM/yyyy")),
+        "NIT": F.concat(key, F.lit("-1")),
+        "Ciudad": F.initcap(F.translate(city, "AO", "ÁÓ")),
+        "Valor COP": F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None))
         .otherwise(F.translate(F.format_number(whole, 0), ",", ".")),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("")).otherwise((whole % 1000).cast("string")),
-        F.lit(" "),
-        F.concat_ws("|", "o_orderstatus", F.concat(F.lit(" "), "o_orderpriority")),
-    )
-    body = table(spark, sf, "orders").select((F.col("o_orderkey") + 3).alias("row_id"), cells.alias("cells"))
+        "Flete": F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("")).otherwise((whole % 1000).cast("string")),
+        "Vacía": F.lit(" "),
+        "Tipo": F.concat_ws("|", "o_orderstatus", F.concat(F.lit(" "), "o_orderpriority")),
+    }
+    turned = list(cells)[::-1]
+    repeated = ["NIT", "Valor COP", "Valor COP", "Fecha"]
+    body = [F.array(*cells.values()), F.array(*[cells[c] for c in turned]),
+            F.array(cells["NIT"], cells["Valor COP"], cells["Flete"], cells["Fecha"])]
+    number = F.col("o_orderkey") % 3
+    rows = table(spark, sf, "orders").select(
+        F.concat(number.cast("string"), F.lit(".csv")).alias("file"), (F.col("o_orderkey") + 3).alias("row_id"),
+        F.when(number == 0, body[0]).when(number == 1, body[1]).otherwise(body[2]).alias("cells"))
     top = [
-        (0, ["DIAN  informe 900123456-7", None, "", None, None, None, None]),
-        (1, ["Periodo 2024", "x", None, None, None, None, None]),
-        (2, ["Fecha", "NIT", "Ciudad", "Valor COP", "Flete", "Vacía", "Tipo"]),
+        ("0.csv", 0, ["DIAN  informe 900123456-7", None, "", None, None, None, None]),
+        ("0.csv", 1, ["Periodo 2024", "x", None, None, None, None, None]),
+        ("0.csv", 2, list(cells)),
+        ("1.csv", 0, turned),
+        ("2.csv", 0, ["Otro informe", None, None, None]),
+        ("2.csv", 1, repeated),
     ]
-    head = spark.createDataFrame(top, "row_id long, cells array<string>")
-    return head.unionByName(body).select(F.lit("export").alias("file"), "row_id", "cells")
+    head = spark.createDataFrame(top, "file string, row_id long, cells array<string>")
+    return head.unionByName(rows)
 
 
 _CLEAN_SQL = f"""
 WITH b AS (
-  SELECT o_orderkey + 3 AS row_id, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS TIMESTAMP) END AS f,
+  SELECT (o_orderkey % 3) || '.csv' AS file, o_orderkey + 3 AS row_id, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS TIMESTAMP) END AS f,
          lpad(CAST(o_custkey AS VARCHAR), 9, '9') AS nit,
          {sql_list(vocab.CATALOGS["ciudades"])}[1 + o_custkey % {len(vocab.CATALOGS["ciudades"])}] AS ciudad,
          CASE WHEN o_orderpriority <> '5-LOW' THEN floor(o_totalprice) END AS v,
-         CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE floor(o_totalprice) % 1000 END AS flete,
+         CASE WHEN o_orderpriority <> '1-URGENT' THEN floor(o_totalprice) % 1000 END AS flete,
          o_orderstatus AS t0, o_orderpriority AS t1 FROM orders),
-w AS (SELECT row_id, last_value(f IGNORE NULLS) OVER o AS "Fecha", nit AS "NIT", ciudad AS "Ciudad",
-        coalesce(last_value(v IGNORE NULLS) OVER o, 0) AS "Valor COP", CAST(flete AS DOUBLE) AS "Flete",
-        t0 AS "Tipo_p0", t1 AS "Tipo_p1"
- FROM b WINDOW o AS (ORDER BY row_id ROWS UNBOUNDED PRECEDING))
+w AS (SELECT file, row_id, last_value(f IGNORE NULLS) OVER o AS "Fecha", nit AS "NIT",
+        CASE WHEN file <> '2.csv' THEN ciudad END AS "Ciudad", coalesce(last_value(v IGNORE NULLS) OVER o, 0) AS "Valor COP",
+        CASE WHEN file <> '2.csv' THEN CAST(coalesce(flete, 0) AS DOUBLE) END AS "Flete",
+        CASE WHEN file <> '2.csv' THEN t0 END AS "Tipo_p0", CASE WHEN file <> '2.csv' THEN t1 END AS "Tipo_p1",
+        CASE WHEN file = '2.csv' THEN CAST(coalesce(last_value(flete IGNORE NULLS) OVER o, 0) AS DOUBLE) END AS "Valor COP_2"
+ FROM b WINDOW o AS (PARTITION BY file ORDER BY row_id ROWS UNBOUNDED PRECEDING))
 """
 
 
 @register("clean_table", _CLEAN_SQL + "SELECT * FROM w")
 def clean_table_query(spark, sf):
-    return clean_table(_messy_export(spark, sf)).table
+    tables = [done.table for done in clean_files(_messy_exports(spark, sf))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 @register("clean_preview", _CLEAN_SQL + """
-SELECT *, CAST(2 AS BIGINT) AS header_row, true AS was_cleaned, 'DIAN' AS fuente, '900123456-7' AS nit_declarante
-FROM w ORDER BY row_id LIMIT 5
+SELECT * EXCLUDE ("Valor COP_2"), CAST(2 AS BIGINT) AS header_row, true AS was_cleaned, 'DIAN' AS fuente, '900123456-7' AS nit_declarante
+FROM w WHERE file = '0.csv' ORDER BY row_id LIMIT 5
 """)
 def clean_preview(spark, sf):
-    preview = clean_table(_messy_export(spark, sf)).preview()
+    preview = clean_files(_messy_exports(spark, sf))[0].preview()
     return preview.select(
         *[c for c in preview.columns if c != "document_metadata"],
         "document_metadata.fuente", "document_metadata.nit_declarante",

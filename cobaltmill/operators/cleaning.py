@@ -42,8 +42,14 @@ def shape(df: DataFrame, cols: list[str]) -> DataFrame:
 
     A column is split on ``|`` (or else ``;``) when 60 % of the rows hold that mark.
     """
+    rows = shape_profile(df, cols).collect()  # one row per column
+    return reshape(df, *shape_plan([r.asDict() for r in rows]))
+
+
+def shape_plan(profile: list[dict]) -> tuple[set[str], dict[str, tuple[str, int]]]:
+    """Columns without values, and mark and number of parts of the columns to split."""
     blank, plan = set(), {}
-    for row in shape_profile(df, cols).collect():  # one row per column
+    for row in profile:
         if not row["filled"]:
             blank.add(row["column"])
             continue
@@ -51,6 +57,10 @@ def shape(df: DataFrame, cols: list[str]) -> DataFrame:
             if row[f"{name}_density"] >= vocab.SPLIT_DENSITY:
                 plan[row["column"]] = (mark, row[f"{name}_parts"])
                 break
+    return blank, plan
+
+
+def reshape(df: DataFrame, blank: set[str], plan: dict[str, tuple[str, int]]) -> DataFrame:
     out: list[Column] = []
     taken = {c for c in df.columns if c not in plan}
     for c in df.columns:

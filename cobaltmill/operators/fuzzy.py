@@ -75,18 +75,21 @@ def best_terms(df: DataFrame, column: str, catalog: str, scorer: str = "ratio")
 
 
 def harmonize(df: DataFrame, column: str, catalog: str, scorer: str = "ratio",
-              threshold: int = vocab.FUZZY_SCORE) -> DataFrame:
+              threshold: int = vocab.FUZZY_SCORE, values: DataFrame | None = None) -> DataFrame:
     """Replace values that score at least ``threshold`` by their catalog term.
 
     Each distinct value is scored once. Only matched values are stored and join back, without a
     broadcast hint: their known size decides, and hot values are split in a sort-merge join.
+    A stored table of ``values`` that holds those of the column spares computing ``df`` for them;
+    nothing is stored then.
     """
     match = SCORERS[scorer](F.col(column), vocab.CATALOGS[catalog])
     good = F.filter(F.array(match), lambda m: m["score"] >= threshold)
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    distinct = (df if values is None else values).select(column).filter(F.col(column).isNotNull()).distinct()
     # A generator keeps the scoring above the distinct; a plain filter would be pushed below it
     # and score every row.
-    matched = values.select(column, F.explode_outer(good).alias("m")).filter(F.col("m").isNotNull())
-    matched = materialise(matched.select(column, "m.term"), "matched-terms")
+    matched = distinct.select(column, F.explode_outer(good).alias("m")).filter(F.col("m").isNotNull())
+    matched = matched.select(column, "m.term")
+    matched = materialise(matched, "matched-terms") if values is None else matched
     joined = df.join(matched, column, "left")
     return joined.withColumn(column, F.coalesce("term", column)).select(*df.columns)

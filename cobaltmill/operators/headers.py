@@ -104,10 +104,56 @@ def dedupe_headers(headers: DataFrame) -> DataFrame:
     )
 
 
+def unique_names(cells: Column) -> Column:
+    """The cells of one header row as unique column names, by the rules of :func:`dedupe_headers`."""
+    def base(cell: Column, i: Column) -> Column:
+        clean = T.norm_text(F.coalesce(cell, F.lit("")))
+        return F.when(_blankish(clean), F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(clean)
+
+    def named(bases: Column) -> Column:
+        def name(b: Column, i: Column) -> Column:
+            seen = F.size(F.filter(F.slice(bases, F.lit(1), i + 1), lambda x: x == b))
+            tries = F.transform(F.sequence(F.lit(2), seen + F.size(bases) + 1),
+                                lambda k: F.concat_ws("_", b, k.cast("string")))
+            free = F.filter(tries, lambda t: ~F.array_contains(bases, t))
+            return F.when(seen == 1, b).otherwise(F.get(free, seen - 2))
+
+        return F.transform(bases, name)
+
+    return T.let(F.transform(cells, base), named)
+
+
+def file_headers(raw: DataFrame, depth: int = vocab.HEADER_SCAN_ROWS) -> DataFrame:
+    """One row per file: ``header_row``, its ``header_id``, column ``names`` and ``metadata_text``.
+
+    Reads the leading rows of each file only; the rules are those of :func:`header_rows`,
+    :func:`dedupe_headers` and :func:`preamble_text`.
+    """
+    scored = leading_rows(raw, depth).select(
+        "file", F.struct("line_no", "row_id", token_score(F.col("cells")).alias("score"), "cells").alias("r"))
+    grouped = scored.groupBy("file").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # ``depth`` rows at most
+    best = F.array_max(F.transform("rows", lambda r: F.struct(r["score"], (-r["line_no"]).alias("earlier"))))
+    first = F.get(F.filter("rows", lambda r: r["line_no"] == 0), F.lit(0))["score"]
+    chosen = grouped.withColumn("best", best).withColumn("header_row", F.when(
+        (F.col("best.score") >= 2) & (F.col("best.score") > F.coalesce(first, F.lit(0))) & (F.col("best.earlier") < 0),
+        -F.col("best.earlier")).otherwise(0).cast("long"))
+    header = F.get(F.filter("rows", lambda r: r["line_no"] == F.col("header_row")), F.lit(0))
+    above = F.filter("rows", lambda r: r["line_no"] < F.col("header_row"))
+    lines = F.filter(F.transform(above, lambda r: _preamble_line(r["cells"])), lambda line: line != "")
+    return chosen.select(
+        "file", "header_row", F.coalesce(header["row_id"], F.lit(-1)).alias("header_id"),
+        F.coalesce(unique_names(header["cells"]), F.array().cast("array<string>")).alias("names"),
+        T.strip(F.array_join(F.slice(lines, 1, 20), "\n")).alias("metadata_text"))
+
+
+def _preamble_line(cells: Column) -> Column:
+    cleaned = F.transform(cells, lambda cell: T.norm_text(F.coalesce(cell, F.lit(""))))
+    return F.array_join(F.filter(cleaned, lambda cell: cell != ""), " | ")
+
+
 def preamble_text(raw: DataFrame, headers: DataFrame) -> DataFrame:
     """The rows above each file's header as text, blank cells and lines skipped, first 20 lines."""
-    cleaned = F.transform("cells", lambda cell: T.norm_text(F.coalesce(cell, F.lit(""))))
-    line = F.array_join(F.filter(cleaned, lambda cell: cell != ""), " | ")
+    line = _preamble_line(F.col("cells"))
     above = (
         leading_rows(raw, vocab.HEADER_SCAN_ROWS)
         .join(headers.select("file", "header_row"), "file")

@@ -24,9 +24,12 @@ def _share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def shape_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+SHAPE_METRICS = ["filled", "pipe_density", "pipe_parts", "semicolon_density", "semicolon_parts"]
+
+
+def shape_aggregates(cols: list[str]) -> list[Column]:
     """Per text column: filled rows, share of rows with each split mark, largest part count."""
-    aggs, metrics = [], ["filled"]
+    aggs = []
     for i, c in enumerate(cols):
         value = F.col(f"`{c}`")
         aggs.append(F.count(value).alias(f"filled_{i}"))
@@ -34,8 +37,12 @@ def shape_profile(df: DataFrame, cols: list[str]) -> DataFrame:
             parts = F.length(value) - F.length(F.replace(value, F.lit(mark), F.lit(""))) + 1
             aggs.append(_share(value.contains(mark)).alias(f"{name}_density_{i}"))
             aggs.append(F.coalesce(F.max(parts), F.lit(0)).cast("long").alias(f"{name}_parts_{i}"))
-    metrics += ["pipe_density", "pipe_parts", "semicolon_density", "semicolon_parts"]
-    return unpivot_metrics(df.agg(*aggs), cols, metrics)
+    return aggs
+
+
+def shape_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per column of :func:`shape_aggregates`."""
+    return unpivot_metrics(df.agg(*shape_aggregates(cols)), cols, SHAPE_METRICS)
 
 
 def delimiter_density(df: DataFrame, cols: list[str]) -> DataFrame:

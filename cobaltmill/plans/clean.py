@@ -1,7 +1,8 @@
-"""The whole cleaning job for one raw file: header, cells, types, catalogs, gaps."""
+"""The whole cleaning job for raw files: header, cells, types, catalogs, gaps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,24 +13,36 @@ from cobaltmill.functions import vocab
 from cobaltmill.operators import cleaning as C
 from cobaltmill.operators import fuzzy, headers
 from cobaltmill.operators.ordering import locf
-from cobaltmill.operators.profile import name_hint
+from cobaltmill.operators.profile import SHAPE_METRICS, name_hint, shape_aggregates
 from cobaltmill.session import materialise
 
+KEYS = ["file", "row_id"]
+
 
 @dataclass
 class CleanTable:
-    """A cleaned table (lazy) with what the profile passes found out."""
+    """A cleaned table (lazy) of all files with one header, with what the profile passes found out.
+
+    ``header_row`` and ``metadata_text`` are those of the first file; ``files`` has them for each.
+    """
 
     table: DataFrame
     header_row: int
     columns: list[str]
     metadata_text: str
+    files: DataFrame | None = None
+    typed: DataFrame | None = None
+    finish: Callable[[DataFrame], DataFrame] | None = None
 
     def preview(self, rows: int = 5) -> DataFrame:
-        """Leading rows in file order with header row and metadata; a sample by design."""
+        """Leading rows in file order with header row and metadata; a sample by design.
+
+        Gaps are filled from earlier rows, so the leading typed rows are enough.
+        """
         found = headers.document_metadata(F.lit(self.metadata_text))
+        lead = self.table if self.typed is None else self.finish(self.typed.orderBy(*KEYS).limit(rows))
         return (
-            self.table.orderBy("row_id").limit(rows)
+            lead.orderBy(*KEYS).limit(rows)
             .withColumn("header_row", F.lit(self.header_row).cast("long"))
             .withColumn("was_cleaned", F.lit(True))
             .withColumn("document_metadata", found)
@@ -45,83 +58,95 @@ def route_catalog(name: str) -> str | None:
     return None
 
 
-def clean_table(raw: DataFrame, matching: str = "substring", scorer: str = "levenshtein") -> CleanTable:
-    """Clean one raw file given as (file, row_id, cells).
+def clean_table(raw: DataFrame, matching: str = "substring", scorer: str = "ratio") -> CleanTable:
+    """Clean raw files (file, row_id, cells) that share one header; others go to :func:`clean_files`."""
+    done = clean_files(raw, matching, scorer)
+    if len(done) > 1:
+        raise ValueError("the files have different headers: " + "; ".join(
+            ", ".join(d.columns) for d in done) + "; use clean_files")
+    return done[0] if done else CleanTable(raw.select(*KEYS).limit(0), 0, [], "")
 
-    Only the leading 24 rows and one profile row per pass reach the driver. The body is read from
-    ``raw`` once: normalised cells are stored, both profile passes and the typing read the stored
-    columns, and gaps are filled from the stored typed table.
+
+def clean_files(raw: DataFrame, matching: str = "substring", scorer: str = "ratio") -> list[CleanTable]:
+    """Clean raw files given as (file, row_id, cells), each below its own header.
+
+    Files with the same column names make one table; types are found per table, gaps are filled per
+    file. The leading rows are read once for all headers; each table is profiled in one pass, typed in
+    one projection, and stored once before its gaps are filled. Only one row per header and one profile
+    row per table reach the driver.
     """
-    lead = materialise(
-        headers.leading_rows(raw, vocab.HEADER_SCAN_ROWS).select(
-            "file", F.col("line_no").alias("row_id"), F.col("row_id").alias("source_id"), "cells"
-        ), "leading-rows",
-    )
-    found = headers.header_rows(lead)
-    top = found.first()
-    if top is None:
-        return CleanTable(raw.select("row_id").limit(0), 0, [], "")
-    header_row = top["header_row"]
-    names = _column_names(lead, header_row)
-    preamble = headers.preamble_text(lead, found).first()
-    header_id = lead.filter(F.col("row_id") == header_row).first()["source_id"]
-
-    body = raw.filter(F.col("row_id") > header_id).select(
-        "row_id", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
-    )
-    body = C.shape(materialise(C.normalise_cells(body, names), "cells"), names)
-    cols = [c for c in body.columns if c != "row_id"]
-    text = preamble["metadata_text"] if preamble else ""
+    facts = materialise(headers.file_headers(raw), "file-headers")
+    first = F.min(F.struct("file", "header_row", "metadata_text")).alias("first")
+    layouts = facts.groupBy("names").agg(first).collect()  # one row per header
+    return [_clean_layout(raw, facts, r["names"], r["first"], matching, scorer)
+            for r in sorted(layouts, key=lambda r: r["first"]["file"])]
+
+
+def _clean_layout(raw: DataFrame, facts: DataFrame, names: list[str], first, matching: str,
+                  scorer: str) -> CleanTable:
+    own = facts.filter(F.col("names") == F.lit(names))
+    files = own.select("file", "header_row", "metadata_text")
+    body = raw.join(own.select("file", "header_id"), "file").filter(F.col("row_id") > F.col("header_id"))
+    body = body.select(*KEYS, *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    nothing = CleanTable(body.select(*KEYS).limit(0), first["header_row"], [], first["metadata_text"], files)
+    if not names:
+        return nothing
+    body = C.normalise_cells(body, names)
+    aggs = [*shape_aggregates(names), *_rates(names, matching)]
+    profile = body.agg(*aggs).first()
+    blank, split = C.shape_plan([
+        {"column": c} | {m: profile[f"{m}_{i}"] for m in SHAPE_METRICS} for i, c in enumerate(names)])
+    shares = {c: [profile[f"r{3 * i + k}"] for k in range(3)] for i, c in enumerate(names)}
+    body = C.reshape(body, blank, split)
+    cols = [c for c in body.columns if c not in KEYS]
     if not cols:
-        return CleanTable(body, header_row, [], text)
-
-    typed, additive, forward = _typed(body, cols, matching)
+        return nothing
+    parts = [c for c in cols if c not in shares]
+    if parts:  # columns made by a split are profiled on their own
+        found = body.agg(*_rates(parts, matching)).first()
+        shares |= {c: [found[3 * i + k] for k in range(3)] for i, c in enumerate(parts)}
+
+    typed, additive, forward = _typed(body, cols, shares, matching)
+    typed = materialise(C.impute_additive(typed, additive) if additive else typed, "typed")
+
+    def finish(rows: DataFrame) -> DataFrame:
+        filled = locf(rows, "row_id", [c for c in cols if c not in additive], ["file"])
+        numbers = {c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in forward}
+        filled = filled.withColumns(numbers) if numbers else filled
+        texts = [f.name for f in typed.schema.fields if f.dataType.simpleString() == "string" and f.name in cols]
+        for c in texts:  # a known value keeps its term wherever it fills a gap
+            catalog = route_catalog(c)
+            filled = fuzzy.harmonize(filled, c, catalog, scorer, values=rows) if catalog else filled
+        done = filled.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in texts})
+        return done.select(*KEYS, *[F.col(f"`{c}`") for c in cols])
+
+    return CleanTable(finish(typed), first["header_row"], cols, first["metadata_text"], files, typed, finish)
+
+
+def _rates(cols: list[str], matching: str) -> list:
+    """Three rates per column: id-like share, number rate, date rate; only those its name calls for."""
+    nothing, rates = F.lit(0.0), []
     for c in cols:
-        catalog = route_catalog(c)
-        if catalog and dict(typed.dtypes)[c] == "string":
-            typed = fuzzy.harmonize(typed, c, catalog, scorer)
-    typed = C.impute_additive(typed, additive) if additive else typed
-    typed = materialise(typed, "typed")
-    filled = locf(typed, "row_id", [c for c in cols if c not in additive])
-    numbers = {c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in forward}
-    filled = filled.withColumns(numbers) if numbers else filled
-    texts = [f.name for f in filled.schema.fields if f.dataType.simpleString() == "string"]
-    done = filled.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in texts})
-    return CleanTable(
-        done.select("row_id", *[F.col(f"`{c}`") for c in cols]), header_row, cols, text
-    )
-
-
-def _column_names(raw: DataFrame, header_row: int) -> list[str]:
-    cells = raw.filter(F.col("row_id") == header_row).select(
-        "file", F.posexplode("cells").alias("idx", "name")
-    )
-    named = headers.dedupe_headers(cells).orderBy("idx").collect()  # one row per column
-    return [r["column"] for r in named]
-
-
-def _typed(body: DataFrame, cols: list[str], matching: str):
-    """Types from names and one pass of rates; returns the table and the imputation plan."""
-    def hinted(name: str, hints: tuple[str, ...]) -> bool:
-        return name_hint(name, hints, matching)
-
-    nothing = F.lit(0.0)
-    rates = []
-    for c in cols:  # only the rates that can matter for the column's name
         value = F.col(f"`{c}`")
-        dated, critical = hinted(c, vocab.DATE_HINTS), hinted(c, vocab.CRITICAL_HINTS)
+        dated, critical = (name_hint(c, h, matching) for h in (vocab.DATE_HINTS, vocab.CRITICAL_HINTS))
         rates += [
             F.avg(F.when(value.isNotNull(), N.id_like(value).cast("double")))
-            if not hinted(c, vocab.ID_HINTS) else F.max(nothing),
+            if not name_hint(c, vocab.ID_HINTS, matching) else F.max(nothing),
             C.parse_rate(C.typed_value(value, c, False, matching)) if critical else F.max(nothing),
             F.avg(F.when(N.parse_date(value).isNotNull(), 1.0).otherwise(0.0))
             if dated else F.max(nothing),
         ]
-    found = body.agg(*[r.alias(f"r{i}") for i, r in enumerate(rates)]).first()
+    return [r.alias(f"r{i}") for i, r in enumerate(rates)]
 
-    out, additive, forward = [F.col("row_id")], [], []
-    for i, c in enumerate(cols):
-        id_share, rate, date_rate = (v or 0.0 for v in found[3 * i:3 * i + 3])
+
+def _typed(body: DataFrame, cols: list[str], shares: dict[str, list[float | None]], matching: str):
+    """Types from names and rates; returns the table and the imputation plan."""
+    def hinted(name: str, hints: tuple[str, ...]) -> bool:
+        return name_hint(name, hints, matching)
+
+    out, additive, forward = [F.col(k) for k in KEYS], [], []
+    for c in cols:
+        id_share, rate, date_rate = (v or 0.0 for v in shares[c])
         is_id = hinted(c, vocab.ID_HINTS) or id_share >= vocab.ID_DENSITY
         value = C.typed_value(F.col(f"`{c}`"), c, is_id, matching)
         if hinted(c, vocab.DATE_HINTS) and date_rate >= vocab.NUMERIC_PARSE_RATE:

@@ -4,52 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-from cobaltmill.functions.text import SPACE
+from cobaltmill.functions import clock
+from cobaltmill.functions import numbers as N
+from cobaltmill.functions import text as T
+from cobaltmill.functions import webhooks as H
 from cobaltmill.operators import charts
 from cobaltmill.plans.analysis import chart_with_fallback, run_spec
-from cobaltmill.plans.clean import clean_table
+from cobaltmill.plans.clean import clean_files, clean_table
 from cobaltmill.session import table
 from cobaltmill.sources.sinks import write_records, write_report
 
-_SPACE_SQL = SPACE.replace("\\", "\\\\")
-_MONEY = r"regexp_replace(s, '[^0-9,.\\-]', '')"
-
-# SQL bodies are inlined by Catalyst, so calling them costs the same as writing them out.
-SQL_FUNCTIONS = {
-    "norm_text(s STRING) RETURNS STRING": f"trim(regexp_replace(s, '[{_SPACE_SQL}]+', ' '))",
-    "money_chars(s STRING) RETURNS STRING": _MONEY,
-    "mark_count(s STRING, mark STRING) RETURNS INT": "length(s) - length(replace(s, mark, ''))",
-    "parse_usd(s STRING) RETURNS DOUBLE": "try_cast(nullif(replace(money_chars(s), ',', ''), '') AS DOUBLE)",
-    "peso_text(s STRING, dots INT, commas INT) RETURNS STRING": r"""
-        CASE WHEN dots > 1 OR (dots = 1 AND commas >= 1) THEN replace(replace(s, '.', ''), ',', '.')
-             WHEN dots = 1 AND s RLIKE '^-?\\d+\\.\\d{3}$' THEN replace(s, '.', '')
-             WHEN dots = 0 AND commas = 1 THEN replace(s, ',', '.')
-             WHEN dots = 0 AND commas > 1 THEN replace(s, ',', '') ELSE s END""",
-    "parse_cop(s STRING) RETURNS DOUBLE": """try_cast(nullif(peso_text(money_chars(s),
-        mark_count(money_chars(s), '.'), mark_count(money_chars(s), ',')), '') AS DOUBLE)""",
-    "id_text(s STRING) RETURNS STRING":
-        r"regexp_replace(translate(norm_text(s), '., ', ''), '-\\w+$', '')",
-    "id_normalize(s STRING) RETURNS STRING":
-        r"coalesce(nullif(regexp_extract(id_text(s), '(\\d{8,10})', 1), ''), id_text(s))",
-    "whole_pesos(n BIGINT) RETURNS BIGINT":
-        "CASE WHEN n <= 0 THEN 0 WHEN n >= 1000000 AND n % 100 = 0 THEN n div 100 ELSE n END",
-    "local_day(t TIMESTAMP_NTZ) RETURNS DATE": "to_date(convert_timezone('UTC', 'America/Bogota', t))",
-    "chart_value(v DOUBLE) RETURNS DOUBLE": "round(coalesce(nanvl(v, 0D), 0D), 4)",
-    "chart_label(s STRING) RETURNS STRING": "coalesce(s, '')",
+#: Each SQL function: its parameter, the result type, and the column function that is its body.
+SQL_FUNCTIONS: dict[str, tuple[str, str, Callable[[Column], Column]]] = {
+    "norm_text": ("s STRING", "STRING", T.norm_text),
+    "parse_usd": ("s STRING", "DOUBLE", N.parse_usd),
+    "parse_cop": ("s STRING", "DOUBLE", N.parse_cop),
+    "id_normalize": ("s STRING", "STRING", N.id_normalize),
+    "whole_pesos": ("n BIGINT", "BIGINT", H.whole_pesos),
+    "local_day": ("t TIMESTAMP_NTZ", "DATE", clock.local_day),
+    "chart_value": ("v DOUBLE", "DOUBLE", N.value_coerce),
+    "chart_label": ("s STRING", "STRING", N.label_coerce),
 }
 
 
+def _sql_of(spark: SparkSession, parameter: str, use: Callable[[Column], Column]) -> str:
+    """The SQL text that Catalyst gives for a column function, so that there is one body for both."""
+    shown = spark.createDataFrame([], parameter).select(use(F.col(parameter.split()[0])).alias("x"))
+    return shown._jdf.queryExecution().analyzed().expressions().head().child().sql()
+
+
 def register_sql_functions(spark: SparkSession) -> None:
-    for signature, body in SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    """Temporary SQL functions; Catalyst inlines their bodies, so a call costs the same as writing it out."""
+    for name, (parameter, result, use) in SQL_FUNCTIONS.items():
+        body = _sql_of(spark, parameter, use)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameter}) RETURNS {result} RETURN {body}")
 
 
 def helpers() -> dict[str, Callable]:
     """Loader, chart helpers and report writers by name."""
     return {
-        "load_table": table, "clean_table": clean_table, "run_spec": run_spec,
+        "load_table": table, "clean_table": clean_table, "clean_files": clean_files, "run_spec": run_spec,
         "chart_with_fallback": chart_with_fallback, "write_records": write_records,
         "write_report": write_report,
         **{name: getattr(charts, name) for name in (

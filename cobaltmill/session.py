@@ -60,9 +60,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_SHARED[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cobaltmill/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark)}/cobaltmill/{tag}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    Results that still have to be read must be written elsewhere first.
+    """
+    remove_path(spark, own_folder(spark))
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

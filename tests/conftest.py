@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cobaltmill.session import get_session  # noqa: E402
+from cobaltmill.session import get_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

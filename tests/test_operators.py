@@ -165,7 +165,7 @@ def test_clean_table_from_files(spark):
     done = clean_table(scanned)
     assert (done.header_row, done.metadata_text) == (2, "DIAN reporte 900123456-7\nPeriodo 2024")
     assert done.columns == ["Fecha", "NIT", "Ciudad", "Valor COP", "Flete", "Valor COP_2"]
-    rows = [tuple(r) for r in done.table.orderBy("row_id").collect()]
+    rows = [tuple(r)[1:] for r in done.table.orderBy("row_id").collect()]
     day = dt.datetime(2024, 3, 5)
     assert rows == [
         (3, day, "900111222", "BOGOTA", 1500.0, 0.0, 9.0), (5, day, "800111222", "MEDELLIN", 1500.0, 20.0, 8.0),
@@ -175,6 +175,25 @@ def test_clean_table_from_files(spark):
     assert first["document_metadata"]["nit_declarante"] == "900123456-7" and first["header_row"] == 2
 
 
+def test_clean_files_with_their_own_headers(spark):
+    from cobaltmill.plans.clean import clean_files
+
+    rows = [("a", 0, ["Fecha", "NIT", "Valor"]), ("a", 1, ["01/02/2024", "900.111.222-3", "5"]), ("a", 2, [None, "900.111.222-3", None]),
+            ("b", 0, ["informe DIAN", None, None]), ("b", 1, ["Fecha", "NIT", "Valor"]), ("b", 2, ["", "800.111.222-3", "7"]), ("b", 3, ["03/02/2024", "800.111.222-3", None]),
+            ("c", 0, ["Ciudad", "Valor", "Valor"]), ("c", 1, ["cli", "1", "2"])]
+    raw_rows = spark.createDataFrame(rows, "file string, row_id long, cells array<string>")
+    done = clean_files(raw_rows)
+    assert [d.columns for d in done] == [["Fecha", "NIT", "Valor"], ["Ciudad", "Valor", "Valor_2"]]
+    day = dt.datetime(2024, 2, 1)
+    assert [tuple(r) for r in done[0].table.orderBy("file", "row_id").collect()] == [
+        ("a", 1, day, "900111222", 5.0), ("a", 2, day, "900111222", 5.0), ("b", 2, None, "800111222", 7.0),
+        ("b", 3, dt.datetime(2024, 2, 3), "800111222", 7.0)]
+    assert [tuple(r)[2:] for r in done[1].table.collect()] == [("CALI", 1.0, 2.0)]
+    assert {(r["file"], r["header_row"], r["metadata_text"]) for r in done[0].files.collect()} == {("a", 0, ""), ("b", 1, "informe DIAN")}
+    with pytest.raises(ValueError, match="different headers"):
+        clean_table(raw_rows)
+
+
 def test_clean_table_without_data(spark):
     schema = "file string, row_id long, cells array<string>"
     empty = clean_table(spark.createDataFrame([], schema))
