@@ -32,6 +32,17 @@ def levenshtein_match(c: Column, terms: tuple[str, ...]) -> Column:
     return T.let(catalog_key(c), best)
 
 
+def _choice(term: str) -> str:
+    """A term with its letters' places as bits, in SQL: one literal instead of a call per letter."""
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    places = ", ".join(
+        f"{text(letter)}, {sum(1 << i for i, other in enumerate(term) if other == letter)}L"
+        for letter in dict.fromkeys(term))
+    return f"named_struct('term', {text(term)}, 'bits', {(1 << len(term)) - 1}L, 'places', map({places}))"
+
+
 def ratio_match(c: Column, terms: tuple[str, ...]) -> Column:
     """Best term and score; the score is the share of letters that stand in common order.
 
@@ -40,11 +51,7 @@ def ratio_match(c: Column, terms: tuple[str, ...]) -> Column:
     """
     if max(map(len, terms)) > 62:
         raise ValueError("terms may have 62 letters at most")
-    choices = F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit((1 << len(t)) - 1).cast("long").alias("bits"),
-                 F.create_map(*[x for letter in dict.fromkeys(t) for x in (F.lit(letter), F.lit(sum(
-                     1 << i for i, other in enumerate(t) if other == letter)).cast("long"))]).alias("places"))
-        for t in terms])
+    choices = F.expr("array(" + ", ".join(map(_choice, terms)) + ")")
 
     def best(key: Column) -> Column:
         letters = F.split(key, "")
