@@ -22,10 +22,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobaltmill.llm.common import positions
+from cobaltmill.operators.ordering import positions
 from cobaltmill.session import materialise, table
 
 SEEDS = 8
@@ -117,38 +117,42 @@ def edit_with_next(docs: DataFrame) -> DataFrame:
     """Every document with its edited text and the hashes of both and of the next document.
 
     The last floor(n / 2) code points are replaced by the first as many (or all) of the next document.
-    Only ids and hashes are ordered; each text is shuffled once by its key, and of the next document's
-    text just the prefix that is needed goes to its predecessor.
+    Only ids and hashes are ordered; each text is shuffled once by its key (equal rows are one there),
+    and of the next document's text just the prefix that is needed goes to its predecessor. Of equal
+    rows all but the last are followed by an equal row.
 
     Returns ``doc_id, text, n_chars, edited, sums, next_id, next_sums``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = ["k1", "k2", "copy"]
+    keys = ["k1", "k2"]
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("k1"),
                         F.xxhash64(F.lit(7), F.col("doc_id"), text).alias("k2"))
-    copies = Window.partitionBy("k1", "k2")
-    narrow = keyed.select("doc_id", "k1", "k2", F.length("text").alias("n"))
-    placed = positions(narrow, [F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2")], "next-order")
-    placed = materialise(placed.withColumn(
-        "copy", F.row_number().over(copies.orderBy("position"))), "next-places")
+    narrow = keyed.groupBy("doc_id", *keys, F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("copies"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2")]
+    placed = materialise(positions(narrow, order), "next-places")
     count = max(placed.count(), 1)
-    owner = placed.select((F.col("position") + 1).alias("_at"), F.floor(F.col("n") / 2).cast("int").alias("take"),
-                          *[F.col(k).alias(f"o{k}") for k in keys])
-    owner = owner.withColumn("_at", F.col("_at") % count)
-    links = placed.join(owner, F.col("position") == F.col("_at")).select(
-        *keys, "take", *[f"o{k}" for k in keys])
+    owner = placed.select(((F.col("position") + 1) % count).alias("_at"), "copies",
+                          F.floor(F.col("n") / 2).cast("int").alias("take"), *[F.col(k).alias(f"o{k}") for k in keys])
+    links = placed.drop("copies").join(owner, F.col("position") == F.col("_at")).select(
+        *keys, "copies", "take", *[f"o{k}" for k in keys])
     links = materialise(links, "next-links")
 
-    hashed = fingerprints(keyed, F.col("text"))
-    rows = hashed.withColumn("copy", F.row_number().over(copies.orderBy(F.lit(0))))
+    rows = fingerprints(keyed, F.col("text")).dropDuplicates(keys)
     after = rows.join(links, keys).select(
-        *[F.col(f"o{k}").alias(k) for k in keys], "take", F.col("doc_id").alias("next_id"),
+        *[F.col(f"o{k}").alias(k) for k in keys], "copies", "take", F.col("doc_id").alias("next_id"),
         F.substring(F.col("text"), F.lit(1), F.col("take")).alias("prefix"), F.col("sums").alias("next_sums"))
-    joined = rows.join(after, keys)
-    n = F.length("text")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("take")), F.col("prefix"))
-    return joined.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "sums",
-                         "next_id", "next_sums")
+    n, copy = F.length("text"), F.col("_copy")
+    each = rows.join(after, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+
+    def last(of_next: Column, of_itself: Column) -> Column:
+        return F.when(copy == 1, of_next).otherwise(of_itself)
+
+    head = F.substring(F.col("text"), F.lit(1), n - F.col("take"))
+    own = F.substring(F.col("text"), F.lit(1), F.col("take"))
+    return each.select(
+        "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(head, last(F.col("prefix"), own)).alias("edited"),
+        "sums", last(F.col("next_id"), F.col("doc_id")).alias("next_id"),
+        last(F.col("next_sums"), F.col("sums")).alias("next_sums"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
