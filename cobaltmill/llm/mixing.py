@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cobaltmill.llm.common import WORD, positions, word_count
+from cobaltmill.llm.common import WORD, word_count
+from cobaltmill.operators.ordering import positions
 from cobaltmill.session import materialise, table
 
 BUCKETS = 4096
@@ -49,7 +50,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: f
     the driver sees its single row.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = positions(sizes, [F.col("source").asc_nulls_last()], "mix-sources")
+    ranked = positions(sizes, [F.col("source").asc_nulls_last()])
     listed = F.array(*[F.lit(float(w)) for w in weights])
     weight = F.element_at(listed, (F.col("position") % len(weights) + 1).cast("int"))
     known = materialise(
