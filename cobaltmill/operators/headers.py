@@ -126,7 +126,8 @@ def unique_names(cells: Column) -> Column:
 def file_headers(raw: DataFrame, depth: int = vocab.HEADER_SCAN_ROWS) -> DataFrame:
     """One row per file: ``header_row``, its ``header_id``, column ``names`` and ``metadata_text``.
 
-    Reads the leading rows of each file only; the rules are those of :func:`header_rows`,
+    Reads the leading rows of each file only; the widest of them decides how many columns there are (a
+    header may be shorter than the rows below it). The rules are those of :func:`header_rows`,
     :func:`dedupe_headers` and :func:`preamble_text`.
     """
     scored = leading_rows(raw, depth).select(
@@ -138,11 +139,13 @@ def file_headers(raw: DataFrame, depth: int = vocab.HEADER_SCAN_ROWS) -> DataFra
         (F.col("best.score") >= 2) & (F.col("best.score") > F.coalesce(first, F.lit(0))) & (F.col("best.earlier") < 0),
         -F.col("best.earlier")).otherwise(0).cast("long"))
     header = F.get(F.filter("rows", lambda r: r["line_no"] == F.col("header_row")), F.lit(0))
+    width = F.array_max(F.transform("rows", lambda r: F.size(r["cells"])))
+    cells = F.concat(header["cells"], F.array_repeat(F.lit(None).cast("string"), width - F.size(header["cells"])))
     above = F.filter("rows", lambda r: r["line_no"] < F.col("header_row"))
     lines = F.filter(F.transform(above, lambda r: _preamble_line(r["cells"])), lambda line: line != "")
     return chosen.select(
         "file", "header_row", F.coalesce(header["row_id"], F.lit(-1)).alias("header_id"),
-        F.coalesce(unique_names(header["cells"]), F.array().cast("array<string>")).alias("names"),
+        F.coalesce(unique_names(cells), F.array().cast("array<string>")).alias("names"),
         T.strip(F.array_join(F.slice(lines, 1, 20), "\n")).alias("metadata_text"))
 
 

@@ -78,6 +78,19 @@ def occurrence_number(df: DataFrame, order: str, keys: list[str], name: str,
     )
 
 
+def running_before(df: DataFrame, order: str, keys: list[str], value: str, name: str,
+                   bits: int = BLOCK_BITS, levels: int = LEVELS) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of ``keys`` by ``order``; a key may hold any number of rows."""
+    on = [*keys, "__block"]
+    blocked = df.withColumn("__block", F.shiftright(order, bits))
+    sums = blocked.groupBy(*on).agg(F.sum(value).alias("__n"))
+    offsets = _earlier_sum(sums, keys, "__block", bits, levels - 1)
+    window = W.partitionBy(*on).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    here = F.coalesce(F.sum(value).over(window), F.lit(0)) + F.coalesce("__before", F.lit(0))
+    return blocked.join(offsets.withColumnRenamed("__n", "__before"), on, "left").withColumn(
+        name, here).select(*df.columns, name)
+
+
 def _earlier_sum(df: DataFrame, keys: list[str], order: str, bits: int, levels: int) -> DataFrame:
     if levels == 0:
         window = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)

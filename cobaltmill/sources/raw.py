@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobaltmill.operators.ordering import locf, running_before
 from cobaltmill.session import computed_once, materialise
 
 SEPARATORS = (",", ";", "|", "\t")
@@ -59,39 +62,67 @@ def file_facts(lines: DataFrame) -> DataFrame:
     )
 
 
-def split_cells(line: Column, sep: Column, width: int) -> Column:
-    """Quote-aware split of one line into exactly ``width`` cells (missing ones are null)."""
-    schema = ", ".join(f"c{i} STRING" for i in range(width))
+def split_cells(line: Column, sep: Column) -> Column:
+    """Quote-aware split of one line into its cells, however many; an empty cell is null.
 
+    A quoted cell may hold the separator and doubled quotes.
+    """
     def parsed(mark: str) -> Column:
-        record = F.from_csv(line, schema, {"sep": mark, "mode": "PERMISSIVE"})
-        return F.array(*[record[f"c{i}"] for i in range(width)])
+        cell = f"(?<=^|{re.escape(mark)})(\"(?:[^\"]|\"\")*\"|[^{re.escape(mark)}]*)"
+        return F.regexp_extract_all(line, F.lit(cell), 1)
 
     out = F.when(sep == SEPARATORS[0], parsed(SEPARATORS[0]))
     for mark in SEPARATORS[1:]:
         out = out.when(sep == mark, parsed(mark))
-    return out
 
+    def plain(cell: Column) -> Column:
+        inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+        quoted = (F.length(cell) > 1) & cell.startswith('"') & cell.endswith('"')
+        return F.when(quoted, inner).otherwise(F.nullif(cell, F.lit("")))
+
+    return F.transform(out, plain)
 
-def raw_scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+
+def join_records(lines: DataFrame) -> DataFrame:
+    """Join the lines of records whose quoted cells hold line feeds; a record keeps its first line's id.
+
+    A line begins a record when an even number of quotes stands before it in its file. The counts run
+    over blocks of lines, so a large file is not read by one task; a record is one group.
+    """
+    marks = lines.withColumn("__quotes", _mark_count(F.col("line"), '"').cast("long"))
+    counted = running_before(marks, "row_id", ["file"], "__quotes", "__before")
+    begun = counted.withColumn("__record", F.when(F.col("__before") % 2 == 0, F.col("row_id")))
+    owned = locf(begun, "row_id", ["__record"], ["file"])
+    parts = F.array_sort(F.collect_list(F.struct("row_id", "line")))
+    return owned.groupBy("file", F.col("__record").alias("row_id")).agg(
+        F.min("split_start").alias("split_start"),
+        F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line"))
+
+
+def raw_scan(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+             multiline: bool = False) -> DataFrame:
     """Headerless all-string read as (file, split_start, row_id, cells, encoding).
 
-    A first pass finds each file's encoding and separator, the second one splits the lines. The
-    cell array is as wide as the widest line. A record must not span lines, so files stay
-    splittable.
+    A first pass finds each file's encoding and separator unless the caller names them, the second one
+    splits the lines; a row has as many cells as its line. With ``multiline`` quoted cells may hold line
+    feeds; without it a record is a line, and files are read without a shuffle.
     """
     lines = line_scan(spark, path)
-    facts = file_facts(lines)
-    if sep is not None:
-        marks = lines.groupBy("file").agg(F.max(_mark_count(F.col("line"), sep)).alias("marks"))
-        facts = facts.drop("sep", "marks").join(marks, "file").withColumn("sep", F.lit(sep))
-    facts = materialise(facts.select("file", "encoding", "sep", F.col("marks").cast("long").alias("marks")), "file-facts")
-    width = facts.agg(F.max("marks")).first()[0]
-    marked = lines.join(facts, "file")  # stored, so the planner knows its size
-    decoded = F.decode(F.col("line").cast("binary"), FALLBACK_ENCODING)
-    text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(decoded)
-    cells = split_cells(text, F.col("sep"), int(width or 0) + 1)
-    return computed_once(marked, cells, "cells").select("file", "split_start", "row_id", "cells", "encoding")
+    if sep is not None and encoding is not None:
+        marked = lines.withColumns({"sep": F.lit(sep), "encoding": F.lit(encoding)})
+    else:
+        facts = file_facts(lines).select(
+            "file", F.lit(encoding).alias("encoding") if encoding else "encoding",
+            F.lit(sep).alias("sep") if sep else "sep")
+        marked = lines.join(materialise(facts, "file-facts"), "file")  # stored, so the planner knows its size
+    if multiline:
+        told = marked.groupBy("file").agg(F.first("sep").alias("sep"), F.first("encoding").alias("encoding"))
+        marked = join_records(lines).join(materialise(told, "file-facts"), "file")
+    body = F.col("line").cast("binary")
+    text = F.when(F.lower("encoding") == "utf-8", F.col("line")).otherwise(
+        F.decode(body, encoding or FALLBACK_ENCODING))
+    return computed_once(marked, split_cells(text, F.col("sep")), "cells").select(
+        "file", "split_start", "row_id", "cells", "encoding")
 
 
 def bounded_read(df: DataFrame, key: str, n: int | None = None, bins: int = 1024) -> DataFrame:

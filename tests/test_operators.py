@@ -210,8 +210,34 @@ def test_raw_scan_of_many_files(spark):
     (path / "a.csv").write_text('a,b,c\n1,"x,y",3\n')
     (path / "b.csv").write_text("p|q\nñ|2\n")
     got = {(r["file"][-5:], r["row_id"]): (r["cells"], r["encoding"]) for r in raw.raw_scan(spark, str(path)).collect()}
-    assert got[("a.csv", 1)] == (["1", "x,y", "3", None], "utf-8")
-    assert got[("b.csv", 1)][0][:2] == ["ñ", "2"]
+    assert got[("a.csv", 1)] == (["1", "x,y", "3"], "utf-8")
+    assert got[("b.csv", 1)][0] == ["ñ", "2"]
+
+
+def test_cells_of_a_line(spark):
+    lines = {'a;"b;""c""";;d': ["a", 'b;"c"', None, "d"], ";x;": [None, "x", None], '""': [""], "": [None], '"a;b': ['"a', "b"],
+             "|a|": ["|a|"], 'x"y;z': ['x"y', "z"]}
+    for line, cells in lines.items():
+        df = spark.createDataFrame([(line,)], "l string")
+        assert df.select(raw.split_cells(F.col("l"), F.lit(";"))).first()[0] == cells, line
+    wide = spark.createDataFrame([("," * 100_000,)], "l string")
+    assert wide.select(F.size(raw.split_cells(F.col("l"), F.lit(",")))).first()[0] == 100_001
+
+
+def test_records_over_lines_and_the_callers_encoding(spark):
+    from pathlib import Path
+
+    path = Path(fresh_path(spark, "broken").removeprefix("file:"))
+    path.mkdir(parents=True)
+    (path / "a.csv").write_text('k,v\n1,"two\nlines, ""and\n\nmore"\n2,x\n')
+    (path / "b.csv").write_text('1,"y\nz"\n3,4\n')
+    got = {(r["file"][-5:], r["row_id"]): r["cells"] for r in raw.raw_scan(spark, str(path), multiline=True).collect()}
+    assert sorted(got.values()) == sorted([["k", "v"], ["1", 'two\nlines, "and\n\nmore'], ["2", "x"], ["1", "y\nz"], ["3", "4"]])
+    plain = raw.raw_scan(spark, str(path)).count()
+    assert plain == 9  # every line is a row, blank ones included
+    (path / "c.csv").write_bytes("1,€\n".encode("cp1252"))
+    found = raw.raw_scan(spark, str(path / "c.csv"), encoding="windows-1252").first()
+    assert (found["cells"], found["encoding"]) == (["1", "€"], "windows-1252")
 
 
 def test_files_and_text(spark):
