@@ -83,9 +83,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
+    ``compression`` is that of the files, such as ``zstd`` for wide texts; the session's by default.
+
     Used where recomputation must not renumber rows, where lineage should end, and for the small
     side of a join with hot keys: a stored side has a known size, so it is broadcast when small,
     and when it is not, the adaptive planner can split hot keys (it cannot when an aggregate sits
@@ -93,5 +95,5 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

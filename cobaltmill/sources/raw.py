@@ -62,6 +62,19 @@ def file_facts(lines: DataFrame) -> DataFrame:
     )
 
 
+def decoded(body: Column, encoding: str) -> Column:
+    """Bytes as text; single-byte encodings that Spark doesn't know differ from Latin-1 by a few letters."""
+    try:
+        upper = {chr(b): bytes([b]).decode(encoding, "ignore") for b in range(128, 256)}
+    except LookupError:
+        raise ValueError(f"unknown encoding {encoding!r}") from None
+    if all(len(letter) < 2 for letter in upper.values()) and len("é".encode(encoding, "ignore")) < 2:
+        other = {b: letter or "\ufffd" for b, letter in upper.items() if b != letter}
+        text = F.decode(body, FALLBACK_ENCODING)
+        return F.translate(text, "".join(other), "".join(other.values())) if other else text
+    return F.decode(body, encoding)
+
+
 def split_cells(line: Column, sep: Column) -> Column:
     """Quote-aware split of one line into its cells, however many; an empty cell is null.
 
@@ -118,9 +131,8 @@ def raw_scan(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     if multiline:
         told = marked.groupBy("file").agg(F.first("sep").alias("sep"), F.first("encoding").alias("encoding"))
         marked = join_records(lines).join(materialise(told, "file-facts"), "file")
-    body = F.col("line").cast("binary")
     text = F.when(F.lower("encoding") == "utf-8", F.col("line")).otherwise(
-        F.decode(body, encoding or FALLBACK_ENCODING))
+        decoded(F.col("line").cast("binary"), encoding or FALLBACK_ENCODING))
     return computed_once(marked, split_cells(text, F.col("sep")), "cells").select(
         "file", "split_start", "row_id", "cells", "encoding")
 
