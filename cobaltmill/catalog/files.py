@@ -154,10 +154,15 @@ def bounded_read(spark, sf):
 SELECT doc_id, md5(text || chr(65533)) AS digest, length(text) + 1 AS n_chars FROM documents
 """)
 def text_scan(spark, sf):
-    damaged = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))
-    text = files.decode_text(damaged)
-    return table(spark, sf, "documents").select(
-        "doc_id", F.md5(text.cast("binary")).alias("digest"), F.length(text).cast("long").alias("n_chars"))
+    # Files of several documents each, with control characters between them and one byte that is no utf-8.
+    path = fresh_path(spark, "texts")
+    damaged = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF"))).cast("string")
+    table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), damaged).alias("value")).write.option(
+        "lineSep", "\x1e").text(path)
+    parts = files.text_scan(spark, path).select(F.explode(F.split("text", "\x1e")).alias("part")).filter("part != ''")
+    key, text = F.substring_index("part", "\x1f", 1), F.substring_index("part", "\x1f", -1)
+    return parts.select(key.cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"),
+                        F.length(text).cast("long").alias("n_chars"))
 
 
 @register("webhook_log_scan", """
