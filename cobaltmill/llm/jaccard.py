@@ -163,11 +163,15 @@ class _Links:
             F.col("node").alias(side), F.col("n").alias(f"{side}n"),
             *[F.col(p).alias(f"{side}{p}") for p in PARITY])
 
-    def test(self, pairs: DataFrame) -> int:
-        """Test pairs (a, b), add those that are linked, and return their number."""
+    def test(self, pairs: DataFrame) -> bool:
+        """Test stored pairs (a, b), add those that are linked, and tell if there are any."""
+        if pairs.isEmpty():
+            return False
         close = materialise(
             pairs.join(self.named("a"), "a").join(self.named("b"), "b")
             .filter(~_far("a", "b", self.percent)).select("a", "b"), "near-close")
+        if close.isEmpty():
+            return False
         asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         owners = self.stored.select("node", "doc_id").join(asked, "node").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"))
@@ -185,20 +189,29 @@ class _Links:
         found = materialise(
             close.join(left, "a").join(right, "b")
             .filter(same * 100 >= union * self.percent).select("a", "b"), "near-links")
+        if found.isEmpty():
+            return False
         self.links = found if self.links is None else self.links.unionByName(found)
-        return found.count()
+        return True
+
+
+def _is_starred(edges: DataFrame) -> bool:
+    """True if every node is either a centre or the end of exactly one edge."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(True).alias("centre")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(False).alias("centre")))
+    roles = ends.groupBy("node").agg(F.bool_or("centre").alias("centre"), F.count_if(~F.col("centre")).alias("ends"))
+    return roles.filter((F.col("centre") & (F.col("ends") > 0)) | (F.col("ends") > 1)).isEmpty()
 
 
 def connected(edges: DataFrame, tag: str = "components") -> DataFrame:
     """``node, root``: the smallest node that each node of the edges (a, b) can reach.
 
     Alternates two kinds of star contraction, each a minimum per node and a join, until the edges
-    stay as they are; they are then stars around the roots.
+    are stars around the roots.
     """
     pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = materialise(pair.filter("a < b").distinct(), tag)
-    mark = None
-    while True:
+    while not _is_starred(stars):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
@@ -211,10 +224,6 @@ def connected(edges: DataFrame, tag: str = "components") -> DataFrame:
                 F.col("a")).alias("v"))
         stars = materialise(
             small.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), tag)
-        row = stars.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if (row["n"], row["x"]) == mark:
-            break
-        mark = (row["n"], row["x"])
     roots = stars.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return materialise(stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
                        .unionByName(roots), tag)
@@ -233,9 +242,11 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     work = _Links(docs, stored, nodes, width, percent)
     open_members = members.withColumn("root", F.col("node"))
-    roots = None
+    roots = materialise(members.select("node", F.col("node").alias("root")).limit(0), "components")
     tested = None
     for turn in range(PIVOT_ROUNDS):
+        if open_members.isEmpty():
+            break
         pivots = open_members.groupBy("key").agg(
             F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
         star = open_members.join(pivots, "key").filter(F.col("root") != F.col("pivot.root"))
@@ -252,9 +263,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot"))
         & ~_far("a", "b", percent))
     rest = _without(_ordered(rest, F.col("anode"), F.col("bnode")), tested)
-    work.test(materialise(rest, "near-pairs"))
-
-    roots = connected(work.links)
+    if not open_members.isEmpty() and work.test(materialise(rest, "near-pairs")):
+        roots = connected(work.links)
     rooted = stored.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     alone = rooted.filter("n_shingles = 0").select(
@@ -272,14 +282,10 @@ def _without(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the key groups that still hold more than one component."""
-    if roots is None:
-        rooted = members.withColumn("root", F.col("node"))
-    else:
-        rooted = members.join(roots, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "near-rooted")
+    rooted = materialise(members.join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return rooted.join(several.filter("low < high").select("key"), "key")
 
