@@ -26,12 +26,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cobaltmill.llm.common import text_batches
 from cobaltmill.llm.shingles import batch_slices
+from cobaltmill.operators.ordering import first_n
 from cobaltmill.session import materialise, table
 
 DIMS = 4096
@@ -55,9 +57,11 @@ class Ngrams:
         """Letters with single spaces between runs of them, and one before and after."""
         raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = self.letter[raw]
-        before = np.concatenate([[True], letter[:-1]])
+        before = np.concatenate([[False], letter[:-1]])
         kept = np.where(letter, raw, 32)[letter | before]
-        return np.concatenate([[32], kept, [32]]).astype(np.uint32) if letter.any() else kept[:0]
+        if not len(kept):
+            return kept
+        return np.concatenate([[32], kept, [32] if letter[-1] else []]).astype(np.uint32)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """One row of counts per text; a text without letters has none."""
@@ -99,7 +103,7 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(DIMS + 1, dtype=np.int32)), pa.array(np.append(total, texts))], ["dim", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "dim int, n long").groupBy("dim").agg(
+    rows = text_batches(docs).select("text").mapInArrow(count, "dim int, n long").groupBy("dim").agg(
         F.sum("n").alias("n")).collect()
     out = np.zeros(DIMS + 1, np.int64)
     for row in rows:
@@ -137,9 +141,8 @@ def learn(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG, centroi
         "doc_id", "text", F.col(lang).cast("string").alias("lang"))
     texts, seen = document_frequency(known)
     idf = np.log((1 + texts) / (1 + seen)).astype(np.float32) + np.float32(1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).filter(
-        F.col("_r") <= per_lang).select("doc_id", "lang").distinct()
+    ranked = first_n(known.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_lang)
+    chosen = ranked.select("doc_id", "lang").distinct()
     sample = known.join(materialise(chosen, "lang-chosen"), ["doc_id", "lang"], "left_semi")
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
@@ -147,26 +150,31 @@ def learn(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG, centroi
         points = unit(Ngrams().counts(rows["text"].tolist()), idf)
         points = points[points.any(axis=1)]
         if not len(points):
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
+            return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "floor": [0.0], "centre": [b""]})
         centres, floor = _cluster(points, centroids)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": float(floor.min()),
                              "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
     rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, floor double, centre binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["centre"]))
+    rows = sorted((r for r in rows if r["centre"]), key=lambda r: (r["lang"], r["centre"]))
     return {"idf": idf, "langs": [r["lang"] for r in rows],
             "floors": np.array([r["floor"] for r in rows]),
             "centres": np.stack([np.frombuffer(r["centre"], np.float32) for r in rows])
             if rows else np.zeros((0, DIMS), np.float32)}
 
 
-def identify(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` with ``lang_pred, score, rejected`` from the column ``text``."""
+def identify(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW,
+             keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred, score, rejected`` from the column ``text``.
+
+    ``keep`` names the columns that go on (all by default); the others need not come back from the workers.
+    """
     made = ["lang_pred", "score", "rejected"]
     docs = docs.drop(*made)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
+    names = docs.columns if keep is None else keep
+    schema = T.StructType([*[docs.schema[n] for n in names], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    arrow, names = to_arrow_schema(schema), docs.columns
+    arrow = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +195,9 @@ def identify(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW) -
             top = np.where(lettered, top, 0.0)
             columns = [part.column(n).cast(arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs[best], pa.string()), pa.array(top), pa.array(rejected)], schema=arrow)
+                [*columns, pa.array(langs[best].tolist(), pa.string()), pa.array(top), pa.array(rejected)], schema=arrow)
 
-    return docs.mapInArrow(predict, schema)
+    return text_batches(docs).mapInArrow(predict, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,5 +207,5 @@ def held_out(doc_id: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.filter(~held_out(F.col("doc_id"))))
-    named = identify(docs.select("doc_id", "text"), model)
+    named = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
