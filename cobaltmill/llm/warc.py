@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobaltmill.llm.common import text_batches
 from cobaltmill.session import fresh_path, materialise, table
 
 CRLF = "\r\n"
@@ -68,7 +69,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -
     staged = materialise(pages.select(
         F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"),
         base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"),
-        F.monotonically_increasing_id().alias("row")), "warc-staged")
+        F.monotonically_increasing_id().alias("row")), "warc-staged", "zstd")
     firsts = materialise(
         staged.filter(F.col("bytes") >= least_bytes).groupBy("digest")
         .agg(F.max(F.struct("page_id", "row", "url")).alias("first")), "warc-firsts")
@@ -149,8 +150,8 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 
     Without ``payload`` that column is null, which saves sending the payloads back from the workers.
     """
-    chunks = spark.read.option("lineSep", END).text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value")
+    chunks = text_batches(spark.read.option("lineSep", END).text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, file = _Stream(payload), None
