@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cobaltmill.llm.common import text_batches
 from cobaltmill.llm.shingles import batch_slices
 from cobaltmill.session import table
 
@@ -260,13 +261,13 @@ def _tables(spec: Broadcast) -> Bpe:
     return value["tables"]
 
 
-def _apply(docs: DataFrame, path: str, made: dict[str, T.DataType], work) -> DataFrame:
+def _apply(docs: DataFrame, path: str, made: dict[str, T.DataType], work, keep: list[str] | None = None) -> DataFrame:
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(load_vocabulary(path))
     docs = docs.drop(*made)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in made.items()]])
+    names = docs.columns if keep is None else keep
+    schema = T.StructType([*[docs.schema[n] for n in names], *[T.StructField(k, v) for k, v in made.items()]])
     arrow = to_arrow_schema(schema)
-    names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(spec)
@@ -276,7 +277,7 @@ def _apply(docs: DataFrame, path: str, made: dict[str, T.DataType], work) -> Dat
             yield pa.RecordBatch.from_arrays(
                 columns + [new[k].cast(arrow.field(k).type) for k in made], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -291,13 +292,14 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
                   lambda t, part: {"decoded": t.decode(part.column("ids"))})
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Adds ``ids`` and ``decoded`` in one pass over ``text``."""
+def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``ids`` and ``decoded`` in one pass over ``text``; ``keep`` names the columns that go on."""
     def both(t: Bpe, part: pa.RecordBatch) -> dict[str, pa.Array]:
         ids = t.encode(part.column("text").to_pylist())
         return {"ids": ids, "decoded": t.decode(ids)}
 
-    return _apply(docs, path, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, both)
+    made = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    return _apply(docs, path, made, both, keep)
 
 
 def default_path() -> str:
@@ -315,4 +317,4 @@ def digests(coded: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(round_trip(docs, default_path()))
+    return digests(round_trip(docs, default_path(), keep=["doc_id"]))

@@ -35,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from cobaltmill.llm.common import text_batches
 from cobaltmill.llm.shingles import batch_slices, scramble, shingle_sets
 from cobaltmill.session import materialise, table
 
@@ -104,12 +106,12 @@ def _signer(id_type: pa.DataType, width: int, percent: int):
             node = np.array([np.bitwise_xor.reduce(scramble(s)) ^ np.uint64(len(s)) for s in sets],
                             dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(id_type),
+                [part.column("doc_id").cast(id_type), part.column("text_hash"),
                  pa.array([len(s) for s in sets], pa.int64()), pa.array(node.view(np.int64)),
                  *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)],
                  pa.ListArray.from_arrays(
                      pa.array(ends), pa.array(np.concatenate(flat).view(np.int64)))],
-                names=["doc_id", "n_shingles", "node", *PARITY, "keys"])
+                names=["doc_id", "text_hash", "n_shingles", "node", *PARITY, "keys"])
 
     return sign
 
@@ -130,14 +132,14 @@ def _setter(width: int):
 
 
 def profiles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, node`` (hash of the set), parity bits and join ``keys`` per row."""
+    """``doc_id, text_hash, n_shingles, node`` (hash of the set), parity bits and join ``keys`` per row."""
     id_field = docs.schema["doc_id"]
     schema = T.StructType([
-        T.StructField("doc_id", id_field.dataType), T.StructField("n_shingles", T.LongType()),
+        T.StructField("doc_id", id_field.dataType), T.StructField("text_hash", T.LongType()),
+        T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.LongType()), *[T.StructField(p, T.LongType()) for p in PARITY],
         T.StructField("keys", T.ArrayType(T.LongType()))])
-    from pyspark.sql.pandas.types import to_arrow_type
-    return docs.select("doc_id", "text").mapInArrow(
+    return text_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         _signer(to_arrow_type(id_field.dataType), width, percent), schema)
 
 
@@ -231,6 +233,16 @@ def connected(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    rooted = linked_rows(docs, width, percent)
+    alone = rooted.filter("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = rooted.filter("n_shingles > 0")
+    least = materialise(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
+    return linked.join(least, "root").select(*alone.columns).unionByName(alone)
+
+
+def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, root``: rows of one root are linked, directly or by others. Stored."""
     stored = materialise(profiles(docs, width, percent), "near-profiles")
     keyed = stored.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -265,13 +277,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     rest = _without(_ordered(rest, F.col("anode"), F.col("bnode")), tested)
     if not open_members.isEmpty() and work.test(materialise(rest, "near-pairs")):
         roots = connected(work.links)
-    rooted = stored.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    alone = rooted.filter("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = materialise(rooted.filter("n_shingles > 0"), "near-rooted")
-    least = materialise(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
-    return linked.join(least, "root").select(*alone.columns).unionByName(alone)
+    return materialise(stored.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root")), "near-rooted")
 
 
 def _ordered(rows: DataFrame, one: Column, other: Column) -> DataFrame:
@@ -291,17 +298,19 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of linked texts: the one with the smallest id.
+    """One row of each group of linked texts: the one with the smallest id, if any has one.
 
-    Rows that share that id (repeated rows) are all alike in it; of those, one stays. Texts without
-    words are no copies of each other and stay.
+    Of repeated rows one stays. Texts without words are no copies of each other and stay.
     """
-    found = components(docs, width, percent)
-    heads = found.filter("n_shingles > 0").select(F.col("component_id").alias("_id")).distinct()
+    rooted = linked_rows(docs, width, percent).filter("n_shingles > 0")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("head")
+    heads = materialise(rooted.groupBy("root").agg(head).select(
+        F.col("head.doc_id").alias("_id"), F.col("head.text_hash").alias("_hash")), "near-heads")
     worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
-    same = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    kept = docs.filter(worded).join(heads, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    kept = kept.withColumn("_row", F.row_number().over(same)).filter("_row = 1").drop("_row")
+    chosen = docs.filter(worded).join(heads.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (
+        F.xxhash64("text") == F.col("_hash")), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    kept = chosen.withColumn("_row", F.row_number().over(same)).filter("_row = 1").drop("_row")
     return kept.unionByName(docs.filter(~worded))
 
 

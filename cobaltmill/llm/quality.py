@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cobaltmill.llm.common import text_batches
 from cobaltmill.llm.shingles import batch_slices
 from cobaltmill.session import materialise, table
 
@@ -117,7 +118,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return kept.mapInArrow(run, schema)
+    return text_batches(kept).mapInArrow(run, schema)
 
 
 def _fit(rows: DataFrame, view: str) -> tuple[np.ndarray, float]:
@@ -187,12 +188,16 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, grow: int
     return {"prior": prior, "views": views}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``text_score, meta_score, score`` (chances of good quality) and ``keep``."""
+def score(docs: DataFrame, model: dict, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``text_score, meta_score, score`` (chances of good quality) and ``keep``.
+
+    ``columns`` names those that go on (all by default).
+    """
     made = ["text_score", "meta_score", "score"]
     docs = docs.drop(*made, "keep")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in made]])
-    arrow, names = to_arrow_schema(schema), docs.columns
+    names = docs.columns if columns is None else columns
+    schema = T.StructType([*[docs.schema[n] for n in names], *[T.StructField(n, T.DoubleType()) for n in made]])
+    arrow = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def chance(x: np.ndarray) -> np.ndarray:
@@ -214,10 +219,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             columns = [part.column(n).cast(arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], schema=arrow)
 
-    return docs.mapInArrow(run, schema).withColumn("keep", F.col("score") >= 0.5)
+    return text_batches(docs).mapInArrow(run, schema).withColumn("keep", F.col("score") >= 0.5)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     model = co_train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", "text_score", "meta_score", "score", "keep")
+    return score(docs, model, ["doc_id"]).select("doc_id", "text_score", "meta_score", "score", "keep")

@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text"), bpe.default_path()))
+    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text"), bpe.default_path(), keep=["doc_id"]))
 
 
 STAGES = [

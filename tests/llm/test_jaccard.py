@@ -100,7 +100,17 @@ def test_odd_rows(spark, clashing, no_docs):
     assert kept.columns == clashing.columns
     ids = sorted((r["doc_id"] for r in kept.select("doc_id").collect()), key=str)
     # 5, 6, 6, 7 and one row without id are copies of each other
-    assert ids == sorted([1, 2, 3, 4, 5, 8, 9, 10, 11, 12, None], key=str)
+    assert ids == sorted([1, 2, 3, 4, 5, 8, 8, 9, 10, 11, 12, None], key=str)
+
+
+def test_rows_without_ids(spark):
+    """Different texts without ids all stay; a copy of a named text goes, of unnamed copies one stays."""
+    text = "one two three four five six seven eight"
+    rows = [(None, "first of the unnamed texts here"), (None, "second one of the unnamed"), (None, text), (7, text.upper()),
+            (None, "third of the unnamed texts is twice"), (None, "third of the unnamed texts is twice"),
+            (9, "nine has one text here"), (9, "and nine has another text there"), (9, "nine has one text here")]
+    kept = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(set(rows) - {(None, text)}, key=str)
 
 
 def test_key_property():
