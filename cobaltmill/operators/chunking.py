@@ -15,10 +15,9 @@ from cobaltmill.functions import vocab
 _PIECES = "array<struct<chunk:string,is_tail:boolean>>"
 
 
-def _last(window: Column, mark: str) -> Column:
-    """Characters of the window before the last ``mark``; null if it does not occur."""
-    back = F.locate(mark[::-1], F.reverse(window))
-    return F.when(back > 0, F.length(window) - back - (len(mark) - 1))
+def _after_last(window: Column, mark: str) -> Column:
+    """Characters of the window up to and with its last ``mark``; 0 if it does not occur."""
+    return F.length(window) - F.length(F.substring_index(window, mark, -1))
 
 
 def _explode_pieces(df: DataFrame, key: str, pieces: Column) -> DataFrame:
@@ -40,20 +39,28 @@ def chunk_text(df: DataFrame, key: str, text: str, size: int = vocab.CHUNK_CHARS
     """
     whole = T.strip(F.coalesce(F.col(text), F.lit("")))
 
+    def cut(window: Column) -> Column:
+        feed, stop = _after_last(window, "\n"), _after_last(window, ". ")
+        return F.when(feed > 0, feed).when(stop > 0, stop - 1).otherwise(size)
+
     def step(state: Column, _: Column) -> Column:
         rest = state["rest"]
-        window = F.substring(rest, 1, size + 1)
-        cut = F.coalesce(_last(window, "\n"), _last(window, ". ")) + 1
-        took = F.when(F.length(rest) > size, F.coalesce(cut, F.lit(size))).otherwise(size)
-        end = state["at"] + took
-        onward = F.when(took > overlap, took - overlap).otherwise(took)
-        piece = T.strip(F.substring(rest, F.lit(1), took))
-        tail = state["covered"] >= F.length("__text")
-        grown = F.array_append(state["pieces"], F.struct(piece.alias("chunk"), tail.alias("is_tail")))
-        return F.when(rest == "", state).otherwise(F.struct(
-            F.substring(rest, onward + 1, F.length(rest)).alias("rest"), (state["at"] + onward).alias("at"),
-            F.greatest(state["covered"], end).alias("covered"),
-            F.when(piece != "", grown).otherwise(state["pieces"]).alias("pieces")))
+
+        def advance(took: Column) -> Column:
+            onward = F.when(took > overlap, took - overlap).otherwise(took)
+
+            def add(piece: Column) -> Column:
+                tail = state["covered"] >= F.length("__text")
+                grown = F.array_append(state["pieces"], F.struct(piece.alias("chunk"), tail.alias("is_tail")))
+                return F.struct(
+                    F.substring(rest, onward + 1, F.length(rest)).alias("rest"), (state["at"] + onward).alias("at"),
+                    F.greatest(state["covered"], state["at"] + took).alias("covered"),
+                    F.when(piece != "", grown).otherwise(state["pieces"]).alias("pieces"))
+
+            return T.let(T.strip(F.substring(rest, F.lit(1), took)), add)
+
+        took = F.when(F.length(rest) > size, T.let(F.substring(rest, 1, size + 1), cut)).otherwise(size)
+        return F.when(rest == "", state).otherwise(T.let(took, advance))
 
     # A window without a late break is followed by one that reaches on, so two steps pass most of a window.
     steps = F.ceil(F.length("__text") * 2 / max(size - 2 * overlap, 1)) + 3
@@ -67,14 +74,16 @@ def split_message(df: DataFrame, key: str, text: str, size: int = vocab.MESSAGE_
 
     def step(state: Column, _: Column) -> Column:
         rest = state["rest"]
-        block = F.substring(rest, 1, size)
-        feed = _last(block, "\n")
-        took = F.when((F.length(rest) > size) & (feed > size // 2), feed + 1).otherwise(size)
-        piece = F.struct(F.substring(rest, F.lit(1), took).alias("chunk"), F.lit(False).alias("is_tail"))
-        onward = T.lstrip(F.substring(rest, took + 1, F.length(rest)))
-        return F.when(rest == "", state).otherwise(F.struct(
-            onward.alias("rest"), state["at"].alias("at"), state["covered"].alias("covered"),
-            F.array_append(state["pieces"], piece).alias("pieces")))
+
+        def advance(took: Column) -> Column:
+            piece = F.struct(F.substring(rest, F.lit(1), took).alias("chunk"), F.lit(False).alias("is_tail"))
+            return F.struct(
+                T.lstrip(F.substring(rest, took + 1, F.length(rest))).alias("rest"), state["at"].alias("at"),
+                state["covered"].alias("covered"), F.array_append(state["pieces"], piece).alias("pieces"))
+
+        feed = _after_last(F.substring(rest, 1, size), "\n")
+        took = F.when(F.length(rest) > size, T.let(feed, lambda f: F.when(f > size // 2 + 1, f).otherwise(size))).otherwise(size)
+        return F.when(rest == "", state).otherwise(T.let(took, advance))
 
     steps = F.ceil(F.length("__text") / max(size // 2, 1)) + 1
     folded = F.aggregate(F.sequence(F.lit(1), steps.cast("int")), _start(F.col("__text")), step, lambda s: s["pieces"])
