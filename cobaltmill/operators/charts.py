@@ -92,28 +92,56 @@ def heatmap(matrix: DataFrame, row: str, col: str, value: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, max_columns: int | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations of the numeric columns, in one aggregate.
+    """Pairwise-complete Pearson correlations of the numeric columns, from plain sums.
 
-    A column without spread has no correlation (null). Without numeric columns there are no rows.
+    A first pass finds counts, means and ranges, a second one sums products of the distances from the
+    means, so large offsets cost no digits; a pair of columns without nulls takes one sum. A column
+    without spread has no correlation (null). Without numeric columns there are no rows.
     """
     cols = [f.name for f in df.schema.fields if is_numeric(f)][:max_columns]
     if not cols:
         return df.sparkSession.createDataFrame([], "row string, col string, r double")
     values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"v{i}")
                          for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-
-    def corr(x: Column, y: Column) -> Column:  # the built-in one stops at columns without spread
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    found = values.agg(*[corr(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"r_{i}_{j}") for i, j in pairs])
+    facts = values.agg(F.count(F.lit(1)).alias("n"), *[
+        f(f"v{i}").alias(f"{name}{i}") for i in range(len(cols))
+        for name, f in (("count", F.count), ("mean", F.avg), ("low", F.min), ("high", F.max))]).first()
+    moved = values.select(*[(F.col(f"v{i}") - F.lit(facts[f"mean{i}"] or 0.0)).alias(f"v{i}") for i in range(len(cols))])
+    flat = [facts[f"low{i}"] == facts[f"high{i}"] for i in range(len(cols))]
+    full = [facts[f"count{i}"] == facts["n"] for i in range(len(cols))]
+    sums, found = [], {}
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            if flat[i] or flat[j]:
+                found[i, j] = F.lit(None).cast("double")
+            elif full[i] and full[j]:
+                sums.append(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s_{i}_{j}"))
+                found[i, j] = F.col(f"s_{i}_{j}") / F.sqrt(F.col(f"s_{i}_{i}") * F.col(f"s_{j}_{j}"))
+            else:
+                sums.append(_pair_sums(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"p_{i}_{j}"))
+                found[i, j] = _pair_corr(F.col(f"p_{i}_{j}"))
+    one = moved.agg(*sums) if sums else moved.agg(F.lit(1).alias("none"))
     cells = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"),
-                 F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r"))
+        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), found[min(i, j), max(i, j)].alias("r"))
         for i, a in enumerate(cols) for j, b in enumerate(cols)
     ]))
-    return found.select(cells.alias("c")).select("c.*")
+    return one.select(cells.alias("c")).select("c.*")
+
+
+def _pair_sums(x: Column, y: Column) -> Column:
+    """What the correlation needs of the rows where both values are known."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.struct(
+        F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"),
+        F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"),
+        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("spread"))
+
+
+def _pair_corr(p: Column) -> Column:
+    def part(product: str, a: str, b: str) -> Column:
+        return p[product] - p[a] * p[b] / p["n"]
+
+    return F.when(p["spread"], part("xy", "x", "y") / F.sqrt(part("xx", "x", "x") * part("yy", "y", "y")))
 
 
 def stacked(df: DataFrame, category: str, segment: str, value: str,
