@@ -7,7 +7,13 @@ centroids come from at most ``PER_LANG`` documents of each language (those with
 the id), by spherical k-means within the language. A text gets the language of the centroid with the
 largest cosine; it is rejected if that cosine is far below those of the language's own members.
 
-The driver holds document frequencies (``DIMS`` numbers) and ``CENTROIDS`` vectors per language.
+Cosines grow with the number of dimensions that a text fills, for members and, by collisions, for texts in
+any script. So a text is compared with members that fill about as many: each language has a floor per
+octave of filled dimensions, a low quantile that a few odd members don't move. An octave with few members
+takes in the ones below it; those under the first that has enough share its floor.
+
+The driver holds document frequencies (``DIMS`` numbers), ``CENTROIDS`` vectors and ``BANDS`` floors per
+language.
 
 Defined results:
 
@@ -40,8 +46,11 @@ DIMS = 4096
 SLICE, ROWS = 1 << 20, 256
 PER_LANG = 400
 CENTROIDS = 3
-#: A text is rejected below this share of the smallest cosine among its language's members.
-REJECT_BELOW = 0.3
+#: A text is rejected below this share of its floor's square; the floor is the ``LOW`` quantile of the members'
+#: cosines. The square leaves room for short texts, whose cosines scatter.
+REJECT_BELOW = 0.45
+LOW, LEAST = 0.05, 10
+BANDS = DIMS.bit_length()
 NONE = "und"
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -111,8 +120,26 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[DIMS]), out[:DIMS]
 
 
+def band(counts: np.ndarray) -> np.ndarray:
+    """The octave of the number of dimensions that each text fills."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(np.int64)
+
+
+def _floors(cosine: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """A low quantile of the members' cosines for each band, not below the second smallest."""
+    out, least = np.zeros(BANDS), min(LEAST, len(bands))
+    first = int(np.sort(bands)[least - 1])
+    for b in range(BANDS):
+        low = b = max(b, first)
+        while (near := (bands >= low) & (bands <= b)).sum() < least:
+            low -= 1
+        out[b] = np.quantile(cosine[near], max(LOW, 1 / max(near.sum() - 1, 1)))
+    out[:first] = out[first]
+    return out
+
+
 def _cluster(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest points; centroids and the smallest cosine of their members."""
+    """Spherical k-means from farthest points; centroids and each point's cosine with the nearest."""
     centre = points.mean(axis=0)
     centres = [centre / max(np.linalg.norm(centre), 1e-12)]
     while len(centres) < min(k, len(points)):
@@ -129,10 +156,7 @@ def _cluster(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if np.allclose(moved, centres):
             break
         centres = moved
-    cosine = points @ centres.T
-    own = cosine.argmax(axis=1)
-    floor = np.array([cosine[own == c, c].min() if (own == c).any() else 1.0 for c in range(len(centres))])
-    return centres, floor
+    return centres, (points @ centres.T).max(axis=1)
 
 
 def learn(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> dict:
@@ -147,18 +171,18 @@ def learn(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG, centroi
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], kind="stable").head(2 * per_lang)
-        points = unit(Ngrams().counts(rows["text"].tolist()), idf)
-        points = points[points.any(axis=1)]
-        if not len(points):
-            return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "floor": [0.0], "centre": [b""]})
-        centres, floor = _cluster(points, centroids)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": float(floor.min()),
+        counts = Ngrams().counts(rows["text"].tolist())
+        counts = counts[counts.any(axis=1)]
+        if not len(counts):
+            return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "floors": [b""], "centre": [b""]})
+        centres, cosine = _cluster(unit(counts, idf), centroids)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "floors": _floors(cosine, band(counts)).tobytes(),
                              "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
-    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, floor double, centre binary").collect()
+    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, floors binary, centre binary").collect()
     rows = sorted((r for r in rows if r["centre"]), key=lambda r: (r["lang"], r["centre"]))
     return {"idf": idf, "langs": [r["lang"] for r in rows],
-            "floors": np.array([r["floor"] for r in rows]),
+            "floors": np.stack([np.frombuffer(r["floors"]) for r in rows]) if rows else np.zeros((0, BANDS)),
             "centres": np.stack([np.frombuffer(r["centre"], np.float32) for r in rows])
             if rows else np.zeros((0, DIMS), np.float32)}
 
@@ -187,7 +211,7 @@ def identify(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW,
             if cosine.shape[1]:
                 best = cosine.argmax(axis=1)
                 top = np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0).astype(np.float64)
-                rejected = ~lettered | (top < reject_below * m["floors"][best])
+                rejected = ~lettered | (top < reject_below * m["floors"][best, band(counts)] ** 2)
                 best = np.where(lettered, best, len(m["langs"]))
             else:
                 best, top = np.zeros(len(counts), np.int64), np.zeros(len(counts))

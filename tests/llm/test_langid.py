@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -73,3 +74,19 @@ def test_sample_is_bounded(spark):
     assert sorted(set(model["langs"])) == ["en", "xx"]
     texts, seen = langid.document_frequency(docs)
     assert texts == 3000 and seen.max() == 3000
+
+
+def test_foreign_and_junk_texts_of_any_length_are_rejected(spark, sf):
+    """Also with an odd member in a language, and without losing a clean document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rnd = random.Random(5)
+    scripts = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5A00))),
+               "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join("".join(rnd.choices(s, k=rnd.randrange(3, 9))) for _ in range(n))
+             for s in scripts for n in (500, 2000, 10000)]
+    odd = spark.createDataFrame([(10 ** 6, "zq xv " * 30 + " ".join("ЖЩ" + "Ю" * i for i in range(300)), "en")], docs.schema)
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for known in (docs, docs.unionByName(odd)):
+        model = langid.learn(known, per_lang=10 ** 6)
+        assert langid.identify(given, model).filter("not rejected").count() == 0
+        assert langid.identify(docs, model).filter("rejected").count() == 0
