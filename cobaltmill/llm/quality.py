@@ -2,14 +2,14 @@
 
 The text view sees shares of byte classes and of neighbouring classes, word and line statistics of the
 whole text; the metadata view sees source, language and length. Both are logistic regressions, first
-fitted on labelled documents. In each round a view's most confident judgements of the unlabelled pool
+fitted on labelled documents. In each round a view's most confident judgements of all unlabelled documents
 become training rows of the other view. In the end each view is calibrated on labelled documents that
 neither has seen, and the calibrated log-odds are added (the views are taken as independent given the
 label). All documents are scored whole, in one pass.
 
-Fitting is bounded: at most ``LABELLED`` labelled documents and a pool of ``POOL`` others, those with
-the smallest hash of the id; one labelled document in four calibrates. A round moves at most ``GROW``
-rows per view and class.
+Fitting is bounded: at most ``LABELLED`` labelled documents, those with the smallest hash of the id; one
+labelled document in four calibrates. A round moves ``GROW`` documents per view and class, or as many as
+are sure. The views of all documents are computed and stored once, and each round scores all that are left.
 
 Defined results:
 
@@ -37,9 +37,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cobaltmill.llm.common import text_batches
 from cobaltmill.llm.shingles import batch_slices
+from cobaltmill.operators.ordering import first_n
 from cobaltmill.session import materialise, table
 
-LABELLED, POOL = 8000, 8000
+LABELLED = 8000
 ROUNDS, GROW = 3, 300
 SURE = 0.9
 SLICE = 1 << 20
@@ -133,22 +134,33 @@ def _margin(view: str, model: tuple[np.ndarray, float]) -> Column:
     return F.aggregate(products, F.lit(intercept), lambda s, p: s + p)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """Views of the labelled rows (good 0/1) and of the pool (good null)."""
-    judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        (F.min("quality") > 0).cast("int").alias("good"))
-    ids = docs.filter("doc_id is not null").select("doc_id").join(judged, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = ids.filter("good is not null").distinct().orderBy(*order).limit(labelled)
-    other = ids.filter("good is null").distinct().orderBy(*order).limit(pool)
-    chosen = materialise(known.unionByName(other), "quality-ids")
-    return features(docs.join(chosen, "doc_id"), ["doc_id", "good"])
+def _sample(docs: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """Views of the labelled rows that fit (good 0/1) and of all unlabelled rows (good null)."""
+    judged = materialise(labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+        (F.min("quality") > 0).cast("int").alias("good")), "quality-judged")
+    named = docs.filter("doc_id is not null")
+    known = named.select("doc_id").join(judged, "doc_id", "left_semi").distinct().orderBy(
+        F.xxhash64("doc_id"), F.col("doc_id")).limit(labelled)
+    known = materialise(known.withColumn("_fits", F.lit(True)), "quality-ids")
+    marked = features(named, ["doc_id"]).join(judged, "doc_id", "left").join(known, "doc_id", "left")
+    return marked.filter("good is null or _fits").drop("_fits")
+
+
+def _sure(rest: DataFrame, models: dict, grow: int, sure: float) -> DataFrame:
+    """``doc_id, view, good``: the documents that each view is most sure of, at most ``grow`` a class."""
+    chances = F.array(*[F.struct(F.lit(v).alias("view"), (1 / (1 + F.exp(-_margin(v, models[v])))).alias("p"))
+                        for v in VIEWS])
+    judged = rest.select("doc_id", F.explode(chances).alias("c")).select(
+        "doc_id", "c.*", F.when(F.col("c.p") >= sure, 1).when(F.col("c.p") <= 1 - sure, 0).alias("good"))
+    best_first = F.when(F.col("good") == 1, -F.col("p")).otherwise(F.col("p"))
+    return first_n(judged.filter("good is not null"), ["view", "good"],
+                   [best_first, F.xxhash64("doc_id"), F.col("doc_id")], grow).select("doc_id", "view", "good").distinct()
 
 
 def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, grow: int = GROW,
-             sure: float = SURE, labelled: int = LABELLED, pool: int = POOL) -> dict:
+             sure: float = SURE, labelled: int = LABELLED) -> dict:
     """``prior`` and, for each view, weights, intercept, and the calibration's slope and offset."""
-    sample = materialise(_sample(docs, labels, labelled, pool), "quality-sample")
+    sample = materialise(_sample(docs, labels, labelled), "quality-sample")
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
     known = sample.filter("good is not null")
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"),
@@ -167,18 +179,12 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, grow: int
             models[view] = _fit(rows, view)
         if turn == rounds:
             break
-        moved = None
+        picked = materialise(_sure(rest, models, grow, sure), "quality-picked")
+        fresh = materialise(rest.drop("good").join(picked, "doc_id"), "quality-pseudo")
         for view, other in zip(VIEWS, VIEWS[::-1]):
-            chance = 1 / (1 + F.exp(-_margin(view, models[view])))
-            ranked = rest.withColumn("_p", chance)
-            order = [F.xxhash64("doc_id"), F.col("doc_id")]
-            best = ranked.filter(F.col("_p") >= sure).orderBy(F.desc("_p"), *order).limit(grow)
-            worst = ranked.filter(F.col("_p") <= 1 - sure).orderBy(F.asc("_p"), *order).limit(grow)
-            fresh = best.withColumn("good", F.lit(1)).unionByName(worst.withColumn("good", F.lit(0)))
-            fresh = materialise(fresh.drop("_p"), "quality-pseudo")
-            gained[other] = fresh if gained[other] is None else gained[other].unionByName(fresh)
-            moved = fresh.select("doc_id") if moved is None else moved.unionByName(fresh.select("doc_id"))
-        rest = rest.join(moved.distinct(), "doc_id", "left_anti")
+            taught = fresh.filter(F.col("view") == view).drop("view")
+            gained[other] = taught if gained[other] is None else gained[other].unionByName(taught)
+        rest = rest.join(picked.select("doc_id").distinct(), "doc_id", "left_anti")
     margins = materialise(known.filter(held).select("good", *[
         F.array(_margin(v, models[v]).cast("float")).alias(f"{v}_view") for v in VIEWS]), "quality-margins")
     views = {}

@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cobaltmill.llm import quality
-from cobaltmill.session import table
+from cobaltmill.session import materialise, table
 
 
 def test_held_out_quality(spark, sf):
@@ -55,3 +58,21 @@ def test_odd_rows(spark, clashing, no_docs, labels):
     assert scored.count() == 16 and {r["score"] for r in scored.collect()} == {model["prior"]}
     assert quality.co_train(no_docs, labels.limit(0))["prior"] == 0.5
     assert quality.score(no_docs, model).count() == 0
+
+
+def test_every_unlabelled_document_can_teach(spark):
+    """The only bad unlabelled documents are last by the hash of the id, behind more than 8000 good ones."""
+    ids = spark.range(9000).select("id", F.row_number().over(Window.orderBy(F.xxhash64("id"))).alias("at"))
+    bad = F.when(F.col("at") <= 60, F.col("at") % 3 == 0).otherwise(F.col("at") > 8700)
+    docs = ids.select(
+        F.col("id").alias("doc_id"), F.col("at"), bad.alias("bad"), F.lit("en").alias("lang"), F.lit(100).alias("n_chars"),
+        F.concat(F.when(bad, "LOUD!! NOISE!! HERE!! ").otherwise("calm prose here "), F.col("id")).alias("text"),
+        F.when(~bad, "fine").when(F.col("at") <= 60, "spam").otherwise("late").alias("source"))
+    docs = materialise(docs, "test-late")
+    labels = docs.filter("at <= 60").select("doc_id", (~F.col("bad")).cast("int").alias("quality"))
+    model = quality.co_train(docs, labels)
+    weights = dict(zip(("fine", "spam", "late"), (model["views"]["meta"][0][zlib.crc32(f"source {x}".encode()) % quality.SOURCES]
+                                                  for x in ("fine", "spam", "late"))))
+    assert weights["late"] < -0.5 < 0 < weights["fine"], weights  # 0 for a source that never taught
+    late = quality.score(docs.filter("source = 'late'").limit(5), model).collect()
+    assert late and not any(r["keep"] for r in late)
