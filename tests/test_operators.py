@@ -292,6 +292,16 @@ def test_corr_with_leading_nulls_and_an_offset(spark):
     assert charts.corr_matrix(df.select("text")).count() == 0
 
 
+def test_corr_with_an_offset_where_the_other_is_null(spark):
+    low = (F.col("id") % 101) / 101
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 1500, low).otherwise(1e9 + F.col("id")).alias("a"),
+        F.when(F.col("id") < 1500, low + (F.col("id") % 7) / 70).alias("b"))
+    got = {(r["row"], r["col"]): r["r"] for r in charts.corr_matrix(df).collect()}
+    pdf = df.dropna().toPandas()
+    assert got["a", "b"] == pytest.approx(pdf["a"].corr(pdf["b"]), abs=1e-9) and got["a", "b"] > 0.9
+
+
 def test_charts_with_many_labels(spark):
     df = spark.range(4500).select(F.format_string("r%04d", (F.col("id") % 1500).cast("int")).alias("r"),
                                   F.format_string("c%d", (F.col("id") % 3).cast("int")).alias("c"), F.col("id").alias("v"))
