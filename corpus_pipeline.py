@@ -6,7 +6,8 @@ columns of ``documents``.
 - ``language_id`` drops documents that the identifier rejects (no letters, or far from all languages).
 - ``line_dedup`` removes lines that many sites share from the texts and drops documents that lose all
   their lines by it; their lines stand in a document that stays. ``n_chars`` follows the text.
-- ``near_dedup`` keeps the document with the smallest id of each group of linked texts.
+- ``near_dedup`` keeps the document with the smallest id of each group of linked texts; texts are linked
+  that share four fifths of their runs of five words.
 - ``mix`` repeats documents as the mix takes them: whole epochs first, then the chosen part; a document
   that the mix doesn't take goes, one taken twice has two rows. Documents without words have nothing to
   take and go.
@@ -35,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_dedup(docs)
+    return jaccard.near_dedup(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,3 +107,13 @@ def test_copies_on_many_sites_survive_once(spark, sf):
     cleaned = materialise(pipeline.line_dedup(spark, docs, sf), "test-copies")
     assert {r["doc_id"]: r["text"] == text for r in cleaned.collect()} == {0: True, 50: False}
     assert cleaned.filter(F.col("doc_id") == 50).first()["text"] == "a line of its own, on one site"
+
+
+def test_near_dedup_takes_five_words_and_four_fifths(stored, spark, sf):
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in stored[2].collect()], 80, 5)
+    assert sorted(r["doc_id"] for r in stored[3].collect()) == sorted({c if n else d for d, n, c in groups})
+    words = [f"w{i}" for i in range(100)]  # two words changed: 86 of 106 runs of five are shared, 89 of 105 of four
+    copy = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 9) for k, t in ((1, words), (2, copy))],
+                                 table(spark, sf, "documents").schema)
+    assert [r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf).collect()] == [1]
