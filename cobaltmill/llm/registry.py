@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cobaltmill.llm import bpe, fingerprint, jaccard, langid, lines, mixing, quality, topk, urls, warc
+from cobaltmill.llm import (
+    audit, bpe, fingerprint, interpolation, jaccard, langid, lines, mixing, quality, ranking, topk, urls, warc,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -13,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_quality_co_training": quality.query,
     "op10_fingerprints": fingerprint.query,
+    "op11_lm_scoring": interpolation.query,
+    "op12_lexical_search": ranking.query,
+    "op13_filter_audit": audit.query,
 }
 
 ORACLES = {
@@ -21,4 +26,6 @@ ORACLES = {
     "op4_ngram_jaccard_join": jaccard.SQL,
     "op5_exact_top_k": topk.SQL,
     "op6_warc_revisits": warc.SQL,
+    "op12_lexical_search": ranking.SQL,
+    "op13_filter_audit": audit.SQL,
 }
