@@ -48,7 +48,7 @@ ORDER = 3
 HELD_OF = 50
 #: Tokens of a chunk, n-grams in one task that counts, bytes of text taken at a time.
 CHUNK = 2 << 20
-RANGE = 6 << 20
+RANGE = 2 << 20
 SLICE = 1 << 20
 #: The most rounds of expectation-maximisation, and the gain of the mean log-likelihood that ends them.
 ROUNDS = 20
@@ -58,7 +58,7 @@ LEARNED, HELD, SCORED = 0, 1, 2
 END = np.uint64(0x2545F4914F6CDD1D)
 CHUNKS = "chunk long, kind int, ids binary, sizes binary, words binary, tokens binary, n_tokens long, n_docs long"
 PACKS = "part int, chunk long, kind int, level int, hashes binary, counts binary"
-COUNTED = "chunk long, level int, part int, places binary, seen binary, held binary, sums array<long>"
+COUNTED = "chunk long, kind int, level int, part int, places binary, seen binary, held binary, sums array<long>"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -145,7 +145,7 @@ class _Grams:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.sizes = _restore(row["sizes"]).astype(np.int64)
         words = np.frombuffer(row["words"], np.uint64)
-        token = _restore(row["tokens"]).astype(np.int64)
+        token = _restore(row["tokens"]).astype(np.int32)
         first = np.zeros(len(token), bool)
         first[np.cumsum(self.sizes) - self.sizes] = True
         self.hashes, self.types, self.counts, self.context = [words], [token + 1], [np.bincount(token, minlength=len(words))], [None]
@@ -153,11 +153,12 @@ class _Grams:
             before = np.concatenate([[0], self.types[-1][:-1]])
             before[first] = 0
             pairs, at, counts = np.unique(before * len(words) + token, return_inverse=True, return_counts=True)
+            del before
             context, last = pairs // len(words), pairs % len(words)
             below = np.concatenate([np.zeros(1, np.uint64), self.hashes[-1]])
             salt = np.uint64(0x9E3779B97F4A7C15 * level % 2 ** 64 | 1)
             self.hashes.append(scramble(below[context] * salt + scramble(words[last] + np.uint64(level))))
-            self.types.append(at.reshape(-1) + 1)
+            self.types.append((at.reshape(-1) + 1).astype(np.int32))
             self.counts.append(counts)
             self.context.append(context)
 
@@ -188,10 +189,12 @@ def _packer(order: int, parts: int):
 def _count(packs: pa.Table) -> pa.Table:
     """Sum the packs of one range of hashes; return to each the counts that it can't know."""
     rows = packs.to_pylist()
+    del packs
     hashes = [np.cumsum(_restore(r["hashes"]), dtype=np.uint64) for r in rows]
     own = [_restore(r["counts"]).astype(np.int64) for r in rows]
     known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    at = np.split(at.reshape(-1), np.cumsum([len(h) for h in hashes])[:-1])
+    at = np.split(at.reshape(-1).astype(np.int32), np.cumsum([len(h) for h in hashes])[:-1])
+    del hashes
     seen, held = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
     words = np.zeros(len(known), bool)
     for r, a, c in zip(rows, at, own):
@@ -209,13 +212,13 @@ def _count(packs: pa.Table) -> pa.Table:
             differs |= held[a] != mine
         places = np.flatnonzero(differs)
         if len(places):
-            out.append((r["chunk"], r["level"], r["part"], _squeeze(np.diff(places, prepend=0).astype(np.uint64)),
+            out.append((r["chunk"], r["kind"], r["level"], r["part"], _squeeze(np.diff(places, prepend=0).astype(np.uint64)),
                         _squeeze(seen[a][places].astype(np.uint64)),
                         _squeeze(held[a][places].astype(np.uint64)) if r["kind"] == HELD else None, None))
     kept = seen - held
-    out.append((-1, 0, rows[0]["part"], None, None, None, [
+    out.append((-1, None, 0, rows[0]["part"], None, None, None, [
         int(seen[words].sum()), int((seen[words] > 0).sum()), int(kept[words].sum()), int((kept[words] > 0).sum())]))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in COUNTED.split(", ")])
 
 
@@ -370,7 +373,7 @@ def score_chunks(found: DataFrame, order: int = ORDER, grams: int = RANGE) -> Da
           for k, name in enumerate(("tokens", "words", "kept", "kept_words"))]).first().asDict()
 
     def meet(which: Column, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        answers = told.filter("chunk >= 0").select("chunk", "level", "part", "places", "seen", "held")
+        answers = told.filter("chunk >= 0").filter(which).select("chunk", "level", "part", "places", "seen", "held")
         return found.filter(which).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
 
     names = ", ".join(f"p{k} double" for k in range(order + 1))
