@@ -279,7 +279,7 @@ def test_null_groups(spark):
     df = spark.createDataFrame([("a", None), ("b", 2.0), (None, 3.0)], "k string, v double")
     assert [tuple(r) for r in group_by(df, "k", "sum", "v").collect()] == [("a", 0.0), ("b", 2.0)]
     with pytest.raises(ValueError):
-        group_by(df, "k", "median", "v")
+        group_by(df, "k", "mode", "v")
 
 
 def test_corr_with_leading_nulls_and_an_offset(spark):
@@ -403,6 +403,67 @@ def test_chunks_cover_the_text(spark):
     assert not any(r["doc_id"] == 2 for r in chunks)
 
 
+def plain_chunks(text, size=1500, overlap=200):
+    """The rule, by hand: (chunk, is_tail) of the pieces that aren't blank."""
+    text, at, covered, out = text.strip(), 0, 0, []
+    while at < len(text):
+        window, took = text[at:at + size + 1], size
+        if len(text) - at > size:
+            feed, stop = window.rfind("\n"), window.rfind(". ")
+            took = feed + 1 if feed >= 0 else stop + 1 if stop >= 0 else size
+        if text[at:at + took].strip():
+            out.append((text[at:at + took].strip(), covered >= len(text)))
+        covered = max(covered, at + took)
+        at += took - overlap if took > overlap else took
+    return out
+
+
+@pytest.mark.parametrize("line", [1, 199, 200, 201, 202, 1299, 1300, 1301, 1499, 1500, 1501, 1502, 1503])
+def test_no_end_is_lost(spark, line):
+    rng = random.Random(line)
+    texts = ["\n".join("x" * line for _ in range(max(3, 60000 // line))), ". ".join("yé" * (line // 2 + 1) for _ in range(60)),
+             "".join(rng.choice(["z" * line, "\n", ". ", "\n" + "q" * 200, " " * 300]) for _ in range(80))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = chunking.chunk_text(df, "doc_id", "text").orderBy("doc_id", "chunk_index").collect()
+    for i, text in enumerate(texts):
+        own = [r for r in got if r["doc_id"] == i]
+        assert [(r["chunk"], r["is_tail"]) for r in own] == plain_chunks(text)
+        assert [r["chunk_index"] for r in own] == list(range(len(own)))
+
+
+def test_small_windows_of_chunks(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab. \n") for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((10, 3), (7, 5), (25, 12)):
+        got = chunking.chunk_text(df, "doc_id", "text", size, overlap).orderBy("doc_id", "chunk_index").collect()
+        assert [(r["doc_id"], r["chunk"], r["is_tail"]) for r in got] == [
+            (i, *c) for i, t in enumerate(texts) for c in plain_chunks(t, size, overlap)]
+
+
+def test_chunks_of_a_long_text(spark):
+    text = "".join("word " * 50 + ("\n" if i % 7 else ". ") for i in range(4000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = chunking.chunk_text(df, "doc_id", "text").orderBy("chunk_index").collect()
+    assert len(text) > 1_000_000 and [(r["chunk"], r["is_tail"]) for r in got] == plain_chunks(text)
+
+
+def test_messages_lose_nothing(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a" * 1999, "b" * 17, "\n", " " * 5000, "\n" * 30, "é" * 4200]) for _ in range(25)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = chunking.split_message(df, "doc_id", "text").orderBy("doc_id", "chunk_index").collect()
+    size = vocab.MESSAGE_LIMIT
+    for i, text in enumerate(texts):
+        rest, want = text.strip(), []
+        while rest:
+            feed = rest[:size].rfind("\n") + 1
+            took = len(rest) if len(rest) <= size else feed if feed > size // 2 + 1 else size
+            want.append(rest[:took])
+            rest = rest[took:].lstrip()
+        assert [r["chunk"] for r in got if r["doc_id"] == i] == want
+
+
 def test_split_message(spark):
     df = spark.createDataFrame([(1, "a" * 3000 + "\n" + "b" * 2000)], "doc_id long, text string")
     assert [len(r["chunk"]) for r in chunking.split_message(df, "doc_id", "text").orderBy("chunk_index").collect()] == [3001, 2000]
