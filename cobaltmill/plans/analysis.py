@@ -3,8 +3,14 @@
     {"source": table name, "joins": [{"table", "on": [[left, right], ...], "how"}],
      "derive": {name: SQL expression}, "filters": [{"column", "op", "value"}], "group_by": [...],
      "metrics": [{"column", "agg", "name"}], "having": [{"column", "op", "value"}],
+     "subtotals": "rollup", "cube" or [[key, ...], ...], "pivot": {"column", "values"},
+     "trends": [{"kind", "name", "column", "by": [...], "order_by": [{"column", "descending"}], "n"}],
      "order_by": [{"column", "descending"}], "limit": n, "chart": "ranking", "x": column, "y": column}
 
+Metrics are those of ``aggregate``, with ``median`` and ``quantile`` (``p``) exact for groups of any size. Subtotals
+add a column ``level`` and keep null keys; a pivot turns the values of one more key into columns of the only
+metric. Trends are computed after grouping and ``having``, within the groups of ``by``.
+
 Charts with a label and a value take the only key and the first metric, stacked bars and heatmaps two
 keys, and scatter plots ``x`` and ``y``.
 """
@@ -18,6 +24,10 @@ from pyspark.sql import functions as F
 
 from cobaltmill.operators import charts
 from cobaltmill.operators.aggregates import aggregate
+from cobaltmill.operators.levels import grouped_levels, pivoted
+from cobaltmill.operators.quantiles import exact_quantiles
+from cobaltmill.operators.trends import add_trends
+from cobaltmill.session import materialise
 
 FILTER_OPS = {
     "==": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v,
@@ -29,6 +39,8 @@ FILTER_OPS = {
 LABEL_CHARTS = {
     "bar": charts.bar, "line": charts.line, "pie": charts.pie, "ranking": charts.ranking,
 }
+#: Metrics with passes of their own.
+QUANTILES = ("median", "quantile")
 MATRIX_CHARTS = {"stacked": charts.stacked, "heatmap": charts.heatmap}
 
 
@@ -67,6 +79,54 @@ def joined_source(data: dict[str, DataFrame], spec: dict) -> DataFrame:
     return df
 
 
+def known(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are all known."""
+    for k in keys:
+        df = df.filter(F.col(f"`{k}`").isNotNull())
+    return df
+
+
+def grouped(df: DataFrame, keys: list[str], metrics: list[dict]) -> DataFrame:
+    """The metrics per key; medians and quantiles come from their own passes and are joined by key."""
+    plain = [m for m in metrics if m["agg"] not in QUANTILES]
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[
+        aggregate(F.col(f"`{m['column']}`") if m["column"] else None, m["agg"]).alias(m["name"])
+        for m in plain or [{"agg": "count", "column": None, "name": "__rows"}]])
+    exact = [m for m in metrics if m["agg"] in QUANTILES]
+    for column in dict.fromkeys(m["column"] for m in exact):
+        if column is None:
+            raise ValueError("a median needs a column")
+        shares = {m["name"]: m.get("p", 0.5) for m in exact if m["column"] == column}
+        values = exact_quantiles(df, keys, column, shares)
+        if keys:
+            found = found.join(materialise(values, "quantile-values"), keys, "left")
+        else:
+            found = found.withColumn("__one", F.lit(0)).join(
+                materialise(values.withColumn("__one", F.lit(0)), "quantile-values"), "__one", "left").drop("__one")
+    return found.select(*[F.col(f"`{c}`") for c in [*keys, *[m["name"] for m in metrics]]])
+
+
+def trend_groups(trends: list[dict], find) -> list[tuple[list[str], list[tuple[str, bool]], list[dict]]]:
+    """Trends with the same groups and order, which are sorted once. A trend may use an earlier one."""
+    out: list[tuple[list[str], list[tuple[str, bool]], list[dict]]] = []
+    names = {t["name"] for t in trends}
+
+    def column(name: str) -> str:
+        return name if name in names else find(name)
+
+    for t in trends:
+        by = [column(c) for c in t.get("by", [])]
+        order = [(column(o["column"]), bool(o.get("descending"))) for o in t.get("order_by", [])]
+        measure = {**t, "column": column(t["column"]) if t.get("column") else None}
+        new = {m["name"] for m in out[-1][2]} if out else set()
+        used = {measure["column"], *by, *[c for c, _ in order]}
+        if out and out[-1][:2] == (by, order) and not used & new:
+            out[-1][2].append(measure)
+        else:
+            out.append((by, order, [measure]))
+    return out
+
+
 def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict,
              corrections: dict[str, str] | None = None) -> DataFrame:
     """Run one analysis request on a table, or on the named one of several tables with its joins.
@@ -91,15 +151,21 @@ def run_spec(data: DataFrame | dict[str, DataFrame], spec: dict,
         df = df.withColumn(name, F.expr(expression))
     df = keep(spec.get("filters", []))
     keys = [find(k) for k in spec.get("group_by", [])]
-    metrics = [
-        aggregate(col(m["column"]) if m.get("column") else None, m["agg"]).alias(m["name"])
-        for m in spec.get("metrics", [])
-    ]
+    metrics = [{**m, "column": find(m["column"]) if m.get("column") else None} for m in spec.get("metrics", [])]
+    if spec.get("subtotals"):
+        if any(m["agg"] in QUANTILES for m in metrics):
+            raise ValueError("subtotals have no medians or quantiles")
+        df = grouped_levels(df, keys, metrics, spec["subtotals"])
+    elif spec.get("pivot"):
+        if len(metrics) != 1 or metrics[0]["agg"] in (*QUANTILES, "distinct"):
+            raise ValueError("a pivot takes one metric that is a count, sum, mean, maximum or minimum")
+        df = pivoted(known(df, keys), keys, find(spec["pivot"]["column"]), metrics[0], spec["pivot"].get("values"))
+    elif metrics:
+        df = grouped(known(df, keys), keys, metrics)
     if metrics:
-        for k in keys:
-            df = df.filter(F.col(f"`{k}`").isNotNull())
-        df = df.groupBy(*keys).agg(*metrics)
         df = keep(spec.get("having", []))
+    for by, order, measures in trend_groups(spec.get("trends", []), find):
+        df = add_trends(df, by, order, measures)
     order = [
         col(o["column"]).desc() if o.get("descending") else col(o["column"]).asc()
         for o in spec.get("order_by", [])
