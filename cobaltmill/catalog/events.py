@@ -135,6 +135,24 @@ def premium_asof(spark, sf):
     return usage.with_premium(events, since(spark, sf)).drop("ts")
 
 
+@register("premium_periods", """
+WITH c AS (
+  SELECT user_id, ts, event_id, event_type = 'purchase' AS active FROM events
+  WHERE (event_type = 'purchase' AND value > 60) OR (event_type = 'error' AND value > 40)),
+l AS (SELECT user_id, ts, arg_max(active, event_id) AS active FROM c GROUP BY ALL)
+SELECT e.event_id, e.user_id, coalesce(l.active, false) AS is_premium, l.ts AS since
+FROM events e ASOF LEFT JOIN l ON e.user_id = l.user_id AND e.ts >= l.ts
+""")
+def premium_periods(spark, sf):
+    """Premium by several grants and revokes of each user: the last one at or before an event holds."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    grant = (F.col("event_type") == "purchase") & (F.col("value") > 60)
+    revoke = (F.col("event_type") == "error") & (F.col("value") > 40)
+    changes = events.filter(grant | revoke).select(
+        "user_id", "ts", F.col("event_id").alias("change_id"), (F.col("event_type") == "purchase").alias("active"))
+    return usage.premium_by_periods(events.select("event_id", "user_id", "ts"), changes).drop("ts")
+
+
 _GATE_SQL = f"""
 WITH {_PAID},
 g AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'PDF' WHEN 'click' THEN 'excel' ELSE 'chart' END AS resource_type,

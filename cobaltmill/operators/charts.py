@@ -10,6 +10,7 @@ from cobaltmill.functions import text as T
 from cobaltmill.functions import vocab
 from cobaltmill.operators.aggregates import group_by
 from cobaltmill.operators.ordering import positions
+from cobaltmill.operators.comoments import correlations
 from cobaltmill.operators.profile import column_roles, is_numeric
 from cobaltmill.session import materialise
 
@@ -92,28 +93,14 @@ def heatmap(matrix: DataFrame, row: str, col: str, value: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, max_columns: int | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations of the numeric columns, in one aggregate.
+    """Pairwise-complete Pearson correlations of the numeric columns, in one pass.
 
     A column without spread has no correlation (null). Without numeric columns there are no rows.
     """
     cols = [f.name for f in df.schema.fields if is_numeric(f)][:max_columns]
     if not cols:
         return df.sparkSession.createDataFrame([], "row string, col string, r double")
-    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"v{i}")
-                         for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-
-    def corr(x: Column, y: Column) -> Column:  # the built-in one stops at columns without spread
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    found = values.agg(*[corr(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"r_{i}_{j}") for i, j in pairs])
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"),
-                 F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r"))
-        for i, a in enumerate(cols) for j, b in enumerate(cols)
-    ]))
-    return found.select(cells.alias("c")).select("c.*")
+    return correlations(df, {c: F.col(f"`{c}`").cast("double") for c in cols}).select("row", "col", "r")
 
 
 def stacked(df: DataFrame, category: str, segment: str, value: str,

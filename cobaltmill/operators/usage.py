@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobaltmill.functions import clock, vocab
-from cobaltmill.operators.ordering import first_n
+from cobaltmill.operators.ordering import first_n, locf
 from cobaltmill.session import materialise
 
 
+#: A block of time holds 2^33 half microseconds, a bit over an hour; a year has some 7000 blocks.
+PERIOD_BITS = 33
+
+
 def premium_since(payments: DataFrame, revokes: DataFrame | None = None) -> DataFrame:
     """First payment of each user; with revokes, the first one after the last revoke. Stored."""
     if revokes is None:
@@ -33,6 +37,31 @@ def with_premium(events: DataFrame, since: DataFrame) -> DataFrame:
     return joined.withColumn("is_premium", paid).drop("premium_since")
 
 
+def premium_by_periods(events: DataFrame, changes: DataFrame, block_bits: int = PERIOD_BITS) -> DataFrame:
+    """Adds ``is_premium`` and ``since``: the user's last grant or revoke at or before each event (user_id, ts).
+
+    ``changes`` (user_id, ts, change_id, active) may open and close any number of periods. Of changes at one time
+    the one with the largest id holds. ``since`` is the time of that change, null before the first one.
+
+    Events and changes are cut into blocks of time. What holds at the start of a block is carried over a table
+    of one row per user and block, so a user's events are ordered within blocks only.
+    """
+    last = changes.filter("user_id is not null and ts is not null").groupBy("user_id", "ts").agg(
+        F.max_by(F.struct("active", "ts"), "change_id").alias("__state"))
+    columns = events.columns
+    kind = last.schema["__state"].dataType
+    at = F.unix_micros(F.col("ts").cast("timestamp")) * 2
+    marks = last.select("user_id", at.alias("__at"), "__state", F.lit(None).cast(events.schema).alias("__row"))
+    rows = events.select("user_id", F.coalesce(at + 1, F.lit(-1)).alias("__at"), F.lit(None).cast(kind).alias("__state"),
+                         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
+    held = locf(rows.unionByName(marks), "__at", ["__state"], ["user_id"], bits=block_bits).filter("__row is not null")
+    known = F.col("__state").isNotNull() & F.col("__row.ts").isNotNull()
+    return held.select(
+        *[F.col("__row").getField(c).alias(c) for c in columns],
+        F.coalesce(known & F.col("__state.active"), F.lit(False)).alias("is_premium"),
+        F.when(known, F.col("__state.ts")).alias("since"))
+
+
 def daily_quota(messages: DataFrame, since: DataFrame, limit: int = vocab.DAILY_LIMIT,
                 zone: str = vocab.QUOTA_ZONE, used: DataFrame | None = None) -> DataFrame:
     """Outcome of each message: premium, admitted (the first ``limit`` of the day) or refused.

@@ -340,6 +340,61 @@ def test_overlong_prefixes_stay_apart(spark):
     assert total == 4
 
 
+def test_corr_does_not_depend_on_batches(spark):
+    from cobaltmill.operators import comoments
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 6))
+    x[:, 1] += x[:, 0] * 2 + 1e8
+    x[:, 2] = np.where(rng.random(700) < .5, x[:, 0] + 1e9, -x[:, 0])  # two far levels
+    x[:, 3] = 0.1
+    x[rng.random(x.shape) < .2] = np.nan
+    x[:300, 4] = np.nan
+    states = [comoments.batch_state(x[a:a + n]) for n in (700, 13, 1) for a in range(0, 700, n)]
+    whole, cut, single = states[0], states[1:1 + 54], states[55:]
+    pairs = {}
+    for name, parts in (("whole", [whole]), ("cut", cut), ("single", single)):
+        total = np.zeros_like(whole)
+        for part in parts:
+            total = comoments.merged(total, part)
+        pairs[name] = total
+    for i in range(6):
+        for j in range(6):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i] - x[both, i].mean(), x[both, j] - x[both, j].mean()
+            for state in pairs.values():
+                assert state[0, i, j] == both.sum()
+                assert state[3, i, j] == pytest.approx(a @ b, rel=1e-6, abs=1e-20 + 1e-6 * np.sqrt((a @ a) * (b @ b)))
+                assert state[2, i, j] == pytest.approx(a @ a, rel=1e-6, abs=1e-20)
+
+
+def test_corr_of_200_columns(spark):
+    cols = [(F.hash("id", F.lit(i // 2)) % 1000 + (F.hash("id", F.lit(1000 + i)) % 300)).cast("double").alias(f"c{i}") for i in range(200)]
+    got = charts.corr_matrix(spark.range(0, 4000, 1, 300).select(*cols)).collect()  # 300 tasks: two levels of merging
+    assert len(got) == 40_000
+    by = {(r["row"], r["col"]): r["r"] for r in got}
+    assert by["c4", "c4"] == pytest.approx(1) and by["c4", "c5"] > 0.8 and abs(by["c4", "c9"]) < 0.1
+    assert all(by[b, a] == pytest.approx(v) for (a, b), v in by.items())
+
+
+def test_premium_periods(spark):
+    rng = random.Random(6)
+    users = ["hot"] * 12 + ["a", "b", "never", None]
+    changes = [(rng.choice(users[:-2] + [None]), BASE + dt.timedelta(minutes=10 * rng.randrange(500)), i, rng.random() < .5)
+               for i in range(60)]
+    events = [(i, rng.choice(users), BASE + dt.timedelta(minutes=5 * rng.randrange(-100, 1100))) for i in range(400)]
+    events.append((1000, "hot", None))
+    c = spark.createDataFrame(changes, "user_id string, ts timestamp, change_id long, active boolean")
+    e = spark.createDataFrame(events, "event_id long, user_id string, ts timestamp")
+    for bits in (33, 40, 28):
+        got = {r["event_id"]: (r["is_premium"], r["since"]) for r in usage.premium_by_periods(e, c, bits).collect()}
+        assert len(got) == len(events)
+        for i, user, ts in events:
+            past = [x for x in changes if x[0] == user and user is not None and ts is not None and x[1] <= ts]
+            last = max(past, key=lambda x: (x[1], x[2]), default=None)
+            assert got[i] == ((last[3], last[1]) if last else (False, None))
+    assert len({x[1] for x in changes if x[0] == "hot"}) > 3
+
+
 def test_corr_is_pairwise_complete(spark):
     import pandas as pd
 
