@@ -101,7 +101,14 @@ def materialise(df: DataFrame, tag: str, compression: str | None = None) -> Data
     path = fresh_path(spark, tag)
     with _shuffles_deleted(spark):
         df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing that is still to run reads it."""
+    remove_path(stored.sparkSession, stored.stored_at)
 
 
 @contextmanager
