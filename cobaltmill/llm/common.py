@@ -27,3 +27,14 @@ def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     if spark.conf.get(_BATCH_ROWS) == "10000":
         spark.conf.set(_BATCH_ROWS, str(rows))
     return df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -10,9 +10,12 @@ difference has at most ``D(|A|, |B|)`` elements, and the join finds every such p
    largest partner: the first unchanged such block is among them on both sides. A set with too few
    such blocks also emits those with one shingle or more, and with too few of these a common key.
 3. Equal values are joined. Equal sets are one node from the start. In each key group a pivot is
-   tested against the members outside its component; after a few rounds the pairs that remain
-   untested between different components are tested all.
-4. A pair is tested by XORed parity bits first (each shingle flips one of 256 bits, so the Hamming
+   tested against the members outside its component.
+4. Sets that are in groups still open after a few rounds, such as texts with a common passage, are dealt
+   to ``FINE`` times as many blocks. A block's value is a token there, an empty block's too; all sets of
+   a window have equally many, and linked sets differ in D at most. So the D + 1 rarest tokens of a
+   set, by exact counts, meet those of each partner, and what many texts share falls out.
+5. A pair is tested by XORed parity bits first (each shingle flips one of 256 bits, so the Hamming
    distance of two sketches is a lower bound of the symmetric difference), then by the sets.
 
 Sets, nodes and block values are told apart by 64-bit hashes. Groups are combined before shuffles,
@@ -37,15 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cobaltmill.llm.common import text_batches
+from cobaltmill.llm.common import free_names, text_batches
 from cobaltmill.llm.shingles import batch_slices, scramble, shingle_sets
-from cobaltmill.session import materialise, table
+from cobaltmill.session import discard, materialise, table
 
 WIDTH = 4
 PERCENT = 85
 RICH = 3
 SLICE = 1 << 20
 PIVOT_ROUNDS = 2
+FINE = 4
 PARITY = ("p0", "p1", "p2", "p3")
 
 
@@ -87,6 +91,21 @@ def block_keys(found: np.ndarray, percent: int, spans: list[tuple[int, int]]) ->
     return keys
 
 
+def block_tokens(found: np.ndarray, percent: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each window of a set its number, the number of tokens to keep, and one token for each fine block."""
+    n = len(found)
+    for number, (low, high) in enumerate(spans):
+        if low <= n <= high:
+            blocks = FINE * (most_apart(high, high, percent) + 1)
+            block = (scramble(found ^ np.uint64(number + 1)) >> np.uint64(32)) % np.uint64(blocks)
+            order = np.argsort(block, kind="stable")
+            used, at = np.unique(block[order], return_index=True)
+            value = np.zeros(blocks, np.uint64)
+            value[used.astype(np.int64)] = np.bitwise_xor.reduceat(found[order], at)
+            place = scramble(np.arange(blocks, dtype=np.uint64) * np.uint64(4096) + np.uint64(number))
+            yield number, most_apart(n, min(high, n * 100 // percent), percent) + 1, scramble(value ^ place)
+
+
 def parity(found: np.ndarray) -> np.ndarray:
     """256 bits, each the parity of the number of hashes that fall on it, as four numbers."""
     bits = np.bincount((found >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
@@ -131,6 +150,24 @@ def _setter(width: int):
     return sets
 
 
+def _tokeniser(width: int, percent: int):
+    spans = windows(percent)
+
+    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batch_slices(batches, "text", SLICE):
+            for found in shingle_sets(part.column("text").to_pylist(), width):
+                node = np.bitwise_xor.reduce(scramble(found)) ^ np.uint64(len(found))
+                rows = [(node.view(np.int64), *row) for row in block_tokens(found, percent, spans)] if len(found) else []
+                if rows:
+                    nodes, numbers, needs, own = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(needs, pa.int32()),
+                         pa.array([t.view(np.int64) for t in own], pa.list_(pa.int64()))],
+                        names=["node", "span", "need", "tokens"])
+
+    return tokens
+
+
 def profiles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_hash, n_shingles, node`` (hash of the set), parity bits and join ``keys`` per row."""
     id_field = docs.schema["doc_id"]
@@ -165,6 +202,28 @@ class _Links:
             F.col("node").alias(side), F.col("n").alias(f"{side}n"),
             *[F.col(p).alias(f"{side}{p}") for p in PARITY])
 
+    def texts(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The texts of the rows that first hold the asked nodes, and these rows; other nodes may be among them."""
+        owners = self.stored.select("node", "doc_id").join(asked, "node").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"))
+        owners = materialise(owners, "near-owners")
+        ids = owners.select(F.col("doc_id").alias("owner")).distinct()
+        return self.docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi"), owners
+
+    def refined(self, open_nodes: DataFrame) -> DataFrame:
+        """``key, node``: the rarest tokens of the asked nodes, as many as meet those of every partner."""
+        texts, owners = self.texts(open_nodes)
+        fine = texts.mapInArrow(
+            _tokeniser(self.width, self.percent), "node long, span int, need int, tokens array<long>")
+        fine = materialise(fine.join(owners.select("node"), "node", "left_semi").dropDuplicates(["node", "span"]), "near-tokens")
+        each = fine.select("node", "span", F.explode("tokens").alias("key"))
+        shared = materialise(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-keys")
+        met = each.join(shared, "key").groupBy("node", "span").agg(
+            F.sort_array(F.collect_list(F.struct("n", "key"))).alias("met"))  # at most the tokens of one set
+        kept = met.join(fine.select("node", "span", "need", F.size("tokens").alias("size")), ["node", "span"])
+        room = F.greatest(F.col("need") - (F.col("size") - F.size("met")), F.lit(0))
+        return materialise(kept.select("node", F.explode(F.slice("met", 1, room)).alias("m")).select("m.key", "node"), "near-fine")
+
     def test(self, pairs: DataFrame) -> bool:
         """Test stored pairs (a, b), add those that are linked, and tell if there are any."""
         if pairs.isEmpty():
@@ -174,13 +233,7 @@ class _Links:
             .filter(~_far("a", "b", self.percent)).select("a", "b"), "near-close")
         if close.isEmpty():
             return False
-        asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        owners = self.stored.select("node", "doc_id").join(asked, "node").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"))
-        owners = materialise(owners, "near-owners")
-        ids = owners.select(F.col("doc_id").alias("_id")).distinct()
-        texts = self.docs.select("doc_id", "text").join(
-            ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        texts, owners = self.texts(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = texts.mapInArrow(_setter(self.width), "node long, shingles array<long>")
         sets = materialise(
             sets.join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
@@ -243,11 +296,21 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
 def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_hash, n_shingles, root``: rows of one root are linked, directly or by others. Stored."""
-    stored = materialise(profiles(docs, width, percent), "near-profiles")
-    keyed = stored.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = materialise(shared.filter("low < high").select("key"), "near-keys")
-    members = materialise(keyed.join(shared, "key").distinct(), "near-members")
+    # rows are numbered so that a key travels with a short name of its row
+    signed = materialise(profiles(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "near-profiles")
+    stored = materialise(signed.drop("keys"), "near-rows")
+    keyed = signed.select(F.explode("keys").alias("key"), "row")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = materialise(shared, "near-keys")
+    held = materialise(keyed.join(shared, "key"), "near-held")
+    discard(signed)
+    discard(shared)
+    named = held.join(stored.select("row", "node"), "row").select("key", "node").distinct()
+    several = named.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    several = materialise(several.select("key"), "near-keys")
+    members = materialise(named.join(several, "key"), "near-members")
+    discard(held)
+    discard(several)
     nodes = materialise(
         stored.join(members.select("node").distinct(), "node", "left_semi")
         .select("node", F.col("n_shingles").alias("n"), *PARITY).distinct(), "near-nodes")
@@ -268,15 +331,16 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         if work.test(pairs):
             roots = connected(work.links)
         open_members = materialise(_unsettled(members, roots), "near-open")
-    signed = open_members.join(nodes, "node")
-    left = signed.select("key", *[F.col(c).alias(f"a{c}") for c in ("node", "root", "n", *PARITY)])
-    right = signed.select("key", *[F.col(c).alias(f"b{c}") for c in ("node", "root", "n", *PARITY)])
-    rest = left.join(right, "key").filter(
-        (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot"))
-        & ~_far("a", "b", percent))
-    rest = _without(_ordered(rest, F.col("anode"), F.col("bnode")), tested)
-    if not open_members.isEmpty() and work.test(materialise(rest, "near-pairs")):
-        roots = connected(work.links)
+    if not open_members.isEmpty():
+        open_nodes = open_members.select("node", "root").distinct()
+        fine = work.refined(open_nodes.select("node")).join(open_nodes, "node").join(nodes, "node")
+        left = fine.select("key", *[F.col(c).alias(f"a{c}") for c in ("node", "root", "n", *PARITY)])
+        right = fine.select("key", *[F.col(c).alias(f"b{c}") for c in ("node", "root", "n", *PARITY)])
+        rest = left.join(right, "key").filter(
+            (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & ~_far("a", "b", percent))
+        rest = _without(_ordered(rest, F.col("anode"), F.col("bnode")), tested)
+        if work.test(materialise(rest, "near-pairs")):
+            roots = connected(work.links)
     return materialise(stored.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root")), "near-rooted")
 
@@ -304,13 +368,14 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     """
     rooted = linked_rows(docs, width, percent).filter("n_shingles > 0")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("head")
+    one, digest, number = free_names(docs, "head_id", "head_hash", "head_row")
     heads = materialise(rooted.groupBy("root").agg(head).select(
-        F.col("head.doc_id").alias("_id"), F.col("head.text_hash").alias("_hash")), "near-heads")
+        F.col("head.doc_id").alias(one), F.col("head.text_hash").alias(digest)), "near-heads")
     worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
-    chosen = docs.filter(worded).join(heads.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (
-        F.xxhash64("text") == F.col("_hash")), "left_semi")
+    chosen = docs.filter(worded).join(heads.distinct(), F.col("doc_id").eqNullSafe(F.col(one)) & (
+        F.xxhash64("text") == F.col(digest)), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = chosen.withColumn("_row", F.row_number().over(same)).filter("_row = 1").drop("_row")
+    kept = chosen.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
     return kept.unionByName(docs.filter(~worded))
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobaltmill.llm.common import free_names
 from cobaltmill.session import materialise, table
 
 MIN_SITES = 10
@@ -60,9 +61,8 @@ def wide_spread(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     kept = materialise(guess.filter(F.col("guess") >= min_sites * (1 - band)), "line-spread")
     sure = kept.filter(F.col("guess") > min_sites * (1 + band))
     near = kept.filter(F.col("guess") <= min_sites * (1 + band))
-    pairs = lines.groupBy("h1", "h2", "site").agg(F.count(F.lit(1)).alias("_n"))
-    counted = pairs.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
+    pairs = lines.join(near.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "site").distinct()
+    counted = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
     proven = near.join(counted.select("h1", "h2"), ["h1", "h2"])
     return sure.unionByName(proven).select("h1", "h2", "first")
 
@@ -76,19 +76,19 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     first = F.col("first")
     is_first = (first["doc_id"].eqNullSafe(F.col("doc_id")) & (first["t1"] == F.col("t1"))
                 & (first["t2"] == F.col("t2")) & (first["line_no"] == F.col("line_no")))
+    d, u1, u2, gone_at, cut_up = free_names(docs, "gone_id", "gone_t1", "gone_t2", "gone", "lines")
     removed = lines.join(wide, ["h1", "h2"]).filter(~is_first).groupBy(
-        F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")
-    ).agg(F.collect_set("line_no").alias("_gone"))
+        F.col("doc_id").alias(d), F.col("t1").alias(u1), F.col("t2").alias(u2)
+    ).agg(F.collect_set("line_no").alias(gone_at))
     t1, t2 = wide_hash(F.col("text"))
     joined = docs.join(
-        removed, (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
-        & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    cut = joined.withColumn("_lines", F.split("text", "\n", -1))
-    count = F.coalesce(F.size("_lines"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    clean = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(clean)
-    gone = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
+        removed, (t1 == F.col(u1)) & (t2 == F.col(u2)) & F.col("doc_id").eqNullSafe(F.col(d)), "left")
+    cut = joined.withColumn(cut_up, F.split("text", "\n", -1))
+    count = F.coalesce(F.size(cut_up), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut_up) - 1), F.col(gone_at))
+    clean = F.array_join(F.transform(stay, lambda i: F.get(F.col(cut_up), i)), "\n")
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(clean)
+    gone = F.when(F.col(gone_at).isNull(), F.lit(0)).otherwise(F.size(gone_at))
     counts = [F.greatest(count, F.lit(0)).cast("long").alias("n_lines"),
               gone.cast("long").alias("n_removed")]
     return cut.select(

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cobaltmill.llm.common import WORD, word_count
+from cobaltmill.llm.common import WORD, free_names, word_count
 from cobaltmill.operators.ordering import positions
 from cobaltmill.session import materialise, table
 
@@ -153,18 +153,20 @@ def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Of several rows with one id, source and text, those that come first in any order get what was chosen.
     """
     keys = ["doc_id", "source", "text_hash"]
+    *mine, epochs, chosen, rows, number, copy = free_names(
+        docs, *[f"mix_{k}" for k in keys], "epochs", "chosen", "rows", "taken", "copy")
     times = materialise(
-        mixed.filter("size > 0").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-            F.max("epochs").alias("_epochs"), F.sum("chosen").alias("_chosen"), F.count(F.lit(1)).alias("_rows"))
-        .filter("_epochs + _chosen > 0"), "mix-times")
-    same = (docs["doc_id"].eqNullSafe(F.col("_doc_id")) & docs["source"].eqNullSafe(F.col("_source"))
-            & (F.xxhash64(docs["text"]) == F.col("_text_hash")))
-    once = docs.join(times.filter("_rows = 1"), same).withColumn("_n", F.col("_epochs") + F.col("_chosen"))
-    alike = Window.partitionBy("_doc_id", "_source", "_text_hash").orderBy(F.lit(0))
-    more = docs.join(times.filter("_rows > 1"), same).withColumn(
-        "_n", F.col("_epochs") + (F.row_number().over(alike) <= F.col("_chosen")).cast("long"))
-    both = once.unionByName(more).filter("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
+        mixed.filter("size > 0").groupBy(*[F.col(k).alias(m) for k, m in zip(keys, mine)]).agg(
+            F.max("epochs").alias(epochs), F.sum("chosen").alias(chosen), F.count(F.lit(1)).alias(rows))
+        .filter(F.col(epochs) + F.col(chosen) > 0), "mix-times")
+    same = (docs["doc_id"].eqNullSafe(F.col(mine[0])) & docs["source"].eqNullSafe(F.col(mine[1]))
+            & (F.xxhash64(docs["text"]) == F.col(mine[2])))
+    once = docs.join(times.filter(F.col(rows) == 1), same).withColumn(number, F.col(epochs) + F.col(chosen))
+    alike = Window.partitionBy(*mine).orderBy(F.lit(0))
+    more = docs.join(times.filter(F.col(rows) > 1), same).withColumn(
+        number, F.col(epochs) + (F.row_number().over(alike) <= F.col(chosen)).cast("long"))
+    both = once.unionByName(more).filter(F.col(number) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(number)))).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 

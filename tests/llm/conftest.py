@@ -11,7 +11,9 @@ for folder in (ROOT, os.path.join(ROOT, "tests"), os.path.dirname(os.path.abspat
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return.
 CLASHES = ("size", "weight", "target", "key", "node", "keys", "ids", "decoded", "n_lines", "n_removed", "score",
-           "position", "copy", "site", "first", "dim", "url2")
+           "position", "copy", "site", "first", "dim", "url2", "row", "span", "need", "head_id", "head_hash", "head_row",
+           "_id", "_hash", "_row", "owner", "_lines", "_gone", "_d", "_t1", "_t2", "_line", "_copy", "_n", "_rows",
+           "_epochs", "_chosen", "_doc_id", "_source", "_text_hash")
 
 
 @pytest.fixture(scope="session")

@@ -113,6 +113,49 @@ def test_rows_without_ids(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(set(rows) - {(None, text)}, key=str)
 
 
+def test_common_passages_make_no_pairs(spark, monkeypatch):
+    """Texts that share most of their words but aren't near copies don't all meet, and no link is lost."""
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(140)]
+    rows = [(i, " ".join(passage + [f"u{rnd.randrange(10 ** 7)}" for _ in range(60)])) for i in range(150)]
+    near = rows[3][1].split()
+    rows += [(200, " ".join(edited(rnd, near, 3))), (201, " ".join(near[:-4])), (202, " ".join(passage))]
+    sizes = []
+    test = jaccard._Links.test
+
+    def counted(self, pairs):
+        sizes.append(pairs.count())
+        return test(self, pairs)
+
+    monkeypatch.setattr(jaccard._Links, "test", counted)
+    assert run(spark, rows) == brute(rows)
+    assert sum(sizes) < 3 * 80 * len(rows) and sizes[-1] < 300
+
+
+@pytest.mark.parametrize("percent,width", [(85, 4), (80, 5), (60, 2)])
+def test_token_property(percent, width):
+    """Linked sets share one of their D + 1 rarest tokens, whatever the order, and have equally many."""
+    rnd = random.Random(10)
+    spans = jaccard.windows(percent)
+    tried = 0
+    for size in [*range(3, 30), 60, 150, 400]:
+        for _ in range(60):
+            base = [f"t{rnd.randrange(10 ** 6)}" for _ in range(size)]
+            x, y = shingle_sets([" ".join(base), " ".join(edited(rnd, base, rnd.randrange(1, size // 30 + 2)))], width)
+            both = len(set(x) & set(y))
+            if 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            tried += 1
+            tokens = [{n: (need, t) for n, need, t in jaccard.block_tokens(s, percent, spans)} for s in (x, y)]
+            met = False
+            for n in tokens[0].keys() & tokens[1].keys():
+                assert len(tokens[0][n][1]) == len(tokens[1][n][1])
+                rare = [sorted(t.tolist(), key=lambda v: (v * 7919 % 10007, v))[:need] for need, t in (tokens[0][n], tokens[1][n])]
+                met |= bool(set(rare[0]) & set(rare[1]))
+            assert met
+    assert tried > 100
+
+
 def test_key_property():
     """Two linked sets share a key unless they are equal."""
     rnd = random.Random(9)
