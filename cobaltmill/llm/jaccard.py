@@ -11,10 +11,11 @@ difference has at most ``D(|A|, |B|)`` elements, and the join finds every such p
    such blocks also emits those with one shingle or more, and with too few of these a common key.
 3. Equal values are joined. Equal sets are one node from the start. In each key group a pivot is
    tested against the members outside its component.
-4. Sets that are in groups still open after a few rounds, such as texts with a common passage, are dealt
-   to ``FINE`` times as many blocks. A block's value is a token there, an empty block's too; all sets of
+4. After a few rounds, the pairs of open groups of ``SMALL`` members at most are tested all. Sets in larger
+   open groups, such as texts with a common passage, are dealt to ``FINE`` times as many blocks. A block's value is a token there, an empty block's too; all sets of
    a window have equally many, and linked sets differ in D at most. So the D + 1 rarest tokens of a
-   set, by exact counts, meet those of each partner, and what many texts share falls out.
+   set, by exact counts, meet those of each partner, and what many texts share falls out. Pivots come
+   first here too, as long as they link.
 5. A pair is tested by XORed parity bits first (each shingle flips one of 256 bits, so the Hamming
    distance of two sketches is a lower bound of the symmetric difference), then by the sets.
 
@@ -50,6 +51,9 @@ RICH = 3
 SLICE = 1 << 20
 PIVOT_ROUNDS = 2
 FINE = 4
+SMALL = 16
+#: The most further rounds of pivots while they link; pairs that remain are tested one by one.
+FINE_ROUNDS = 3
 PARITY = ("p0", "p1", "p2", "p3")
 
 
@@ -155,9 +159,10 @@ def _tokeniser(width: int, percent: int):
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batch_slices(batches, "text", SLICE):
-            for found in shingle_sets(part.column("text").to_pylist(), width):
-                node = np.bitwise_xor.reduce(scramble(found)) ^ np.uint64(len(found))
-                rows = [(node.view(np.int64), *row) for row in block_tokens(found, percent, spans)] if len(found) else []
+            asked = part.column("node").to_numpy()
+            for wanted, found in zip(asked, shingle_sets(part.column("text").to_pylist(), width)):
+                node = (np.bitwise_xor.reduce(scramble(found)) ^ np.uint64(len(found))).view(np.int64)
+                rows = [(node, *row) for row in block_tokens(found, percent, spans)] if node == wanted else []
                 if rows:
                     nodes, numbers, needs, own = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -208,21 +213,27 @@ class _Links:
             F.min("doc_id").alias("doc_id"))
         owners = materialise(owners, "near-owners")
         ids = owners.select(F.col("doc_id").alias("owner")).distinct()
-        return self.docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi"), owners
+        same = F.col("doc_id").eqNullSafe(F.col("owner"))
+        return self.docs.select("doc_id", "text").join(ids, same, "left_semi"), owners
 
     def refined(self, open_nodes: DataFrame) -> DataFrame:
         """``key, node``: the rarest tokens of the asked nodes, as many as meet those of every partner."""
         texts, owners = self.texts(open_nodes)
-        fine = texts.mapInArrow(
-            _tokeniser(self.width, self.percent), "node long, span int, need int, tokens array<long>")
-        fine = materialise(fine.join(owners.select("node"), "node", "left_semi").dropDuplicates(["node", "span"]), "near-tokens")
+        named = owners.select("node", F.col("doc_id").alias("owner"))
+        asked = texts.join(named, F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "text")
+        fine = materialise(asked.mapInArrow(
+            _tokeniser(self.width, self.percent), "node long, span int, need int, tokens array<long>"), "near-tokens")
         each = fine.select("node", "span", F.explode("tokens").alias("key"))
         shared = materialise(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-keys")
         met = each.join(shared, "key").groupBy("node", "span").agg(
-            F.sort_array(F.collect_list(F.struct("n", "key"))).alias("met"))  # at most the tokens of one set
-        kept = met.join(fine.select("node", "span", "need", F.size("tokens").alias("size")), ["node", "span"])
+            F.sort_array(F.collect_set(F.struct("n", "key"))).alias("met"))  # at most the tokens of one set
+        sizes = fine.select("node", "span", "need", F.size("tokens").alias("size")).distinct()
+        kept = met.join(sizes, ["node", "span"])
         room = F.greatest(F.col("need") - (F.col("size") - F.size("met")), F.lit(0))
-        return materialise(kept.select("node", F.explode(F.slice("met", 1, room)).alias("m")).select("m.key", "node"), "near-fine")
+        rare = kept.select("node", F.explode(F.slice("met", 1, room)).alias("m")).select("m.key", "node")
+        rare = materialise(rare.distinct(), "near-fine")
+        discard(fine)
+        return rare
 
     def test(self, pairs: DataFrame) -> bool:
         """Test stored pairs (a, b), add those that are linked, and tell if there are any."""
@@ -316,41 +327,71 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         .select("node", F.col("n_shingles").alias("n"), *PARITY).distinct(), "near-nodes")
 
     work = _Links(docs, stored, nodes, width, percent)
-    open_members = members.withColumn("root", F.col("node"))
-    roots = materialise(members.select("node", F.col("node").alias("root")).limit(0), "components")
-    tested = None
-    for turn in range(PIVOT_ROUNDS):
-        if open_members.isEmpty():
-            break
-        pivots = open_members.groupBy("key").agg(
-            F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
-        star = open_members.join(pivots, "key").filter(F.col("root") != F.col("pivot.root"))
-        pairs = _ordered(star, F.col("pivot.node"), F.col("node"))
-        pairs = materialise(_without(pairs, tested), "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if work.test(pairs):
-            roots = connected(work.links)
-        open_members = materialise(_unsettled(members, roots), "near-open")
+    found = _Groups(work, nodes, percent)
+    open_members = found.pivots(members.withColumn("root", F.col("node")), PIVOT_ROUNDS)
     if not open_members.isEmpty():
-        open_nodes = open_members.select("node", "root").distinct()
-        fine = work.refined(open_nodes.select("node")).join(open_nodes, "node").join(nodes, "node")
-        left = fine.select("key", *[F.col(c).alias(f"a{c}") for c in ("node", "root", "n", *PARITY)])
-        right = fine.select("key", *[F.col(c).alias(f"b{c}") for c in ("node", "root", "n", *PARITY)])
-        rest = left.join(right, "key").filter(
-            (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & ~_far("a", "b", percent))
-        rest = _without(_ordered(rest, F.col("anode"), F.col("bnode")), tested)
-        if work.test(materialise(rest, "near-pairs")):
-            roots = connected(work.links)
+        sizes = materialise(open_members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+        small = sizes.filter(F.col("n") <= SMALL).select("key")
+        found.all_pairs(open_members.join(small, "key", "left_semi"))
+        large = materialise(open_members.join(sizes.filter(F.col("n") > SMALL), "key").select("node").distinct(), "near-open")
+        if not large.isEmpty():
+            rare = found.unsettled(work.refined(large))
+            found.all_pairs(found.pivots(rare, 0))
+    roots = found.roots(members)
     return materialise(stored.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root")), "near-rooted")
 
 
-def _ordered(rows: DataFrame, one: Column, other: Column) -> DataFrame:
-    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+class _Groups:
+    """Finds the links within groups of nodes (key, node)."""
+
+    def __init__(self, work: _Links, nodes: DataFrame, percent: int):
+        self.work, self.nodes, self.percent = work, nodes, percent
+        self.tested: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def roots(self, members: DataFrame) -> DataFrame:
+        if self.found is None:
+            self.found = materialise(members.select("node", F.col("node").alias("root")).limit(0), "components")
+        return self.found
+
+    def unsettled(self, members: DataFrame) -> DataFrame:
+        """Members of the groups that still hold more than one component."""
+        return materialise(_unsettled(members.select("key", "node"), self.roots(members)), "near-open")
+
+    def try_pairs(self, pairs: DataFrame) -> bool:
+        """Test pairs that were not tested before; True if some are linked."""
+        pairs = materialise(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "near-pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        if self.work.test(pairs):
+            self.found = connected(self.work.links)
+            return True
+        return False
+
+    def pivots(self, members: DataFrame, rounds: int) -> DataFrame:
+        """Test one member of each open group against the others: ``rounds`` times, then as long as that links."""
+        turn, linked = 0, True
+        while (turn < rounds or linked) and turn < rounds + FINE_ROUNDS and not members.isEmpty():
+            pivots = members.groupBy("key").agg(
+                F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
+            star = members.join(pivots, "key").filter(F.col("root") != F.col("pivot.root"))
+            linked = self.try_pairs(_ordered(star, F.col("pivot.node"), F.col("node")))
+            members = self.unsettled(members) if linked else members
+            turn += 1
+        return members
+
+    def all_pairs(self, members: DataFrame) -> None:
+        """Test all pairs of different components that the parity bits allow."""
+        signed = members.join(self.nodes, "node")
+        left, right = (signed.select("key", *[F.col(c).alias(f"{side}{c}") for c in ("node", "root", "n", *PARITY)])
+                       for side in "ab")
+        met = left.join(right, "key").filter(
+            (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & ~_far("a", "b", self.percent))
+        self.try_pairs(_ordered(met, F.col("anode"), F.col("bnode")))
 
 
-def _without(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+def _ordered(rows: DataFrame, one: Column, other: Column) -> DataFrame:
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
