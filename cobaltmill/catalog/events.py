@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobaltmill.catalog.registry import register
 from cobaltmill.functions import clock
 from cobaltmill.operators import tokens, usage
+from cobaltmill.operators.sessions import sessions
 from cobaltmill.session import fresh_path, table
 from cobaltmill.sources.sinks import write_records
 
@@ -449,3 +452,18 @@ def udf_surface(spark, sf):
     """)
 
 
+SESSION_GAP = dt.timedelta(hours=6)
+#: Gaps and islands.
+SESSION_SQL = """
+WITH m AS (SELECT user_id, ts FROM events WHERE event_type <> 'purchase'),
+opened AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS
+                          THEN 0 ELSE 1 END AS opens FROM m),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS number FROM opened),
+found AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_messages
+          FROM numbered GROUP BY user_id, number)
+"""
+
+
+@register("message_sessions", SESSION_SQL + "SELECT * FROM found")
+def message_sessions(spark, sf):
+    return sessions(messages(spark, sf), SESSION_GAP)

@@ -235,7 +235,7 @@ def payment_fold(spark, sf):
     return P.payment_fold(payment_events(spark, sf))
 
 
-@register("payment_fold_strict", _EVENT_SQL.replace("WITH b", "WITH RECURSIVE b", 1).rstrip() + """,
+STRICT_ORACLE = _EVENT_SQL.replace("WITH b", "WITH RECURSIVE b", 1).rstrip() + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY ts, event_id) AS i FROM pesos WHERE reference <> ''),
 replay AS (
   SELECT reference, i, CASE WHEN is_success THEN 'paid' ELSE 'failed' END AS status, CASE WHEN is_success THEN ts END AS paid_at, amount,
@@ -250,7 +250,10 @@ replay AS (
   FROM replay r JOIN o ON o.reference = r.reference AND o.i = r.i + 1)
 SELECT reference, status, paid_at, amount, payer_chat_id, payer_email, already_processed, i AS n_events
 FROM replay QUALIFY i = max(i) OVER (PARTITION BY reference)
-""")
+"""
+
+
+@register("payment_fold_strict", STRICT_ORACLE)
 def payment_fold_strict(spark, sf):
     return P.payment_fold(payment_events(spark, sf), strict_reference=True)
 

@@ -32,6 +32,25 @@ def payment_fold_stream(spark, sf):
     return jobs.payment_fold_stream(events, fresh_path(spark, "payments"))
 
 
+@register("payment_fold_strict_stream", Y.STRICT_ORACLE)
+def payment_fold_strict_stream(spark, sf):
+    log = table_stream(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("ts"), F.expr(Y.BODY).alias("body"))
+    fields = ("type", "status", "reference", "amount_raw", "chat_id", "payer_email")
+    events = P.normalise_events(log, fields=fields).filter(F.col("reference") != "")
+    events = events.withColumn("amount", H.whole_pesos(F.col("amount_raw")))
+    return jobs.strict_payment_stream(events, fresh_path(spark, "strict-payments"))
+
+
+@register("session_stream", E.SESSION_SQL + """,
+w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM m)
+SELECT * FROM found WHERE session_end + INTERVAL 6 HOURS <= (SELECT mark FROM w)
+""")
+def session_stream(spark, sf):
+    sent = table_stream(spark, sf, "events").filter(F.col("event_type") != "purchase").select("user_id", "ts")
+    return jobs.session_stream(sent, fresh_path(spark, "sessions"), E.SESSION_GAP)
+
+
 @register("token_first_use_stream", E._TOKEN_SQL + "SELECT f.use_id, f.token, u.used_at FROM f JOIN u ON u.use_id = f.use_id WHERE is_first")
 def token_first_use_stream(spark, sf):
     from cobaltmill.session import table

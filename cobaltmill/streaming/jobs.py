@@ -6,13 +6,18 @@ folders lie in the shared folder of the session.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cobaltmill.functions import vocab
 from cobaltmill.operators import payments, tokens, usage
+from cobaltmill.operators.sessions import GAP
 from cobaltmill.session import STATE_STORE, remove_path
+from cobaltmill.streaming.strict import FOLDED, STATE, strict_folder
 
 _STATE_KEY = "spark.sql.streaming.stateStore.providerClass"
 
@@ -95,6 +100,63 @@ def payment_fold_stream(events: DataFrame, folder: str) -> DataFrame:
     return latest.select("reference", "s.*")
 
 
+def strict_payment_stream(events: DataFrame, folder: str, lateness: dt.timedelta = dt.timedelta(days=1),
+                          idle: dt.timedelta | None = None) -> DataFrame:
+    """Strict payment state per reference (a later failure undoes a payment); the latest state of each.
+
+    Events may come in any order within ``lateness`` of the newest; those behind it are ignored. The
+    state of a reference is its fold up to the watermark and the events after it, which are folded in
+    order once the watermark has passed them; every change writes the state that follows from both.
+    With ``idle`` a reference without events for that long leaves the state, and what is written stays;
+    a later event of it begins anew.
+
+    The waiting events of one reference, those of ``lateness`` and one micro-batch, are held by one task.
+    """
+    spark = events.sparkSession
+    zone = events.schema["ts"].dataType
+    timed = events.select(
+        "reference", F.col("ts").cast("timestamp").alias("at"), "event_id",
+        F.coalesce("is_success", F.lit(False)).alias("is_success"), F.col("amount").cast("long").alias("amount"),
+        F.col("chat_id").cast("long").alias("chat_id"), F.nullif("payer_email", F.lit("")).alias("payer_email"))
+    timed = timed.withWatermark("at", f"{lateness // dt.timedelta(milliseconds=1)} milliseconds")
+    keyed = timed.select(F.col("at"), F.coalesce("reference", F.lit("")).alias("reference"), F.to_json(F.struct(
+        F.unix_micros("at").alias("ts"), "event_id", "is_success", "amount", "chat_id", "payer_email")).alias("event"))
+    folded = keyed.groupBy("reference").applyInPandasWithState(
+        strict_folder(None if idle is None else idle // dt.timedelta(milliseconds=1)), FOLDED, STATE, "update",
+        GroupStateTimeout.EventTimeTimeout)
+
+    def step(changed: DataFrame, batch_id: int) -> None:
+        changed.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            f"{folder}/state/{batch_id}")
+
+    _run(folded.writeStream.outputMode("update").foreachBatch(step), folder)
+    schema = f"{FOLDED}, batch long"
+    changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/state")
+    row = F.struct(*[c for c in changes.columns if c not in ("reference", "batch")])
+    latest = changes.groupBy("reference").agg(F.max_by(row, "batch").alias("s")).select("reference", "s.*")
+    return latest.withColumn("paid_at", F.timestamp_micros("paid_at").cast(zone))
+
+
+def session_stream(messages: DataFrame, folder: str, gap: dt.timedelta = GAP,
+                   lateness: dt.timedelta = dt.timedelta(hours=1)) -> DataFrame:
+    """Closed sessions of a message stream (user_id, ts), each written once.
+
+    A session is closed when the watermark, ``lateness`` behind the newest message, has passed its end by
+    more than ``gap``; until then late messages extend it or join two into one. Later ones are ignored.
+    """
+    def text(length: dt.timedelta) -> str:
+        return f"{length // dt.timedelta(microseconds=1)} microseconds"
+
+    kind = messages.schema["ts"].dataType
+    timed = messages.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", text(lateness))
+    found = timed.groupBy("user_id", F.session_window("ts", text(gap)).alias("w")).agg(
+        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n_messages"))
+    closed = found.drop("w")
+    _run(closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/sessions"), folder)
+    written = messages.sparkSession.read.schema(closed.schema).parquet(f"{folder}/sessions")
+    return written.withColumns({c: F.col(c).cast(kind) for c in ("session_start", "session_end")})
+
+
 def first_use_stream(uses: DataFrame, issues: DataFrame, folder: str, lateness: str | None = None) -> DataFrame:
     """First live use by time of each one-shot token; ``issues`` is a stored table.
 

@@ -122,3 +122,78 @@ def test_tokens_over_many_batches(spark):
         (1, 1000), (1, 1001), (3, 1002), (4, 1004), (59, 1006)}
     expired = {r["token"] for r in joined.filter(F.col("use_id").isNull()).collect()}
     assert {0, 2, 5, 8} <= expired and not expired & live
+
+
+STRICT = "reference string, ts timestamp_ntz, event_id long, is_success boolean, amount long, chat_id long, payer_email string"
+
+
+def _strict_events(n, seed=3):
+    import random
+
+    rnd = random.Random(seed)
+    rows = [("hot" if rnd.random() < 0.3 else f"r{rnd.randrange(12)}", BASE + dt.timedelta(minutes=rnd.randrange(600)), i,
+             rnd.random() < 0.6, rnd.randrange(5), rnd.choice([None, 1, 2]), rnd.choice(["", None, "a@x.co", "b@x.co"]))
+            for i in range(n)]
+    return rows + [(None, BASE, n, True, 1, 1, "")]
+
+
+def test_strict_payments_over_shuffled_batches_and_a_restart(spark):
+    import random
+
+    rows = _strict_events(400)
+    want = sorted(map(str, payments.payment_fold(spark.createDataFrame(rows, STRICT).fillna("", "reference"), True).collect()))
+    random.Random(4).shuffle(rows)
+    source, folder = fresh_path(spark, "feed"), fresh_path(spark, "strict")
+    for part in (rows[:150], rows[150:151], rows[151:]):
+        spark.createDataFrame(part, STRICT).repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(STRICT).option("maxFilesPerTrigger", 1).parquet(source)
+        got = jobs.strict_payment_stream(stream, folder)
+    columns = payments.payment_fold(spark.createDataFrame([], STRICT), True).columns
+    assert sorted(map(str, got.select(*columns).collect())) == want
+
+
+def test_strict_payments_settle_behind_the_watermark_and_leave(spark):
+    day = dt.timedelta(days=1)
+    rows = [("a", BASE, 1, True, 5, 1, ""), ("a", BASE + day, 2, False, 5, 1, ""), ("b", BASE + 9 * day, 3, True, 7, 2, "b@x.co"),
+            ("late", BASE, 4, True, 1, 1, ""), ("a", BASE + 10 * day, 5, True, 5, 4, "n@x.co"), ("b", BASE + 30 * day, 6, False, 7, 2, "")]
+    stream = feed(spark, spark.createDataFrame(rows, STRICT), ["event_id"], 6)
+    folder = fresh_path(spark, "strict")
+    got = {r["reference"]: r for r in jobs.strict_payment_stream(stream, folder, 2 * day, 3 * day).collect()}
+    assert set(got) == {"a", "b"}  # the late one is behind the watermark
+    assert (got["a"]["status"], got["a"]["n_events"], got["a"]["payer_chat_id"]) == ("paid", 1, 4)  # begun anew
+    assert (got["b"]["status"], got["b"]["n_events"]) == ("failed", 2)  # the watermark had not reached its first event
+    kept = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    assert kept.count() == 1  # only b's, whose last event is behind no watermark yet
+
+
+def test_sessions_batch_and_stream(spark):
+    import random
+
+    from cobaltmill.operators.sessions import sessions
+
+    rnd, gap = random.Random(5), dt.timedelta(minutes=30)
+    rows = [(1 if rnd.random() < 0.4 else rnd.randrange(6), BASE + dt.timedelta(seconds=rnd.randrange(200_000))) for _ in range(500)]
+    rows += [(7, BASE), (7, BASE + gap - dt.timedelta(microseconds=1)), (7, BASE + 3 * gap), (7, BASE + 3 * gap), (None, BASE), (1, None)]
+    want, by_user = [], {}
+    for user, ts in sorted((r for r in rows if r[1]), key=lambda r: (str(r[0]), r[1])):
+        mine = by_user.setdefault(user, [])
+        if mine and ts - mine[-1][1] <= gap:
+            mine[-1][1:] = [ts, mine[-1][2] + 1]
+        else:
+            mine.append([ts, ts, 1])
+    want = sorted(str((u, *s)) for u, found in by_user.items() for s in found)
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
+    assert sorted(str(tuple(r)) for r in sessions(df, gap).collect()) == want
+    assert sessions(df.filter("false"), gap).count() == 0
+    edge = spark.createDataFrame([(1, BASE), (1, BASE + gap), (1, BASE + 2 * gap + dt.timedelta(microseconds=1))], df.schema)
+    assert sorted(r["n_messages"] for r in sessions(edge, gap).collect()) == [1, 2]
+
+    rnd.shuffle(rows)
+    ahead = spark.createDataFrame(rows, df.schema).withColumn("at", F.monotonically_increasing_id())
+    stream = feed(spark, ahead, ["at"], 4).drop("at")
+    late = jobs.session_stream(stream, fresh_path(spark, "sessions"), gap, dt.timedelta(days=5))
+    assert late.count() == 0  # the watermark has closed none
+    closing = ahead.unionByName(spark.createDataFrame([(99, BASE + dt.timedelta(days=9), 1 << 60)], ahead.schema))
+    stream = feed(spark, closing, ["at"], 4).drop("at")
+    got = jobs.session_stream(stream, fresh_path(spark, "sessions"), gap, dt.timedelta(days=5)).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
