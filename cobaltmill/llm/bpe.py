@@ -15,6 +15,7 @@ Defined results:
 - null or empty text, or one of white space only: no ids, decoded to the empty text;
 - decoding joins the entries of the ids with a space (the file names no decoder); unknown or null ids
   are left out, a null list gives the empty text;
+- long texts are encoded whole, words of any length among them;
 - repeated rows are encoded alike; an empty table gives no rows;
 - other columns pass through; columns named ``ids`` or ``decoded`` are replaced.
 """
@@ -26,6 +27,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ from cobaltmill.session import table
 
 SLICE = 2 << 20
 CACHED_WORDS = 400_000
+#: In place of a piece that was merged into its left neighbour.
+GONE = -1
 #: White space of the vocabulary's patterns (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How a text falls into words (fixed value of the vocabulary file), and the same for ASCII texts.
@@ -166,22 +170,34 @@ class Bpe:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging: the lowest rank first, and the leftmost of it."""
+        """Exact merging: the lowest rank first, and the leftmost of it.
+
+        Pairs wait in a heap by rank and place, pieces are linked to their neighbours; a pair whose pieces
+        have changed since is passed over. So a long word takes little more than linear time.
+        """
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
-        ranks, none = self.ranks, (len(self.ranks), -1)
-        open_ = [ranks.get(p, none) for p in zip(ids, ids[1:])]
-        while open_:
-            best = min(open_)
-            if best is none:
-                break
-            i = open_.index(best)
-            ids[i:i + 2] = [best[1]]
-            del open_[i]
-            if i:
-                open_[i - 1] = ranks.get((ids[i - 1], ids[i]), none)
-            if i < len(open_):
-                open_[i] = ranks.get((ids[i], ids[i + 1]), none)
-        return ids
+        n, ranks = len(ids), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = []
+        for i, pair in enumerate(zip(ids, ids[1:])):
+            if pair in ranks:
+                rank, made = ranks[pair]
+                queue.append((rank, i, *pair, made))
+        heapify(queue)
+        while queue:
+            _, i, a, b, made = heappop(queue)
+            j = after[i]
+            if ids[i] != a or j == n or ids[j] != b:
+                continue
+            ids[i], ids[j] = made, GONE
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (ids[x], ids[y]) in ranks:
+                    rank, joined = ranks[ids[x], ids[y]]
+                    heappush(queue, (rank, x, ids[x], ids[y], joined))
+        return [t for t in ids if t != GONE]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words, each given as byte letters."""

@@ -57,6 +57,18 @@ def test_speculation_is_verified(ours):
     assert 0 < sum(ours.propose(w) != e for w, e in zip(words, exact)) < len(words)
 
 
+def test_long_words_take_linear_time(ours, theirs):
+    import time
+
+    rnd = random.Random(6)
+    for letters in ("acgt", "abcdefghijklmnopqrstuvwxyz", "a"):
+        word = "".join(rnd.choice(letters) for _ in range(200_000))
+        begun = time.perf_counter()
+        found = ours.merge(word)
+        assert time.perf_counter() - begun < 10
+        assert found == theirs.encode(word, add_special_tokens=False).ids
+
+
 def test_small_cache_gives_the_same(monkeypatch, ours):
     given = texts()[:60]
     want = ours.encode(given).to_pylist()
