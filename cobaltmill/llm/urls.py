@@ -6,7 +6,9 @@ labels and domains, path segments, file ending, query names, fragment) that go w
 pruned by support, confidence and lift. A rule is looked up by its rarest token and fits if all its
 tokens are in the URL.
 
-Mining uses all labelled pages. Rules are a table; their number is bounded by the support threshold
+Mining uses all labelled pages. Tokens that always occur together (equal sets of pages, told by a count
+and two XORs of hashes) are mined as one: any of them stands for its group in a rule, which gives the
+verdicts of all combinations of them without listing these. Rules are a table; their number is bounded by the support threshold
 and the table is stored, so the planner knows its size. URLs are judged once each, not once per page.
 
 Defined results:
@@ -15,6 +17,7 @@ Defined results:
 - an empty path begins with no rule's path;
 - of listed rules of equal length the first listed decides;
 - labels that are null count as good; without labelled pages or frequent combinations no rule is mined;
+- a URL may have any number of tokens; its query names cost no more if they come together;
 - repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -84,36 +87,68 @@ def url_tokens(url: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def token_groups(baskets: DataFrame, least: float) -> DataFrame:
+    """``token, head, members`` of the tokens in at least ``least`` baskets (row, tokens, bad) that have the same
+    baskets as others; ``head`` is the smallest of the ``members``, all of one basket."""
+    row = F.col("row")
+    held = baskets.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(row)).alias("x"),
+        F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y")).filter(F.col("n") >= least)
+    groups = held.groupBy("n", "x", "y").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    return groups.filter(F.size("members") > 1).select(
+        F.explode("members").alias("token"), F.col("members")[0].alias("head"), "members")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT,
          min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Rules ``tokens, confidence, support, lift, anchor`` from rows (tokens, bad).
+    """Rules ``tokens, confidence, support, lift, anchor, others`` from rows (tokens, bad).
 
-    ``anchor`` is the rarest of a rule's tokens.
+    ``anchor`` is the rarest of a rule's tokens. Where tokens always came together, ``tokens`` names the
+    smallest, and ``others`` maps it to all of them.
     """
     spark = labelled.sparkSession
-    schema = "tokens array<string>, confidence double, support double, lift double, anchor string"
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    baskets = materialise(labelled.filter(F.size("tokens") > 0).select(items.alias("items")), "url-baskets")
-    if baskets.isEmpty():
+    schema = ("tokens array<string>, confidence double, support double, lift double, anchor string, "
+              "others map<string,array<string>>")
+    baskets = materialise(labelled.filter(F.size("tokens") > 0).select(
+        F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "bad"), "url-baskets")
+    n = baskets.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    groups = materialise(token_groups(baskets, min_support * n), "url-groups")
+    follows = groups.filter("token <> head").select("token", F.lit(True).alias("follows"))
+    heads = baskets.select("row", "bad", F.explode("tokens").alias("token")).join(follows, "token", "left")
+    items = F.collect_list(F.when(F.col("follows").isNull(), F.col("token")))
+    marked = heads.groupBy("row").agg(items.alias("tokens"), F.bool_or("bad").alias("bad")).select(
+        F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
+        materialise(marked, "url-items"))
     found = model.associationRules.filter(
         (F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
     rules = materialise(found.select(
         F.sort_array("antecedent").alias("tokens"), "confidence", "support", "lift"), "url-rules")
     freq = model.freqItemsets.filter(F.size("items") == 1).select(
         F.col("items")[0].alias("token"), "freq")
-    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(freq, "token").groupBy(
-        "tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
+    joined = groups.filter("token = head").select("token", "members")
+    parts = rules.select("tokens", F.explode("tokens").alias("token")).join(freq, "token").join(joined, "token", "left")
+    known = F.collect_list(F.when(F.col("members").isNotNull(), F.struct("token", "members")))
+    anchors = parts.groupBy("tokens").agg(
+        F.min_by("token", F.struct("freq", "token")).alias("anchor"), F.map_from_entries(known).alias("others"))
     return materialise(rules.join(anchors, "tokens").select(
-        "tokens", "confidence", "support", "lift", "anchor"), "url-anchored")
+        "tokens", "confidence", "support", "lift", "anchor", "others"), "url-anchored")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs (url, tokens) that a mined rule fits, with the highest confidence: ``url, confidence``."""
+    """URLs (url, tokens) that a mined rule fits, with the highest confidence: ``url, confidence``.
+
+    A rule fits if each of its tokens, or another that always came with it, is in the URL.
+    """
+    def any_of(token: Column) -> Column:
+        return F.coalesce(F.try_element_at("others", token), F.array(token))
+
     posted = urls.select("url", "tokens", F.explode("tokens").alias("anchor"))
-    named = rules.select("anchor", F.col("tokens").alias("need"), "confidence")
-    fits = F.size(F.array_except("need", "tokens")) == 0
+    named = rules.select(F.explode(any_of(F.col("anchor"))).alias("anchor"), "confidence",
+                         F.transform("tokens", any_of).alias("need"))
+    fits = F.forall("need", lambda some: F.arrays_overlap(some, F.col("tokens")))
     return posted.join(named, "anchor").filter(fits).groupBy("url").agg(
         F.max("confidence").alias("confidence"))
 

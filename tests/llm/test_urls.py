@@ -70,6 +70,29 @@ def test_mined_rules_equal_brute_force(spark):
     assert want and all(r["anchor"] in r["tokens"] for r in found)
 
 
+def test_tokens_that_come_together_are_mined_as_one(spark):
+    """The verdicts are those of all combinations; 25 query names that come together end in time."""
+    names = [f"n{k}" for k in range(4)]
+    baskets = [((["a", "b"] if i % 2 else ["a"]) + (names if i % 3 == 0 else []) + ["u", "v"], i % 6 == 3 or i % 13 == 0)
+               for i in range(260)]
+    rules = urls.mine(spark.createDataFrame(baskets, "tokens array<string>, bad boolean"), 0.02, 0.3, 1.1)
+    every = brute_rules(baskets, 0.02, 0.3, 1.1)  # has all rules of up to four tokens
+    given = [["n2"], ["b", "n1"], ["a"], ["b", "n3", "new"], ["n0", "n1", "b", "u"], [], ["v", "b"], ["new"], ["a", "b", "v", "n0"]]
+    frame = spark.createDataFrame([(str(k), t) for k, t in enumerate(given)], "url string, tokens array<string>")
+    found = {r["url"]: round(r["confidence"], 9) for r in urls.match(frame, rules).collect()}
+    want = {str(k): [c for need, c in every.items() if set(need) <= set(t)] for k, t in enumerate(given)}
+    assert found == {k: round(max(v), 9) for k, v in want.items() if v} and found
+    assert rules.count() < len(every)
+
+    many = "&".join(f"q{k}=1" for k in range(25))
+    pages = [(i, f"http://x.org/{i}" + (f"?{many}" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame([(i, u.replace("?", "/%d?" % i)) for i, u in pages], "page_id long, url string")
+    rules = urls.mine(urls.page_labels(frame, labels))
+    assert rules.count() < 100
+    assert {r["page_id"] for r in urls.judge(frame, rules).filter("verdict = 'block'").collect()} == set(range(0, 400, 4))
+
+
 def test_mined_rules_block(spark):
     pages = [(i, f"http://{'bad' if i % 3 == 0 else 'good'}.site.org/{'promo' if i % 2 else 'news'}/{i}") for i in range(600)]
     pages += [(1000, None), (1001, "http://bad.site.org/promo/x?ref=1"), (1002, "http://bad.site.org/other/9")]
