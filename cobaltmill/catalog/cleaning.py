@@ -436,6 +436,11 @@ def fuzzy_best_terms(spark, sf):
     return fuzzy.best_terms(_city_texts(spark, sf), "ciudad", "ciudades")
 
 
+@register("fuzzy_weighted_terms")
+def fuzzy_weighted_terms(spark, sf):
+    return fuzzy.best_terms(_city_texts(spark, sf), "ciudad", "ciudades", "weighted")
+
+
 # --- dates, gaps, quarantine --------------------------------------------------------------------
 
 @register("date_coerce", """

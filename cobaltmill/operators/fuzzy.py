@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +74,126 @@ def ratio_match(c: Column, terms: tuple[str, ...]) -> Column:
     return T.let(catalog_key(c), best)
 
 
-SCORERS = {"ratio": ratio_match, "levenshtein": levenshtein_match}
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _places(text: str) -> str:
+    """Each letter's places as bits, as an SQL map."""
+    return "map(" + ", ".join(f"{_literal(x)}, {sum(1 << i for i, y in enumerate(text) if x == y)}L"
+                              for x in dict.fromkeys(text)) + ")"
+
+
+def _weighted_choice(term: str) -> str:
+    """A term in SQL: places of its letters as it is and with sorted words, and each word's bits in the latter."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn")
+    words = sorted(plain.split())
+    if len(set(words)) < len(words) or not words or len(plain) > 62:
+        raise ValueError(f"term {term!r}: words must differ, and 62 letters are the most")
+    plain, ordered, parts, at = " ".join(plain.split()), " ".join(words), [], 0
+    for word in words:
+        bits, at = ((1 << len(word)) - 1) << at, at + len(word) + 1
+        parts.append(f"named_struct('word', {_literal(word)}, 'bits', {bits}L, "
+                     f"'space', {1 << at - 1 if at < len(ordered) else 0}L)")
+    return (f"named_struct('term', {_literal(term)}, 'size', {len(plain)}, 'bits', {(1 << len(plain)) - 1}L, "
+            f"'plain', {_places(plain)}, 'sorted', {_places(ordered)}, 'words', array({', '.join(parts)}))")
+
+
+def _common(letters: Column, places: Column, bits: Column, mask: Column) -> Column:
+    """Length of the longest common subsequence of ``letters`` and the term's letters under ``mask``.
+
+    A place outside the mask is a letter that never matches.
+    """
+    def step(state: Column, letter: Column) -> Column:
+        hit = state.bitwiseAND(F.coalesce(F.try_element_at(places, letter), F.lit(0).cast("long"))).bitwiseAND(mask)
+        return (state + hit).bitwiseOR(state - hit).bitwiseAND(bits)
+
+    return F.bit_count(bits) - F.bit_count(F.aggregate(letters, bits, step))
+
+
+def _window_ratio(letters: Column, places: Column, choice: Column) -> Column:
+    """The best ratio of the shorter text with a window of its length in the longer; windows may stick out."""
+    n, m = F.size(letters), choice["size"]
+    one = F.lit(1).cast("long")
+
+    def best(shorter: Column, longer: Column, common: Callable[[Column, Column], Column]) -> Column:
+        def scored(start: Column) -> Column:
+            low, high = F.greatest(start, F.lit(0)), F.least(start + shorter, longer)
+            return common(low, high) * 200 / (shorter + high - low)
+        return F.array_max(F.transform(F.sequence(1 - shorter, longer - 1), scored))
+
+    def in_term(low: Column, high: Column) -> Column:
+        mask = F.call_function("shiftleft", one, high) - F.call_function("shiftleft", one, low)
+        return _common(letters, places, choice["bits"], mask)
+
+    def in_value(low: Column, high: Column) -> Column:
+        return _common(F.slice(letters, low + 1, high - low), places, choice["bits"], choice["bits"])
+
+    zero = F.lit(0.0)
+    return F.greatest(F.when(n <= m, best(n, m, in_term)).otherwise(zero), F.when(n >= m, best(m, n, in_value)).otherwise(zero))
+
+
+def _word_set_ratio(words: Column, choice: Column) -> Column:
+    """Compares the words in both and, by letters, the words in one only."""
+    zero = F.lit(0).cast("long")
+    theirs = F.transform(choice["words"], lambda w: w["word"])
+    shared = F.array_join(F.array_intersect(theirs, words), " ")
+    own = F.array_join(F.array_sort(F.array_except(words, theirs)), " ")
+    rest = F.filter(choice["words"], lambda w: ~F.array_contains(words, w["word"]))
+    mask = F.aggregate(
+        rest, F.struct(zero.alias("mask"), zero.alias("space")),
+        lambda s, w: F.struct(s["mask"].bitwiseOR(s["space"]).bitwiseOR(w["bits"]).alias("mask"), w["space"].alias("space")),
+        lambda s: s["mask"])
+    s, a, b = F.length(shared), F.length(own), F.bit_count(mask)
+    gap = F.when(s > 0, 1).otherwise(0)
+    letters = F.filter(F.split(own, ""), lambda x: x != "")
+    apart = a + b - 2 * _common(letters, choice["sorted"], choice["bits"], mask)
+    by_rest = 100 - apart * 100 / (2 * s + 2 * gap + a + b)
+    by_shared = F.greatest(100 - (a + 1) * 100 / (2 * s + 1 + a), 100 - (b + 1) * 100 / (2 * s + 1 + b))
+    return F.when((s > 0) & ((a == 0) | (b == 0)), 100.0).when(s > 0, F.greatest(by_rest, by_shared)).otherwise(by_rest)
+
+
+def weighted_match(c: Column, terms: tuple[str, ...]) -> Column:
+    """Best term and score; the score is the best of several ratios, each with its weight.
+
+    The ratio of the whole texts counts fully. Of texts with like lengths (under 1.5 to 1) the ratio with
+    sorted words and that of the word sets count 0.95. Else the best window counts 0.9 (0.6 beyond 8 to 1),
+    and the best window with sorted words, or 100 if a word is in both, 0.95 of that. Whole percentages.
+    """
+    choices = F.expr("array(" + ", ".join(map(_weighted_choice, terms)) + ")")
+
+    def best(key: Column) -> Column:
+        words = F.filter(F.split(key, "\\s+"), lambda w: w != "")
+        view = F.struct(
+            F.split(key, "").alias("plain"), F.split(F.array_join(F.array_sort(words), " "), "").alias("sorted"),
+            F.split(F.array_join(F.array_sort(F.array_distinct(words)), " "), "").alias("once"),
+            F.array_distinct(words).alias("words"))
+
+        def of(v: Column) -> Column:
+            def scored(choice: Column, pos: Column) -> Column:
+                n, m, bits = F.size(v["plain"]), choice["size"], choice["bits"]
+                whole = _common(v["plain"], choice["plain"], bits, bits) * 200 / (n + m)
+                in_order = _common(v["sorted"], choice["sorted"], bits, bits) * 200 / (F.size(v["sorted"]) + m)
+                by_words = F.greatest(in_order, _word_set_ratio(v["words"], choice)) * 0.95
+                scale = F.when(F.greatest(n, m) <= F.least(n, m) * 8, 0.9).otherwise(0.6)
+                meet = F.arrays_overlap(v["words"], F.transform(choice["words"], lambda w: w["word"]))
+                sorted_window = F.when(meet, 100.0).otherwise(F.greatest(
+                    _window_ratio(v["sorted"], choice["sorted"], choice), _window_ratio(v["once"], choice["sorted"], choice)))
+                by_window = F.greatest(_window_ratio(v["plain"], choice["plain"], choice) * scale, sorted_window * 0.95 * scale)
+                alike = F.greatest(n, m) * 2 < F.least(n, m) * 3
+                score = F.greatest(whole, F.when(alike, by_words).otherwise(by_window))
+                return F.struct(score.alias("score"), (-pos).alias("earlier"), choice["term"].alias("term"))
+
+            top = F.array_max(F.transform(choices, scored))
+            return T.let(top, lambda t: F.struct(
+                F.floor(t["score"]).cast("int").alias("score"), t["earlier"].alias("earlier"), t["term"].alias("term")))
+
+        return F.when(key != "", T.let(view, of))
+
+    return T.let(catalog_key(c), best)
+
+
+SCORERS = {"ratio": ratio_match, "levenshtein": levenshtein_match, "weighted": weighted_match}
 
 
 def best_terms(df: DataFrame, column: str, catalog: str, scorer: str = "ratio") -> DataFrame:

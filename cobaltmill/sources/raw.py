@@ -38,17 +38,24 @@ def file_facts(lines: DataFrame) -> DataFrame:
 
     utf-8 when every line is valid, else the single-byte fallback. The separator is the one with
     the steadiest count per line among those that occur at least once a line on average; a comma
-    when none does. One aggregate that combines map-side.
+    when none does. Separators inside quotes that close on their line don't count. One aggregate that
+    combines map-side.
     """
+    bare = F.when(F.contains("line", F.lit('"')), F.regexp_replace("line", '"[^"]*"', "")).otherwise(F.col("line"))
+    lines = lines.withColumn("bare", bare)
     aggs = [F.count_if(F.length("line") > 0).alias("n"), F.bool_and(F.is_valid_utf8("line")).alias("valid")]
     for i, mark in enumerate(SEPARATORS):
-        count = _mark_count(F.col("line"), mark).cast("long")
+        count = _mark_count(F.col("bare"), mark).cast("long")
         aggs += [
             F.sum(count).alias(f"s{i}"), F.sum(count * count).alias(f"q{i}"), F.max(count).alias(f"m{i}"),
         ]
+
+    def wide(name: str) -> Column:
+        return F.col(name).cast("decimal(19,0)")  # products of sums over long files pass a bigint
+
     choices = F.array(*[
         F.struct(
-            (F.col("n") * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")).alias("spread"),
+            (wide("n") * wide(f"q{i}") - wide(f"s{i}") * wide(f"s{i}")).alias("spread"),
             F.lit(i).alias("pos"), F.lit(mark).alias("sep"), F.col(f"m{i}").alias("marks"),
             (F.col(f"s{i}") >= F.col("n")).alias("usable"),
         )

@@ -202,6 +202,77 @@ def test_clean_table_without_data(spark):
     assert only_header.columns == [] and only_header.table.count() == 0
 
 
+def _lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = list(best)
+        for j, y in enumerate(b):
+            best[j + 1] = last[j] + 1 if x == y else max(best[j], last[j + 1])
+    return best[-1]
+
+
+def _plain_ratio(a, b):
+    return _lcs(a, b) * 200 / (len(a) + len(b))
+
+
+def _plain_window(a, b):
+    def one(short, long):
+        n, m = len(short), len(long)
+        return max(_plain_ratio(short, long[max(0, i):min(m, i + n)]) for i in range(1 - n, m))
+    return max(one(a, b) if len(a) <= len(b) else 0, one(b, a) if len(a) >= len(b) else 0)
+
+
+def _plain_weighted(a, b):
+    x, y = set(a.split()), set(b.split())
+    sorted_a, sorted_b = (" ".join(sorted(t.split())) for t in (a, b))
+    both, own, other = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    if both and not (own and other):
+        by_set = 100
+    else:
+        front = both + " " if both else ""
+        by_set = 100 - (len(own) + len(other) - 2 * _lcs(own, other)) * 100 / (2 * len(front) + len(own) + len(other))
+        if both:
+            by_set = max(by_set, *(_plain_ratio(both, front + rest) for rest in (own, other)))
+    short, long = sorted((len(a), len(b)))
+    if long * 2 < short * 3:
+        return max(_plain_ratio(a, b), 0.95 * max(_plain_ratio(sorted_a, sorted_b), by_set))
+    scale = 0.9 if long <= short * 8 else 0.6
+    by_words = 100 if both else max(_plain_window(sorted_a, sorted_b), _plain_window(own, other))
+    return max(_plain_ratio(a, b), scale * _plain_window(a, b), 0.95 * scale * by_words)
+
+
+@pytest.mark.parametrize("catalog", ["ciudades", "bancos"])
+def test_weighted_scorer_equals_plain_ratios(spark, catalog):
+    rng, terms = random.Random(7), vocab.CATALOGS[catalog]
+    values = ["", " ", "A", "de", "D C BOGOTA", "BOGOTA BOGOTA", "CLI", "marta santa", "x" * 90]
+    for term in terms:
+        words = term.split()
+        values += [" ".join(words[::-1]), "CIUDAD DE " + term.lower() + " (COLOMBIA)", term[:4], term[2:] + "  " + term[:2],
+                   "".join(rng.choice("ABEOR ") for _ in range(rng.randrange(1, 30))), words[0] + " " + words[0]]
+    values = sorted(set(values))
+    got = fuzzy.best_terms(spark.createDataFrame([(v,) for v in values], "v string"), "v", catalog, "weighted").collect()
+    assert len(got) == len(values)
+    for r in got:
+        key = r["v"].strip().upper()
+        if not key:
+            assert r["term"] is None
+            continue
+        scores = {t: _plain_weighted(key, t) for t in terms}
+        top = max(scores.values())
+        assert abs(r["score"] - top) < 1 + 1e-9 and r["score"] <= top + 1e-9, (key, r, top)
+        assert scores[r["term"]] >= top - 1e-9, (key, r, top)
+
+
+def test_separators_inside_quotes_do_not_decide(spark):
+    from pathlib import Path
+
+    path = Path(fresh_path(spark, "quoted").removeprefix("file:"))
+    path.mkdir(parents=True)
+    (path / "q.csv").write_text("a;b\n" + "".join(f'{i};"1,2,3,{i}"\n' for i in range(50)) + 'x;a"b\n')
+    rows = {r["row_id"]: r["cells"] for r in raw.raw_scan(spark, str(path)).collect()}
+    assert rows[0] == ["a", "b"] and rows[7] == ["6", "1,2,3,6"]
+
+
 def test_raw_scan_of_many_files(spark):
     from pathlib import Path
 
