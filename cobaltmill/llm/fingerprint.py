@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cobaltmill.operators.ordering import positions
 from cobaltmill.session import materialise, table
 
-SEEDS = 20
+SEEDS = 8
 SLOT = 20
 MODULUS = (1 << 3 * SLOT) - 1
 LANES = SEEDS * 6
