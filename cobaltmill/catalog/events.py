@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cobaltmill.catalog.registry import register
 from cobaltmill.functions import clock
-from cobaltmill.operators import tokens, usage
+from cobaltmill.operators import identities, tokens, usage
 from cobaltmill.operators.sessions import sessions
 from cobaltmill.session import fresh_path, table
 from cobaltmill.sources.sinks import write_records
@@ -239,7 +239,7 @@ def _identity(spark, sf):
         .otherwise(F.concat(F.lit("new"), (F.col("o_custkey") % 500).cast("string"), F.lit("@mail.com")))
     )
     requests = orders.select(F.col("o_orderkey").alias("request_id"), chat.alias("chat_id"), email.alias("email"))
-    return usage.get_or_create(users, requests)
+    return identities.get_or_create(users, requests)
 
 
 @register("get_or_create", _IDENTITY_SQL + "SELECT request_id, chat_id, email, resolution, user_key FROM replay WHERE i > 0")

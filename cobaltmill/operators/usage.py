@@ -141,104 +141,6 @@ def normal_email(c: Column) -> Column:
     return F.nullif(F.lower(F.trim(c)), F.lit(""))
 
 
-EXISTING = -(1 << 63)
-
-
-def _identity_state(requests: DataFrame, chats: DataFrame, emails: DataFrame) -> DataFrame:
-    """Requests with what they can see: the user of their chat, the owner of their e-mail.
-
-    ``chats`` and ``emails`` say which user got which chat or e-mail and by which request (``at``); a
-    request sees what earlier ones did. A missing chat or e-mail joins on a key of its own, so that
-    requests without one don't meet on one key.
-    """
-    none = F.concat(F.lit("none:"), F.col("request_id").cast("string"))
-    keyed = requests.withColumns({
-        "chat_key": F.coalesce(F.concat(F.lit("chat:"), F.col("chat_id").cast("string")), none),
-        "email_key": F.coalesce(F.concat(F.lit("mail:"), F.col("email")), none)})
-    chat_of = chats.select(F.concat(F.lit("chat:"), F.col("chat_id").cast("string")).alias("chat_key"),
-                           F.col("user_key").alias("chat_user"), F.col("at").alias("chat_at"))
-    email_of = emails.select(F.concat(F.lit("mail:"), F.col("email")).alias("email_key"),
-                             F.col("user_key").alias("email_user"), F.col("at").alias("email_at"))
-    chat_email = emails.select(F.col("user_key").alias("chat_user"), F.col("at").alias("chat_email_at"))
-    email_chat = chats.select(F.col("user_key").alias("email_user"), F.col("at").alias("email_chat_at"))
-    joined = keyed.join(chat_of.join(chat_email, "chat_user", "left"), "chat_key", "left").join(
-        email_of.join(email_chat, "email_user", "left"), "email_key", "left")
-
-    def seen(at: str) -> Column:
-        return F.coalesce(F.col(at) < F.col("request_id"), F.lit(False))
-
-    return joined.withColumns({
-        "knows_chat": seen("chat_at"), "knows_email": seen("email_at"),
-        "chat_has_email": seen("chat_at") & seen("chat_email_at"),
-        "email_has_chat": seen("email_at") & seen("email_chat_at")})
-
-
-def get_or_create(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolve requests (request_id, chat_id, email) in order against users (user_id, chat_id, email).
-
-    A request finds its user by chat id, else by e-mail (a user without chat id adopts it), else a user
-    is created. The found user also takes the e-mail if it has none and nobody owns it. Users made by a
-    batch take part like the others. Returns one resolution per request and the resulting users; a
-    request with neither chat nor e-mail is rejected.
-
-    What a user got never changes, so most requests change nothing. Each round settles, of the requests
-    that still may change something, those that come first for their chat and for their e-mail; the
-    number of rounds is the longest chain of such requests, however many others a chat has.
-    """
-    users = users.withColumn("email", normal_email(F.col("email"))).withColumn(
-        "user_key", F.col("user_id").cast("string"))
-    requests = requests.select("request_id", "chat_id", normal_email(F.col("email")).alias("email"))
-    at = F.lit(EXISTING).cast("long").alias("at")
-    chats = materialise(users.filter("chat_id is not null").select("chat_id", "user_key", at), "chats")
-    emails = materialise(users.filter("email is not null").select("email", "user_key", at), "emails")
-    requests = materialise(requests, "requests")
-    pending = requests.filter("chat_id is not null or email is not null")
-    while True:
-        seen = _identity_state(pending, chats, emails)
-        idle = (
-            F.when(F.col("email").isNull(), F.col("knows_chat"))
-            .when(F.col("chat_id").isNull(), F.col("knows_email"))
-            .when(F.col("knows_email"), F.col("knows_chat") | F.col("email_has_chat"))
-            .otherwise(F.col("chat_has_email"))
-        )
-        pending = materialise(seen.filter(~idle), "pending")
-        if pending.isEmpty():
-            break
-        chat_first = pending.groupBy("chat_key").agg(F.min("request_id").alias("chat_first"))
-        email_first = pending.groupBy("email_key").agg(F.min("request_id").alias("email_first"))
-        first = pending.join(materialise(chat_first, "firsts"), "chat_key").join(
-            materialise(email_first, "firsts"), "email_key")
-        now = first.filter("request_id = chat_first and request_id = email_first")
-        made = F.when(F.col("chat_id").isNull(), F.col("email_key")).otherwise(F.col("chat_key"))
-        user = F.when(F.col("knows_chat"), F.col("chat_user")).when(
-            F.col("knows_email"), F.col("email_user")).otherwise(made)
-        done = materialise(now.select("request_id", "chat_id", "email", "knows_chat", "knows_email",
-                                      user.alias("user_key")), "settled")
-        chats = materialise(chats.unionByName(
-            done.filter("chat_id is not null and not knows_chat").select(
-                "chat_id", "user_key", F.col("request_id").alias("at"))), "chats")
-        emails = materialise(emails.unionByName(
-            done.filter("email is not null and not knows_email").select(
-                "email", "user_key", F.col("request_id").alias("at"))), "emails")
-        pending = pending.join(done.select("request_id"), "request_id", "left_anti").select(*requests.columns)
-    final = _identity_state(requests, chats, emails)
-    created = F.coalesce(F.col("chat_at") == F.col("request_id"), F.lit(False)) | F.coalesce(
-        F.col("email_at") == F.col("request_id"), F.lit(False))
-    resolution = (
-        F.when(F.col("knows_chat"), "chat").when(F.col("knows_email"), "email")
-        .when(created, "created").otherwise("rejected")
-    )
-    made = F.when(F.col("chat_id").isNull(), F.col("email_key")).otherwise(F.col("chat_key"))
-    key = F.when(F.col("knows_chat"), F.col("chat_user")).when(
-        F.col("knows_email"), F.col("email_user")).when(created, made)
-    resolved = final.select("request_id", "chat_id", "email", resolution.alias("resolution"), key.alias("user_key"))
-    keys = users.select("user_key").unionByName(
-        chats.filter(F.col("at") > EXISTING).select("user_key")).unionByName(
-        emails.filter(F.col("at") > EXISTING).select("user_key")).distinct()
-    after = keys.join(chats.drop("at"), "user_key", "left").join(emails.drop("at"), "user_key", "left")
-    return resolved, after.select("user_key", "chat_id", "email")
-
-
 def identity_links(links: DataFrame) -> DataFrame:
     """Final chat and e-mail pairs of a log of links (chat_id, email, ts, event_id).
 

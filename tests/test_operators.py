@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cobaltmill.functions import vocab
-from cobaltmill.operators import charts, chunking, cleaning, fuzzy, headers, payments, retrieval, tokens, usage
+from cobaltmill.operators import (
+    charts, chunking, cleaning, fuzzy, headers, identities, payments, retrieval, tokens, usage,
+)
 from cobaltmill.operators.ordering import locf, occurrence_number
 from cobaltmill.operators.profile import id_profile, name_hint
 from cobaltmill.plans.analysis import UnknownColumn, find_column, run_spec
@@ -693,7 +695,7 @@ def test_get_or_create(spark):
         elif mail and not users[key][1] and all(u[1] != mail for u in users.values()):
             users[key][1] = mail
         expected[i] = (how, key)
-    resolved, after = usage.get_or_create(
+    resolved, after = identities.get_or_create(
         spark.createDataFrame(start, "user_id long, chat_id long, email string"),
         spark.createDataFrame(calls, "request_id long, chat_id long, email string"))
     assert {r["request_id"]: (r["resolution"], r["user_key"]) for r in resolved.collect()} == expected
@@ -703,7 +705,7 @@ def test_get_or_create(spark):
 
 def test_users_made_by_a_batch_take_part(spark):
     def run(calls):
-        resolved, after = usage.get_or_create(
+        resolved, after = identities.get_or_create(
             spark.createDataFrame([], "user_id long, chat_id long, email string"),
             spark.createDataFrame(calls, "request_id long, chat_id long, email string"))
         return ([r["user_key"] for r in resolved.orderBy("request_id").collect()],
@@ -715,6 +717,54 @@ def test_users_made_by_a_batch_take_part(spark):
     assert keys == ["mail:x", "mail:x"] and users == {("mail:x", 2, "x")}
 
 
+def _rounds(monkeypatch):
+    """Counts the rounds that identity resolution takes from now on."""
+    seen, judge = [], identities._judge
+    monkeypatch.setattr(identities, "_judge", lambda open_: seen.append(1) or judge(open_))
+    return seen
+
+
+def _pairs_in_order(edges):
+    taken, kept = set(), set()
+    for request, chat, email in sorted(edges):
+        if chat not in taken and email not in taken:
+            taken |= {chat, email}
+            kept.add(request)
+    return kept
+
+
+EDGES = "request_id long, chat_key string, email_key string"
+
+
+def test_chain_of_requests_takes_few_rounds(spark, monkeypatch):
+    edges = [(i, f"c{(i + 1) // 2}", f"m{i // 2}") for i in range(1000)]
+    rounds = _rounds(monkeypatch)
+    got = identities.ordered_pairs(spark.createDataFrame(edges, EDGES))
+    assert {r["request_id"] for r in got.collect()} == _pairs_in_order(edges) == set(range(0, 1000, 2))
+    assert len(rounds) <= 12
+
+
+@pytest.mark.parametrize("chats, emails, n", [(40, 40, 300), (3, 200, 300), (150, 150, 200), (1, 1, 1)])
+def test_pairs_by_the_order_of_requests(spark, chats, emails, n):
+    rng = random.Random(n + chats)
+    pairs = sorted({(rng.randrange(chats), rng.randrange(emails)) for _ in range(n)})
+    rng.shuffle(pairs)
+    edges = [(i * 5 - 700, f"c{c}", f"m{e}") for i, (c, e) in enumerate(pairs)]
+    # A chain whose keys have several requests each.
+    edges += [(10_000 + i, f"x{(i + 1) // 3}", f"y{i // 3}") for i in range(60)]
+    got = identities.ordered_pairs(spark.createDataFrame(edges, EDGES).repartition(4))
+    assert {r["request_id"] for r in got.collect()} == _pairs_in_order(edges)
+
+
+def test_no_requests_and_no_users(spark):
+    users = spark.createDataFrame([], "user_id long, chat_id long, email string")
+    requests = spark.createDataFrame([(1, None, " ")], "request_id long, chat_id long, email string")
+    resolved, after = identities.get_or_create(users, requests)
+    assert [(r["resolution"], r["user_key"]) for r in resolved.collect()] == [("rejected", None)]
+    assert after.count() == 0
+    assert identities.get_or_create(users, requests.limit(0))[0].count() == 0
+
+
 def test_download_gate(spark):
     rows = [("pdf", 1, 403), ("Excel", 1, 403), ("pdf", 2, 200), ("chart", 1, 200)]
     df = spark.createDataFrame([(r, u, BASE) for r, u, _ in rows], "resource_type string, user_id long, ts timestamp_ntz")
