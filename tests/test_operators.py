@@ -600,6 +600,7 @@ def test_split_message(spark):
 def test_cosine_topk_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
     monkeypatch.setattr(retrieval, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(retrieval, "PART_ROWS", 40)
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 8)).round(1)
     vectors[10] = 0
@@ -619,6 +620,39 @@ def test_cosine_topk_against_brute_force(spark, monkeypatch):
         assert got[q] == sorted(range(300), key=lambda i: (-scores[i], i))[:5]
 
 
+def test_tenants_search_their_own_vectors(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "PART_ROWS", 25)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        tenant = "hot" if i % 3 else [None, "a", "b", "never asks"][i // 3 % 4]
+        vector = [float(x) for x in rng.integers(-2, 3, 3 if i % 5 else 4)]
+        rows.append((i, tenant, [None, [], [float("nan"), 1.0, 1.0], [None, 1.0, 2.0]][i % 4] if i % 41 == 7 else vector))
+    asked = [(1000 + i, t, v) for i, t, v in rows if t != "never asks" and i % 4 == 1]
+    asked += [(1500, "nobody", [1.0, 2.0, 3.0]), (1501, "a", None)]
+    got = retrieval.tenant_topk(
+        spark.createDataFrame(rows, "vec_id long, tenant string, embedding array<float>").repartition(5),
+        spark.createDataFrame(asked, "query_id long, tenant string, vector array<double>"), "tenant", 4)
+
+    def sound(v):
+        return bool(v) and all(x is not None and np.isfinite(x) for x in v)
+
+    expected = {}
+    for q, tenant, vector in asked:
+        scores = []
+        for i, t, v in rows:
+            if t is not None and t == tenant and sound(v) and sound(vector) and len(v) == len(vector):
+                norm = np.linalg.norm(v) * np.linalg.norm(vector)
+                scores.append((-round(float(np.dot(v, vector) / norm), 6) + 0.0 if norm else 0.0, i))
+        for rank, (score, i) in enumerate(sorted(scores)[:4], 1):
+            expected[q, rank] = (tenant, -score)
+    found = got.collect()
+    assert {(r["query_id"], r["rank"]): (r["tenant"], round(r["score"], 6)) for r in found} == expected
+    assert len({(r["query_id"], r["vec_id"]) for r in found}) == len(found)
+
+
 # --- quota, tokens, identities, payments --------------------------------------------------------
 
 def _quota_rows(n=400):
