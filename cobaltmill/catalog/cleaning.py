@@ -586,7 +586,7 @@ SELECT * EXCLUDE ("Valor COP_2"), CAST(2 AS BIGINT) AS header_row, true AS was_c
 FROM w WHERE file = '0.csv' ORDER BY row_id LIMIT 5
 """)
 def clean_preview(spark, sf):
-    preview = clean_files(_messy_exports(spark, sf))[0].preview()
+    preview = clean_files(_messy_exports(spark, sf), lead=5)[0].preview()
     return preview.select(
         *[c for c in preview.columns if c != "document_metadata"],
         "document_metadata.fuente", "document_metadata.nit_declarante",

@@ -67,23 +67,27 @@ def clean_table(raw: DataFrame, matching: str = "substring", scorer: str = "rati
     return done[0] if done else CleanTable(raw.select(*KEYS).limit(0), 0, [], "")
 
 
-def clean_files(raw: DataFrame, matching: str = "substring", scorer: str = "ratio") -> list[CleanTable]:
+def clean_files(raw: DataFrame, matching: str = "substring", scorer: str = "ratio",
+                lead: int | None = None) -> list[CleanTable]:
     """Clean raw files given as (file, row_id, cells), each below its own header.
 
     Files with the same column names make one table; types are found per table, gaps are filled per
     file. The leading rows are read once for all headers; each table is profiled in one pass, typed in
     one projection, and stored once before its gaps are filled. Only one row per header and one profile
     row per table reach the driver.
+
+    With ``lead`` only that many leading rows of each table are typed, stored and returned, for a preview; types
+    come from the profile of all rows as ever.
     """
     facts = materialise(headers.file_headers(raw), "file-headers")
     first = F.min(F.struct("file", "header_row", "metadata_text")).alias("first")
     layouts = facts.groupBy("names").agg(first).collect()  # one row per header
-    return [_clean_layout(raw, facts, r["names"], r["first"], matching, scorer)
+    return [_clean_layout(raw, facts, r["names"], r["first"], matching, scorer, lead)
             for r in sorted(layouts, key=lambda r: r["first"]["file"])]
 
 
 def _clean_layout(raw: DataFrame, facts: DataFrame, names: list[str], first, matching: str,
-                  scorer: str) -> CleanTable:
+                  scorer: str, lead: int | None) -> CleanTable:
     own = facts.filter(F.col("names") == F.lit(names))
     files = own.select("file", "header_row", "metadata_text")
     body = raw.join(own.select("file", "header_id"), "file").filter(F.col("row_id") > F.col("header_id"))
@@ -106,6 +110,8 @@ def _clean_layout(raw: DataFrame, facts: DataFrame, names: list[str], first, mat
         found = body.agg(*_rates(parts, matching)).first()
         shares |= {c: [found[3 * i + k] for k in range(3)] for i, c in enumerate(parts)}
 
+    if lead is not None:
+        body = body.orderBy(*KEYS).limit(lead)
     typed, additive, forward = _typed(body, cols, shares, matching)
     typed = materialise(C.impute_additive(typed, additive) if additive else typed, "typed")
 

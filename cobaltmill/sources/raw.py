@@ -12,6 +12,8 @@ from cobaltmill.session import computed_once, materialise
 
 SEPARATORS = (",", ";", "|", "\t")
 FALLBACK_ENCODING = "iso-8859-1"
+#: A quoted cell that would span more lines than this is taken for the work of a stray quote.
+RECORD_LINES = 10_000
 
 
 def line_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -103,29 +105,39 @@ def split_cells(line: Column, sep: Column) -> Column:
     return F.transform(out, plain)
 
 
-def join_records(lines: DataFrame) -> DataFrame:
+def join_records(lines: DataFrame, longest: int = RECORD_LINES) -> DataFrame:
     """Join the lines of records whose quoted cells hold line feeds; a record keeps its first line's id.
 
     A line begins a record when an even number of quotes stands before it in its file. The counts run
     over blocks of lines, so a large file is not read by one task; a record is one group.
+
+    A stray quote would make all lines to the next one a single record. What spans more than ``longest`` lines is
+    taken for that: each of its lines is a record of its own, marked ``stray_quote``. So no line is lost
+    and no group holds more than ``longest`` lines.
     """
     marks = lines.withColumn("__quotes", _mark_count(F.col("line"), '"').cast("long"))
     counted = running_before(marks, "row_id", ["file"], "__quotes", "__before")
     begun = counted.withColumn("__record", F.when(F.col("__before") % 2 == 0, F.col("row_id")))
-    owned = locf(begun, "row_id", ["__record"], ["file"])
+    owned = materialise(locf(begun, "row_id", ["__record"], ["file"]), "record-lines")
+    runs = owned.groupBy("file", "__record").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > longest)
+    runs = materialise(runs.select("file", "__record", F.lit(True).alias("__stray")), "stray-records")
+    stray = F.coalesce("__stray", F.lit(False))
+    told = owned.join(runs, ["file", "__record"], "left").withColumns({
+        "__record": F.when(stray, F.col("row_id")).otherwise(F.col("__record")), "stray_quote": stray})
     parts = F.array_sort(F.collect_list(F.struct("row_id", "line")))
-    return owned.groupBy("file", F.col("__record").alias("row_id")).agg(
+    return told.groupBy("file", F.col("__record").alias("row_id"), "stray_quote").agg(
         F.min("split_start").alias("split_start"),
         F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line"))
 
 
 def raw_scan(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             multiline: bool = False) -> DataFrame:
+             multiline: bool = False, longest: int = RECORD_LINES) -> DataFrame:
     """Headerless all-string read as (file, split_start, row_id, cells, encoding).
 
     A first pass finds each file's encoding and separator unless the caller names them, the second one
     splits the lines; a row has as many cells as its line. With ``multiline`` quoted cells may hold line
-    feeds; without it a record is a line, and files are read without a shuffle.
+    feeds, up to ``longest`` lines (see :func:`join_records`, whose ``stray_quote`` comes along); without it a
+    record is a line, and files are read without a shuffle.
     """
     lines = line_scan(spark, path)
     if sep is not None and encoding is not None:
@@ -137,11 +149,11 @@ def raw_scan(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         marked = lines.join(materialise(facts, "file-facts"), "file")  # stored, so the planner knows its size
     if multiline:
         told = marked.groupBy("file").agg(F.first("sep").alias("sep"), F.first("encoding").alias("encoding"))
-        marked = join_records(lines).join(materialise(told, "file-facts"), "file")
+        marked = join_records(lines, longest).join(materialise(told, "file-facts"), "file")
     text = F.when(F.lower("encoding") == "utf-8", F.col("line")).otherwise(
         decoded(F.col("line").cast("binary"), encoding or FALLBACK_ENCODING))
     return computed_once(marked, split_cells(text, F.col("sep")), "cells").select(
-        "file", "split_start", "row_id", "cells", "encoding")
+        "file", "split_start", "row_id", "cells", "encoding", *(["stray_quote"] if multiline else []))
 
 
 def bounded_read(df: DataFrame, key: str, n: int | None = None, bins: int = 1024) -> DataFrame:

@@ -191,6 +191,10 @@ def test_clean_files_with_their_own_headers(spark):
         ("a", 1, day, "900111222", 5.0), ("a", 2, day, "900111222", 5.0), ("b", 2, None, "800111222", 7.0),
         ("b", 3, dt.datetime(2024, 2, 3), "800111222", 7.0)]
     assert [tuple(r)[2:] for r in done[1].table.collect()] == [("CALI", 1.0, 2.0)]
+    lead = clean_files(raw_rows, lead=2)[0]
+    assert lead.typed.count() == 2 and lead.columns == done[0].columns
+    shown = [c for c in done[0].preview(2).columns if c != "document_metadata"]
+    assert lead.preview(2).select(shown).collect() == done[0].preview(2).select(shown).collect()
     assert {(r["file"], r["header_row"], r["metadata_text"]) for r in done[0].files.collect()} == {("a", 0, ""), ("b", 1, "informe DIAN")}
     with pytest.raises(ValueError, match="different headers"):
         clean_table(raw_rows)
@@ -313,6 +317,23 @@ def test_records_over_lines_and_the_callers_encoding(spark):
     assert (found["cells"], found["encoding"]) == (["1", "€"], "windows-1252")
 
 
+def test_stray_quote_costs_marked_lines(spark):
+    from pathlib import Path
+
+    path = Path(fresh_path(spark, "stray").removeprefix("file:"))
+    path.mkdir(parents=True)
+    body = ['k,v', '1,"two', 'lines"', '2,12" pipe'] + [f"{i},x" for i in range(3, 200)]
+    (path / "a.csv").write_text("\n".join(body) + "\n")
+    (path / "b.csv").write_text('5,"a\nb\nc"\n')
+    found = raw.raw_scan(spark, str(path), multiline=True, longest=50).orderBy("file", "row_id").collect()
+    cells = [(r["cells"], r["stray_quote"]) for r in found]
+    assert cells[:3] == [(["k", "v"], False), (["1", "two\nlines"], False), (["2", '12" pipe'], True)]
+    assert cells[3:-1] == [([str(i), "x"], True) for i in range(3, 200)]
+    assert cells[-1] == (["5", "a\nb\nc"], False)
+    whole = raw.raw_scan(spark, str(path), multiline=True).collect()
+    assert len(whole) == 4 and not any(r["stray_quote"] for r in whole)
+
+
 def test_files_and_text(spark):
     from pathlib import Path
 
