@@ -1,14 +1,15 @@
 """Exact top-k by integer inner product with ball trees, branch and bound.
 
-The index is cut into shards of bounded size by a hash of the id. Each shard becomes a ball tree:
-nodes with centre, radius and smallest id over one packed block of vectors. A block of queries walks
-a shard's tree in the order of the nodes' upper bounds ``q.c + |q| r``; a node is skipped for a query
-whose current k-th score is better. That score is shared: within a task it goes on from shard to
-shard, and a first pass over one group of shards hands it to the tasks of all other groups.
+Vectors go to the nearest of at most 256 pivots, a bounded sample that decides the layout only; the vectors of a
+pivot are cut into shards of bounded size by a hash. Each shard becomes a ball tree: nodes with centre, radius and
+smallest id over one packed block of vectors. Queries form blocks by their nearest pivot as well. A block of queries
+walks a shard's tree in the order of the nodes' upper bounds ``q.c + |q| r``; a node is skipped for a query whose
+current k-th score is better. That score is shared: within a task it goes on from shard to shard, and a first
+pass over one group of shards of the block's own pivot hands it to all that follow.
 
-Shards are replicated to blocks of queries and blocks of queries to groups of shards by equi-joins on
-block and group number, so no task holds more than a group of shards and a block of queries, and at
-most k rows for each query and group are shuffled for the last ranking.
+Then the roots of all shards, without their vectors, meet the blocks. Only groups of shards in which some query of
+the block may still gain a row are sent to it. No task holds more than a group of shards and a block of
+queries, and at most k rows for each query and group are shuffled for the last ranking.
 
 Defined results:
 
@@ -41,8 +42,11 @@ SHARD_CELLS = 1 << 19
 GROUP = 8
 BLOCK = 512
 LEAF = 128
+#: Pivots of the layout at most, and shards whose roots are tested together.
+PIVOTS = 256
+ROOTS = 4096
 
-INDEX = ("dim int, shard int, ids binary, vectors binary, kind string, centres binary, radii binary, "
+INDEX = ("dim int, cell long, shard int, ids binary, vectors binary, kind string, centres binary, radii binary, "
          "kids binary, spans binary, least binary")
 FOUND = "query_id long, vec_id long, score double"
 
@@ -93,7 +97,7 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     centres, radii, kids, spans, least = zip(*nodes)
     kind = _small(points)
     return pd.DataFrame([{
-        "dim": key[0], "shard": key[1], "ids": ids[order].tobytes(), "kind": kind,
+        "dim": key[0], "cell": key[1], "shard": key[2], "ids": ids[order].tobytes(), "kind": kind,
         "vectors": points[order].astype(kind).tobytes(),
         "centres": np.array(centres).tobytes(), "radii": np.array(radii).tobytes(),
         "kids": np.array(kids, dtype=np.int32).tobytes(),
@@ -176,15 +180,56 @@ def _searcher(k: int):
     return search
 
 
-def build_index(points: DataFrame, cells: int = SHARD_CELLS, group: int = GROUP) -> tuple[DataFrame, int]:
-    """One row per shard with its ball tree and its group number, and the number of groups."""
+def _worthwhile(key: tuple, queries: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
+    """Groups of shards in which some query of the block may gain a row."""
+    if not len(queries) or not len(roots):
+        return pd.DataFrame({"dim": [], "blk": [], "grp": []}).astype({"dim": "int32", "blk": "int64", "grp": "int64"})
+    block = np.stack(queries["v"].to_numpy()).astype(np.float64)
+    centres = np.frombuffer(b"".join(roots["centre"])).reshape(-1, block.shape[1])
+    radii, least = np.frombuffer(b"".join(roots["radius"])), np.frombuffer(b"".join(roots["least"]), np.int64)
+    bound = block @ centres.T + np.sqrt((block ** 2).sum(axis=1))[:, None] * radii[None, :]
+    bound = np.floor(bound + 1e-6 + 1e-9 * np.abs(bound))
+    kth, last = (queries[c].to_numpy()[:, None] for c in ("kth", "kth_id"))
+    open_ = ((bound > kth) | ((bound == kth) & (least[None, :] < last))).any(axis=0)
+    return pd.DataFrame({"dim": key[0], "blk": key[1], "grp": np.unique(roots["grp"].to_numpy()[open_])}).astype(
+        {"dim": "int32", "blk": "int64", "grp": "int64"})
+
+
+def _nearest(pivots: dict[int, np.ndarray]):
+    """Number of the nearest pivot of a vector's length; 0 where none has it."""
+    @F.pandas_udf("long")
+    def cell(v: pd.Series) -> pd.Series:
+        out, sizes = np.zeros(len(v), np.int64), v.map(len).to_numpy()
+        for dim in set(sizes) & set(pivots):
+            at, centres = np.flatnonzero(sizes == dim), pivots[dim]
+            x = np.stack(v.iloc[at].to_numpy())
+            out[at] = ((centres ** 2).sum(axis=1)[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
+        return pd.Series(out)
+
+    return cell
+
+
+def _numbered(cell: str, part: Column) -> Column:
+    """One number for a cell and a part of it."""
+    return F.shiftleft(F.col(cell), 32) + part
+
+
+def build_index(points: DataFrame, cells: int = SHARD_CELLS, group: int = GROUP) -> tuple[DataFrame, dict]:
+    """One row per shard with its ball tree and its group number, and the pivots by vector length."""
     size = points.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-size // cells))
-    groups = -(-shards // group)
-    dealt = points.select(F.size("v").alias("dim"), "vec_id", "v").withColumn(
-        "shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
-    index = dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX)
-    return materialise(index.withColumn("grp", (F.col("shard") % groups).cast("int")), "ball-trees"), groups
+    wanted = max(1, min(PIVOTS, -(-size // cells) // group))
+    pivots: dict[int, list] = {}
+    for row in points.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(wanted).collect():
+        pivots.setdefault(len(row["v"]), []).append(row["v"])
+    pivots = {dim: np.array(rows, dtype=np.float64) for dim, rows in pivots.items()}
+    dealt = points.select(F.size("v").alias("dim"), "vec_id", "v", _nearest(pivots)("v").alias("cell"))
+    dealt = materialise(dealt, "top-dealt")
+    sizes = materialise(dealt.groupBy("dim", "cell").agg(
+        F.ceil(F.sum(F.col("dim").cast("long")) / cells).alias("shards")), "top-sizes")
+    dealt = dealt.join(sizes, ["dim", "cell"]).select(
+        "dim", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int").alias("shard"), "vec_id", "v")
+    index = dealt.groupBy("dim", "cell", "shard").applyInPandas(_build, INDEX)
+    return materialise(index.withColumn("grp", _numbered("cell", F.floor(F.col("shard") / group))), "ball-trees"), pivots
 
 
 def top_k(queries: DataFrame, points: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -192,33 +237,51 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = K, block: int = BLOCK)
 
     Returns ``query_id, rank, vec_id, score``.
     """
-    index, groups = build_index(points)
+    index, pivots = build_index(points)
     asked = queries.groupBy("query_id").agg(F.min("v").alias("v"))
-    asked = materialise(asked.withColumn("dim", F.size("v")), "top-queries")
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    none = asked.withColumns({"kth": F.lit(float("-inf")), "kth_id": F.lit(-(1 << 63)).cast("long")})
-
-    def run(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    asked = materialise(asked.select("query_id", "v", F.size("v").alias("dim"), _nearest(pivots)("v").alias("cell")),
+                        "top-queries")
+    # The parts of a cell among the queries, and among the index its groups; a block starts with one of these.
+    blocks = asked.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    homes = index.groupBy("dim", "cell").agg(F.collect_set("grp").alias("homes"))
+    layout = materialise(blocks.join(homes, ["dim", "cell"], "left"), "top-layout")
+    part = F.pmod(F.xxhash64("query_id"), F.col("blocks"))
+    asked = asked.join(layout, ["dim", "cell"]).select(
+        "query_id", "v", "dim", _numbered("cell", part).alias("blk"),
+        F.get("homes", F.pmod(part, F.greatest(F.size("homes"), F.lit(1))).cast("int")).alias("home"))
+    asked = materialise(asked, "top-blocks")
+    none = asked.withColumns({"kth": F.lit(float("-inf")), "kth_id": F.lit(-(1 << 63)).cast("long"), "grp": F.col("home")})
+
+    def run(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         keys = ["dim", "blk", "grp"]
+        trees = index.join(pairs.select(*keys), ["dim", "grp"])
+        trees = trees.toDF(*trees.columns)  # columns of its own; the rows may come from the same tables
         return rows.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(_searcher(k), FOUND)
 
-    home = (F.col("blk") % groups).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = index.withColumn("blk", every)
-    first = materialise(run(none.withColumn("grp", home), spread.filter(F.col("grp") == home)), "top-first")
-    found = first
-    if groups > 1:
-        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = first.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") == k).select(
-            "query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
-        primed = asked.join(kth, "query_id", "left").withColumns({
-            "kth": F.coalesce("kth", F.lit(float("-inf"))),
-            "kth_id": F.coalesce("kth_id", F.lit(-(1 << 63)).cast("long")),
-            "grp": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))}).filter(F.col("grp") != home)
-        found = first.unionByName(run(primed, spread.filter(F.col("grp") != home)))
+    first_pairs = materialise(none.filter("grp is not null").select("dim", "blk", "grp").distinct(), "top-pairs")
+    first = materialise(run(none.filter("grp is not null"), first_pairs), "top-first")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    kth = first.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") == k).select(
+        "query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
+    primed = asked.join(kth, "query_id", "left").withColumns({
+        "kth": F.coalesce("kth", F.lit(float("-inf"))), "kth_id": F.coalesce("kth_id", F.lit(-(1 << 63)).cast("long"))})
+    primed = materialise(primed, "top-primed")
+
+    chunks = max(1, -(-index.count() // ROOTS))
+    chunk = F.pmod(F.xxhash64("grp"), F.lit(chunks)).alias("chunk")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk")
+    roots = materialise(index.select(
+        "dim", "grp", chunk, F.substring("centres", F.lit(1), F.col("dim") * 8).alias("centre"),
+        F.substring("radii", 1, 8).alias("radius"), F.substring("least", 1, 8).alias("least")), "top-roots")
+    meet = primed.select("dim", "blk").distinct().select("dim", "blk", every)
+    keys = ["dim", "blk", "chunk"]
+    near = roots.join(meet, ["dim", "chunk"])
+    near = near.toDF(*near.columns)
+    worth = primed.select("*", every).groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(
+        _worthwhile, "dim int, blk long, grp long")
+    pairs = materialise(worth.join(first_pairs, ["dim", "blk", "grp"], "left_anti"), "top-pairs")
+    rest = run(primed.join(pairs, ["dim", "blk"]), pairs)
+    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id",
                          F.col("score").cast("long").alias("score"))
 

@@ -41,6 +41,28 @@ def test_many_shards_and_groups(spark, monkeypatch):
     assert run(spark, rows, 20, 10) == brute(as_floats(rows), 20, 10)
 
 
+def test_groups_that_cannot_gain_are_not_sent(spark, monkeypatch):
+    """On vectors in tight clusters far apart most pairs of a block and a group fall to the bounds."""
+    index, sent = topk.build_index, []
+    stored = topk.materialise
+
+    def seen(df, tag):
+        table = stored(df, tag)
+        if tag == "top-pairs":
+            sent.append(table.count())
+        if tag == "ball-trees":
+            sent.append(table.select("dim", "grp").distinct().count())
+        return table
+
+    monkeypatch.setattr(topk, "materialise", seen)
+    monkeypatch.setattr(topk, "build_index", lambda points: index(points, cells=400, group=1))
+    rnd = random.Random(7)
+    rows = [(i, [float(round(5 * (i % 8 == d) + rnd.gauss(0, .02), 4)) for d in range(8)]) for i in range(1600)]
+    assert run(spark, rows, 5, 10) == brute(as_floats(rows), 5, 10)
+    groups, first, rest = sent
+    assert groups >= 20 and first + rest < groups * first / 2
+
+
 def as_floats(rows):
     import numpy as np
     return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
