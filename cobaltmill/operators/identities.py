@@ -121,7 +121,7 @@ def ordered_pairs(edges: DataFrame) -> DataFrame:
 
 
 def get_or_create(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolve requests (request_id, chat_id, email) in order against users (user_id, chat_id, email).
+    """Resolve requests (request_id, chat_id, email) in order of their unique ids against users (user_id, chat_id, email).
 
     A request finds its user by chat id, else by e-mail (a user without chat id adopts it), else a user
     is created. The found user also takes the e-mail if it has none and nobody owns it. Users made by a
