@@ -19,6 +19,8 @@ from cobaltmill.operators.sessions import GAP
 from cobaltmill.session import STATE_STORE, remove_path
 from cobaltmill.streaming.strict import FOLDED, STATE, strict_folder
 
+#: The buckets of references whose states a stream keeps together.
+BUCKETS = 1 << 12
 _STATE_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -101,7 +103,7 @@ def payment_fold_stream(events: DataFrame, folder: str) -> DataFrame:
 
 
 def strict_payment_stream(events: DataFrame, folder: str, lateness: dt.timedelta = dt.timedelta(days=1),
-                          idle: dt.timedelta | None = None) -> DataFrame:
+                          idle: dt.timedelta | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Strict payment state per reference (a later failure undoes a payment); the latest state of each.
 
     Events may come in any order within ``lateness`` of the newest; those behind it are ignored. The
@@ -110,7 +112,11 @@ def strict_payment_stream(events: DataFrame, folder: str, lateness: dt.timedelta
     With ``idle`` a reference without events for that long leaves the state, and what is written stays;
     a later event of it begins anew.
 
-    The waiting events of one reference, those of ``lateness`` and one micro-batch, are held by one task.
+    References are dealt to ``buckets`` by a hash, and the states of a bucket are read and written together,
+    so Python is called once for a bucket with new events. A bucket holds its share of all references: many
+    references ask for more buckets. A folder keeps to the number it began with.
+
+    The waiting events of one bucket, those of ``lateness`` and one micro-batch, are held by one task.
     """
     spark = events.sparkSession
     zone = events.schema["ts"].dataType
@@ -119,9 +125,11 @@ def strict_payment_stream(events: DataFrame, folder: str, lateness: dt.timedelta
         F.coalesce("is_success", F.lit(False)).alias("is_success"), F.col("amount").cast("long").alias("amount"),
         F.col("chat_id").cast("long").alias("chat_id"), F.nullif("payer_email", F.lit("")).alias("payer_email"))
     timed = timed.withWatermark("at", f"{lateness // dt.timedelta(milliseconds=1)} milliseconds")
-    keyed = timed.select(F.col("at"), F.coalesce("reference", F.lit("")).alias("reference"), F.to_json(F.struct(
-        F.unix_micros("at").alias("ts"), "event_id", "is_success", "amount", "chat_id", "payer_email")).alias("event"))
-    folded = keyed.groupBy("reference").applyInPandasWithState(
+    named = F.coalesce("reference", F.lit(""))
+    keyed = timed.select(
+        F.col("at"), F.pmod(F.xxhash64(named), F.lit(buckets)).alias("bucket"), named.alias("reference"), F.to_json(F.struct(
+            F.unix_micros("at").alias("ts"), "event_id", "is_success", "amount", "chat_id", "payer_email")).alias("event"))
+    folded = keyed.groupBy("bucket").applyInPandasWithState(
         strict_folder(None if idle is None else idle // dt.timedelta(milliseconds=1)), FOLDED, STATE, "update",
         GroupStateTimeout.EventTimeTimeout)
 

@@ -166,6 +166,29 @@ def test_strict_payments_settle_behind_the_watermark_and_leave(spark):
     assert kept.count() == 1  # only b's, whose last event is behind no watermark yet
 
 
+def test_strict_payments_keep_references_by_buckets(spark):
+    import json
+
+    day = dt.timedelta(days=1)
+    rows = [(f"r{i % 700}", BASE + dt.timedelta(minutes=(i * 37) % 900), i, i % 3 > 0, i % 5, i % 4 or None, "") for i in range(2_000)]
+    df = spark.createDataFrame(rows, STRICT)
+    folder, want = fresh_path(spark, "strict"), payments.payment_fold(df, True)
+    got = jobs.strict_payment_stream(feed(spark, df, ["event_id"], 3), folder, buckets=5)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() == 5  # not one state a reference
+
+    # references of one bucket settle, leave and begin anew each by itself
+    rows = [("a", BASE, 1, True, 5, 1, ""), ("c", BASE + 8 * day, 2, True, 5, 1, ""), ("b", BASE + 9 * day, 3, True, 7, 2, "b@x.co"),
+            ("c", BASE, 4, False, 1, 1, ""), ("a", BASE + 10 * day, 5, True, 5, 4, ""), ("c", BASE + 11 * day, 6, False, 7, 2, "")]
+    folder = fresh_path(spark, "strict")
+    stream = feed(spark, spark.createDataFrame(rows, STRICT), ["event_id"], 6)
+    got = {r["reference"]: r for r in jobs.strict_payment_stream(stream, folder, 2 * day, 3 * day, buckets=1).collect()}
+    assert {r: (g["status"], g["n_events"], g["payer_chat_id"]) for r, g in got.items()} == {
+        "a": ("paid", 1, 4), "b": ("paid", 1, 2), "c": ("failed", 2, 1)}
+    kept = [json.loads(r["value"]["groupState"]["references"]) for r in spark.read.format("statestore").load(f"{folder}/checkpoint").collect()]
+    assert [sorted(k) for k in kept] == [["a", "b", "c"]] and kept[0]["c"][0]["n"] == 1  # its event at day 8 is settled
+
+
 def test_sessions_batch_and_stream(spark):
     import random
 
