@@ -269,6 +269,22 @@ def test_weighted_scorer_equals_plain_ratios(spark, catalog):
         assert scores[r["term"]] >= top - 1e-9, (key, r, top)
 
 
+def test_weighted_scorer_takes_many_values_at_once(spark):
+    import time
+
+    values = spark.range(20_000).select(F.format_string("Customer#%09d", F.col("id") * 7).alias("v"))
+    fuzzy.best_terms(values.limit(10), "v", "ciudades", "weighted").collect()
+    started = time.monotonic()
+    got = fuzzy.best_terms(values, "v", "ciudades", "weighted").collect()
+    assert time.monotonic() - started < 25 and len(got) == 20_000  # minutes, window by window
+    for r in got[:3]:
+        top = max(_plain_weighted(r["v"].upper(), t) for t in vocab.CATALOGS["ciudades"])
+        assert abs(r["score"] - top) < 1 + 1e-9 and abs(_plain_weighted(r["v"].upper(), r["term"]) - top) < 1e-9
+    # other columns and a column that is scored in place
+    rows = spark.createDataFrame([(1, "cali (CALI)"), (2, None), (3, "zzz"), (4, "")], "k int, v string")
+    assert dict(fuzzy.harmonize(rows, "v", "ciudades", "weighted").collect()) == {1: "CALI", 2: None, 3: "zzz", 4: ""}
+
+
 def test_separators_inside_quotes_do_not_decide(spark):
     from pathlib import Path
 
