@@ -33,6 +33,7 @@ Defined results:
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ FINE = 4
 SMALL = 16
 #: The most further rounds of pivots while they link; pairs that remain are tested one by one.
 FINE_ROUNDS = 3
+#: The keys are dealt to so many parts, one after the other, when those that rows share are sought.
+KEY_PARTS = 2
 PARITY = ("p0", "p1", "p2", "p3")
 
 
@@ -195,12 +198,11 @@ def _far(a: str, b: str, percent: int) -> Column:
 
 
 class _Links:
-    """Tests pairs of nodes and keeps what was tested and what was linked."""
+    """Tests pairs of nodes by their texts."""
 
     def __init__(self, docs: DataFrame, stored: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.stored, self.nodes = docs, stored, nodes
         self.width, self.percent = width, percent
-        self.links: DataFrame | None = None
 
     def named(self, side: str) -> DataFrame:
         return self.nodes.select(
@@ -232,18 +234,20 @@ class _Links:
         room = F.greatest(F.col("need") - (F.col("size") - F.size("met")), F.lit(0))
         rare = kept.select("node", F.explode(F.slice("met", 1, room)).alias("m")).select("m.key", "node")
         rare = materialise(rare.distinct(), "near-fine")
-        discard(fine)
+        for done in (fine, shared, owners):
+            discard(done)
         return rare
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Test stored pairs (a, b), add those that are linked, and tell if there are any."""
+    def test(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of the stored pairs (a, b, and their roots) that are linked; None without any."""
         if pairs.isEmpty():
-            return False
+            return None
         close = materialise(
             pairs.join(self.named("a"), "a").join(self.named("b"), "b")
-            .filter(~_far("a", "b", self.percent)).select("a", "b"), "near-close")
+            .filter(~_far("a", "b", self.percent)).select(*pairs.columns), "near-close")
         if close.isEmpty():
-            return False
+            discard(close)
+            return None
         texts, owners = self.texts(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = texts.mapInArrow(_setter(self.width), "node long, shingles array<long>")
         sets = materialise(
@@ -254,11 +258,13 @@ class _Links:
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("bshingles"))
         found = materialise(
             close.join(left, "a").join(right, "b")
-            .filter(same * 100 >= union * self.percent).select("a", "b"), "near-links")
+            .filter(same * 100 >= union * self.percent).select(*pairs.columns), "near-links")
+        for done in (close, owners, sets):
+            discard(done)
         if found.isEmpty():
-            return False
-        self.links = found if self.links is None else self.links.unionByName(found)
-        return True
+            discard(found)
+            return None
+        return found
 
 
 def _is_starred(edges: DataFrame) -> bool:
@@ -284,15 +290,18 @@ def connected(edges: DataFrame, tag: str = "components") -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(
             F.col("m").alias("a"), "b").filter("a < b").distinct()
         large = materialise(large, tag)
+        discard(stars)
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(
             F.col("m").alias("u"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(
                 F.col("a")).alias("v"))
         stars = materialise(
             small.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), tag)
+        discard(large)
     roots = stars.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return materialise(stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
-                       .unionByName(roots), tag)
+    rooted = materialise(stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots), tag)
+    discard(stars)
+    return rooted
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -311,16 +320,22 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     signed = materialise(profiles(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "near-profiles")
     stored = materialise(signed.drop("keys"), "near-rows")
     keyed = signed.select(F.explode("keys").alias("key"), "row")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    shared = materialise(shared, "near-keys")
-    held = materialise(keyed.join(shared, "key"), "near-held")
+    parts = []
+    for part in range(KEY_PARTS):  # shuffle files of one part of the keys at a time
+        own = keyed.filter(F.pmod("key", F.lit(KEY_PARTS)) == part)
+        shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        shared = materialise(shared, "near-keys")
+        parts.append(materialise(own.join(shared, "key"), "near-held"))
+        discard(shared)
     discard(signed)
-    discard(shared)
-    named = held.join(stored.select("row", "node"), "row").select("key", "node").distinct()
+    held = reduce(DataFrame.unionByName, parts)
+    named = materialise(held.join(stored.select("row", "node"), "row").select("key", "node").distinct(), "near-named")
+    for part in parts:
+        discard(part)
     several = named.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     several = materialise(several.select("key"), "near-keys")
     members = materialise(named.join(several, "key"), "near-members")
-    discard(held)
+    discard(named)
     discard(several)
     nodes = materialise(
         stored.join(members.select("node").distinct(), "node", "left_semi")
@@ -328,55 +343,100 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     work = _Links(docs, stored, nodes, width, percent)
     found = _Groups(work, nodes, percent)
-    open_members = found.pivots(members.withColumn("root", F.col("node")), PIVOT_ROUNDS)
+    open_members = found.pivots(found.unsettled(members), PIVOT_ROUNDS)
+    discard(members)
     if not open_members.isEmpty():
         sizes = materialise(open_members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
         small = sizes.filter(F.col("n") <= SMALL).select("key")
         found.all_pairs(open_members.join(small, "key", "left_semi"))
         large = materialise(open_members.join(sizes.filter(F.col("n") > SMALL), "key").select("node").distinct(), "near-open")
         if not large.isEmpty():
-            rare = found.unsettled(work.refined(large))
-            found.all_pairs(found.pivots(rare, 0))
-    roots = found.roots(members)
-    return materialise(stored.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left").select(
+            rare = work.refined(large)
+            fine_members = found.pivots(found.unsettled(rare), 0)
+            discard(rare)
+            found.all_pairs(fine_members)
+            discard(fine_members)
+        discard(large)
+        discard(sizes)
+    discard(open_members)
+    rooted = stored.select("doc_id", "text_hash", "n_shingles", "node")
+    if found.found is not None:
+        rooted = rooted.join(found.found, "node", "left")
+    else:
+        rooted = rooted.withColumn("root", F.col("node"))
+    rooted = materialise(rooted.select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root")), "near-rooted")
+    found.discard()
+    for done in (stored, nodes):
+        discard(done)
+    return rooted
 
 
 class _Groups:
-    """Finds the links within groups of nodes (key, node)."""
+    """Finds the links within groups of nodes (key, node) and joins the components that they connect."""
 
     def __init__(self, work: _Links, nodes: DataFrame, percent: int):
         self.work, self.nodes, self.percent = work, nodes, percent
-        self.tested: DataFrame | None = None
+        self.tested: list[DataFrame] = []
+        #: ``node, root`` of linked nodes; a node that isn't here is its own root.
         self.found: DataFrame | None = None
 
-    def roots(self, members: DataFrame) -> DataFrame:
-        if self.found is None:
-            self.found = materialise(members.select("node", F.col("node").alias("root")).limit(0), "components")
-        return self.found
+    def discard(self) -> None:
+        for done in [*self.tested, *([self.found] if self.found is not None else [])]:
+            discard(done)
 
     def unsettled(self, members: DataFrame) -> DataFrame:
-        """Members of the groups that still hold more than one component."""
-        return materialise(_unsettled(members.select("key", "node"), self.roots(members)), "near-open")
+        """``key, node, root``: members of the groups that still hold more than one component. Stored."""
+        if self.found is None:  # groups have two nodes at least
+            return materialise(members.select("key", "node", F.col("node").alias("root")), "near-open")
+        rooted = materialise(members.select("key", "node").join(self.found, "node", "left").select(
+            "key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        still = materialise(rooted.join(several.filter("low < high").select("key"), "key"), "near-open")
+        discard(rooted)
+        return still
 
     def try_pairs(self, pairs: DataFrame) -> bool:
         """Test pairs that were not tested before; True if some are linked."""
-        pairs = materialise(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "near-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        if self.work.test(pairs):
-            self.found = connected(self.work.links)
-            return True
-        return False
+        if self.tested:
+            before = reduce(DataFrame.unionByName, self.tested).select("a", "b")
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "near-pairs")
+        self.tested.append(pairs)
+        links = self.work.test(pairs)
+        if links is None:
+            return False
+        self.join_roots(links)
+        discard(links)
+        return True
+
+    def join_roots(self, links: DataFrame) -> None:
+        """Only the roots that new links meet are connected; their members follow."""
+        moved, old = connected(links.select(F.col("aroot").alias("a"), F.col("broot").alias("b"))), self.found
+        if old is None:
+            self.found = moved
+            return
+        to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        followed = old.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        alone = moved.join(old.select("node"), "node", "left_anti")
+        self.found = materialise(followed.unionByName(alone), "components")
+        discard(old)
+        discard(moved)
 
     def pivots(self, members: DataFrame, rounds: int) -> DataFrame:
-        """Test one member of each open group against the others: ``rounds`` times, then as long as that links."""
+        """Test one member of each open group against the others: ``rounds`` times, then as long as that links.
+
+        Takes stored members and returns those of the groups that stay open, stored.
+        """
         turn, linked = 0, True
         while (turn < rounds or linked) and turn < rounds + FINE_ROUNDS and not members.isEmpty():
             pivots = members.groupBy("key").agg(
                 F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
             star = members.join(pivots, "key").filter(F.col("root") != F.col("pivot.root"))
-            linked = self.try_pairs(_ordered(star, F.col("pivot.node"), F.col("node")))
-            members = self.unsettled(members) if linked else members
+            linked = self.try_pairs(_ordered(star, F.struct("pivot.node", "pivot.root"), F.struct("node", "root")))
+            if linked:
+                before, members = members, self.unsettled(members)
+                discard(before)
             turn += 1
         return members
 
@@ -387,19 +447,15 @@ class _Groups:
                        for side in "ab")
         met = left.join(right, "key").filter(
             (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & ~_far("a", "b", self.percent))
-        self.try_pairs(_ordered(met, F.col("anode"), F.col("bnode")))
+        self.try_pairs(_ordered(met, F.struct(F.col("anode").alias("node"), F.col("aroot").alias("root")),
+                                F.struct(F.col("bnode").alias("node"), F.col("broot").alias("root"))))
 
 
 def _ordered(rows: DataFrame, one: Column, other: Column) -> DataFrame:
-    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
-
-
-def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the key groups that still hold more than one component."""
-    rooted = materialise(members.join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return rooted.join(several.filter("low < high").select("key"), "key")
+    """``a, b, aroot, broot`` of pairs of (node, root), the smaller node first, each once."""
+    pair = rows.select(F.least(one, other).alias("low"), F.greatest(one, other).alias("high"))
+    return pair.select(F.col("low.node").alias("a"), F.col("high.node").alias("b"),
+                       F.col("low.root").alias("aroot"), F.col("high.root").alias("broot")).distinct()
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 import re
 
 import pytest
@@ -132,6 +133,33 @@ def test_common_passages_make_no_pairs(spark, monkeypatch):
     assert sum(sizes) < 3 * 80 * len(rows) and sizes[-1] < 300
 
 
+def test_stored_tables_go_early_and_only_new_links_are_connected(spark, monkeypatch):
+    """At the end only the result's tables are left; later rounds connect the roots that new links meet."""
+    from cobaltmill.session import fresh_path
+
+    rnd = random.Random(5)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(120)]
+        for i in range(20):
+            words = edited(rnd, words, 2)
+            rows.append((len(rows), " ".join(words)))
+    edges = []
+    connected = jaccard.connected
+
+    def counted(pairs, tag="components"):
+        edges.append(pairs.count())
+        return connected(pairs, tag)
+
+    monkeypatch.setattr(jaccard, "connected", counted)
+    folder = Path(fresh_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert run(spark, rows) == brute(rows)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+    assert left == ["near-least", "near-rooted"]
+    assert len(edges) > 1 and sum(edges[1:]) < edges[0]
+
+
 @pytest.mark.parametrize("percent,width", [(85, 4), (80, 5), (60, 2)])
 def test_token_property(percent, width):
     """Linked sets share one of their D + 1 rarest tokens, whatever the order, and have equally many."""
