@@ -463,17 +463,21 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     Of repeated rows one stays. Texts without words are no copies of each other and stay.
     """
-    rooted = linked_rows(docs, width, percent).filter("n_shingles > 0")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("head")
-    one, digest, number = free_names(docs, "head_id", "head_hash", "head_row")
-    heads = materialise(rooted.groupBy("root").agg(head).select(
-        F.col("head.doc_id").alias(one), F.col("head.text_hash").alias(digest)), "near-heads")
+    rooted = linked_rows(docs, width, percent)
+    one, digest, number, repeats = free_names(docs, "head_id", "head_hash", "head_row", "head_rows")
+    rows = rooted.filter("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("head")
+    heads = materialise(rows.groupBy("root").agg(head).select(
+        F.col("head.doc_id").alias(one), F.col("head.text_hash").alias(digest), F.col("head.n").alias(repeats)), "near-heads")
+    discard(rooted)
     worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
-    chosen = docs.filter(worded).join(heads.distinct(), F.col("doc_id").eqNullSafe(F.col(one)) & (
-        F.xxhash64("text") == F.col(digest)), "left_semi")
+    chosen = F.col("doc_id").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(digest))
+    # only the texts of repeated rows are dealt out once more
+    once, several = (docs.filter(worded).join(heads.filter(c), chosen, "left_semi")
+                     for c in (F.col(repeats) == 1, F.col(repeats) > 1))
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = chosen.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
-    return kept.unionByName(docs.filter(~worded))
+    several = several.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
+    return once.unionByName(several).unionByName(docs.filter(~worded))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,19 @@ def test_stored_tables_go_early_and_only_new_links_are_connected(spark, monkeypa
     assert len(edges) > 1 and sum(edges[1:]) < edges[0]
 
 
+def test_near_dedup_leaves_only_its_heads_and_one_of_repeated_rows(spark):
+    from cobaltmill.session import fresh_path
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 3 + [(2, " ".join(words))] * 2 + [(None, "x y"), (None, "x y"), (4, None), (4, None), (5, "p q r s")]
+    folder = Path(fresh_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    kept = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["near-heads"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [rows[0], (None, "x y"), (4, None), (4, None), (5, "p q r s")], key=str)
+
+
 @pytest.mark.parametrize("percent,width", [(85, 4), (80, 5), (60, 2)])
 def test_token_property(percent, width):
     """Linked sets share one of their D + 1 rarest tokens, whatever the order, and have equally many."""
