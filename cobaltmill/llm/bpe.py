@@ -105,20 +105,28 @@ class Bpe:
         self.sound[merged] &= self.apart(self.left[merged], self.right[merged], skip_first=True)
         for t in merged:
             self.sound[t] &= self.sound[self.left[t]] and self.sound[self.right[t]]
-        lengths: dict[str, set[int]] = {}
-        for word in self.vocab:
-            inner = word.removesuffix(self.suffix) if self.suffix else word
-            lengths.setdefault(inner[:2], set()).add(len(inner))
-            lengths.setdefault(inner[:1], set()).add(1)
-        #: The lengths of entries that begin with a letter or two, longest first.
-        self.lengths = {k: sorted(v | lengths[k[:1]], reverse=True) for k, v in lengths.items()}
+        #: The entries as a tree of letters; ``""`` holds the id of the entry that ends there, ``None`` that of a word's end.
+        self.tree: dict = {}
+        for word, i in self.vocab.items():
+            ends = bool(self.suffix) and word.endswith(self.suffix)
+            at = self.tree
+            for letter in word.removesuffix(self.suffix) if ends else word:
+                at = at.setdefault(letter, {})
+            at[None if ends else ""] = i
         letters = byte_letters()
         self.letters = {b: c for b, c in letters.items() if chr(b) != c}
         self.words = regex.compile(WORDS)
         self.ascii_words = re.compile(ASCII_WORDS)
         self.split_special = re.compile("(" + "|".join(
             re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.known: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.special.values()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin with special tokens only: words get numbers in turn, and their ids lie one after the other."""
+        self.known: dict[str | int, int] = {i: k for k, i in enumerate(self.special.values())}
+        self.ids = np.fromiter(self.special.values(), np.int32, len(self.special))
+        self.sizes = np.ones(len(self.special), dtype=np.int64)
+        self.starts = np.arange(len(self.special), dtype=np.int64)
 
     def apart(self, a: np.ndarray, b: np.ndarray, skip_first: bool = False) -> np.ndarray:
         """For each pair of neighbours: True if no merge crosses the boundary between them.
@@ -153,20 +161,22 @@ class Bpe:
 
     def propose(self, word: str) -> list[int]:
         """Longest entries from the left; empty if there is a gap."""
-        out, i, n = [], 0, len(word)
-        vocab, lengths, ended = self.vocab, self.lengths, word + self.suffix
+        out, i, n, tree = [], 0, len(word), self.tree
+        last = None if self.suffix else ""
         while i < n:
-            for size in lengths.get(word[i:i + 2]) or lengths.get(word[i], ()):
-                j = i + size
-                if j > n:
-                    continue
-                found = vocab.get(ended[i:] if j == n else word[i:j])
-                if found is not None:
-                    out.append(found)
-                    i = j
+            at, found, j = tree, None, i
+            for letter in word[i:] if i else word:
+                at = at.get(letter)
+                if at is None:
                     break
-            else:
+                j += 1
+                made = at.get("" if j < n else last)
+                if made is not None:
+                    found, end = made, j
+            if found is None:
                 return []
+            out.append(found)
+            i = end
         return out
 
     def merge(self, word: str) -> list[int]:
@@ -234,21 +244,27 @@ class Bpe:
         """Encode distinct words that aren't known yet, all at once."""
         spelled = [w if w.isascii() else w.encode("utf-8", "replace").decode("latin-1") for w in words]
         spelled = [w if w.isascii() and w.isprintable() else w.translate(self.letters) for w in spelled]
-        self.known.update(zip(words, map(tuple, self.encode_words(spelled))))
+        coded = self.encode_words(spelled)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter(itertools.chain.from_iterable(coded), np.int32, int(sizes.sum()))
+        self.known.update(zip(words, itertools.count(len(self.sizes))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of every text."""
         cut = [self.split(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
-        codes = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        if len(self.known) + len(codes) > CACHED_WORDS:
-            self.known = {i: (i,) for i in self.special.values()}
-        self.learn([w for w in codes if w not in self.known])
-        known = [self.known[w] for w in codes]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        ids = np.fromiter(itertools.chain.from_iterable(known), np.int32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        code = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
+        code = list(map(self.known.get, flat))
+        new = list(dict.fromkeys(w for w, k in zip(flat, code) if k is None)) if None in code else []
+        if new and len(self.known) + len(new) > CACHED_WORDS:
+            self.forget()
+            new = [w for w in dict.fromkeys(flat) if w not in self.known]
+        if new:
+            self.learn(new)
+            code = list(map(self.known.__getitem__, flat))
+        code = np.array(code, dtype=np.int64)
+        ids, sizes, starts = self.ids, self.sizes, self.starts
         size = sizes[code]
         total = np.concatenate([[0], np.cumsum(size)])
         take = np.repeat(starts[code] - total[:-1], size) + np.arange(total[-1])

@@ -69,6 +69,21 @@ def test_long_words_take_linear_time(ours, theirs):
         assert found == theirs.encode(word, add_special_tokens=False).ids
 
 
+def test_known_words_are_not_learned_again(monkeypatch, ours):
+    """A full cache is only emptied for words that are new; long matches are found letter by letter."""
+    texts = ["the quick brown fox", "über straße naïve", "the the zzzzqqq 12"]
+    ours.forget()
+    first = ours.encode(texts).to_pylist()
+    monkeypatch.setattr(bpe, "CACHED_WORDS", len(ours.known) + 1)
+    learned = []
+    learn = ours.learn
+    monkeypatch.setattr(ours, "learn", lambda words: (learned.append(list(words)), learn(words))[1])
+    assert ours.encode(texts).to_pylist() == first and not learned
+    assert ours.encode(["the newword"]).to_pylist()[0][:1] == first[0][:1] and learned == [["newword"]]
+    ours.encode(["one more two"])
+    assert learned[-1] == ["one", "more", "two"] and ours.encode(texts).to_pylist() == first
+
+
 def test_small_cache_gives_the_same(monkeypatch, ours):
     given = texts()[:60]
     want = ours.encode(given).to_pylist()
