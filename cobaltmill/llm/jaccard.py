@@ -6,9 +6,10 @@ difference has at most ``D(|A|, |B|)`` elements, and the join finds every such p
 1. Sizes fall into overlapping windows, so that each linked pair shares a window. Within a window a
    hash deals every shingle to one of ``m`` blocks; the block's value is the XOR of its shingle hashes.
 2. An element of the symmetric difference changes one block, so at most D blocks differ. A set emits
-   the values of its first ``D + 1`` blocks that hold ``RICH`` shingles or more, D taken for its
-   largest partner: the first unchanged such block is among them on both sides. A set with too few
-   such blocks also emits those with one shingle or more, and with too few of these a common key.
+   the values of its first ``D + 1`` rich blocks, D taken for its largest partner: the first unchanged
+   such block is among them on both sides. A set with too few such blocks also emits those with one
+   shingle or more, and with too few of these a common key. A block is rich with ``RICH`` shingles, or
+   with fewer where ``percent`` leaves too few of them in most sets.
 3. Equal values are joined. Equal sets are one node from the start. In each key group a pivot is
    tested against the members outside its component.
 4. After a few rounds, the pairs of open groups of ``SMALL`` members at most are tested all. Sets in larger
@@ -17,7 +18,8 @@ difference has at most ``D(|A|, |B|)`` elements, and the join finds every such p
    set, by exact counts, meet those of each partner, and what many texts share falls out. Pivots come
    first here too, as long as they link.
 5. A pair is tested by XORed parity bits first (each shingle flips one of 256 bits, so the Hamming
-   distance of two sketches is a lower bound of the symmetric difference), then by the sets.
+   distance of two sketches is a lower bound of the symmetric difference). Of larger sets, which 256
+   bits can't tell apart, as many bits as D asks for are compared next, then the sets.
 
 Sets, nodes and block values are told apart by 64-bit hashes. Groups are combined before shuffles,
 and links inside a component already found are not sought.
@@ -32,7 +34,8 @@ Defined results:
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -75,9 +78,19 @@ def windows(percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def rich_size(percent: int) -> int:
+    """The shingles of a rich block: ``RICH``, or as many as leave D + 1 rich blocks in most sets."""
+    load = 5 * (100 + percent) / (12 * max(100 - percent, 1))  # mean of the blocks of ``block_keys``
+    for least in range(RICH, 1, -1):
+        poorer = math.exp(-load) * sum(load ** k / math.factorial(k) for k in range(least))
+        if 1.2 * (1 - poorer) > 1.05:
+            return least
+    return 1
+
+
 def block_keys(found: np.ndarray, percent: int, spans: list[tuple[int, int]]) -> list[np.ndarray]:
     """The join keys of one set of distinct hashes."""
-    n, keys = len(found), []
+    n, keys, least = len(found), [], rich_size(percent)
     largest = n * 100 // percent
     for number, (low, high) in enumerate(spans):
         if not low <= n <= high:
@@ -89,10 +102,11 @@ def block_keys(found: np.ndarray, percent: int, spans: list[tuple[int, int]]) ->
         used, at, size = np.unique(block[order], return_index=True, return_counts=True)
         value = np.bitwise_xor.reduceat(found[order], at)
         named = scramble(value ^ scramble(used * np.uint64(4096) + np.uint64(number)))
-        rich = np.flatnonzero(size >= RICH)
+        rich = np.flatnonzero(size >= least)
         keys.append(named[rich[:need]])
         if len(rich) < need:
-            keys.append(scramble(named[:need] + np.uint64(1)))
+            if least > 1:
+                keys.append(scramble(named[:need] + np.uint64(1)))
             if len(named) < need:
                 keys.append(scramble(np.array([number], dtype=np.uint64)))
     return keys
@@ -119,6 +133,25 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_parity(found: np.ndarray, percent: int) -> np.ndarray:
+    """Parity bits, a power of two and at least 4 D, as 64-bit numbers; none where 256 bits are as many.
+
+    Bits of a larger set are folded to those of a smaller one by XORing halves.
+    """
+    bits = 1 << (4 * most_apart(len(found), len(found), percent)).bit_length()
+    if bits <= 256:
+        return np.zeros(0, dtype=np.int64)
+    place = (found >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit numbers as one Arrow column."""
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
+
+
 def _signer(id_type: pa.DataType, width: int, percent: int):
     spans = windows(percent)
 
@@ -127,7 +160,6 @@ def _signer(id_type: pa.DataType, width: int, percent: int):
             sets = shingle_sets(part.column("text").to_pylist(), width)
             keys = [block_keys(s, percent, spans) if len(s) else [] for s in sets]
             flat = [np.concatenate(k) if k else np.zeros(0, dtype=np.uint64) for k in keys]
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in flat])]).astype(np.int32)
             bits = np.stack([parity(s) for s in sets])
             node = np.array([np.bitwise_xor.reduce(scramble(s)) ^ np.uint64(len(s)) for s in sets],
                             dtype=np.uint64)
@@ -135,9 +167,8 @@ def _signer(id_type: pa.DataType, width: int, percent: int):
                 [part.column("doc_id").cast(id_type), part.column("text_hash"),
                  pa.array([len(s) for s in sets], pa.int64()), pa.array(node.view(np.int64)),
                  *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)],
-                 pa.ListArray.from_arrays(
-                     pa.array(ends), pa.array(np.concatenate(flat).view(np.int64)))],
-                names=["doc_id", "text_hash", "n_shingles", "node", *PARITY, "keys"])
+                 _lists([wide_parity(s, percent) for s in sets]), _lists(flat)],
+                names=["doc_id", "text_hash", "n_shingles", "node", *PARITY, "wide", "keys"])
 
     return sign
 
@@ -148,11 +179,8 @@ def _setter(width: int):
             found = shingle_sets(part.column("text").to_pylist(), width)
             node = np.array([np.bitwise_xor.reduce(scramble(s)) ^ np.uint64(len(s)) for s in found],
                             dtype=np.uint64)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))],
-                names=["node", "shingles"])
+                [pa.array(node.view(np.int64)), _lists(found)], names=["node", "shingles"])
 
     return sets
 
@@ -177,13 +205,13 @@ def _tokeniser(width: int, percent: int):
 
 
 def profiles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, node`` (hash of the set), parity bits and join ``keys`` per row."""
+    """``doc_id, text_hash, n_shingles, node`` (hash of the set), parity bits (``wide`` of larger sets) and join ``keys`` per row."""
     id_field = docs.schema["doc_id"]
     schema = T.StructType([
         T.StructField("doc_id", id_field.dataType), T.StructField("text_hash", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.LongType()), *[T.StructField(p, T.LongType()) for p in PARITY],
-        T.StructField("keys", T.ArrayType(T.LongType()))])
+        T.StructField("wide", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     return text_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         _signer(to_arrow_type(id_field.dataType), width, percent), schema)
 
@@ -191,10 +219,28 @@ def profiles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 def _far(a: str, b: str, percent: int) -> Column:
     """True if the parity bits prove that two nodes aren't linked."""
     apart = sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARITY), F.lit(0))
-    both = F.col(f"{a}n") + F.col(f"{b}n")
     smaller, larger = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return ((apart * (100 + percent) > (100 - percent) * both)
-            | (smaller * 100 < larger * percent))
+    return _too_many(apart, a, b, percent) | (smaller * 100 < larger * percent)
+
+
+def _far_wide(a: str, b: str, percent: int) -> Column:
+    """True if the wide parity bits prove that two nodes aren't linked."""
+    one, other = F.col(f"{a}wide"), F.col(f"{b}wide")
+    swap = F.size(one) > F.size(other)
+    few, many = F.when(swap, other).otherwise(one), F.when(swap, one).otherwise(other)
+
+    def folded(at: Column) -> Column:
+        return F.aggregate(F.sequence(at, F.size(many) - 1, F.size(few)), F.lit(0).cast("long"),
+                           lambda x, k: x.bitwiseXOR(F.get(many, k)))
+
+    apart = F.aggregate(F.sequence(F.lit(0), F.size(few) - 1), F.lit(0),
+                        lambda n, k: n + F.bit_count(F.get(few, k).bitwiseXOR(folded(k))))
+    return (F.size(few) > 0) & _too_many(F.when(F.size(few) > 0, apart).otherwise(0), a, b, percent)
+
+
+def _too_many(apart: Column, a: str, b: str, percent: int) -> Column:
+    """True if so many elements on one side only are more than linked sets have."""
+    return apart * (100 + percent) > (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
 class _Links:
@@ -204,10 +250,19 @@ class _Links:
         self.docs, self.stored, self.nodes = docs, stored, nodes
         self.width, self.percent = width, percent
 
-    def named(self, side: str) -> DataFrame:
+    def named(self, side: str, *bits: str) -> DataFrame:
         return self.nodes.select(
-            F.col("node").alias(side), F.col("n").alias(f"{side}n"),
-            *[F.col(p).alias(f"{side}{p}") for p in PARITY])
+            F.col("node").alias(side), F.col("n").alias(f"{side}n"), *[F.col(p).alias(f"{side}{p}") for p in bits])
+
+    def near(self, pairs: DataFrame, far: Callable[[str, str, int], Column], *bits: str) -> DataFrame | None:
+        """The stored pairs that these bits don't prove to be far, stored; None without any."""
+        near = materialise(
+            pairs.join(self.named("a", *bits), "a").join(self.named("b", *bits), "b")
+            .filter(~far("a", "b", self.percent)).select(*pairs.columns), "near-close")
+        if near.isEmpty():
+            discard(near)
+            return None
+        return near
 
     def texts(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The texts of the rows that first hold the asked nodes, and these rows; other nodes may be among them."""
@@ -242,11 +297,12 @@ class _Links:
         """Those of the stored pairs (a, b, and their roots) that are linked; None without any."""
         if pairs.isEmpty():
             return None
-        close = materialise(
-            pairs.join(self.named("a"), "a").join(self.named("b"), "b")
-            .filter(~_far("a", "b", self.percent)).select(*pairs.columns), "near-close")
-        if close.isEmpty():
-            discard(close)
+        maybe = self.near(pairs, _far, *PARITY)
+        if maybe is None:
+            return None
+        close = self.near(maybe, _far_wide, "wide")
+        discard(maybe)
+        if close is None:
             return None
         texts, owners = self.texts(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = texts.mapInArrow(_setter(self.width), "node long, shingles array<long>")
@@ -339,7 +395,7 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     discard(several)
     nodes = materialise(
         stored.join(members.select("node").distinct(), "node", "left_semi")
-        .select("node", F.col("n_shingles").alias("n"), *PARITY).distinct(), "near-nodes")
+        .select("node", F.col("n_shingles").alias("n"), *PARITY, "wide").distinct(), "near-nodes")
 
     work = _Links(docs, stored, nodes, width, percent)
     found = _Groups(work, nodes, percent)

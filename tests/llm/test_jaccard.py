@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 import re
 
+import numpy as np
 import pytest
 
 from cobaltmill.llm import jaccard
@@ -217,6 +218,78 @@ def test_key_property():
     assert tried > 100
 
 
+@pytest.mark.parametrize("percent,width", [(85, 4), (80, 5)])
+def test_most_sets_emit_d_plus_one_keys_a_window(percent, width):
+    rnd = random.Random(12)
+    spans, over = jaccard.windows(percent), 0
+    sizes = [rnd.randrange(150, 1500) for _ in range(200)]
+    for found in shingle_sets([" ".join(f"t{rnd.randrange(10 ** 8)}" for _ in range(n)) for n in sizes], width):
+        n = len(found)
+        need = sum(jaccard.most_apart(n, min(high, n * 100 // percent), percent) + 1 for low, high in spans if low <= n <= high)
+        over += sum(map(len, jaccard.block_keys(found, percent, spans))) > need
+    assert over < 40
+
+
+def test_one_common_sentence_opens_no_large_groups(spark, monkeypatch):
+    """A lone shingle of a sentence that all texts hold is no key, so few texts need their tokens."""
+    rnd = random.Random(13)
+    common = " ".join(f"c{i}" for i in range(8))
+    rows = [(i, " ".join([*(f"u{rnd.randrange(10 ** 8)}" for _ in range(400)), common])) for i in range(800)]
+    asked = []
+    refined = jaccard._Links.refined
+
+    def counted(self, open_nodes):
+        asked.append(open_nodes.count())
+        return refined(self, open_nodes)
+
+    monkeypatch.setattr(jaccard._Links, "refined", counted)
+    assert all(d == c for d, _, c in run(spark, rows, percent=80, width=5))
+    assert sum(asked) < 80
+
+
+def test_far_pairs_of_long_texts_are_not_read(spark, monkeypatch):
+    """Parity bits grow with the sets: long texts with a common passage are told apart without their words."""
+    rnd = random.Random(14)
+    passage = [f"p{i}" for i in range(900)]
+    rows = [(i, " ".join(passage + [f"u{rnd.randrange(10 ** 8)}" for _ in range(900)])) for i in range(12)]
+    tested, read = [], []
+    test, texts = jaccard._Links.test, jaccard._Links.texts
+
+    def counted(self, pairs):
+        tested.append(pairs.count())
+        return test(self, pairs)
+
+    def noted(self, asked):
+        read.append(asked.count())
+        return texts(self, asked)
+
+    monkeypatch.setattr(jaccard._Links, "test", counted)
+    monkeypatch.setattr(jaccard._Links, "texts", noted)
+    assert run(spark, rows) == brute(rows)
+    assert sum(tested) > 10 and not read
+
+
+@pytest.mark.parametrize("percent", [85, 80, 30])
+def test_wide_parity_bits_lose_no_link(spark, percent):
+    """Also of sets whose numbers of bits differ; unlike sets are told apart."""
+    rnd = random.Random(15)
+    rows = []
+    for size in (40, 300, 390, 400, 470, 590, 800, 1200, 1700, 2300, 3000):
+        base = [rnd.getrandbits(64) for _ in range(size)]
+        for share in (1, .99, .95, .9, .86, .8, .4):
+            other = base[:int(size * share)] + [rnd.getrandbits(64) for _ in range(int(size * (1 - share) / 9))]
+            for y in (other, [rnd.getrandbits(64) for _ in other]):
+                x, y = np.array(base, np.uint64), np.array(y, np.uint64)
+                both = len(set(x.tolist()) & set(y.tolist()))
+                bits = [jaccard.wide_parity(s, percent).tolist() for s in (x, y)]
+                rows.append((len(x), len(y), *bits, 100 * both >= percent * (len(x) + len(y) - both), both))
+    found = spark.createDataFrame(rows, "an int, bn int, awide array<long>, bwide array<long>, linked boolean, both int").select(
+        "*", jaccard._far_wide("a", "b", percent).alias("far")).collect()
+    assert not [r for r in found if r["linked"] and r["far"]] and sum(r["linked"] for r in found) > 20
+    assert any(0 < len(r["awide"]) != len(r["bwide"]) > 0 for r in found if r["linked"])
+    assert all(r["far"] for r in found if not r["both"] and min(len(r["awide"]), len(r["bwide"])))
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
 def test_windows_cover_all_pairs(percent):
     spans = jaccard.windows(percent)
